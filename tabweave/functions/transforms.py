@@ -159,7 +159,7 @@ def bin_column(df: DataFrame, column: str, bins: int | Sequence[float] = 3, meth
     if len(names) != len(edges) - 1:
         raise ValueError(f"{len(edges) - 1} bins need as many labels, got {len(names)}")
     index = bin_index(c(column).cast("double"), edges)
-    return df.withColumn(target, F.array(*map(F.lit, names))[index])
+    return df.withColumn(target, F.get(F.array(*map(F.lit, names)), index))
 
 
 def bin_counts(df: DataFrame, column: str, bins: int | Sequence[float] = 3, method: str = "quantile",

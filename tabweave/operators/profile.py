@@ -95,7 +95,7 @@ def get_unique_values(df: DataFrame, column: str, top_n: int = 50) -> DataFrame:
     totals = counts.agg(F.sum("count"), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("count"), F.col("value").asc_nulls_last()).limit(top_n)
     return top.select("value", "count", (F.col("count") * 100.0 / F.lit(float(totals[0] or 1))).alias("pct"),
-                      F.lit(totals[1]).alias("n_unique"))
+                      F.lit(totals[1]).cast("long").alias("n_unique"))
 
 
 def get_value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:

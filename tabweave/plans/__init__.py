@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tabweave.plans.catalog import ENTRIES, Entry
 
-AREAS = ("relational",)
+AREAS = ("relational", "statistics", "charts", "models")
 
 
 def all_entries() -> dict[str, Entry]:
