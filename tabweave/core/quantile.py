@@ -1,37 +1,71 @@
 """Exact interpolated quantiles, for whole tables and per group.
 
-Spark's ``percentile`` holds one value->count map per group in a task.  It is
-used only where the number of distinct values is known to be small; beyond
-that the quantile is read off a distributed table of value counts.
+Whole tables and few groups: counting scans that narrow down on the wanted
+positions; no row is shuffled.  Many groups: Spark's ``percentile``, which
+holds one value->count map per group in a task, only where the number of
+distinct values is known to be small; beyond that a distributed table of value
+counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabweave.core.checks import c
 from tabweave.core.scan import attach, running_totals
 
 # distinct values one task may hold in a percentile map (tens of MB)
 SMALL_DISTINCT = 1_000_000
+# below this a percentile map is cheaper than the scans
+TINY_DISTINCT = 10_000
+# most (group, column, position) combinations that are scanned for together
+SCANNED_TARGETS = 200
+# parts a bracket is split into by one counting scan
+PARTS = 1024
+# values of open brackets that are fetched instead of narrowed further
+FETCHED = 20_000
 
 
-def distinct_bound(df: DataFrame, columns: Sequence[str]) -> int:
-    """Largest approximate distinct count among the columns (one scan)."""
-    row = df.agg(*[F.approx_count_distinct(c(n)).alias(f"d{i}") for i, n in enumerate(columns)]).first()
-    return max(row) if columns else 0
+def _distinct_bounds(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> tuple[int, int]:
+    """About how many groups there are, and the largest number of distinct
+    values among the columns (one scan)."""
+    groups, *values = df.agg(F.approx_count_distinct(F.struct(*map(c, by))).alias("g"), *[
+        F.approx_count_distinct(c(n)).alias(f"d{i}") for i, n in enumerate(columns)]).first()
+    return groups, max(values)
 
 
-def _quantile_table(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str],
-                    out: str) -> DataFrame:
+def _scanned_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, Sequence[float]],
+                       limit: int) -> DataFrame | None:
+    """(group, arrays) with every group's values as a column of their own;
+    None if there are more than ``limit`` groups."""
+    groups = df.select(*map(c, by)).distinct().limit(limit + 1).collect()
+    if len(groups) > limit:
+        return None
+    columns, probs = [], {}
+    for j, g in enumerate(groups):
+        mine = F.lit(True)
+        for k in by:
+            mine = mine & c(k).eqNullSafe(F.lit(g[k]))
+        for n, p in wanted.items():
+            columns.append(F.when(mine, c(n).cast("double")).alias(f"{j} {n}"))
+            probs[f"{j} {n}"] = p
+    found = quantile_values(df.select(*columns), probs) if groups else {}
+    rows = [(*g, *[found[f"{j} {n}"] for n in wanted]) for j, g in enumerate(groups)]
+    schema = T.StructType([df.schema[k] for k in by] + [
+        T.StructField(f"q_{n}", T.ArrayType(T.DoubleType())) for n in wanted])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _quantile_table(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str], out: str) -> DataFrame:
     """Quantiles from value counts: the counts are combined map-side, the
     positions come from distributed running totals."""
-    by = list(by) or ["_all"]
-    source = df.select(*[F.lit(0).alias("_all") if k == "_all" else c(k) for k in by],
-                       c(column).cast("double").alias("_v")).where("_v is not null")
+    by = list(by)
+    source = df.select(*map(c, by), c(column).cast("double").alias("_v")).where("_v is not null")
     counts = source.groupBy(*map(c, by), "_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(counts, ["_v"], {"_before": "_n"}, keys=by)
     sizes = counts.groupBy(*map(c, by)).agg(F.sum("_n").alias("_total"))
@@ -52,24 +86,115 @@ def _quantile_table(df: DataFrame, column: str, probs: Sequence[float], by: Sequ
 
 
 def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
-                  quantiles: Mapping[str, Sequence[float]],
-                  small: int = SMALL_DISTINCT) -> DataFrame:
+                  quantiles: Mapping[str, Sequence[float]], small: int = SMALL_DISTINCT) -> DataFrame:
     """One row per group: plain aggregates, and ``q_<column>`` quantile arrays."""
     by = list(by)
     wanted = {n: list(p) for n, p in quantiles.items() if p}
-    if not wanted or distinct_bound(df, list(wanted)) <= small:
+    if not by:
+        found = quantile_values(df, wanted) if wanted else {}
+        arrays = {f"q_{n}": F.array(*map(F.lit, v)) if v else F.lit(None).cast("array<double>") for n, v in found.items()}
+        return df.agg(*(exprs or [F.count(F.lit(1)).alias("_rows")])).withColumns(arrays).drop("_rows")
+    if not wanted:
+        return df.groupBy(*map(c, by)).agg(*exprs)
+    groups, distinct = _distinct_bounds(df, by, list(wanted))
+    limit = SCANNED_TARGETS // sum(len(p) for p in wanted.values())
+    scanned = None
+    if distinct > min(small, TINY_DISTINCT) and groups <= limit:
+        scanned = _scanned_quantiles(df, by, wanted, limit)
+    if scanned is None and distinct <= small:
         arrays = [F.percentile(c(n).cast("double"), F.array(*[F.lit(float(x)) for x in p])).alias(f"q_{n}")
                   for n, p in wanted.items()]
         return df.groupBy(*map(c, by)).agg(*exprs, *arrays)
-    keyed, keys = (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
-    out = keyed.groupBy(*map(c, keys)).agg(F.count(F.lit(1)).alias("_rows"), *exprs)
+    out = df.groupBy(*map(c, by)).agg(F.count(F.lit(1)).alias("_rows"), *exprs)
+    if scanned is not None:
+        return attach(out, scanned, by).drop("_rows")
     for n, p in wanted.items():
-        out = attach(out, _quantile_table(df, n, p, by, f"q_{n}"), keys)
-    return out.drop("_rows", "_all")
+        out = attach(out, _quantile_table(df, n, p, by, f"q_{n}"), by)
+    return out.drop("_rows")
+
+
+def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, tuple],
+                     parts: int = PARTS, fetched: int = FETCHED) -> dict[tuple[str, int], float]:
+    """The k-th smallest values (from 0) of columns; ``sizes`` holds per column
+    (values, smallest finite, largest finite, minus infinities, infinities).
+
+    A scan counts the rows of every part of the open brackets.  A part whose
+    values are all the same is an answer; otherwise it becomes the next
+    bracket, cut to its values.  Once few values are left they are fetched.
+    """
+    answers: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
+    for n, ks in wanted.items():
+        total, low, high, below, above = sizes[n]
+        for k in ks:
+            if k < below:
+                answers[n, k] = -math.inf
+            elif k >= total - above:
+                answers[n, k] = math.inf
+            elif low == high or k == below:
+                answers[n, k] = low
+            else:
+                open_[n, k] = (low, high, below, total - below - above)
+    while open_:
+        brackets = sorted({(n, *state) for (n, _), state in open_.items()})
+        number = {b: i for i, b in enumerate(brackets)}
+        last = sum(b[4] for b in brackets) <= fetched
+        cells = []
+        for i, (n, low, high, _, _) in enumerate(brackets):
+            x = c(n).cast("double")
+            # halves where the width would overflow
+            h = 1.0 if math.isfinite(high - low) else 0.5
+            share = (x * F.lit(h) - F.lit(low * h)) / F.lit(high * h - low * h) * F.lit(float(parts))
+            cells.append(F.when(x.between(F.lit(low), F.lit(high)), F.struct(
+                F.lit(i).alias("b"), (F.lit(0) if last else F.least(F.floor(share), F.lit(parts - 1))).alias("part"),
+                x.alias("x"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+        if last:
+            found = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+            parts_of = [(r.b, r.x, r.x, r.n) for r in found]
+        else:
+            found = rows.groupBy("b", "part").agg(
+                F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+            parts_of = [(r.b, r.low, r.high, r.n) for r in found]
+        by_bracket: dict[int, list] = {}
+        for b, low, high, n in sorted(parts_of):
+            by_bracket.setdefault(b, []).append((low, high, n))
+        still = {}
+        for (n, k), state in open_.items():
+            before = state[2]
+            for low, high, size in by_bracket[number[n, *state]]:
+                if k < before + size:
+                    if low == high:
+                        answers[n, k] = low
+                    else:
+                        still[n, k] = (low, high, before, size)
+                    break
+                before += size
+        open_ = still
+    return answers
+
+
+def quantile_values(df: DataFrame, quantiles: Mapping[str, Sequence[float]], parts: int = PARTS,
+                    fetched: int = FETCHED) -> dict[str, list[float] | None]:
+    """Whole-table quantiles as plain numbers; None for a column without values."""
+    names = list(quantiles)
+    plain = df.select(*[c(n).cast("double").alias(n) for n in names])
+    plain = plain.select(*[F.when(~F.isnan(c(n)), c(n)).alias(n) for n in names])
+    infinite = float("inf")
+    exprs = []
+    for i, n in enumerate(names):
+        finite = F.when(F.abs(c(n)) < infinite, c(n))
+        exprs += [F.count(c(n)).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}"),
+                  F.count_if(c(n) == -infinite).alias(f"d{i}"), F.count_if(c(n) == infinite).alias(f"u{i}")]
+    row = plain.agg(*exprs).first()
+    sizes = {n: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"], row[f"d{i}"], row[f"u{i}"]) for i, n in enumerate(names)}
+    place = {n: [(sizes[n][0] - 1) * float(p) for p in quantiles[n]] for n in names}
+    wanted = {n: sorted({f(x) for x in place[n] for f in (math.floor, math.ceil)}) for n in names if sizes[n][0]}
+    found = order_statistics(plain, wanted, sizes, parts, fetched)
 
+    def between(n: str, x: float) -> float:
+        low, high = found[n, math.floor(x)], found[n, math.ceil(x)]
+        part = x - math.floor(x)
+        return low if low == high or part == 0 else low * (1 - part) + high * part
 
-def quantile_values(df: DataFrame, quantiles: Mapping[str, Sequence[float]],
-                    small: int = SMALL_DISTINCT) -> dict[str, list[float] | None]:
-    """Whole-table quantiles as plain numbers."""
-    row = grouped_stats(df, [], [], quantiles, small).first()
-    return {n: (list(row[f"q_{n}"]) if row and row[f"q_{n}"] is not None else None) for n in quantiles}
+    return {n: [between(n, x) for x in place[n]] if sizes[n][0] else None for n in names}

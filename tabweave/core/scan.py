@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from tabweave.core.checks import c
 from tabweave.session import cut_lineage
 
+# rows one task may sort and scan without a second thought
+SMALL_TABLE = 100_000
 SLOT = "_slot"
 SEQ = "_seq"
 
@@ -60,12 +62,19 @@ def tie_break(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[C
 
 
 def running_totals(df: DataFrame, order: Sequence[str], sums: Mapping[str, str],
-                   keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
+                   keys: Sequence[str] = (), descending: bool = False,
+                   rows_bound: int | None = None) -> DataFrame:
     """Add, per output name, the sum of a column over all earlier rows of the key.
 
     ``order`` must be unique inside a key (tables of distinct values are).
+    A caller that has counted the rows says so with ``rows_bound``: a small
+    table takes one plain window.
     """
     direction = (lambda n: c(n).desc()) if descending else (lambda n: c(n).asc())
+    if rows_bound is not None and rows_bound <= SMALL_TABLE:
+        before = Window.partitionBy(*(map(c, keys) if keys else [F.lit(0)])).orderBy(
+            *[direction(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({out: F.coalesce(F.sum(c(src)).over(before), F.lit(0)) for out, src in sums.items()})
     slots = range_slots(df, [*[c(k).asc() for k in keys], *[direction(o) for o in order]])
     piece = [SLOT, *keys]
     inside = Window.partitionBy(*map(c, piece)).orderBy(SEQ).rowsBetween(

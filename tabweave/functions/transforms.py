@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, require_choice, require_numeric
-from tabweave.core.quantile import SMALL_DISTINCT, quantile_values
+from tabweave.core.quantile import quantile_values
 
 LOGS = {"log1p": F.log1p, "log": F.ln, "log10": F.log10}
 SCALINGS = ("minmax", "standard", "robust")
@@ -56,8 +56,7 @@ class Scaling:
         return df.select(*[self.column(n).alias(n) if n in self.shift else c(n) for n in df.columns])
 
 
-def fit_scaling(df: DataFrame, columns: Sequence[str], method: str = "minmax", fill: float | None = None,
-                small: int = SMALL_DISTINCT) -> Scaling:
+def fit_scaling(df: DataFrame, columns: Sequence[str], method: str = "minmax", fill: float | None = None) -> Scaling:
     """One aggregate over all columns.  ``fill`` replaces nulls beforehand."""
     names = as_list(columns)
     require_choice(method, SCALINGS, "method")
@@ -66,7 +65,7 @@ def fit_scaling(df: DataFrame, columns: Sequence[str], method: str = "minmax", f
          for n in names}
     if method == "robust":
         source = df.select(*[v.alias(n) for n, v in x.items()])
-        found = quantile_values(source, {n: [0.25, 0.5, 0.75] for n in names}, small)
+        found = quantile_values(source, {n: [0.25, 0.5, 0.75] for n in names})
         return Scaling({n: q and q[1] for n, q in found.items()},
                        {n: q and q[2] - q[0] for n, q in found.items()})
     low, spread = (F.min, lambda v: F.max(v) - F.min(v)) if method == "minmax" else (F.avg, F.stddev_pop)
@@ -100,8 +99,7 @@ def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2,
     return df.withColumns(new) if new else df
 
 
-def bin_edges(df: DataFrame, column: str, bins: int | Sequence[float] = 3, method: str = "quantile",
-              small: int = SMALL_DISTINCT) -> list[float]:
+def bin_edges(df: DataFrame, column: str, bins: int | Sequence[float] = 3, method: str = "quantile") -> list[float]:
     """Increasing bin edges; empty for a column without values."""
     require_numeric(df, [column])
     require_choice(method, BINNINGS, "method")
@@ -114,7 +112,7 @@ def bin_edges(df: DataFrame, column: str, bins: int | Sequence[float] = 3, metho
         return edges
     n = bins if isinstance(bins, int) else 3
     if method == "quantile":
-        found = quantile_values(df, {column: [i / n for i in range(n + 1)]}, small)[column]
+        found = quantile_values(df, {column: [i / n for i in range(n + 1)]})[column]
         return sorted(set(found or []))
     low, high = df.agg(F.min(c(column).cast("double")), F.max(c(column).cast("double"))).first()
     if low is None:
@@ -148,10 +146,9 @@ def bin_index(x: Column, edges: Sequence[float]) -> Column:
 
 
 def bin_column(df: DataFrame, column: str, bins: int | Sequence[float] = 3, method: str = "quantile",
-               labels: Sequence[str] | None = None, new_column: str = "",
-               small: int = SMALL_DISTINCT) -> DataFrame:
+               labels: Sequence[str] | None = None, new_column: str = "") -> DataFrame:
     """Discretise into right-closed bins, equal edges merged."""
-    edges = bin_edges(df, column, bins, method, small)
+    edges = bin_edges(df, column, bins, method)
     target = new_column or f"{column}_binned"
     if len(edges) < 2:
         return df.withColumn(target, F.lit(None).cast("string"))

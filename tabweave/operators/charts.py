@@ -181,7 +181,7 @@ def distribution_comparison(df: DataFrame, column: str, by: str, top_n_groups: i
     return density_curve(kept, column, by)
 
 
-def qq_points(df: DataFrame, column: str, points: int = CURVE_POINTS, small: int = SMALL_DISTINCT) -> DataFrame:
+def qq_points(df: DataFrame, column: str, points: int = CURVE_POINTS) -> DataFrame:
     """(position, theoretical, sample): ordered values against normal
     quantiles, every value of a short column, else evenly spaced ones."""
     require_numeric(df, [column])
@@ -190,7 +190,7 @@ def qq_points(df: DataFrame, column: str, points: int = CURVE_POINTS, small: int
         raise ValueError("at least two values are needed")
     m = min(n, points)
     ranks = sorted({round(k * (n - 1) / (m - 1)) + 1 for k in range(m)})
-    values = quantile_values(df, {column: [(i - 1) / (n - 1) for i in ranks]}, small)[column]
+    values = quantile_values(df, {column: [(i - 1) / (n - 1) for i in ranks]})[column]
 
     def place(i: int) -> float:  # Filliben's estimate of the median position
         if i == n:
@@ -244,8 +244,8 @@ def cumulative(df: DataFrame, column: str) -> DataFrame:
     return placed.select("value", div((F.col("before") + F.col("n")) * 100.0, F.lit(total)).alias("cumulative_pct"))
 
 
-def cumulative_marks(df: DataFrame, column: str, small: int = SMALL_DISTINCT) -> DataFrame:
+def cumulative_marks(df: DataFrame, column: str) -> DataFrame:
     """The 25, 50, 75 and 90 % points of the curve."""
     marks = [25, 50, 75, 90]
-    found = quantile_values(df, {column: [m / 100 for m in marks]}, small)[column] or [None] * 4
+    found = quantile_values(df, {column: [m / 100 for m in marks]})[column] or [None] * 4
     return df.sparkSession.createDataFrame(list(zip(marks, found)), "pct int, value double")

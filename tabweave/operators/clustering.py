@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -26,6 +25,13 @@ def _scaled(df: DataFrame, names: Sequence[str]) -> tuple[Scaling, DataFrame]:
     return scaling, df.withColumn(VECTOR, vector)
 
 
+def _spread(vectors: DataFrame) -> DataFrame:
+    """At least one partition per core.  Not cached: each fit keeps its own
+    compact copy for its iterations, and would not of a cached table."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors if vectors.rdd.getNumPartitions() >= cores else vectors.repartition(cores)
+
+
 def _best_kmeans(vectors: DataFrame, k: int, seed: int, starts: int):
     fits = [KMeans(featuresCol=VECTOR, predictionCol="_p", k=k, seed=seed + s, maxIter=50).fit(vectors)
             for s in range(starts)]
@@ -38,11 +44,7 @@ def kmeans_cluster(df: DataFrame, columns: Sequence[str], n_clusters: int = 3, c
     of several starts, clusters numbered by the order of their centres."""
     names = as_list(columns)
     _, data = _scaled(df, names)
-    vectors = data.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _best_kmeans(vectors, n_clusters, random_state, starts)
-    finally:
-        vectors.unpersist()
+    model = _best_kmeans(_spread(data.select(VECTOR)), n_clusters, random_state, starts)
     centres = [tuple(v) for v in model.clusterCenters()]
     place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
     numbers = F.array(*[F.lit(place[i]) for i in range(len(centres))])
@@ -53,13 +55,10 @@ def kmeans_cluster(df: DataFrame, columns: Sequence[str], n_clusters: int = 3, c
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], max_k: int = 10, random_state: int = 42,
                 starts: int = STARTS) -> DataFrame:
-    """(k, inertia) for k = 2..max_k over one cached table."""
+    """(k, inertia) for k = 2..max_k."""
     _, data = _scaled(df, as_list(columns))
-    vectors = data.select(VECTOR).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = [(k, _best_kmeans(vectors, k, random_state, starts).summary.trainingCost) for k in range(2, max_k + 1)]
-    finally:
-        vectors.unpersist()
+    vectors = _spread(data.select(VECTOR))
+    rows = [(k, _best_kmeans(vectors, k, random_state, starts).summary.trainingCost) for k in range(2, max_k + 1)]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from tabweave.core.checks import (as_list, c, is_datetime, is_numeric, is_string, literal_for,
                                   require_choice, require_columns, require_numeric)
-from tabweave.core.quantile import SMALL_DISTINCT, quantile_values
+from tabweave.core.quantile import quantile_values
 from tabweave.core.scan import attach
 from tabweave.functions.dates import parse_datetime
+from tabweave.sources.files import NUMBER
 
 TYPE_CLASSES = ("number", "object", "bool", "datetime", "category")
 DTYPES = {"int": "bigint", "float": "double", "str": "string", "category": "string",
@@ -79,7 +80,11 @@ def convert_dtype(df: DataFrame, columns: Sequence[str], dtype: str, errors: str
             return x != 0
         if dtype == "int" and is_string(df, n):
             x = F.trim(x)
-        return x.cast(DTYPES[dtype]) if errors == "raise" else x.try_cast(DTYPES[dtype])
+        if errors == "raise":
+            return x.cast(DTYPES[dtype])
+        if dtype in ("int", "float") and is_string(df, n):
+            x = F.when(F.trim(x).rlike(NUMBER), F.trim(x))
+        return x.try_cast(DTYPES[dtype])
 
     return df.select(*[convert(n).alias(n) if n in names else c(n) for n in df.columns])
 
@@ -150,13 +155,12 @@ def apply_mapping(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
 
 
 def clip_bounds(df: DataFrame, column: str, method: str = "iqr", lower_quantile: float = 0.01,
-                upper_quantile: float = 0.99, iqr_multiplier: float = 1.5,
-                small: int = SMALL_DISTINCT) -> tuple[float, float] | None:
+                upper_quantile: float = 0.99, iqr_multiplier: float = 1.5) -> tuple[float, float] | None:
     """The two limits, or None for a column without values."""
     require_numeric(df, [column])
     require_choice(method, ("iqr", "quantile"), "method")
     probs = [0.25, 0.75] if method == "iqr" else [lower_quantile, upper_quantile]
-    found = quantile_values(df, {column: probs}, small)[column]
+    found = quantile_values(df, {column: probs})[column]
     if found is None:
         return None
     low, high = found

@@ -28,13 +28,13 @@ def _spearman(df: DataFrame, a: str, b: str) -> float | None:
     """Pearson on average ranks.  Ranks belong to distinct values, and are
     taken around their mean so that large tables lose no digits."""
     pairs = _pair_counts(df, a, b)
-    total = pairs.agg(F.sum("n")).first()[0]
+    total, *distinct = pairs.agg(F.sum("n"), F.countDistinct("a"), F.countDistinct("b")).first()
     if not total:
         return None
     ranked = pairs
-    for side in ("a", "b"):
+    for side, bound in zip(("a", "b"), distinct):
         values = pairs.groupBy(side).agg(F.sum("n").alias("m"))
-        placed = running_totals(values, [side], {"before": "m"})
+        placed = running_totals(values, [side], {"before": "m"}, rows_bound=bound)
         around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - F.lit((total + 1) / 2.0)
         ranked = attach(ranked, placed.select(side, around.alias(f"r{side}")), [side])
     sab, saa, sbb = ranked.agg(F.sum(F.col("n") * F.col("ra") * F.col("rb")),
@@ -60,7 +60,7 @@ def _kendall(df: DataFrame, a: str, b: str) -> float | None:
     half = lambda n: F.sum(n.cast("double") * (n - 1) / 2)
     total, ties_ab = pairs.agg(F.sum("n"), half(F.col("n"))).first()
     ties = [pairs.groupBy(s).agg(F.sum("n").alias("m")).agg(half(F.col("m"))).first()[0] for s in ("a", "b")]
-    dense = running_totals(pairs.select("a").distinct().withColumn("one", F.lit(1)), ["a"], {"rank": "one"})
+    dense = running_totals(pairs.select("a").distinct().withColumn("one", F.lit(1)), ["a"], {"rank": "one"}, rows_bound=na)
     ranked = attach(pairs, dense.select("a", "rank"), ["a"])
     levels = max(1, math.ceil(math.log2(na) / DIGIT_BITS))
     # one row per level, with the digits above it as key

@@ -83,7 +83,7 @@ def _point_labels(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
     side = eps / sqrt(d) * (1 - 1e-9)
     steps = _offsets(d, side, eps)
     cell = F.struct(*[F.floor(F.col(f"_x{i}") / F.lit(side)).alias(f"k{i}") for i in range(d)])
-    weighted = cut_lineage(points.groupBy(*_xs(d)).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", cell))
+    weighted = points.groupBy(*_xs(d)).agg(F.count(F.lit(1)).alias("w")).withColumn("cell", cell)
     weights = weighted.groupBy("cell").agg(F.sum("w").alias("cell_w"))
     sized = cut_lineage(attach(weighted, weights, ["cell"]))
     sparse = sized.where(F.col("cell_w") < min_samples)
@@ -91,17 +91,17 @@ def _point_labels(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
     # neighbours of the points in sparse cells, counted with their weight
     asking = sparse.select(*[F.col(x).alias(f"q{x}") for x in _xs(d)],
                            F.explode(_shifted(keys, steps, "near")).alias("cell"))
-    near = asking.join(weighted, "cell").where(_distance2(d, "q", "") <= eps * eps)
+    near = asking.join(sized.select(*_xs(d), "cell", "w"), "cell").where(_distance2(d, "q", "") <= eps * eps)
     degree = near.groupBy(*_xs(d, "q")).agg(F.sum("w").alias("degree")).where(F.col("degree") >= min_samples)
     dense_core = sized.where(F.col("cell_w") >= min_samples).select(*_xs(d), "cell")
     sparse_core = attach(sparse, degree.select(*[F.col(f"q{x}").alias(x) for x in _xs(d)], F.lit(1).alias("hit")),
                          _xs(d), "inner").select(*_xs(d), "cell")
     core = cut_lineage(dense_core.unionByName(sparse_core))
-    ids = cut_lineage(row_numbers(core.select("cell").distinct(), [F.col("cell").asc()], "id"))
+    ids = row_numbers(core.select("cell").distinct(), [F.col("cell").asc()], "id")
     links = _cell_links(core, ids, d, side, eps, steps)
     component = connected_components(ids.select("id"), links)
     numbers = row_numbers(component.select("comp").distinct(), [F.col("comp").asc()], "_label")
-    cell_label = cut_lineage(attach(attach(ids, component, ["id"]), numbers, ["comp"]).select("cell", "_label"))
+    cell_label = attach(attach(ids, component, ["id"]), numbers, ["comp"]).select("cell", "_label")
     core_label = attach(core, cell_label, ["cell"]).select(*_xs(d), "cell", "_label")
     # border points: sparse points that are no core point, near some core point
     others = sparse.select(*_xs(d), "cell").join(sparse_core.select(*_xs(d)), _xs(d), "left_anti")

@@ -244,11 +244,11 @@ def _rank_sums(df: DataFrame, column: str, group_column: str) -> tuple[DataFrame
     """Per group the number of values and the sum of average ranks around the
     mean rank; the total count; and the sum of t^3 - t over tied values."""
     cells = cut_lineage(_grouped(df, column, group_column).groupBy("v", "g").agg(F.count(F.lit(1)).alias("n")))
-    total = cells.agg(F.sum("n")).first()[0] or 0
     values = cells.groupBy("v").agg(F.sum("n").alias("m"))
-    placed = running_totals(values, ["v"], {"before": "m"})
     m = F.col("m").cast("double")
-    ties = placed.agg(F.sum(m * m * m - m)).first()[0] or 0.0
+    total, distinct, ties = values.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count(F.lit(1)),
+                                       F.coalesce(F.sum(m * m * m - m), F.lit(0.0))).first()
+    placed = running_totals(values, ["v"], {"before": "m"}, rows_bound=distinct)
     around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - F.lit((total + 1) / 2.0)
     ranked = attach(cells, placed.select("v", around.alias("r")), ["v"])
     sums = ranked.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r"))

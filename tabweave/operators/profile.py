@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tabweave.core.checks import c, is_numeric, numeric_columns, require_choice, require_columns, require_numeric
 from tabweave.core.numeric import div, sample_kurtosis, sample_skewness
-from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats, quantile_values
+from tabweave.core.quantile import grouped_stats, quantile_values
 
 
 def get_shape(df: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _type_of(df: DataFrame):
     return types[F.col("column")]
 
 
-def get_statistics(df: DataFrame, small: int = SMALL_DISTINCT) -> DataFrame:
+def get_statistics(df: DataFrame) -> DataFrame:
     """Long table (column, stat, value as text): count, mean, std, min,
     quartiles and max of numbers; count, unique, top and freq of the rest."""
     numbers = numeric_columns(df)
@@ -42,7 +42,7 @@ def get_statistics(df: DataFrame, small: int = SMALL_DISTINCT) -> DataFrame:
                   F.stddev_samp(x).alias(f"n{i}_std"), F.min(x).alias(f"n{i}_min"), F.max(x).alias(f"n{i}_max")]
     out = None
     if numbers:
-        wide = grouped_stats(df.select(*map(c, numbers)), [], exprs, {n: [0.25, 0.5, 0.75] for n in numbers}, small)
+        wide = grouped_stats(df.select(*map(c, numbers)), [], exprs, {n: [0.25, 0.5, 0.75] for n in numbers})
         cells = []
         for i, n in enumerate(numbers):
             stats = [("count", F.col(f"n{i}_count").cast("double")), ("mean", F.col(f"n{i}_mean")),
@@ -108,7 +108,7 @@ def get_value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
         "value", "count", "pct", "cumulative_pct", "n_unique")
 
 
-def get_column_profile(df: DataFrame, column: str, small: int = SMALL_DISTINCT) -> DataFrame:
+def get_column_profile(df: DataFrame, column: str) -> DataFrame:
     """One row: type, nulls, distinct values (null counts as one), and for
     numbers min, max, mean, median, std, skewness, kurtosis; the ten most
     frequent values as an array."""
@@ -124,7 +124,7 @@ def get_column_profile(df: DataFrame, column: str, small: int = SMALL_DISTINCT)
                   F.stddev_samp(v).alias("std"), sample_skewness(v).alias("skewness"),
                   sample_kurtosis(v).alias("kurtosis")]
         stats = ["min", "max", "mean", c(f"q_{column}")[0].alias("median"), "std", "skewness", "kurtosis"]
-    wide = grouped_stats(df.select(x), [], exprs, {column: [0.5]} if stats else {}, small)
+    wide = grouped_stats(df.select(x), [], exprs, {column: [0.5]} if stats else {})
     return wide.select(F.lit(column).alias("column"), F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
                        "n_rows", "non_null", "missing",
                        F.coalesce(div(F.col("missing") * 100.0, F.col("n_rows")), F.lit(0.0)).alias("missing_pct"),
@@ -134,15 +134,14 @@ def get_column_profile(df: DataFrame, column: str, small: int = SMALL_DISTINCT)
 OUTLIER_METHODS = ("iqr", "zscore")
 
 
-def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5,
-                    small: int = SMALL_DISTINCT) -> DataFrame:
+def detect_outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """One row: bounds, count and % of outliers, the column's range and the
     range of the outliers."""
     require_numeric(df, [column])
     require_choice(method, OUTLIER_METHODS, "method")
     x = c(column).cast("double")
     if method == "iqr":
-        q = quantile_values(df, {column: [0.25, 0.75]}, small)[column]
+        q = quantile_values(df, {column: [0.25, 0.75]})[column]
         low, high = ((q[0] - threshold * (q[1] - q[0]), q[1] + threshold * (q[1] - q[0])) if q else (None, None))
         outside = (x < F.lit(low)) | (x > F.lit(high))
     else:

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from tabweave.core.checks import as_list, c, is_numeric, literal_for, require_choice, require_columns
 from tabweave.core.scan import row_numbers
 
+# above this a sample is cut by a threshold instead of sorted out
+TOP_N_ROWS = 1000
 COMPARISONS = ("==", "!=", ">", "<", ">=", "<=", "contains", "isin")
 
 
@@ -120,9 +122,10 @@ def sample_data(df: DataFrame, n: int = 10, random_state: int = 42,
                 key: Sequence[str] | None = None) -> DataFrame:
     """A uniform sample of min(n, rows) rows, the same for the same seed.
 
-    Small samples are a top-n by hash; larger ones a hash threshold.
+    Small samples are a top-n by hash, of which every task keeps n rows;
+    larger ones a hash threshold.
     """
-    if n <= 10_000:
+    if n <= TOP_N_ROWS:
         out = df.withColumn("_h", hash_order(df, key, random_state))
         return out.orderBy("_h").limit(n).drop("_h")
     chosen, _ = split_by_hash(df, {None: n}, None, key, random_state)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabweave.core.checks import c, is_numeric, numeric_columns, require_choice, require_columns, require_numeric
 from tabweave.core.numeric import div
 from tabweave.functions.transforms import bin_index
-from tabweave.core.quantile import SMALL_DISTINCT, quantile_values
+from tabweave.core.quantile import quantile_values
 from tabweave.core.scan import attach
 from tabweave.operators.correlation import correlation_pairs
 from tabweave.operators.features import LABEL, VECTOR, feature_columns, with_features
@@ -88,7 +88,7 @@ def _forest_importance(df, target_column, trees, max_depth, seed):
 
 
 def mutual_information(df: DataFrame, target_column: str, continuous_target: bool, bins: int = 10,
-                       features: Sequence[str] | None = None, small: int = SMALL_DISTINCT) -> DataFrame:
+                       features: Sequence[str] | None = None) -> DataFrame:
     """(feature, importance) in nats, from one grouped count of all features."""
     names = list(features or feature_columns(df, target_column))
     require_numeric(df, names)
@@ -97,7 +97,7 @@ def mutual_information(df: DataFrame, target_column: str, continuous_target: boo
     y = c(target_column)
     binned = [*names, target_column] if continuous_target else names
     source = df.select(*[(x[n] if n in x else y.cast("double")).alias(n) for n in binned])
-    found = quantile_values(source, {n: cut for n in binned}, small)
+    found = quantile_values(source, {n: cut for n in binned})
     edges = {n: sorted(set(q or [])) for n, q in found.items()}
 
     def place(v, n):

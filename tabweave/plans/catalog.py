@@ -14,7 +14,8 @@ from tabweave.sources.files import load_parquet
 
 
 class Tables:
-    """The tables of a folder, each read when it is asked for."""
+    """The tables of a folder, each read when it is asked for.  They hold nulls
+    but no NaN, so their filters can be pushed down."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -23,7 +24,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return load_parquet(self.spark, f"{self.folder}/{name}.parquet")
+        return load_parquet(self.spark, f"{self.folder}/{name}.parquet", nan_as_null=False)
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,8 @@ MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 # The tokens of a boolean column.
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
+# Text of a number.  Matching it is far cheaper than a failing cast per value.
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
 
 
 def _records_span_lines(spark: SparkSession, path: str) -> bool:
@@ -46,10 +48,9 @@ def _with_inferred_types(text: DataFrame) -> DataFrame:
     for i, n in enumerate(text.columns):
         trimmed = F.trim(c(n))
         checks += [F.count(c(n)).alias(f"n{i}"),
-                   F.count(trimmed.try_cast("bigint")).alias(f"l{i}"),
-                   # an integer has no point or exponent; try_cast would cut "1.5" to 1
-                   F.count_if(trimmed.rlike(r"^[+-]?\d+$")).alias(f"i{i}"),
-                   F.count(trimmed.try_cast("double")).alias(f"d{i}"),
+                   # an integer has no point or exponent, and has to fit
+                   F.count(F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint"))).alias(f"l{i}"),
+                   F.count_if(trimmed.rlike(NUMBER)).alias(f"d{i}"),
                    F.count_if(c(n).isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}")]
     seen = text.agg(*checks).first() if checks else None
     out = []
@@ -57,7 +58,7 @@ def _with_inferred_types(text: DataFrame) -> DataFrame:
         total = seen[f"n{i}"]
         if total and seen[f"b{i}"] == total:
             out.append(c(n).isin(*TRUE_TOKENS).alias(n))
-        elif total and seen[f"i{i}"] == total and seen[f"l{i}"] == total:
+        elif total and seen[f"l{i}"] == total:
             out.append(F.trim(c(n)).try_cast("bigint").alias(n))
         elif seen[f"d{i}"] == total:
             # a column without any value is a double column
@@ -73,9 +74,14 @@ def save_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "e
     out.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def load_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet; NaN means missing, as everywhere in this library."""
-    return nan_to_null(spark.read.parquet(path))
+def load_parquet(spark: SparkSession, path: str, nan_as_null: bool = True) -> DataFrame:
+    """Read Parquet; NaN means missing, as everywhere in this library.
+
+    Files known to hold no NaN are better read with ``nan_as_null=False``:
+    filters on floating columns then reach the file's statistics.
+    """
+    df = spark.read.parquet(path)
+    return nan_to_null(df) if nan_as_null else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
