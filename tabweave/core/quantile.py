@@ -107,7 +107,7 @@ def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
         return df.groupBy(*map(c, by)).agg(*exprs, *arrays)
     out = df.groupBy(*map(c, by)).agg(F.count(F.lit(1)).alias("_rows"), *exprs)
     if scanned is not None:
-        return attach(out, scanned, by).drop("_rows")
+        return attach(out, F.broadcast(scanned), by).drop("_rows")
     for n, p in wanted.items():
         out = attach(out, _quantile_table(df, n, p, by, f"q_{n}"), by)
     return out.drop("_rows")

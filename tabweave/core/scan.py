@@ -21,6 +21,9 @@ from tabweave.session import cut_lineage
 
 # rows one task may sort and scan without a second thought
 SMALL_TABLE = 100_000
+# a lookup table within both limits goes to every executor
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 SLOT = "_slot"
 SEQ = "_seq"
 
@@ -53,6 +56,23 @@ def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "lef
     return left.join(renamed, match, how).drop(*[f"_on{i}" for i in range(len(on))])
 
 
+def attach_measured(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """``attach`` for an aggregated lookup table of unknown size.
+
+    The planner would shuffle the large side before it knows that the lookup is
+    small.  So the lookup is computed once and measured: a small one is
+    broadcast, any other is joined by shuffle with hot keys split.
+    """
+    kept = cut_lineage(lookup)
+    text = F.lit(0)
+    for f in kept.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            text = text + F.coalesce(F.octet_length(c(f.name)), F.lit(0))
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(text.cast("long")), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return attach(left, F.broadcast(kept) if small else kept, on, how)
+
+
 def tie_break(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
     """Make an order total, so that many equal sort keys still spread out."""
     hashable = [c(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
@@ -83,13 +103,14 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Mapping[str, str],
         *[F.sum(c(src)).alias(f"_t_{out}") for out, src in sums.items()])
     earlier = Window.partitionBy(*(map(c, keys) if keys else [F.lit(0)])).orderBy(SLOT).rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = summary.select(*map(c, piece), *[
-        F.coalesce(F.sum(c(f"_t_{out}")).over(earlier), F.lit(0)).alias(f"_c_{out}") for out in sums])
+    # a slot border cuts one key at most, so fewer rows than slots have something to carry
+    carry = summary.select(*map(c, piece), F.count(F.lit(1)).over(earlier).alias("_before"), *[
+        F.sum(c(f"_t_{out}")).over(earlier).alias(f"_c_{out}") for out in sums]).where("_before > 0").drop("_before")
     local = slots.withColumns({
         f"_l_{out}": F.coalesce(F.sum(c(src)).over(inside), F.lit(0)) for out, src in sums.items()})
-    joined = attach(local, carry, piece)
+    joined = attach(local, F.broadcast(carry), piece)
     return joined.withColumns({
-        out: c(f"_l_{out}") + c(f"_c_{out}") for out in sums
+        out: c(f"_l_{out}") + F.coalesce(c(f"_c_{out}"), F.lit(0)) for out in sums
     }).drop(SLOT, SEQ, *[f"_l_{o}" for o in sums], *[f"_c_{o}" for o in sums])
 
 
@@ -100,7 +121,8 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str, start: int =
     sizes = slots.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(F.lit(0)).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(SLOT, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_off"))
-    out = attach(slots, offsets, [SLOT]).withColumn(
+    # one row per slot
+    out = attach(slots, F.broadcast(offsets), [SLOT]).withColumn(
         "_number", (F.col("_off") + F.col(SEQ) + F.lit(start)).cast("long"))
     kept = [n for n in df.columns if n != name]
     return out.select(*map(c, kept), F.col("_number").alias(name))
@@ -123,11 +145,12 @@ def carry_forward(df: DataFrame, columns: Sequence[str], order: Sequence[Column]
         for i, n in enumerate(columns)])
     earlier = Window.partitionBy(*(map(c, keys) if keys else [F.lit(0)])).orderBy(SLOT).rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = summary.select(*map(c, piece), *[
-        F.last(f"_s{i}", ignorenulls=True).over(earlier).alias(f"_k{i}") for i in range(len(columns))])
+    carry = summary.select(*map(c, piece), F.count(F.lit(1)).over(earlier).alias("_before"), *[
+        F.last(f"_s{i}", ignorenulls=True).over(earlier).alias(f"_k{i}") for i in range(len(columns))
+    ]).where("_before > 0").drop("_before")
     local = slots.withColumns({
         f"_f{i}": F.last(c(n), ignorenulls=True).over(inside) for i, n in enumerate(columns)})
-    joined = attach(local, carry, piece)
+    joined = attach(local, F.broadcast(carry), piece)
     return joined.select(*[
         F.coalesce(f"_f{list(columns).index(n)}", f"_k{list(columns).index(n)}").alias(n)
         if n in columns else c(n) for n in df.columns])

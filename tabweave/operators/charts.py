@@ -12,7 +12,7 @@ from tabweave.core import special
 from tabweave.core.checks import as_list, c, require_columns, require_numeric
 from tabweave.core.numeric import div
 from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats, quantile_values
-from tabweave.core.scan import attach, running_totals
+from tabweave.core.scan import attach, attach_measured, running_totals
 from tabweave.operators.relational import distinct_values, pivot_table
 
 PAIR_COLUMNS = 6
@@ -87,7 +87,7 @@ def box_stats(df: DataFrame, column: str, by: str = "", small: int = SMALL_DISTI
                            F.col("q__v")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     if by:
-        joined = attach(rows, box, keys)
+        joined = attach_measured(rows, box, keys)
     else:
         one = box.first()
         joined = rows.withColumns({k: F.lit(one[k]).cast(box.schema[k].dataType) for k in ("n", "q1", "median", "q3")})
@@ -152,10 +152,10 @@ def density_curve(df: DataFrame, column: str, by: str = "", points: int = CURVE_
         F.count("_v").alias("_n"), F.stddev_samp("_v").alias("_s"), F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi")).where("_n > 1 and _s > 0")
     facts = facts.select(*map(c, keys), "_n", "_lo", "_hi", (F.col("_s") * F.pow("_n", F.lit(-0.2))).alias("_h"))
-    joined = attach(rows, facts, keys, "inner")
+    joined = attach_measured(rows, facts, keys, "inner")
     cells = joined.groupBy(*map(c, keys), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_h") / 100)).alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_w"), F.avg("_v").alias("_x"), F.var_pop("_v").alias("_q"))
-    cells = attach(cells, facts, keys, "inner")
+        F.count(F.lit(1)).alias("_w"), F.avg("_v").alias("_x"), F.var_pop("_v").alias("_q"),
+        *[F.first(n).alias(n) for n in ("_n", "_lo", "_hi", "_h")])
     low = F.col("_lo") - F.lit(cut) * F.col("_h")
     step = (F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * F.col("_h")) / F.lit(points - 1)
     spread = cells.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))

@@ -149,7 +149,7 @@ def apply_mapping(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     rules = df.sparkSession.createDataFrame(
         [(k, v) for k, (_, v) in zip(keys, pairs)],
         f"_rule {'double' if numeric_column else 'string'}, _to {target}")
-    joined = attach(df.withColumn("_rule", probe), rules, ["_rule"])
+    joined = attach(df.withColumn("_rule", probe), F.broadcast(rules), ["_rule"])
     return joined.select(*[F.coalesce(F.col("_to"), fallback).alias(n) if n == column else c(n)
                            for n in df.columns])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, numeric_columns, require_choice, require_numeric
 from tabweave.core.numeric import pearson
-from tabweave.core.scan import attach, running_totals
+from tabweave.core.scan import BROADCAST_ROWS, attach, running_totals
 from tabweave.session import cut_lineage
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -36,7 +36,8 @@ def _spearman(df: DataFrame, a: str, b: str) -> float | None:
         values = pairs.groupBy(side).agg(F.sum("n").alias("m"))
         placed = running_totals(values, [side], {"before": "m"}, rows_bound=bound)
         around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - F.lit((total + 1) / 2.0)
-        ranked = attach(ranked, placed.select(side, around.alias(f"r{side}")), [side])
+        ranks = placed.select(side, around.alias(f"r{side}"))
+        ranked = attach(ranked, F.broadcast(ranks) if bound <= BROADCAST_ROWS else ranks, [side])
     sab, saa, sbb = ranked.agg(F.sum(F.col("n") * F.col("ra") * F.col("rb")),
                                F.sum(F.col("n") * F.col("ra") * F.col("ra")),
                                F.sum(F.col("n") * F.col("rb") * F.col("rb"))).first()
@@ -61,7 +62,8 @@ def _kendall(df: DataFrame, a: str, b: str) -> float | None:
     total, ties_ab = pairs.agg(F.sum("n"), half(F.col("n"))).first()
     ties = [pairs.groupBy(s).agg(F.sum("n").alias("m")).agg(half(F.col("m"))).first()[0] for s in ("a", "b")]
     dense = running_totals(pairs.select("a").distinct().withColumn("one", F.lit(1)), ["a"], {"rank": "one"}, rows_bound=na)
-    ranked = attach(pairs, dense.select("a", "rank"), ["a"])
+    dense = dense.select("a", "rank")
+    ranked = attach(pairs, F.broadcast(dense) if na <= BROADCAST_ROWS else dense, ["a"])
     levels = max(1, math.ceil(math.log2(na) / DIGIT_BITS))
     # one row per level, with the digits above it as key
     spread = ranked.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(levels)])))

@@ -1,5 +1,5 @@
-"""Categorical encoding.  Lookup tables are joined; whether one is small
-enough to broadcast is decided at run time from its measured size."""
+"""Categorical encoding.  Lookup tables are joined; one that measures small is
+broadcast, so that the rows need no shuffle."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, require_columns, require_numeric
-from tabweave.core.scan import attach, row_numbers
+from tabweave.core.scan import attach_measured, row_numbers
 from tabweave.operators.relational import MAX_DISTINCT, distinct_values
 
 # Fixed value: the category size at which the category mean weighs one half.
@@ -32,7 +32,7 @@ def one_hot_encode(df: DataFrame, columns: Sequence[str], drop_first: bool = Tru
 
 def _replace(df: DataFrame, column: str, lookup: DataFrame, value) -> DataFrame:
     """Swap a column for ``value``, an expression on the joined lookup row."""
-    joined = attach(df.withColumn("_cat", c(column)), lookup, ["_cat"])
+    joined = attach_measured(df.withColumn("_cat", c(column)), lookup, ["_cat"])
     return joined.select(*[value.alias(n) if n == column else c(n) for n in df.columns])
 
 
@@ -73,7 +73,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df
     for n in names:
         lookup = label_mapping(df, n).select(F.col("category").alias("_cat"), F.col("code").alias("_e"))
-        joined = attach(out.withColumn("_cat", c(n).cast("string")), lookup, ["_cat"])
+        joined = attach_measured(out.withColumn("_cat", c(n).cast("string")), lookup, ["_cat"])
         out = joined.select(*[F.col("_e").alias(m) if m == n else c(m) for m in df.columns])
     return out
 

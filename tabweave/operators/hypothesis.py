@@ -15,7 +15,7 @@ from tabweave.core import special
 from tabweave.core.checks import c, require_choice, require_columns, require_numeric
 from tabweave.core.numeric import div, normal_cdf, sample_kurtosis, sample_skewness
 from tabweave.core.quantile import grouped_stats
-from tabweave.core.scan import attach, running_totals
+from tabweave.core.scan import BROADCAST_ROWS, attach, running_totals
 from tabweave.operators.rows import sample_data
 from tabweave.session import cut_lineage
 
@@ -200,7 +200,7 @@ def _shapiro(sample: DataFrame, n: int) -> tuple[float | None, float | None]:
     weights = sample.sparkSession.createDataFrame(
         list(enumerate(_shapiro_weights(n), start=1)), "i int, w double")
     ordered = sample.select("v", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")).alias("i"))
-    top, spread, size = ordered.join(weights, "i").agg(
+    top, spread, size = ordered.join(F.broadcast(weights), "i").agg(
         F.sum(F.col("w") * F.col("v")), F.var_pop("v"), F.count(F.lit(1))).first()
     if not spread:
         return None, None
@@ -250,7 +250,8 @@ def _rank_sums(df: DataFrame, column: str, group_column: str) -> tuple[DataFrame
                                        F.coalesce(F.sum(m * m * m - m), F.lit(0.0))).first()
     placed = running_totals(values, ["v"], {"before": "m"}, rows_bound=distinct)
     around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - F.lit((total + 1) / 2.0)
-    ranked = attach(cells, placed.select("v", around.alias("r")), ["v"])
+    ranks = placed.select("v", around.alias("r"))
+    ranked = attach(cells, F.broadcast(ranks) if distinct <= BROADCAST_ROWS else ranks, ["v"])
     sums = ranked.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("r")).alias("r"))
     return sums, total, ties
 
