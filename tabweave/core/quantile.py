@@ -21,7 +21,8 @@ from tabweave.core.scan import attach, running_totals
 
 # distinct values one task may hold in a percentile map (tens of MB)
 SMALL_DISTINCT = 1_000_000
-# below this a percentile map is cheaper than the scans
+# a percentile map is cheaper than scans for so few rows, or distinct values
+SMALL_ROWS = 5_000_000
 TINY_DISTINCT = 10_000
 # most (group, column, position) combinations that are scanned for together
 SCANNED_TARGETS = 200
@@ -31,33 +32,80 @@ PARTS = 1024
 FETCHED = 20_000
 
 
-def _distinct_bounds(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> tuple[int, int]:
-    """About how many groups there are, and the largest number of distinct
-    values among the columns (one scan)."""
-    groups, *values = df.agg(F.approx_count_distinct(F.struct(*map(c, by))).alias("g"), *[
-        F.approx_count_distinct(c(n)).alias(f"d{i}") for i, n in enumerate(columns)]).first()
-    return groups, max(values)
+def _bounds(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> tuple[int, int, int]:
+    """Rows, and about how many groups and distinct values (the most of any
+    column) there are, from one scan."""
+    rows, groups, *values = df.agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*map(c, by))).alias("g"),
+        *[F.approx_count_distinct(c(n)).alias(f"d{i}") for i, n in enumerate(columns)]).first()
+    return rows, groups, max(values)
+
+
+def _size_exprs(x: Column, i: int) -> list[Column]:
+    """Number of values, least and largest finite value, infinities of each sign."""
+    infinite = float("inf")
+    finite = F.when(F.abs(x) < infinite, x)
+    return [F.count(x).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}"),
+            F.count_if(x == -infinite).alias(f"d{i}"), F.count_if(x == infinite).alias(f"u{i}")]
+
+
+def _size(row, i: int) -> tuple:
+    return tuple(row[f"{k}{i}"] for k in "nabdu")
+
+
+def _clean(df: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Group columns, and the wanted columns as doubles without NaN."""
+    doubles = df.select(*[c(k).alias(f"_by{i}") for i, k in enumerate(by)],
+                        *[c(n).cast("double").alias(f"_c{i}") for i, n in enumerate(names)])
+    return doubles.select(*[f"_by{i}" for i in range(len(by))], *[
+        F.when(~F.isnan(f"_c{i}"), F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))])
+
+
+def _interpolated(found: Mapping, key, total: int, probs: Sequence[float]) -> list[float] | None:
+    if not total:
+        return None
+    out = []
+    for p in probs:
+        position = (total - 1) * float(p)
+        low, high = found[key, math.floor(position)], found[key, math.ceil(position)]
+        part = position - math.floor(position)
+        out.append(low if low == high or part == 0 else low * (1 - part) + high * part)
+    return out
+
+
+def _positions(total: int, probs: Sequence[float]) -> list[int]:
+    return sorted({f((total - 1) * float(p)) for p in probs for f in (math.floor, math.ceil)}) if total else []
 
 
 def _scanned_quantiles(df: DataFrame, by: Sequence[str], wanted: Mapping[str, Sequence[float]],
                        limit: int) -> DataFrame | None:
-    """(group, arrays) with every group's values as a column of their own;
-    None if there are more than ``limit`` groups."""
-    groups = df.select(*map(c, by)).distinct().limit(limit + 1).collect()
+    """(group, arrays) by counting scans over all groups at once; None if
+    there are more than ``limit`` groups."""
+    names = list(wanted)
+    plain = _clean(df, by, names)
+    keys = [F.col(f"_by{i}") for i in range(len(by))]
+    groups = plain.groupBy(*keys).agg(*[e for i in range(len(names)) for e in _size_exprs(F.col(f"_c{i}"), i)]).limit(
+        limit + 1).collect()
     if len(groups) > limit:
         return None
-    columns, probs = [], {}
+    which = F.lit(None).cast("int")
+    sizes, positions = {}, {}
     for j, g in enumerate(groups):
         mine = F.lit(True)
-        for k in by:
-            mine = mine & c(k).eqNullSafe(F.lit(g[k]))
-        for n, p in wanted.items():
-            columns.append(F.when(mine, c(n).cast("double")).alias(f"{j} {n}"))
-            probs[f"{j} {n}"] = p
-    found = quantile_values(df.select(*columns), probs) if groups else {}
-    rows = [(*g, *[found[f"{j} {n}"] for n in wanted]) for j, g in enumerate(groups)]
+        for k, key in enumerate(keys):
+            mine = mine & key.eqNullSafe(F.lit(g[f"_by{k}"]))
+        which = F.when(mine, F.lit(j)).otherwise(which)
+        for i, n in enumerate(names):
+            sizes[i, j] = _size(g, i)
+            positions[i, j] = _positions(sizes[i, j][0], wanted[n])
+    numbered = plain.select(which.alias("_g"), *[f"_c{i}" for i in range(len(names))])
+    families = [[((i, j), f"_c{i}", f"_g = {j} AND ") for j in range(len(groups))] for i in range(len(names))]
+    found = order_statistics(numbered, families, positions, sizes)
+    rows = [(*[g[f"_by{k}"] for k in range(len(by))],
+             *[_interpolated(found, (i, j), sizes[i, j][0], wanted[n]) for i, n in enumerate(names)])
+            for j, g in enumerate(groups)]
     schema = T.StructType([df.schema[k] for k in by] + [
-        T.StructField(f"q_{n}", T.ArrayType(T.DoubleType())) for n in wanted])
+        T.StructField(f"q_{n}", T.ArrayType(T.DoubleType())) for n in names])
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -96,12 +144,13 @@ def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
         return df.agg(*(exprs or [F.count(F.lit(1)).alias("_rows")])).withColumns(arrays).drop("_rows")
     if not wanted:
         return df.groupBy(*map(c, by)).agg(*exprs)
-    groups, distinct = _distinct_bounds(df, by, list(wanted))
+    rows, groups, distinct = _bounds(df, by, list(wanted))
     limit = SCANNED_TARGETS // sum(len(p) for p in wanted.values())
     scanned = None
-    if distinct > min(small, TINY_DISTINCT) and groups <= limit:
+    fits = rows <= SMALL_ROWS or distinct <= TINY_DISTINCT
+    if not fits and groups <= limit:
         scanned = _scanned_quantiles(df, by, wanted, limit)
-    if scanned is None and distinct <= small:
+    if fits or (scanned is None and distinct <= small):
         arrays = [F.percentile(c(n).cast("double"), F.array(*[F.lit(float(x)) for x in p])).alias(f"q_{n}")
                   for n, p in wanted.items()]
         return df.groupBy(*map(c, by)).agg(*exprs, *arrays)
@@ -113,61 +162,71 @@ def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
     return out.drop("_rows")
 
 
-def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, tuple],
-                     parts: int = PARTS, fetched: int = FETCHED) -> dict[tuple[str, int], float]:
-    """The k-th smallest values (from 0) of columns; ``sizes`` holds per column
-    (values, smallest finite, largest finite, minus infinities, infinities).
+def order_statistics(df: DataFrame, families: Sequence[Sequence[tuple]], wanted: Mapping, sizes: Mapping,
+                     parts: int = PARTS, fetched: int = FETCHED) -> dict[tuple, float]:
+    """The k-th smallest values, counted from 0, as {(key, k): value}.
+
+    A family is a column, whole or split by groups: (key, column, condition)
+    triples of which a row meets one at most.  ``wanted`` holds the positions
+    and ``sizes`` the facts of ``_size_exprs`` per key.
 
     A scan counts the rows of every part of the open brackets.  A part whose
     values are all the same is an answer; otherwise it becomes the next
     bracket, cut to its values.  Once few values are left they are fetched.
     """
-    answers: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
-    for n, ks in wanted.items():
-        total, low, high, below, above = sizes[n]
+    answers: dict[tuple, float] = {}
+    open_: dict[tuple, tuple[float, float, int, int]] = {}
+    for key, ks in wanted.items():
+        total, low, high, below, above = sizes[key]
         for k in ks:
             if k < below:
-                answers[n, k] = -math.inf
+                answers[key, k] = -math.inf
             elif k >= total - above:
-                answers[n, k] = math.inf
+                answers[key, k] = math.inf
             elif low == high or k == below:
-                answers[n, k] = low
+                answers[key, k] = low
+            elif k == total - above - 1:
+                answers[key, k] = high
             else:
-                open_[n, k] = (low, high, below, total - below - above)
+                open_[key, k] = (low, high, below, total - below - above)
     while open_:
-        brackets = sorted({(n, *state) for (n, _), state in open_.items()})
+        brackets = sorted({(key, state) for (key, _), state in open_.items()})
         number = {b: i for i, b in enumerate(brackets)}
-        last = sum(b[4] for b in brackets) <= fetched
+        last = sum(state[3] for _, state in brackets) <= fetched
         cells = []
-        for i, (n, low, high, _, _) in enumerate(brackets):
-            x = c(n).cast("double")
-            # halves where the width would overflow
-            h = 1.0 if math.isfinite(high - low) else 0.5
-            share = (x * F.lit(h) - F.lit(low * h)) / F.lit(high * h - low * h) * F.lit(float(parts))
-            cells.append(F.when(x.between(F.lit(low), F.lit(high)), F.struct(
-                F.lit(i).alias("b"), (F.lit(0) if last else F.least(F.floor(share), F.lit(parts - 1))).alias("part"),
-                x.alias("x"))))
-        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("s")).select("s.*")
+        for family in families:
+            cases = []
+            for key, x, condition in family:
+                # the brackets of one key do not overlap
+                for state in (s for k, s in brackets if k == key):
+                    low, high = state[:2]
+                    # halves where the width would overflow
+                    h = 1.0 if math.isfinite(high - low) else 0.5
+                    share = f"({x} * {h}D - {low * h!r}D) / {high * h - low * h!r}D * {parts}D"
+                    part = "0L" if last else f"least(floor({share}), {parts - 1}L)"
+                    cases.append(f"WHEN {condition}{x} BETWEEN {low!r}D AND {high!r}D THEN "
+                                 f"named_struct('b', {number[key, state]}, 'part', {part}, 'x', {x})")
+            if cases:
+                cells.append(F.expr(f"CASE {' '.join(cases)} END"))
+        one = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
+        rows = df.select(one.alias("s")).where("s is not null").select("s.*")
         if last:
-            found = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).collect()
-            parts_of = [(r.b, r.x, r.x, r.n) for r in found]
+            found = [(r.b, r.x, r.x, r.n) for r in rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).collect()]
         else:
-            found = rows.groupBy("b", "part").agg(
-                F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
-            parts_of = [(r.b, r.low, r.high, r.n) for r in found]
+            found = [(r.b, r.low, r.high, r.n) for r in rows.groupBy("b", "part").agg(
+                F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()]
         by_bracket: dict[int, list] = {}
-        for b, low, high, n in sorted(parts_of):
+        for b, low, high, n in sorted(found):
             by_bracket.setdefault(b, []).append((low, high, n))
         still = {}
-        for (n, k), state in open_.items():
+        for (key, k), state in open_.items():
             before = state[2]
-            for low, high, size in by_bracket[number[n, *state]]:
+            for low, high, size in by_bracket[number[key, state]]:
                 if k < before + size:
                     if low == high:
-                        answers[n, k] = low
+                        answers[key, k] = low
                     else:
-                        still[n, k] = (low, high, before, size)
+                        still[key, k] = (low, high, before, size)
                     break
                 before += size
         open_ = still
@@ -178,23 +237,10 @@ def quantile_values(df: DataFrame, quantiles: Mapping[str, Sequence[float]], par
                     fetched: int = FETCHED) -> dict[str, list[float] | None]:
     """Whole-table quantiles as plain numbers; None for a column without values."""
     names = list(quantiles)
-    plain = df.select(*[c(n).cast("double").alias(n) for n in names])
-    plain = plain.select(*[F.when(~F.isnan(c(n)), c(n)).alias(n) for n in names])
-    infinite = float("inf")
-    exprs = []
-    for i, n in enumerate(names):
-        finite = F.when(F.abs(c(n)) < infinite, c(n))
-        exprs += [F.count(c(n)).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}"),
-                  F.count_if(c(n) == -infinite).alias(f"d{i}"), F.count_if(c(n) == infinite).alias(f"u{i}")]
-    row = plain.agg(*exprs).first()
-    sizes = {n: (row[f"n{i}"], row[f"a{i}"], row[f"b{i}"], row[f"d{i}"], row[f"u{i}"]) for i, n in enumerate(names)}
-    place = {n: [(sizes[n][0] - 1) * float(p) for p in quantiles[n]] for n in names}
-    wanted = {n: sorted({f(x) for x in place[n] for f in (math.floor, math.ceil)}) for n in names if sizes[n][0]}
-    found = order_statistics(plain, wanted, sizes, parts, fetched)
-
-    def between(n: str, x: float) -> float:
-        low, high = found[n, math.floor(x)], found[n, math.ceil(x)]
-        part = x - math.floor(x)
-        return low if low == high or part == 0 else low * (1 - part) + high * part
-
-    return {n: [between(n, x) for x in place[n]] if sizes[n][0] else None for n in names}
+    plain = _clean(df, [], names)
+    row = plain.agg(*[e for i in range(len(names)) for e in _size_exprs(F.col(f"_c{i}"), i)]).first()
+    sizes = {i: _size(row, i) for i in range(len(names))}
+    positions = {i: _positions(sizes[i][0], quantiles[n]) for i, n in enumerate(names)}
+    families = [[(i, f"_c{i}", "")] for i in range(len(names))]
+    found = order_statistics(plain, families, positions, sizes, parts, fetched)
+    return {n: _interpolated(found, i, sizes[i][0], quantiles[n]) for i, n in enumerate(names)}

@@ -278,23 +278,32 @@ def _exact_u(u: float, n1: int, n2: int) -> float:
 
 def mann_whitney_test(df: DataFrame, column: str, group_column: str) -> DataFrame:
     """U of the first group, two-sided p, rank-biserial correlation."""
-    found = _grouped(df, column, group_column).select("g").distinct().limit(3).collect()
+    rows = _grouped(df, column, group_column)
+    found = rows.select("g").distinct().limit(3).collect()
     _two(found, "the Mann-Whitney test")
-    sums, total, ties = _rank_sums(df, column, group_column)
-    a, b = sorted(sums.collect(), key=lambda r: r.g)
+    first, second = sorted(r.g for r in found)
+    # per distinct value the size of either group, so no join is needed
+    counts = rows.groupBy("v").agg(F.count_if(F.col("g") == F.lit(first)).alias("n1"),
+                                   F.count(F.lit(1)).alias("m"))
+    placed = running_totals(counts, ["v"], {"before": "m"})
+    m = F.col("m").cast("double")
+    rank = F.col("before") + (m + 1) / 2
+    n1, total, rank_sum, ties = placed.agg(F.sum("n1"), F.sum("m"), F.sum(F.col("n1") * rank),
+                                           F.sum(m * m * m - m)).first()
+    n2 = total - n1
     medians = {r.g: r["median"] for r in _median_by_group(df, column, group_column).collect()}
-    u = a.r + a.n * b.n / 2
-    if ties == 0 and min(a.n, b.n) <= 8 and a.n * b.n <= EXACT_CELLS:
-        p = _exact_u(u, a.n, b.n)
+    u = rank_sum - n1 * (n1 + 1) / 2
+    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= EXACT_CELLS:
+        p = _exact_u(u, n1, n2)
     else:
-        variance = a.n * b.n / 12 * ((total + 1) - ties / (total * (total - 1.0)))
+        variance = n1 * n2 / 12 * ((total + 1) - ties / (total * (total - 1.0)))
         p = None
         if variance > 0:
-            z = (abs(u - a.n * b.n / 2) - 0.5) / math.sqrt(variance)
+            z = (abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(variance)
             p = min(1.0, 2 * special.normal_upper(z))
-    row = {"group_a": str(a.g), "n_a": a.n, "median_a": medians[a.g], "group_b": str(b.g), "n_b": b.n,
-           "median_b": medians[b.g], "u": u, "p_value": p, "significant": None if p is None else p < ALPHA,
-           "rank_biserial": 1 - 2 * u / (a.n * b.n)}
+    row = {"group_a": str(first), "n_a": n1, "median_a": medians[first], "group_b": str(second), "n_b": n2,
+           "median_b": medians[second], "u": u, "p_value": p, "significant": None if p is None else p < ALPHA,
+           "rank_biserial": 1 - 2 * u / (n1 * n2)}
     return _one_row(df, row, "group_a string, n_a long, median_a double, group_b string, n_b long, median_b double, "
                     "u double, p_value double, significant boolean, rank_biserial double")
 

@@ -132,11 +132,14 @@ def _(t):
     return predict(m, _classes(t), "called", "score")
 
 
-@query("list_models")
+@query("list_models", """
+    SELECT 'linear_regression_l_extendedprice' AS name, 'linear_regression' AS type, 4::INTEGER AS n_features,
+           'l_extendedprice' AS target UNION ALL
+    SELECT 'decision_tree_l_extendedprice', 'decision_tree', 4, 'l_extendedprice'""")
 def _(t):
     models = [train_model(_lines(t), "l_extendedprice", "linear_regression"),
               train_model(_lines(t), "l_extendedprice", "decision_tree", hyperparams={"max_depth": 4})]
-    return list_models(t.spark, models).drop("trained_at")
+    return list_models(t.spark, models).drop("trained_at", "train_score")
 
 
 @query("cross_validate")
@@ -248,6 +251,18 @@ def _(t):
     return rows
 
 
+@query("pca_two_columns", """
+    WITH z AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a,
+                      (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b
+               FROM lineitem), r AS (SELECT sign(corr(l_quantity, l_extendedprice)) AS s FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(abs(a + s * b) / sqrt(2), 5) AS "PC1", round(abs(a - s * b) / sqrt(2), 5) AS "PC2"
+    FROM z, r""")
+def _(t):
+    rows, _ = pca_transform(t.lineitem, ["l_quantity", "l_extendedprice"])
+    # two equally large loadings leave the sign open
+    return rounded(rows.select("l_orderkey", "l_linenumber", F.abs("PC1").alias("PC1"), F.abs("PC2").alias("PC2")), 5)
+
+
 @query("pca_variance", """
     WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
     SELECT 'PC1' AS component, round(50 * (1 + r), 6) AS variance_pct, round(50 * (1 + r), 6) AS cumulative_pct FROM r

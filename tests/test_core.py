@@ -94,9 +94,10 @@ def test_quantiles_of_odd_columns(spark):
     assert got == {"a": [-math.inf, 5e-324, 3.0, math.inf], "b": None, "c": [7.0, 7.0]}
 
 
-@pytest.mark.parametrize("small, tiny, targets", [(10**6, 10**4, 200), (10**6, 1, 200), (1, 1, 0)])
+@pytest.mark.parametrize("small, tiny, targets", [(10**6, 10**4, 200), (10**6, 1, 200), (10**6, 1, 0), (1, 1, 0)])
 def test_grouped_quantiles_on_every_path(hot, monkeypatch, small, tiny, targets):
     import tabweave.core.quantile as q
+    monkeypatch.setattr(q, "SMALL_ROWS", 0)
     monkeypatch.setattr(q, "TINY_DISTINCT", tiny)
     monkeypatch.setattr(q, "SCANNED_TARGETS", targets)
     got = grouped_stats(hot, ["g"], [F.count("v").alias("n")], {"v": [0.25, 0.5], "w": [0.9]}, small).toPandas()
