@@ -28,6 +28,8 @@ from tabweave.session import cut_lineage
 NOISE = -1
 MAX_DIMENSIONS = 4
 MAX_HALVINGS = 16
+# point pairs of two boxes that are compared without further halving
+FEW_COMPARISONS = 64
 
 
 def dbscan_cluster(df: DataFrame, columns: Sequence[str], eps: float = 0.5, min_samples: int = 5,
@@ -113,23 +115,24 @@ def _point_labels(points: DataFrame, d: int, eps: float, min_samples: int) -> Da
         border.select(*[F.col(f"q{x}").alias(x) for x in _xs(d)], "_label"))
 
 
-def _boxes(core: DataFrame, d: int, side: float, level: int) -> DataFrame:
-    """Bounding box and one member of each part of a cell, the cell's side
-    halved ``level`` times."""
-    piece = F.struct(*[F.floor(F.col(f"_x{i}") / F.lit(side / 2 ** level)).alias(f"k{i}") for i in range(d)])
-    member = F.min(F.struct(*_xs(d))).alias("member")
-    return core.withColumn("piece", piece).groupBy("id", "piece").agg(
-        *[F.min(x).alias(f"lo{x}") for x in _xs(d)], *[F.max(x).alias(f"hi{x}") for x in _xs(d)], member)
+def _piece(d: int, side: float, level: int) -> Column:
+    """Part of a cell, the cell's side halved ``level`` times."""
+    return F.struct(*[F.floor(F.col(f"_x{i}") / F.lit(side / 2 ** level)).alias(f"k{i}") for i in range(d)])
 
 
-def _side(boxes: DataFrame, d: int, s: str) -> DataFrame:
-    return boxes.select(F.col("id").alias(f"{s}_id"), F.col("piece").alias(f"{s}_piece"),
-                        *[F.col(f"{e}{x}").alias(f"{s}_{e}{x}") for e in ("lo", "hi") for x in _xs(d)],
-                        F.col("member").alias(f"{s}_member"))
+def _boxes(core: DataFrame, d: int, side: float, level: int, halvings: int) -> DataFrame:
+    """Size, bounding box and one member of each part of a cell, and the part
+    it was halved from."""
+    boxes = core.withColumn("piece", _piece(d, side, level)).groupBy("id", "piece").agg(
+        F.count(F.lit(1)).alias("n"), *[F.min(x).alias(f"lo{x}") for x in _xs(d)],
+        *[F.max(x).alias(f"hi{x}") for x in _xs(d)], F.min(F.struct(*_xs(d))).alias("member"))
+    return boxes.withColumn("parent", F.struct(*[
+        F.shiftright(F.col(f"piece.k{i}"), halvings).alias(f"k{i}") for i in range(d)]))
 
 
 def _judge(pairs: DataFrame, d: int, eps: float) -> DataFrame:
-    """Keep box pairs that may hold a neighbour pair; mark those that do."""
+    """Keep box pairs that may hold a neighbour pair; mark those that do, and
+    those with so few points that comparing them is cheap."""
     nearest, furthest, members = F.lit(0.0), F.lit(0.0), F.lit(0.0)
     for x in _xs(d):
         gap = F.greatest(F.col(f"a_lo{x}") - F.col(f"b_hi{x}"), F.col(f"b_lo{x}") - F.col(f"a_hi{x}"), F.lit(0.0))
@@ -138,7 +141,8 @@ def _judge(pairs: DataFrame, d: int, eps: float) -> DataFrame:
         nearest, furthest, members = nearest + gap * gap, furthest + span * span, members + apart * apart
     limit = eps * eps
     return pairs.where(nearest <= limit).select(
-        "a_id", "b_id", "a_piece", "b_piece", ((members <= limit) | (furthest <= limit)).alias("linked"))
+        "a_id", "b_id", "a_piece", "b_piece", ((members <= limit) | (furthest <= limit)).alias("linked"),
+        (F.col("a_n") * F.col("b_n") <= FEW_COMPARISONS).alias("few"))
 
 
 def _cell_links(core: DataFrame, ids: DataFrame, d: int, side: float, eps: float,
@@ -147,38 +151,35 @@ def _cell_links(core: DataFrame, ids: DataFrame, d: int, side: float, eps: float
     core = cut_lineage(attach(core, ids, ["cell"]))
     half = [s for s in steps if s > tuple([0] * d)]
     keys = [F.col(f"cell.k{i}") for i in range(d)]
-    near = ids.select(F.col("id").alias("a_id"), F.explode(_shifted(keys, half, "near")).alias("cell")).join(
+    pending = ids.select(F.col("id").alias("a_id"), F.explode(_shifted(keys, half, "near")).alias("cell")).join(
         ids.select("cell", F.col("id").alias("b_id")), "cell").select("a_id", "b_id")
-    boxes = _boxes(core, d, side, 0)
-    pairs = near.join(_side(boxes, d, "a"), "a_id").join(_side(boxes, d, "b"), "b_id")
-    judged = cut_lineage(_judge(pairs, d, eps))
-    links = judged.where("linked").select("a_id", "b_id")
-    pending = judged.where("not linked")
-    for level in range(1, MAX_HALVINGS + 1):
-        if pending.isEmpty():
-            return links.distinct()
-        involved = pending.select(F.col("a_id").alias("id")).union(pending.select("b_id")).distinct()
-        boxes = _boxes(core.join(involved, "id", "left_semi"), d, side, level)
-        parent = F.struct(*[F.shiftright(F.col(f"piece.k{i}"), 1).alias(f"k{i}") for i in range(d)])
-        boxes = cut_lineage(boxes.withColumn("parent", parent))
-        a = _side(boxes, d, "a").join(boxes.select(F.col("id").alias("a_id"), F.col("piece").alias("a_piece"),
-                                                   F.col("parent").alias("a_parent")), ["a_id", "a_piece"])
-        b = _side(boxes, d, "b").join(boxes.select(F.col("id").alias("b_id"), F.col("piece").alias("b_piece"),
-                                                   F.col("parent").alias("b_parent")), ["b_id", "b_piece"])
-        open_pairs = pending.select("a_id", "b_id", F.col("a_piece").alias("a_parent"),
-                                    F.col("b_piece").alias("b_parent"))
-        judged = cut_lineage(_judge(open_pairs.join(a, ["a_id", "a_parent"]).join(b, ["b_id", "b_parent"]), d, eps))
+    halvings = 2 if d <= 2 else 1
+    links, points, on = None, core, ([], [])
+    for level in range(0, MAX_HALVINGS + 1, halvings):
+        boxes = _boxes(points, d, side, level, halvings)
+        if level:
+            boxes = cut_lineage(boxes)
+        a = boxes.select(*[F.col(n).alias(f"a_{n}") for n in boxes.columns])
+        b = boxes.select(*[F.col(n).alias(f"b_{n}") for n in boxes.columns])
+        judged = cut_lineage(_judge(pending.join(a, ["a_id", *on[0]]).join(b, ["b_id", *on[1]]), d, eps))
         found = judged.where("linked").select("a_id", "b_id").distinct()
-        links = links.unionByName(found)
-        pending = judged.where("not linked").join(found, ["a_id", "b_id"], "left_anti")
-    # what is left differs from eps by less than the last box: compare points
-    piece = F.struct(*[F.floor(F.col(f"_x{i}") / F.lit(side / 2 ** MAX_HALVINGS)).alias(f"k{i}") for i in range(d)])
-    member = core.withColumn("piece", piece)
-    side_of = lambda s: member.select(F.col("id").alias(f"{s}_id"), F.col("piece").alias(f"{s}_piece"),
-                                      *[F.col(x).alias(f"{s}{x}") for x in _xs(d)])
-    last = pending.join(side_of("a"), ["a_id", "a_piece"]).join(side_of("b"), ["b_id", "b_piece"]).where(
-        _distance2(d, "a", "b") <= eps * eps)
-    return links.unionByName(last.select("a_id", "b_id")).distinct()
+        unclear = judged.where("not linked").join(found, ["a_id", "b_id"], "left_anti")
+        # few points, or boxes that differ from eps by less than their own size
+        close = unclear.where("few") if level < MAX_HALVINGS else unclear
+        member = core.withColumn("piece", _piece(d, side, level))
+        of = lambda s: member.select(F.col("id").alias(f"{s}_id"), F.col("piece").alias(f"{s}_piece"),
+                                     *[F.col(x).alias(f"{s}{x}") for x in _xs(d)])
+        compared = close.join(of("a"), ["a_id", "a_piece"]).join(of("b"), ["b_id", "b_piece"]).where(
+            _distance2(d, "a", "b") <= eps * eps).select("a_id", "b_id")
+        links = found.unionByName(compared) if links is None else links.unionByName(found).unionByName(compared)
+        rest = unclear.where("not few")
+        if level == MAX_HALVINGS or rest.isEmpty():
+            break
+        pending = rest.select("a_id", "b_id", F.col("a_piece").alias("a_parent"), F.col("b_piece").alias("b_parent"))
+        on = (["a_parent"], ["b_parent"])
+        involved = rest.select(F.col("a_id").alias("id")).union(rest.select("b_id")).distinct()
+        points = core.join(involved, "id", "left_semi")
+    return links.distinct()
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -126,9 +126,12 @@ def brute_dbscan(z, eps, m):
         group = new
 
 
-@pytest.mark.parametrize("d, eps, m, shape", [(1, 0.01, 4, "line"), (2, 0.25, 5, "blob"), (2, 0.03, 3, "ring"),
-                                              (3, 0.4, 6, "blob"), (2, 0.5, 4, "hot"), (2, 0.05, 1, "blob")])
-def test_dbscan_against_all_pairs(spark, d, eps, m, shape):
+@pytest.mark.parametrize("d, eps, m, shape, few", [
+    (1, 0.01, 4, "line", 64), (2, 0.25, 5, "blob", 0), (2, 0.03, 3, "ring", 64), (3, 0.4, 6, "blob", 64),
+    (2, 0.5, 4, "hot", 4), (2, 0.05, 1, "blob", 64)])
+def test_dbscan_against_all_pairs(spark, monkeypatch, d, eps, m, shape, few):
+    # how soon boxes are halved no more must not matter
+    monkeypatch.setattr("tabweave.operators.density.FEW_COMPARISONS", few)
     r = np.random.RandomState(d)
     if shape == "ring":
         angle = np.linspace(0, 6.2, 300)
