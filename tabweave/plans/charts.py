@@ -270,10 +270,10 @@ _THRESHOLDS = f"""
 
 @query("roc_curve", f"""
     {_THRESHOLDS}
-    SELECT s AS threshold, round(fp / nn, 8) AS fpr, round(tp / np, 8) AS tpr FROM w UNION ALL
+    SELECT s AS threshold, fp / nn AS fpr, tp / np AS tpr FROM w UNION ALL
     SELECT 'Infinity'::DOUBLE, 0, 0""")
 def _(t):
-    return rounded(roc_curve(_calls(t), "y", "s"), 8, ["fpr", "tpr"])
+    return roc_curve(_calls(t), "y", "s")
 
 
 @query("roc_auc", f"{_THRESHOLDS} SELECT round(sum(neg * (tp - pos / 2)) / any_value(np * nn), 8) AS auc FROM w")
@@ -283,10 +283,10 @@ def _(t):
 
 @query("precision_recall_curve", f"""
     {_THRESHOLDS}
-    SELECT s AS threshold, round(tp / (tp + fp), 8) AS precision, round(tp / np, 8) AS recall FROM w UNION ALL
+    SELECT s AS threshold, tp / (tp + fp) AS precision, tp / np AS recall FROM w UNION ALL
     SELECT 'Infinity'::DOUBLE, 1, 0""")
 def _(t):
-    return rounded(precision_recall_curve(_calls(t), "y", "s"), 8, ["precision", "recall"])
+    return precision_recall_curve(_calls(t), "y", "s")
 
 
 @query("average_precision", f"""

@@ -137,13 +137,13 @@ def _(t):
 
 @query("pivot_median", """
     SELECT o_orderpriority,
-           round(median(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS "F",
-           round(median(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS "O",
-           round(median(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS "P"
+           round(median(o_totalprice) FILTER (o_orderstatus = 'F'), 4) AS "F",
+           round(median(o_totalprice) FILTER (o_orderstatus = 'O'), 4) AS "O",
+           round(median(o_totalprice) FILTER (o_orderstatus = 'P'), 4) AS "P"
     FROM orders GROUP BY 1""")
 def _(t):
     return rounded(pivot_table(t.orders, ["o_orderpriority"], "o_orderstatus", "o_totalprice", "median",
-                               ["F", "O", "P"]), 2)
+                               ["F", "O", "P"]))
 
 
 @query("pivot_sum", """
