@@ -43,11 +43,6 @@ def range_slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
         .drop("_mark"))
 
 
-def same_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [left["`" + n + "`"].eqNullSafe(right["`" + n + "`"]) for n in names])
-
-
 def attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe lookup of ``right``'s other columns; Spark picks the join."""
     renamed = right.select(*[c(n).alias(f"_on{i}") for i, n in enumerate(on)],
