@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import packing, planes, token_counts
+from tabweave.llm import decontaminate, knn, packing, planes, quality, token_counts, toxicity
+from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +24,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, folder):
+    found = decontaminate.match_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0] + 1)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                        (hit > 0).alias("contaminated"))
+
+
 @query
 def op4_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
+@query
+def op5_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), quality.HELD_OUT_OF) == 0).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op6_packing(spark, folder):
     pieces = packing.pack_documents(table(spark, folder, "documents"), "byte_bpe_50k.json")
@@ -40,3 +59,36 @@ def op7_bit_planes(spark, folder):
     files = scratch_path(spark, "token-ids")
     planes.write_ids(table(spark, folder, "documents"), files, "word_bpe_49k.json")
     return planes.read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_exact_top_k(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return knn.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query
+def op10_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    # the two categories that the labels know: unreadable shouting and junk, then abuse
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    chain = toxicity.fit(docs, marks, ["junk", "toxic"])
+    return toxicity.score(docs, chain).select(
+        "doc_id", (crc_mod(F.col("doc_id"), toxicity.HELD_OUT_OF) == 0).alias("held_out"), "p_junk",
+        F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+#: floor(1024 * x) of every component, all pairs of a query with the rows of its length
+SQL["op9_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, d.vec_id,
+         cast(list_sum(list_transform(list_zip(q.e, d.e), p -> p[1] * p[2])) as bigint) as score
+  from v q join v d on d.vec_id <> q.vec_id and len(d.e) = len(q.e)
+  where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
