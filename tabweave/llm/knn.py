@@ -73,7 +73,7 @@ def best_of_block(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.n
 
 
 def _solve(k: int):
-    def run(key, data: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], data: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if data.num_rows and queries.num_rows:
             dim = data.column("dim")[0].as_py()

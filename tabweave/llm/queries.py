@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import decontaminate, knn, packing, planes, quality, token_counts, toxicity
+from tabweave.llm import decontaminate, jaccard, knn, lm, packing, planes, quality, token_counts, toxicity
 from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
@@ -33,6 +33,12 @@ def op1_decontamination(spark, folder):
                         (hit > 0).alias("contaminated"))
 
 
+@query
+def op2_lm_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 @query
 def op4_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), "piece_bpe_32k.model", limit=4096)
@@ -61,6 +67,11 @@ def op7_bit_planes(spark, folder):
     return planes.read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op8_jaccard_join(spark, folder):
+    return jaccard.similar_texts(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "group_id")
+
+
 @query
 def op9_exact_top_k(spark, folder):
     vectors = table(spark, folder, "embeddings")
