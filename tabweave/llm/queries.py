@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import decontaminate, jaccard, knn, lm, packing, planes, quality, token_counts, toxicity
+from tabweave.llm import decontaminate, jaccard, knn, lines, lm, packing, planes, quality, token_counts, toxicity
 from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
@@ -39,6 +39,19 @@ def op2_lm_scores(spark, folder):
     return lm.score(docs, lm.fit(docs))
 
 
+@query
+def op3_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents")
+    gone = lines.removed_lines(docs).groupBy("doc_id", "crc").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("removed"))
+    sizes = docs.select("doc_id", lines.text_checksum(F.col("text")).alias("crc"),
+                        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
+    both = sizes.alias("s").join(gone.alias("g"), F.expr("s.doc_id <=> g.doc_id and s.crc = g.crc"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return both.select("s.doc_id", "n_lines", n.alias("n_removed"), (F.col("n_lines") - n).alias("n_kept"),
+                       F.coalesce("removed", F.lit("")).alias("removed_lines"))
+
+
 @query
 def op4_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), "piece_bpe_32k.model", limit=4096)
