@@ -29,7 +29,7 @@ RECALL = 0.999
 MOST_HASHES = 144
 # classes of one block of a large candidate group, and classes that share a task's call
 BLOCK = 256
-BIN = 512
+BIN = 128
 _SEED = 20_240_601
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
