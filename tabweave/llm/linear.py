@@ -38,25 +38,31 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 15
     return w
 
 
-def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float = 1e-4,
-                            steps: int = 300, rate: float = 0.05) -> np.ndarray:
+def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, size: int | None = None,
+                            l2: float = 1e-6, steps: int = 3000, rate: float = 0.1) -> np.ndarray:
     """Weights that minimise the non-negative risk of positive-unlabelled
     learning with logistic loss; the intercept last.
 
-    The risk of the negatives is what the unlabelled rows have beyond the
-    positives' share.  Where it falls below zero, the step undoes that excess.
+    The rows are vectors or, with ``size`` given, the places of their ones in
+    vectors of that size.  The risk of the negatives is what the unlabelled
+    rows have beyond the positives' share.  Where it falls below zero, the
+    step undoes that excess.
     """
-    w = np.zeros(positive.shape[1] + 1)
+    w = np.zeros((positive.shape[1] if size is None else size) + 1)
     w[-1] = np.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
         return w
     adam = Adam(len(w), rate)
 
+    def values(x: np.ndarray) -> np.ndarray:
+        return (x @ w[:-1] if size is None else w[:-1][x].sum(1)) + w[-1]
+
     def gradient(x: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return np.append(e @ x, e.sum()) / len(x)
+        own = e @ x if size is None else np.bincount(x.ravel(), np.repeat(e, x.shape[1]), size)
+        return np.append(own, e.sum()) / len(x)
 
     for _ in range(steps):
-        zp, zu = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
+        zp, zu = values(positive), values(unlabelled)
         negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         negative = gradient(unlabelled, sigmoid(zu)) - prior * gradient(positive, sigmoid(zp))
         if negative_risk >= 0:
@@ -75,7 +81,7 @@ class Bins:
     edges: list[np.ndarray]
 
     @classmethod
-    def of(cls, sample: np.ndarray, bins: int = 16) -> Bins:
+    def of(cls, sample: np.ndarray, bins: int = 32) -> Bins:
         if not len(sample):
             return cls([np.array([])] * sample.shape[1])
         return cls([np.unique(np.quantile(col, np.linspace(0, 1, bins + 1)[1:-1])) for col in sample.T])
@@ -90,8 +96,3 @@ class Bins:
         for j, (e, start) in enumerate(zip(self.edges, self.offsets)):
             out[:, j] = start + np.searchsorted(e, x[:, j], side="left")
         return out
-
-    def one_hot(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.offsets[-1]), np.float32)
-        out[np.arange(len(x))[:, None], self.places(x)] = 1
-        return out

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # rows in an order of their own, so that sums do not depend on the tasks' order
     positive, unlabelled = (v[np.lexsort(v.T)] for v in (pick("positive"), pick("unlabelled")))
     bins = Bins.of(unlabelled)
-    return QualityModel(bins, fit_positive_unlabelled(bins.one_hot(positive), bins.one_hot(unlabelled), prior), prior)
+    weights = fit_positive_unlabelled(bins.places(positive), bins.places(unlabelled), prior, int(bins.offsets[-1]))
+    return QualityModel(bins, weights, prior)
 
 
 def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
