@@ -162,6 +162,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "v
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
             F.pmod("query_key", F.lit(parts)).cast("int").alias("part"))
         keys = ["dim", "cell", "block", "part"]
+        # both sides come from the same table: aliases tell their columns apart
+        sent = sent.select(*[F.col(n).alias(n) for n in sent.columns])
         return data.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_solve(k), _FOUND_SQL)
 
     at_home = cut_lineage(_ranked(local(asked), k))

@@ -99,7 +99,7 @@ def op10_toxicity(spark, folder):
     chain = toxicity.fit(docs, marks, ["junk", "toxic"])
     return toxicity.score(docs, chain).select(
         "doc_id", (crc_mod(F.col("doc_id"), toxicity.HELD_OUT_OF) == 0).alias("held_out"), "p_junk",
-        F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
+        F.col("p_toxic").alias("score"), (F.col("p_toxic") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 #: floor(1024 * x) of every component, all pairs of a query with the rows of its length

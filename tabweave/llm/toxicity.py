@@ -28,6 +28,8 @@ KEPT = 512
 FOLDS = 3
 PREFIXES = (4, 5)
 HELD_OUT_OF = 5
+# abuse is rare, so the models are cautious
+THRESHOLD = 0.3
 
 
 def text_buckets(data: bytes) -> list[int]:

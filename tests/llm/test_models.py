@@ -30,9 +30,9 @@ def test_logistic():
     assert linear.fit_logistic(x, np.zeros(3000))[:-1] == pytest.approx(0)
 
 
-def accuracy(spark, name, label, predicted="predicted"):
-    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
-    rows = QUERIES[name](spark, FOLDER).join(labels, "doc_id").where("held_out").collect()
+def accuracy(spark, name, label, folder=FOLDER, predicted="predicted"):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = QUERIES[name](spark, folder).join(labels, "doc_id").where("held_out").collect()
     y, p = np.array([r[label] for r in rows]), np.array([r[predicted] for r in rows])
     return (p[y == 1] == 1).mean(), (p[y == 0] == 0).mean()
 
@@ -43,8 +43,9 @@ def test_quality_on_held_out_documents(spark):
 
 
 def test_toxicity_on_held_out_documents(spark):
-    caught, spared = accuracy(spark, "op10_toxicity", "toxic")
-    assert caught > 0.7 and spared > 0.97
+    # the small tables label some thirty toxic documents, too few to learn the words
+    caught, spared = accuracy(spark, "op10_toxicity", "toxic", "/root/testdata/sf0.1")
+    assert caught > 0.9 and spared > 0.99
 
 
 ODD = [(None, "text here", "x"), (1, None, None), (1, None, None), (2, "", "y"), (3, "a " * 50_000, "z"), (4, "ä" * 9, None)]
