@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal, InvalidOperation
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +60,60 @@ def as_list(value) -> list:
     return [value] if isinstance(value, str) else list(value)
 
 
+def number_for(name: str, value) -> Decimal | float:
+    """The exact number a value stands for; a double where it is not finite."""
+    if hasattr(value, "item"):  # a numpy scalar
+        value = value.item()
+    try:
+        # a float stands for the shortest decimal that reads back as it
+        exact = Decimal(repr(value)) if isinstance(value, float) else Decimal(int(value) if isinstance(value, bool) else value)
+    except (InvalidOperation, TypeError, ValueError):
+        raise ValueError(f"'{value}' is not a number, but column '{name}' is numeric") from None
+    return exact if exact.is_finite() else float(exact)
+
+
+def _holds(kind: T.DataType, whole: int) -> bool:
+    bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(kind)]
+    return -(1 << bits) <= whole < 1 << bits
+
+
 def literal_for(df: DataFrame, name: str, value) -> Column:
-    """A literal in the column's own type class: numbers for numeric columns."""
-    if is_numeric(df, name) and value is not None:
-        try:
-            return F.lit(float(value))
-        except ValueError:
-            raise ValueError(f"'{value}' is not a number, but column '{name}' is numeric") from None
+    """A literal in the column's own type.
+
+    A number that an integer column cannot hold, being fractional or too
+    large, stays what it is.
+    """
+    kind = df.schema[name].dataType
     if value is None:
         return F.lit(None)
-    return F.lit(value).cast(df.schema[name].dataType)
+    if not isinstance(kind, T.NumericType):
+        return F.lit(value).cast(kind)
+    number = number_for(name, value)
+    if isinstance(number, float):
+        return F.lit(number)
+    if isinstance(kind, T.IntegralType):
+        if number == number.to_integral_value():
+            whole = int(number)
+            return F.lit(whole).cast(kind) if _holds(kind, whole) else F.lit(Decimal(whole))
+        return F.lit(float(number))
+    if isinstance(kind, T.DecimalType):
+        return F.lit(number)
+    return F.lit(float(number))
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Neither null nor NaN."""
+    known = c(name).isNotNull()
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        known = known & ~F.isnan(c(name))
+    return known
+
+
+def all_present(df: DataFrame, names: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a & b, [present(df, n) for n in names], F.lit(True))
+
+
+def without_nan(x: Column) -> Column:
+    """A number as a double, NaN as null."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.core.checks import c
+from tabweave.core.checks import c, without_nan
 from tabweave.core.scan import attach, running_totals
 
 # distinct values one task may hold in a percentile map (tens of MB)
@@ -113,7 +113,7 @@ def _quantile_table(df: DataFrame, column: str, probs: Sequence[float], by: Sequ
     """Quantiles from value counts: the counts are combined map-side, the
     positions come from distributed running totals."""
     by = list(by)
-    source = df.select(*map(c, by), c(column).cast("double").alias("_v")).where("_v is not null")
+    source = df.select(*map(c, by), without_nan(c(column)).alias("_v")).where("_v is not null")
     counts = source.groupBy(*map(c, by), "_v").agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(counts, ["_v"], {"_before": "_n"}, keys=by)
     sizes = counts.groupBy(*map(c, by)).agg(F.sum("_n").alias("_total"))
@@ -129,13 +129,18 @@ def _quantile_table(df: DataFrame, column: str, probs: Sequence[float], by: Sequ
     for i, p in enumerate(probs):
         position = (F.col("_total") - 1) * F.lit(float(p))
         part = position - F.floor(position)
-        values.append(F.col(f"lo{i}") * (F.lit(1.0) - part) + F.col(f"hi{i}") * part)
+        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+        # no part of an infinite value, where none is wanted
+        values.append(F.when((low == high) | (part == 0), low).otherwise(low * (F.lit(1.0) - part) + high * part))
     return picked.select(*map(c, by), F.array(*values).alias(out))
 
 
 def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
                   quantiles: Mapping[str, Sequence[float]], small: int = SMALL_DISTINCT) -> DataFrame:
-    """One row per group: plain aggregates, and ``q_<column>`` quantile arrays."""
+    """One row per group: plain aggregates, and ``q_<column>`` quantile arrays.
+
+    Quantiles leave out null and NaN, whichever way they are found.
+    """
     by = list(by)
     wanted = {n: list(p) for n, p in quantiles.items() if p}
     if not by:
@@ -151,7 +156,7 @@ def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
     if not fits and groups <= limit:
         scanned = _scanned_quantiles(df, by, wanted, limit)
     if fits or (scanned is None and distinct <= small):
-        arrays = [F.percentile(c(n).cast("double"), F.array(*[F.lit(float(x)) for x in p])).alias(f"q_{n}")
+        arrays = [F.percentile(without_nan(c(n)), F.array(*[F.lit(float(x)) for x in p])).alias(f"q_{n}")
                   for n, p in wanted.items()]
         return df.groupBy(*map(c, by)).agg(*exprs, *arrays)
     out = df.groupBy(*map(c, by)).agg(F.count(F.lit(1)).alias("_rows"), *exprs)

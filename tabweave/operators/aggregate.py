@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.core.checks import as_list, c, numeric_columns, require_choice, require_columns, require_numeric
+from tabweave.core.checks import all_present, as_list, c, numeric_columns, present, require_choice, require_columns, require_numeric
 from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats
-from tabweave.operators.relational import AGGREGATES, distinct_values, plain_aggregate
+from tabweave.operators.relational import AGGREGATES, MAX_DISTINCT, distinct_values, plain_aggregate
 
 
 def group_aggregate_multi(df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, Sequence[str]],
@@ -27,7 +27,7 @@ def group_aggregate_multi(df: DataFrame, group_by: Sequence[str], aggregations:
             require_numeric(df, [n])
     rows = df.select(*map(c, dict.fromkeys([*keys, *aggregations])))
     if not keep_null_groups:
-        rows = rows.dropna(subset=keys)
+        rows = rows.where(all_present(rows, keys))
     medians = {n: [0.5] for n, f in pairs if f == "median"}
     plain = [plain_aggregate(f, c(n)).alias(f"{n}_{f}") for n, f in pairs if f != "median"]
     out = grouped_stats(rows, keys, plain, medians, small)
@@ -53,7 +53,7 @@ def describe_by_group(df: DataFrame, group_column: str, numeric: Sequence[str] |
     require_numeric(df, names)
     if not names:
         raise ValueError("no numeric columns")
-    rows = df.select(c(group_column), *[c(n) for n in names if n != group_column]).dropna(subset=[group_column])
+    rows = df.select(c(group_column), *[c(n) for n in names if n != group_column]).where(present(df, group_column))
     exprs = []
     for i, n in enumerate(names):
         x = c(n).cast("double")
@@ -73,11 +73,11 @@ def describe_by_group(df: DataFrame, group_column: str, numeric: Sequence[str] |
 
 
 def crosstab(df: DataFrame, index_col: str, columns_col: str, normalize: bool = False,
-             column_values: Sequence | None = None) -> DataFrame:
+             column_values: Sequence | None = None, max_columns: int = MAX_DISTINCT) -> DataFrame:
     """Counts of value pairs, absent pairs 0; as % of all pairs on request."""
     require_columns(df, [index_col, columns_col])
     pairs = df.select(c(index_col).alias("_a"), c(columns_col).alias("_b")).dropna()
-    names = list(column_values) if column_values is not None else distinct_values(pairs, "_b")
+    names = list(column_values) if column_values is not None else distinct_values(pairs, "_b", max_columns)
     counts = pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
     wide = counts.groupBy("_a").pivot("_b", names).agg(F.first("_n"))
     cells = {str(v): F.coalesce(c(str(v)), F.lit(0)) for v in names}

@@ -9,21 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core import special
-from tabweave.core.checks import as_list, c, require_columns, require_numeric
-from tabweave.core.numeric import div
+from tabweave.core.checks import as_list, c, present, require_columns, require_numeric, without_nan
+from tabweave.core.numeric import div, normal_quantile
 from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats, quantile_values
-from tabweave.core.scan import attach, attach_measured, running_totals
-from tabweave.operators.relational import distinct_values, pivot_table
+from tabweave.core.scan import attach, attach_measured, row_numbers, running_totals
+from tabweave.operators.relational import MAX_DISTINCT, distinct_values, pivot_table
 
-PAIR_COLUMNS = 6
-HEATMAP_ROWS = 20
+# points of a drawn curve
 CURVE_POINTS = 200
 
 
 def _range(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float] | None]:
     """Smallest and largest value of several columns in one scan."""
     row = df.agg(*[e for i, n in enumerate(names) for e in (
-        F.min(c(n).cast("double")).alias(f"a{i}"), F.max(c(n).cast("double")).alias(f"b{i}"))]).first()
+        F.min(without_nan(c(n))).alias(f"a{i}"), F.max(without_nan(c(n))).alias(f"b{i}"))]).first()
     return {n: None if row[f"a{i}"] is None else (row[f"a{i}"], row[f"b{i}"]) for i, n in enumerate(names)}
 
 
@@ -42,7 +41,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, left, right, count) for equal-width bins, empty ones included."""
     require_numeric(df, [column])
     limits = _range(df, [column])[column]
-    counts = df.where(c(column).isNotNull()).groupBy(
+    counts = df.where(present(df, column)).groupBy(
         _bucket(c(column).cast("double"), limits, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     if limits is None:
         return counts.select("bin", F.lit(None).cast("double").alias("left"),
@@ -69,7 +68,7 @@ def scatter_bins(df: DataFrame, x: str, y: str, hue: str = "", bins: int = 50) -
     if hue:
         require_columns(df, [hue])
     limits = _range(df, [x, y])
-    rows = df.where(c(x).isNotNull() & c(y).isNotNull())
+    rows = df.where(present(df, x) & present(df, y))
     keys = [_bucket(c(x).cast("double"), limits[x], bins).alias("x_bin"),
             _bucket(c(y).cast("double"), limits[y], bins).alias("y_bin")]
     return rows.groupBy(*keys, *([c(hue)] if hue else [])).agg(F.count(F.lit(1)).alias("count"))
@@ -99,9 +98,9 @@ def box_stats(df: DataFrame, column: str, by: str = "", small: int = SMALL_DISTI
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str], hue: str = "", bins: int = 20) -> DataFrame:
-    """Complete rows of at most six columns: one-dimensional counts (x = y,
-    y_bin null) and the two-dimensional counts below the diagonal."""
-    names = as_list(columns)[:PAIR_COLUMNS]
+    """Complete rows: one-dimensional counts of each column (x = y, y_bin null)
+    and two-dimensional counts of each pair below the diagonal."""
+    names = as_list(columns)
     require_numeric(df, names)
     if hue:
         require_columns(df, [hue])
@@ -183,9 +182,9 @@ def distribution_comparison(df: DataFrame, column: str, by: str, top_n_groups: i
 
 def qq_points(df: DataFrame, column: str, points: int = CURVE_POINTS) -> DataFrame:
     """(position, theoretical, sample): ordered values against normal
-    quantiles, every value of a short column, else evenly spaced ones."""
+    quantiles, drawn at ``points`` evenly spaced positions of a longer column."""
     require_numeric(df, [column])
-    n = df.agg(F.count(c(column))).first()[0]
+    n = df.agg(F.count(without_nan(c(column)))).first()[0]
     if n < 2:
         raise ValueError("at least two values are needed")
     m = min(n, points)
@@ -201,22 +200,32 @@ def qq_points(df: DataFrame, column: str, points: int = CURVE_POINTS) -> DataFra
     return df.sparkSession.createDataFrame(rows, "position long, theoretical double, sample double")
 
 
-def qq_line(points: DataFrame) -> DataFrame:
-    """Least-squares line through the points of ``qq_points``."""
+def qq_line(df: DataFrame, column: str) -> DataFrame:
+    """Least-squares line through all ordered values against normal quantiles."""
+    require_numeric(df, [column])
+    rows = df.select(without_nan(c(column)).alias("sample")).where("sample is not null")
+    n = rows.count()
+    if n < 2:
+        raise ValueError("at least two values are needed")
+    ranked = row_numbers(rows, [F.col("sample").asc()], "i", start=1)
+    end = 0.5 ** (1.0 / n)
+    place = F.when(F.col("i") == n, F.lit(end)).when(F.col("i") == 1, F.lit(1 - end)).otherwise(
+        (F.col("i") - F.lit(0.3175)) / F.lit(n + 0.365))
+    points = ranked.select("sample", normal_quantile(place).alias("theoretical"))
     return points.agg(F.regr_slope("sample", "theoretical").alias("slope"),
                       F.regr_intercept("sample", "theoretical").alias("intercept"),
                       F.sqrt(F.regr_r2("sample", "theoretical")).alias("r"))
 
 
 def stacked_bar(df: DataFrame, column: str, by: str, normalize: bool = True, top_n: int = 10,
-                by_values: Sequence | None = None) -> DataFrame:
+                by_values: Sequence | None = None, max_columns: int = MAX_DISTINCT) -> DataFrame:
     """Counts or row shares (%) of ``by`` in the largest values of ``column``."""
     require_columns(df, [column, by])
     counts = df.select(c(column).alias("_a"), c(by).alias("_b")).dropna().groupBy("_a", "_b").agg(
         F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy("_a").agg(F.sum("_n").alias("_total"))
     top = totals.orderBy(F.desc("_total"), F.asc("_a")).limit(top_n)
-    names = list(by_values) if by_values is not None else distinct_values(df.dropna(subset=[column]), by)
+    names = list(by_values) if by_values is not None else distinct_values(df.where(present(df, column)), by, max_columns)
     wide = attach(counts, top, ["_a"], "inner").groupBy("_a", "_total").pivot("_b", names).agg(F.first("_n"))
     cell = lambda v: F.coalesce(c(str(v)), F.lit(0))
     shares = [(cell(v) * 100.0 / F.col("_total") if normalize else cell(v)).alias(str(v)) for v in names]
@@ -224,14 +233,16 @@ def stacked_bar(df: DataFrame, column: str, by: str, normalize: bool = True, top
 
 
 def heatmap(df: DataFrame, index_col: str, columns_col: str, values_col: str, agg_func: str = "mean",
-            column_values: Sequence | None = None) -> DataFrame:
-    """Pivot of one value; of longer tables the 20 rows with the largest row total."""
-    wide = pivot_table(df, [index_col], columns_col, values_col, agg_func, column_values)
+            column_values: Sequence | None = None, top_n: int | None = None,
+            max_columns: int = MAX_DISTINCT) -> DataFrame:
+    """Pivot of one value, the rows with the largest total first; ``top_n`` keeps so many."""
+    wide = pivot_table(df, [index_col], columns_col, values_col, agg_func, column_values, max_columns)
     cells = [n for n in wide.columns if n != index_col]
     total = F.lit(0.0)
     for n in cells:
         total = total + F.coalesce(c(n).cast("double"), F.lit(0.0))
-    return wide.orderBy(total.desc(), c(index_col).asc()).limit(HEATMAP_ROWS)
+    ordered = wide.orderBy(total.desc(), c(index_col).asc())
+    return ordered if top_n is None else ordered.limit(top_n)
 
 
 def cumulative(df: DataFrame, column: str) -> DataFrame:

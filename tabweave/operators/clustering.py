@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -25,16 +28,33 @@ def _scaled(df: DataFrame, names: Sequence[str]) -> tuple[Scaling, DataFrame]:
     return scaling, df.withColumn(VECTOR, vector)
 
 
-def _spread(vectors: DataFrame) -> DataFrame:
-    """At least one partition per core.  Not cached: each fit keeps its own
-    compact copy for its iterations, and would not of a cached table."""
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    return vectors if vectors.rdd.getNumPartitions() >= cores else vectors.repartition(cores)
+# rows for a partition of points: the starts of k-means, and so its labels,
+# must depend on the data, not on the machine
+POINT_ROWS = 100_000
+PARALLEL_STARTS = 4
+WEIGHT = "_weight"
 
 
-def _best_kmeans(vectors: DataFrame, k: int, seed: int, starts: int):
-    fits = [KMeans(featuresCol=VECTOR, predictionCol="_p", k=k, seed=seed + s, maxIter=50).fit(vectors)
-            for s in range(starts)]
+@contextmanager
+def _points(data: DataFrame, scaling: Scaling, names: Sequence[str]):
+    """The distinct scaled points with the number of their rows, kept for all fits."""
+    parts = max(1, -(-data.count() // POINT_ROWS))
+    values = data.select(F.array(*[scaling.column(n, fill=0.0) for n in names]).alias("x"))
+    counted = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    points = counted.repartition(parts, "x").sortWithinPartitions("x").select(
+        array_to_vector("x").alias(VECTOR), WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield points
+    finally:
+        points.unpersist()
+
+
+def _best_kmeans(points: DataFrame, k: int, seed: int, starts: int):
+    def fit(start: int):
+        return KMeans(featuresCol=VECTOR, predictionCol="_p", weightCol=WEIGHT, k=k, seed=seed + start, maxIter=50).fit(points)
+
+    with ThreadPool(min(starts, PARALLEL_STARTS)) as pool:
+        fits = pool.map(inheritable_thread_target(fit), range(starts))
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
@@ -43,8 +63,9 @@ def kmeans_cluster(df: DataFrame, columns: Sequence[str], n_clusters: int = 3, c
     """(rows with cluster number, inertia) on standardised columns; the best
     of several starts, clusters numbered by the order of their centres."""
     names = as_list(columns)
-    _, data = _scaled(df, names)
-    model = _best_kmeans(_spread(data.select(VECTOR)), n_clusters, random_state, starts)
+    scaling, data = _scaled(df, names)
+    with _points(df, scaling, names) as points:
+        model = _best_kmeans(points, n_clusters, random_state, starts)
     centres = [tuple(v) for v in model.clusterCenters()]
     place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
     numbers = F.array(*[F.lit(place[i]) for i in range(len(centres))])
@@ -56,9 +77,10 @@ def kmeans_cluster(df: DataFrame, columns: Sequence[str], n_clusters: int = 3, c
 def elbow_curve(df: DataFrame, columns: Sequence[str], max_k: int = 10, random_state: int = 42,
                 starts: int = STARTS) -> DataFrame:
     """(k, inertia) for k = 2..max_k."""
-    _, data = _scaled(df, as_list(columns))
-    vectors = _spread(data.select(VECTOR))
-    rows = [(k, _best_kmeans(vectors, k, random_state, starts).summary.trainingCost) for k in range(2, max_k + 1)]
+    names = as_list(columns)
+    scaling, _ = _scaled(df, names)
+    with _points(df, scaling, names) as points:
+        rows = [(k, _best_kmeans(points, k, random_state, starts).summary.trainingCost) for k in range(2, max_k + 1)]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

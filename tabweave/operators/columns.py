@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabweave.core.checks import (as_list, c, is_datetime, is_numeric, is_string, literal_for,
                                   require_choice, require_columns, require_numeric)
 from tabweave.core.quantile import quantile_values
-from tabweave.core.scan import attach
+from tabweave.core.scan import attach_measured
 from tabweave.functions.dates import parse_datetime
 from tabweave.sources.files import NUMBER
 
@@ -129,8 +129,9 @@ def apply_mapping(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     key_type = df.schema[column].dataType
     numeric = all_numbers
     if all_numbers and not numeric_column:
-        unmapped = df.where(c(column).isNotNull() & ~c(column).isin([str(k) for k in mapping]))
-        numeric = unmapped.isEmpty()
+        rest = df.select(c(column).cast("string").alias("_rule")).where("_rule is not null")
+        known = df.sparkSession.createDataFrame([(str(k),) for k in mapping], "_rule string")
+        numeric = rest.join(known, "_rule", "left_anti").isEmpty()
     if numeric:
         whole = all(isinstance(v, int) for v in numbers.values())
         if numeric_column:
@@ -149,7 +150,7 @@ def apply_mapping(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
     rules = df.sparkSession.createDataFrame(
         [(k, v) for k, (_, v) in zip(keys, pairs)],
         f"_rule {'double' if numeric_column else 'string'}, _to {target}")
-    joined = attach(df.withColumn("_rule", probe), F.broadcast(rules), ["_rule"])
+    joined = attach_measured(df.withColumn("_rule", probe), rules, ["_rule"])
     return joined.select(*[F.coalesce(F.col("_to"), fallback).alias(n) if n == column else c(n)
                            for n in df.columns])
 

@@ -9,14 +9,12 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabweave.core import special
 from tabweave.core.checks import c, require_choice, require_columns, require_numeric
-from tabweave.core.numeric import div, normal_cdf, sample_kurtosis, sample_skewness
+from tabweave.core.numeric import div, normal_cdf, normal_quantile, sample_kurtosis, sample_skewness
 from tabweave.core.quantile import grouped_stats
-from tabweave.core.scan import BROADCAST_ROWS, attach, running_totals
-from tabweave.operators.rows import sample_data
+from tabweave.core.scan import BROADCAST_ROWS, attach, row_numbers, running_totals
 from tabweave.session import cut_lineage
 
 ALPHA = 0.05
@@ -125,13 +123,11 @@ def chi_square_test(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
 
 
 NORMALITY = ("shapiro", "ks", "dagostino")
-SHAPIRO_ROWS = 5000
 
 
-def normality_test(df: DataFrame, column: str, method: str = "shapiro", random_state: int = 42,
-                   key: list[str] | None = None) -> DataFrame:
-    """Shapiro-Wilk (on a fixed 5000-row sample of longer columns),
-    Kolmogorov-Smirnov against the fitted normal, or D'Agostino-Pearson."""
+def normality_test(df: DataFrame, column: str, method: str = "shapiro") -> DataFrame:
+    """Shapiro-Wilk, Kolmogorov-Smirnov against the fitted normal, or
+    D'Agostino-Pearson, each over all values."""
     require_numeric(df, [column])
     require_choice(method, NORMALITY, "method")
     rows = df.where(c(column).isNotNull())
@@ -143,8 +139,7 @@ def normality_test(df: DataFrame, column: str, method: str = "shapiro", random_s
     if method == "shapiro":
         if n < 3:
             raise ValueError("Shapiro-Wilk needs at least 3 values")
-        sample = rows if n <= SHAPIRO_ROWS else sample_data(rows, SHAPIRO_ROWS, random_state, key)
-        statistic, p = _shapiro(sample.select(x.alias("v")), min(n, SHAPIRO_ROWS))
+        statistic, p = _shapiro(rows.select(x.alias("v")), n, mean)
     elif method == "ks":
         if std:
             counts = rows.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("m"))
@@ -180,31 +175,33 @@ _LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
 _LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 
 
-def _shapiro_weights(n: int) -> list[float]:
-    """Weights of the ordered values; they depend on the sample size alone."""
-    if n == 3:
-        return [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
-    m = [special.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    square = sum(v * v for v in m)
-    u = 1 / math.sqrt(n)
-    ends = [_polynomial(u, _LAST_WEIGHT) + m[-1] / math.sqrt(square)]
-    if n > 5:
-        ends.append(_polynomial(u, _NEXT_WEIGHT) + m[-2] / math.sqrt(square))
-    k = len(ends)
-    scale = math.sqrt((square - 2 * sum(v * v for v in m[-k:])) / (1 - 2 * sum(v * v for v in ends)))
-    return [-v for v in ends] + [v / scale for v in m[k:n - k]] + ends[::-1]
-
-
-def _shapiro(sample: DataFrame, n: int) -> tuple[float | None, float | None]:
-    """W over at most 5000 ordered values (a bounded window)."""
-    weights = sample.sparkSession.createDataFrame(
-        list(enumerate(_shapiro_weights(n), start=1)), "i int, w double")
-    ordered = sample.select("v", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v")).alias("i"))
-    top, spread, size = ordered.join(F.broadcast(weights), "i").agg(
-        F.sum(F.col("w") * F.col("v")), F.var_pop("v"), F.count(F.lit(1))).first()
+def _shapiro(values: DataFrame, n: int, mean: float) -> tuple[float | None, float | None]:
+    """W over all values and its p.  The weight of a value is the normal
+    quantile of its rank, scaled; only the two outer ones on each side differ.
+    The approximation of p was made for up to 5000 values."""
+    ranked = row_numbers(values.select((F.col("v") - F.lit(mean)).alias("v")), [F.col("v").asc()], "i", start=1)
+    m = normal_quantile((F.col("i") - F.lit(0.375)) / F.lit(n + 0.25))
+    k = 0 if n == 3 else 1 if n <= 5 else 2
+    inner = (F.col("i") > k) & (F.col("i") <= n - k)
+    pick = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
+    spread, square, inside, *outer = ranked.agg(
+        F.sum(F.col("v") * F.col("v")), F.sum(m * m), F.sum(F.when(inner, m * F.col("v"))),
+        *[pick(i) for i in (1, 2, n - 1, n)]).first()
     if not spread:
         return None, None
-    w = min(1.0, top * top / (spread * size))
+    quantile = lambda i: special.normal_quantile((i - 0.375) / (n + 0.25))
+    if n == 3:
+        top = math.sqrt(0.5) * (outer[3] - outer[0])
+    else:
+        u = 1 / math.sqrt(n)
+        ends = [_polynomial(u, _LAST_WEIGHT) + quantile(n) / math.sqrt(square)]
+        if k == 2:
+            ends.append(_polynomial(u, _NEXT_WEIGHT) + quantile(n - 1) / math.sqrt(square))
+        scale = math.sqrt((square - 2 * sum(quantile(n - j) ** 2 for j in range(k))) / (1 - 2 * sum(e * e for e in ends)))
+        top = (inside or 0.0) / scale + ends[0] * (outer[3] - outer[0])
+        if k == 2:
+            top += ends[1] * (outer[2] - outer[1])
+    w = min(1.0, top * top / spread)
     if w >= 1.0:
         return w, 1.0
     if n == 3:
@@ -261,9 +258,6 @@ def _median_by_group(df: DataFrame, column: str, group_column: str) -> DataFrame
         "g", F.col("q_v")[0].alias("median"))
 
 
-EXACT_CELLS = 20_000
-
-
 def _exact_u(u: float, n1: int, n2: int) -> float:
     """Two-sided exact p of Mann and Whitney's U without ties."""
     counts = [1] + [0] * (n1 * n2)
@@ -276,8 +270,16 @@ def _exact_u(u: float, n1: int, n2: int) -> float:
     return min(1.0, 2 * upper / math.comb(n1 + n2, n1))
 
 
-def mann_whitney_test(df: DataFrame, column: str, group_column: str) -> DataFrame:
-    """U of the first group, two-sided p, rank-biserial correlation."""
+RANK_METHODS = ("auto", "exact", "asymptotic")
+
+
+def mann_whitney_test(df: DataFrame, column: str, group_column: str, method: str = "auto") -> DataFrame:
+    """U of the first group, two-sided p, rank-biserial correlation.
+
+    'auto' takes the exact p where no values are tied and one group has at
+    most 8; its cost on the driver grows with the product of the group sizes.
+    """
+    require_choice(method, RANK_METHODS, "method")
     rows = _grouped(df, column, group_column)
     found = rows.select("g").distinct().limit(3).collect()
     _two(found, "the Mann-Whitney test")
@@ -293,7 +295,9 @@ def mann_whitney_test(df: DataFrame, column: str, group_column: str) -> DataFram
     n2 = total - n1
     medians = {r.g: r["median"] for r in _median_by_group(df, column, group_column).collect()}
     u = rank_sum - n1 * (n1 + 1) / 2
-    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= EXACT_CELLS:
+    if method == "exact" and ties:
+        raise ValueError("the exact p needs values without ties")
+    if method == "exact" or (method == "auto" and ties == 0 and min(n1, n2) <= 8):
         p = _exact_u(u, n1, n2)
     else:
         variance = n1 * n2 / 12 * ((total + 1) - ties / (total * (total - 1.0)))

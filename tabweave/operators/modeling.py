@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, is_numeric, require_choice, require_columns, require_numeric
+from tabweave.core.scan import row_numbers
 from tabweave.operators.features import LABEL, VECTOR, feature_columns, with_features
 from tabweave.operators.metrics import classification_metrics, regression_metrics
 from tabweave.operators.relational import distinct_values
@@ -58,9 +59,11 @@ AUTO_CLASSES = 20
 
 
 def train_test_split(df: DataFrame, target_column: str, test_size: float = 0.2, random_state: int = 42,
-                     stratify: bool = False, key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                     stratify: bool = False, key: Sequence[str] | None = None,
+                     max_classes: int = MAX_CLASSES) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ceil(rows x test_size) test rows, the same
-    for the same seed; stratify keeps the class shares (largest remainders)."""
+    for the same seed; stratify keeps the shares of at most ``max_classes``
+    classes (largest remainders)."""
     require_columns(df, [target_column])
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
@@ -69,9 +72,9 @@ def train_test_split(df: DataFrame, target_column: str, test_size: float = 0.2,
         test, train = split_by_hash(df, {None: ceil(n * test_size)}, None, key, random_state)
         return train, test
     counts = {r["k"]: r["count"] for r in df.groupBy(c(target_column).cast("string").alias("k")).count().limit(
-        MAX_CLASSES + 1).collect()}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+        max_classes + 1).collect()}
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
     quota = {k: int(n * test_size) for k, n in counts.items()}
     left = ceil(sum(counts.values()) * test_size) - sum(quota.values())
     by_remainder = sorted(counts, key=lambda k: (-(counts[k] * test_size - quota[k]), str(k)))
@@ -221,9 +224,13 @@ def list_models(spark: SparkSession, models: Sequence[TrainedModel]) -> DataFram
 
 def _with_folds(df: DataFrame, target: str, features: Sequence[str], classes: list | None, n_folds: int,
                 key: Sequence[str] | None, seed: int) -> DataFrame:
-    hashed = df.withColumn("_h", hash_order(df, key, seed))
-    return _prepare(hashed, target, features, classes).select(
-        VECTOR, LABEL, F.pmod("_h", F.lit(n_folds)).cast("int").alias("_fold"), "_h")
+    """Folds of equal size, by class where there are classes: rows in hash
+    order are dealt out in turn, copies of a row like others."""
+    rows = df.where(c(target).isNotNull())
+    order = [*([c(target).asc()] if classes is not None else []), hash_order(df, key, seed).asc()]
+    numbered = row_numbers(rows, order, "_i")
+    return _prepare(numbered, target, features, classes).select(
+        VECTOR, LABEL, F.pmod("_i", F.lit(n_folds)).cast("int").alias("_fold"), "_i")
 
 
 def _fold_scores(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_folds: int, n_classes: int,
@@ -242,7 +249,8 @@ def _fold_scores(data: DataFrame, model_type: str, hyperparams: Mapping | None,
 def cross_validate(df: DataFrame, target_column: str, model_type: str = "random_forest", n_folds: int = 5,
                    hyperparams: Mapping | None = None, key: Sequence[str] | None = None, seed: int = 42,
                    parallelism: int = 4) -> DataFrame:
-    """(fold, score): R squared or accuracy of each held-out hash fold."""
+    """(fold, score): R squared or accuracy of each held-out fold; folds of a
+    classifier are stratified."""
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
     classes = _classes(df, target_column) if MODEL_TYPES[model_type][1] else None
@@ -259,10 +267,14 @@ def score_summary(folds: DataFrame) -> DataFrame:
 
 def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str] | None = None, n_folds: int = 5,
                    hyperparams: Mapping[str, Mapping] | None = None, key: Sequence[str] | None = None,
-                   seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Model types ranked by their mean score over the same folds."""
+                   seed: int = 42, parallelism: int = 4, auto_classes: int = AUTO_CLASSES) -> DataFrame:
+    """Model types ranked by their mean score over the same folds.
+
+    Without ``model_types`` a numeric target of at most ``auto_classes``
+    distinct values is taken for classes.
+    """
     features = feature_columns(df, target_column)
-    few = df.select(c(target_column)).dropna().distinct().limit(AUTO_CLASSES + 1).count() <= AUTO_CLASSES
+    few = df.select(c(target_column)).dropna().distinct().limit(auto_classes + 1).count() <= auto_classes
     classification = not is_numeric(df, target_column) or few
     types = as_list(model_types) or (
         ["logistic_regression", "random_forest_classifier", "gradient_boosting_classifier"] if classification
@@ -318,7 +330,7 @@ def learning_curve(df: DataFrame, target_column: str, model_type: str = "random_
     classes = _classes(df, target_column) if classifier else None
     with _kept(_with_folds(df, target_column, features, classes, n_splits, key, seed)) as data:
         # a second hash, so that the share does not depend on the fold
-        share = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(100 * steps)) < F.col("_part") * 100
+        share = F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(100 * steps)) < F.col("_part") * 100
 
         def one(job: tuple[int, int]) -> tuple[int, float, float, int]:
             step, fold = job

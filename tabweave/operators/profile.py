@@ -108,10 +108,14 @@ def get_value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
         "value", "count", "pct", "cumulative_pct", "n_unique")
 
 
+# most frequent values of a profile
+PROFILE_VALUES = 10
+
+
 def get_column_profile(df: DataFrame, column: str) -> DataFrame:
     """One row: type, nulls, distinct values (null counts as one), and for
     numbers min, max, mean, median, std, skewness, kurtosis; the ten most
-    frequent values as an array."""
+    frequent non-null values with their counts, as an array."""
     require_columns(df, [column])
     x = c(column)
     exprs = [F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("non_null"),
@@ -125,10 +129,14 @@ def get_column_profile(df: DataFrame, column: str) -> DataFrame:
                   sample_kurtosis(v).alias("kurtosis")]
         stats = ["min", "max", "mean", c(f"q_{column}")[0].alias("median"), "std", "skewness", "kurtosis"]
     wide = grouped_stats(df.select(x), [], exprs, {column: [0.5]} if stats else {})
+    counts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.orderBy(F.desc("n"), F.asc("v")).limit(PROFILE_VALUES).select(F.col("v").cast("string").alias("v"), "n").collect()
+    top = F.array(*[F.struct(F.lit(r.v).alias("value"), F.lit(r.n).cast("long").alias("count")) for r in most]).cast(
+        "array<struct<value:string,count:bigint>>").alias("top_values")
     return wide.select(F.lit(column).alias("column"), F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
                        "n_rows", "non_null", "missing",
                        F.coalesce(div(F.col("missing") * 100.0, F.col("n_rows")), F.lit(0.0)).alias("missing_pct"),
-                       "unique", *stats)
+                       "unique", *stats, top)
 
 
 OUTLIER_METHODS = ("iqr", "zscore")

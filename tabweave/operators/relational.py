@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.core.checks import as_list, c, is_numeric, require_choice, require_columns, require_numeric
+from tabweave.core.checks import all_present, as_list, c, is_numeric, require_choice, require_columns, require_numeric
 from tabweave.core.quantile import grouped_stats
 from tabweave.core.scan import attach, row_numbers
 
@@ -23,8 +23,9 @@ def merge_dataframes(left: DataFrame, right: DataFrame, on: Sequence[str], how:
 
     Other columns the two sides share get the suffixes ``_x`` and ``_y``.  The
     join strategy and the splitting of hot keys are left to adaptive execution.
-    An outer join is a left join plus the unmatched right rows, because a full
-    outer join is the one kind whose hot keys cannot be split at run time.
+    Of an outer join only the side that is kept whole can be split at run time,
+    so it is written as an inner join plus the rows without a partner, which
+    an anti join with the other side's distinct keys finds.
     """
     on = as_list(on)
     require_choice(how, JOIN_TYPES, "join type")
@@ -56,13 +57,17 @@ def merge_dataframes(left: DataFrame, right: DataFrame, on: Sequence[str], how:
         cols += [F.col(f"_rv{i}").alias(f"{n}_y" if n in shared else n) for i, n in enumerate(right_others)]
         return df.select(*cols)
 
-    if how in ("inner", "left"):
-        return output(a.join(b, match, how), "l")
-    if how == "right":
-        return output(a.join(b, match, "right"), "r")
-    left_keys = a.select(*[f"_l{i}" for i in range(len(on))]).distinct()
-    unmatched = b.join(left_keys, match, "left_anti")
-    return output(a.join(b, match, "left"), "l").unionByName(output(unmatched, "r", has_left=False))
+    # both sides of an inner join can be split; keys without a partner combine before the shuffle
+    out = output(a.join(b, match, "inner"), "l")
+    if how in ("left", "outer"):
+        right_keys = b.select(*[f"_r{i}" for i in range(len(on))]).distinct()
+        alone = a.join(right_keys, match, "left_anti")
+        out = out.unionByName(output(alone.select("*", *[
+            F.lit(None).cast(right.schema[n].dataType).alias(f"_rv{i}") for i, n in enumerate(right_others)]), "l"))
+    if how in ("right", "outer"):
+        left_keys = a.select(*[f"_l{i}" for i in range(len(on))]).distinct()
+        out = out.unionByName(output(b.join(left_keys, match, "left_anti"), "r", has_left=False))
+    return out
 
 
 def distinct_values(df: DataFrame, column: str, limit: int = MAX_DISTINCT) -> list:
@@ -83,10 +88,12 @@ def plain_aggregate(name: str, x: Column) -> Column:
 
 
 def pivot_table(df: DataFrame, index: Sequence[str], columns: str, values: str,
-                agg_func: str = "mean", column_values: Sequence | None = None) -> DataFrame:
+                agg_func: str = "mean", column_values: Sequence | None = None,
+                max_columns: int = MAX_DISTINCT) -> DataFrame:
     """Long to wide with aggregation; null keys drop, absent cells are null.
 
-    ``column_values`` spares the job that looks for the distinct values.
+    ``column_values`` spares the job that looks for the distinct values, of
+    which more than ``max_columns`` are an error.
     """
     index = as_list(index)
     require_columns(df, [*index, columns, values])
@@ -94,8 +101,8 @@ def pivot_table(df: DataFrame, index: Sequence[str], columns: str, values: str,
     if agg_func in ("mean", "sum", "median", "std"):
         require_numeric(df, [values])
     keys = [*index, columns]
-    rows = df.select(*[c(n) for n in dict.fromkeys([*keys, values])]).dropna(subset=keys)
-    names = list(column_values) if column_values is not None else distinct_values(rows, columns)
+    rows = df.select(*[c(n) for n in dict.fromkeys([*keys, values])]).where(all_present(df, keys))
+    names = list(column_values) if column_values is not None else distinct_values(rows, columns, max_columns)
     if agg_func == "median":
         long = grouped_stats(rows, keys, [], {values: [0.5]}).select(
             *map(c, keys), c(f"q_{values}")[0].alias("_cell"))

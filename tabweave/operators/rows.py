@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabweave.core.checks import as_list, c, is_numeric, literal_for, require_choice, require_columns
+from tabweave.core.checks import as_list, c, is_numeric, literal_for, number_for, present, require_choice, require_columns
 from tabweave.core.scan import row_numbers
 
 # above this a sample is cut by a threshold instead of sorted out
@@ -30,19 +33,34 @@ def filter_rows(df: DataFrame, column: str, operator: str, value, literal: bool
         return df.where(text.contains(value) if literal else text.rlike(value))
     if operator == "isin":
         items = [v.strip() for v in value.split(",")] if isinstance(value, str) else list(value)
-        return df.where(x.isin([float(v) for v in items] if is_numeric(df, column) else items))
+        if is_numeric(df, column):
+            items = [v for v in items if not _between_whole(df, column, v)]
+        return df.where(x.isin([literal_for(df, column, v) for v in items]) if items else F.lit(False))
+    if _between_whole(df, column, value):
+        # an integer column meets a fraction: the next whole number decides
+        below = literal_for(df, column, floor(number_for(column, value)))
+        return df.where({"==": F.lit(False), "!=": F.lit(True), ">": x > below, ">=": x > below,
+                         "<": x <= below, "<=": x <= below}[operator])
     v = literal_for(df, column, value)
     if operator == "!=":
         return df.where(~x.eqNullSafe(v))
     return df.where({"==": x == v, ">": x > v, "<": x < v, ">=": x >= v, "<=": x <= v}[operator])
 
 
+def _between_whole(df: DataFrame, column: str, value) -> bool:
+    if value is None or not isinstance(df.schema[column].dataType, T.IntegralType):
+        return False
+    number = number_for(column, value)
+    return not isinstance(number, float) and number != number.to_integral_value()
+
+
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None, how: str = "any") -> DataFrame:
     """Drop rows with any (or all) of the columns missing."""
     require_choice(how, ("any", "all"), "how")
     names = as_list(subset) or df.columns
     require_columns(df, names)
-    return df.dropna(how, subset=names)
+    known = [present(df, n) for n in names]
+    return df.where(reduce((lambda a, b: a & b) if how == "any" else (lambda a, b: a | b), known))
 
 
 def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep: str = "first",
@@ -112,21 +130,37 @@ def add_row_index(df: DataFrame, order_by: Sequence[str], column_name: str = "in
 
 
 def hash_order(df: DataFrame, key: Sequence[str] | None, seed: int) -> Column:
-    """A reproducible pseudo-random number per row, from the row's key."""
+    """A reproducible pseudo-random number, from the row's key or content."""
     names = as_list(key) or df.columns
     require_columns(df, names)
     return F.xxhash64(F.lit(seed), *map(c, names))
 
 
+def with_hash(df: DataFrame, key: Sequence[str] | None, seed: int, name: str = "_h") -> DataFrame:
+    """Add a reproducible pseudo-random number of each row's own.
+
+    It comes from a key that tells rows apart.  Without one, copies share
+    their content: rows are then numbered in the order of a hash of it, and the
+    number is hashed.  Which of several copies gets which number makes no
+    difference.
+    """
+    if as_list(key):
+        return df.withColumn(name, hash_order(df, key, seed))
+    numbered = row_numbers(df, [hash_order(df, None, seed).asc()], "_number")
+    return numbered.withColumn(name, F.xxhash64(F.lit(seed), "_number")).drop("_number")
+
+
 def sample_data(df: DataFrame, n: int = 10, random_state: int = 42,
                 key: Sequence[str] | None = None) -> DataFrame:
     """A uniform sample of min(n, rows) rows, the same for the same seed.
 
+    ``key`` names columns that tell all rows apart; without it rows are
+    numbered first, which sorts the table.
     Small samples are a top-n by hash, of which every task keeps n rows;
     larger ones a hash threshold.
     """
     if n <= TOP_N_ROWS:
-        out = df.withColumn("_h", hash_order(df, key, random_state))
+        out = with_hash(df, key, random_state)
         return out.orderBy("_h").limit(n).drop("_h")
     chosen, _ = split_by_hash(df, {None: n}, None, key, random_state)
     return chosen
@@ -141,7 +175,7 @@ def split_by_hash(df: DataFrame, wanted: dict, by: str | None, key: Sequence[str
     the cut is a single hash value.  No row moves; only counts reach the driver.
     Rows that share the cut's hash are shared out by a row number over them.
     """
-    keyed = df.withColumn("_h", hash_order(df, key, seed)).withColumn(
+    keyed = with_hash(df, key, seed).withColumn(
         "_g", c(by).cast("string") if by else F.lit("all"))
     goals = {("all" if by is None else (None if k is None else str(k))): int(v) for k, v in wanted.items()}
     # per class: [low, high] of the part that holds the cut, and rows still wanted from it

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
+from tabweave.core.numeric import _CENTRE, _FLANK, _TAIL
 from tabweave.sources.files import load_parquet
 
 
@@ -49,3 +50,19 @@ def rounded(df: DataFrame, digits: int = 4, names: list[str] | None = None) -> D
     """Round the floating columns (or the named ones)."""
     floating = [n for n, t in df.dtypes if t in ("double", "float")] if names is None else names
     return df.select(*[F.round(c(n), digits).alias(n) if n in floating else c(n) for n in df.columns])
+
+
+def _ratio_sql(x: str, coefficients) -> str:
+    def polynomial(ks) -> str:
+        text = repr(ks[-1])
+        for k in ks[-2::-1]:
+            text = f"(({text}) * {x} + {k!r})"
+        return text
+    return f"({polynomial(coefficients[0])} / {polynomial(coefficients[1])})"
+
+
+def normal_quantile_sql(source: str) -> str:
+    """The rows of a relation with ``m``, the normal quantile of their ``p``."""
+    return f"""(SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql('(0.180625 - q * q)', _CENTRE)}
+        ELSE sign(q) * CASE WHEN r <= 5 THEN {_ratio_sql('(r - 1.6)', _FLANK)} ELSE {_ratio_sql('(r - 5)', _TAIL)} END END AS m
+        FROM (SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM {source}))"""

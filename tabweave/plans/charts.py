@@ -10,7 +10,7 @@ from tabweave.operators.charts import (bar_counts, box_stats, cumulative, cumula
 from tabweave.operators.metrics import (average_precision, classification_metrics, confusion_matrix,
                                         precision_recall_curve, regression_metrics, residual_bins, residual_histogram,
                                         residuals, roc_auc, roc_curve)
-from tabweave.plans.catalog import query, rounded
+from tabweave.plans.catalog import normal_quantile_sql, query, rounded
 
 
 def _histogram_sql(table: str, x: str, bins: int) -> str:
@@ -136,9 +136,16 @@ def _(t):
     return rounded(qq_points(t.orders, "o_totalprice").drop("theoretical"), 6)
 
 
-@query("qq_line")
+@query("qq_line", f"""
+    WITH o AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice)::DOUBLE AS i,
+                      (SELECT count(*) FROM orders)::DOUBLE AS n FROM orders),
+         p AS (SELECT v, CASE WHEN i = n THEN pow(0.5, 1 / n) WHEN i = 1 THEN 1 - pow(0.5, 1 / n)
+                         ELSE (i - 0.3175) / (n + 0.365) END AS p FROM o),
+         m AS {normal_quantile_sql('p')}
+    SELECT round(regr_slope(v, m), 3) AS slope, round(regr_intercept(v, m), 3) AS intercept,
+           round(sqrt(regr_r2(v, m)), 8) AS r FROM m""")
 def _(t):
-    return qq_line(qq_points(t.orders, "o_totalprice"))
+    return rounded(rounded(qq_line(t.orders, "o_totalprice"), 3, ["slope", "intercept"]), 8, ["r"])
 
 
 @query("stacked_bar", """
@@ -161,7 +168,7 @@ def _(t):
     SELECT l_suppkey, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 2) AS "A",
            round(sum(l_quantity) FILTER (l_returnflag = 'N'), 2) AS "N",
            round(sum(l_quantity) FILTER (l_returnflag = 'R'), 2) AS "R"
-    FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity) DESC, 1 LIMIT 20""")
+    FROM lineitem GROUP BY 1""")
 def _(t):
     return rounded(heatmap(t.lineitem, "l_suppkey", "l_returnflag", "l_quantity", "sum"), 2)
 

@@ -68,12 +68,16 @@ def _lines(t):
     return t.lineitem.select("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice")
 
 
-def _classes(t):
-    """Documents with their quality label and a few counts as features."""
-    docs = t.documents.select("doc_id", "n_chars", F.length("text").alias("length"),
+def _counts(t):
+    """All documents with a few counts as features."""
+    return t.documents.select("doc_id", "n_chars", F.length("text").alias("length"),
                               F.size(F.split("text", r"\s+")).alias("words"),
                               F.length(F.regexp_replace("text", r"[^0-9]", "")).alias("digits"))
-    return docs.join(t.labels.select("doc_id", "quality"), "doc_id").drop("doc_id")
+
+
+def _classes(t):
+    """The labelled documents with their quality label."""
+    return _counts(t).join(t.labels.select("doc_id", "quality"), "doc_id").drop("doc_id")
 
 
 def _three(t):
@@ -129,7 +133,7 @@ def _(t):
 @query("predict_class_scores")
 def _(t):
     m = train_model(_classes(t), "quality", "logistic_regression")
-    return predict(m, _classes(t), "called", "score")
+    return predict(m, _counts(t), "called", "score")
 
 
 @query("list_models", """
@@ -149,7 +153,7 @@ def _(t):
 
 @query("cross_validate_classifier")
 def _(t):
-    return cross_validate(_three(t), "l_returnflag", "decision_tree_classifier", 3, {"max_depth": 4})
+    return cross_validate(_three(t), "l_returnflag", "decision_tree_classifier")
 
 
 @query("compare_models")
@@ -159,7 +163,7 @@ def _(t):
 
 @query("grid_search")
 def _(t):
-    _, table = grid_search(_lines(t), "l_extendedprice", "decision_tree", {"max_depth": [2, 4]}, 3)
+    _, table = grid_search(_lines(t), "l_extendedprice", "decision_tree", {"max_depth": [2, 4]})
     return table
 
 
@@ -171,34 +175,32 @@ def _(t):
 
 @query("learning_curve")
 def _(t):
-    return learning_curve(_lines(t), "l_extendedprice", "linear_regression", 3)
+    return learning_curve(_lines(t), "l_extendedprice", "linear_regression")
 
 
 @query("permutation_importance")
 def _(t):
     m = train_model(_lines(t), "l_extendedprice", "linear_regression")
-    return permutation_importance(m, _lines(t), n_repeats=3)
+    return permutation_importance(m, _lines(t))
 
 
 # --- clusters and components ------------------------------------------------
 
 @query("kmeans_cluster")
 def _(t):
-    rows, _ = kmeans_cluster(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 4,
-                             starts=3)
+    rows, _ = kmeans_cluster(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 4)
     return rows
 
 
 @query("kmeans_sizes")
 def _(t):
-    rows, _ = kmeans_cluster(t.lineitem.select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"],
-                             starts=2)
+    rows, _ = kmeans_cluster(t.lineitem.select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
     return cluster_sizes(rows, "cluster")
 
 
 @query("elbow_curve")
 def _(t):
-    return elbow_curve(t.part, ["p_size", "p_retailprice"], 6, starts=2)
+    return elbow_curve(t.part, ["p_size", "p_retailprice"])
 
 
 @query("dbscan_cluster")

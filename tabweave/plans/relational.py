@@ -21,10 +21,10 @@ from tabweave.sources.files import load_csv, load_parquet, save_csv, table_shape
 
 
 @query("load_csv", """
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+    SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate) FROM orders""")
 def _(t):
     path = scratch_path(t.spark, "orders-csv")
-    save_csv(t.orders.drop("o_orderdate"), path)
+    save_csv(t.orders, path)
     return load_csv(t.spark, path)
 
 
@@ -72,45 +72,44 @@ def _(t):
 _JOIN_LEFT = """
     (SELECT l_orderkey AS k, l_linenumber AS line, l_quantity AS amount FROM lineitem)"""
 _JOIN_RIGHT = """
-    (SELECT o_orderkey AS k, o_totalprice AS amount, o_orderpriority AS priority FROM orders
-     WHERE o_orderstatus = 'F')"""
+    (SELECT o_orderkey + 1000 AS k, o_totalprice AS amount, o_orderpriority AS priority FROM orders)"""
 
 
 def _lines(t):
     return t.lineitem.selectExpr("l_orderkey as k", "l_linenumber as line", "l_quantity as amount")
 
 
-def _finished(t):
-    return filter_rows(t.orders, "o_orderstatus", "==", "F").selectExpr(
-        "o_orderkey as k", "o_totalprice as amount", "o_orderpriority as priority")
+def _orders(t):
+    """All orders; shifted keys leave rows without a partner on both sides."""
+    return t.orders.selectExpr("o_orderkey + 1000 as k", "o_totalprice as amount", "o_orderpriority as priority")
 
 
 @query("merge_inner", f"""
     SELECT l.k, l.line, l.amount AS amount_x, r.amount AS amount_y, r.priority
     FROM {_JOIN_LEFT} l JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
 def _(t):
-    return merge_dataframes(_lines(t), _finished(t), ["k"], "inner")
+    return merge_dataframes(_lines(t), _orders(t), ["k"], "inner")
 
 
 @query("merge_left", f"""
     SELECT l.k, l.line, l.amount AS amount_x, r.amount AS amount_y, r.priority
     FROM {_JOIN_LEFT} l LEFT JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
 def _(t):
-    return merge_dataframes(_lines(t), _finished(t), ["k"], "left")
+    return merge_dataframes(_lines(t), _orders(t), ["k"], "left")
 
 
 @query("merge_right", f"""
     SELECT r.k, l.line, l.amount AS amount_x, r.amount AS amount_y, r.priority
-    FROM (SELECT * FROM {_JOIN_LEFT} WHERE amount > 30) l RIGHT JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
+    FROM {_JOIN_LEFT} l RIGHT JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
 def _(t):
-    return merge_dataframes(filter_rows(_lines(t), "amount", ">", 30), _finished(t), ["k"], "right")
+    return merge_dataframes(_lines(t), _orders(t), ["k"], "right")
 
 
 @query("merge_outer", f"""
     SELECT coalesce(l.k, r.k) AS k, l.line, l.amount AS amount_x, r.amount AS amount_y, r.priority
-    FROM (SELECT * FROM {_JOIN_LEFT} WHERE amount > 30) l FULL JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
+    FROM {_JOIN_LEFT} l FULL JOIN {_JOIN_RIGHT} r ON l.k = r.k""")
 def _(t):
-    return merge_dataframes(filter_rows(_lines(t), "amount", ">", 30), _finished(t), ["k"], "outer")
+    return merge_dataframes(_lines(t), _orders(t), ["k"], "outer")
 
 
 @query("merge_null_keys", """
@@ -325,8 +324,7 @@ def _(t):
 
 @query("fill_missing_value", f"SELECT event_id, coalesce(a, -1) AS a, coalesce(b, -1) AS b FROM ({_HOLES})")
 def _(t):
-    filled = fill_missing(_holes(t), ["a", "b"], "value", "-1")
-    return filled.withColumn("a", F.col("a").cast("long"))
+    return fill_missing(_holes(t), ["a", "b"], "value", "-1")
 
 
 @query("fill_missing_mean", f"""

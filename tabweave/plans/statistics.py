@@ -12,7 +12,7 @@ from tabweave.functions.transforms import (bin_column, bin_counts, log_domain_co
 from tabweave.operators.aggregate import crosstab, describe_by_group, group_aggregate, group_aggregate_multi
 from tabweave.operators.correlation import correlation_matrix, get_correlation
 from tabweave.operators.encode import frequency_encode, label_encode, label_mapping, one_hot_encode, target_encode
-from tabweave.operators.hypothesis import (anova_test, chi_square_test, group_medians, kruskal_wallis_test,
+from tabweave.operators.hypothesis import (_LAST_WEIGHT, _NEXT_WEIGHT, anova_test, chi_square_test, group_medians, kruskal_wallis_test,
                                            mann_whitney_test, normality_test, ttest_independent)
 from tabweave.operators.missing import fill_missing
 from tabweave.operators.profile import (detect_outliers, get_column_profile, get_info, get_shape, get_statistics,
@@ -21,7 +21,7 @@ from tabweave.operators.relational import merge_dataframes
 from tabweave.operators.rows import sort_values
 from tabweave.operators.selection import (correlation_filter, drop_low_importance, feature_importance,
                                           mutual_information, variance_filter)
-from tabweave.plans.catalog import query, rounded
+from tabweave.plans.catalog import normal_quantile_sql, query, rounded
 
 # --- the flagship query -----------------------------------------------------
 
@@ -134,10 +134,14 @@ def _(t):
     SELECT 'v' AS "column", 'double' AS dtype, count(*) AS n_rows, count(v) AS non_null, count(*) - count(v) AS missing,
            round((count(*) - count(v)) * 100.0 / count(*), 4) AS missing_pct, count(DISTINCT v) + 1 AS "unique",
            min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean, round(median(v), 4) AS median,
-           round(stddev_samp(v), 4) AS std, round(skewness(v), 4) AS skewness, round(kurtosis(v), 4) AS kurtosis
+           round(stddev_samp(v), 4) AS std, round(skewness(v), 4) AS skewness, round(kurtosis(v), 4) AS kurtosis,
+           (SELECT string_agg(round(v, 6)::VARCHAR || ' x' || n, '; ' ORDER BY n DESC, v) FROM
+            (SELECT v, count(*) AS n FROM h WHERE v IS NOT NULL GROUP BY v ORDER BY n DESC, v LIMIT 10)) AS top_values
     FROM h""")
 def _(t):
-    return rounded(get_column_profile(t.events.selectExpr("if(event_id % 4 = 0, null, value) as v"), "v"))
+    out = rounded(get_column_profile(t.events.selectExpr("if(event_id % 4 = 0, null, value) as v"), "v"))
+    return out.withColumn("top_values", F.array_join(F.transform("top_values", lambda x: F.concat(
+        F.round(x["value"].cast("double"), 6).cast("string"), F.lit(" x"), x["count"].cast("string"))), "; "))
 
 
 @query("detect_outliers_iqr", """
@@ -462,7 +466,7 @@ def _(t):
 @query("feature_importance_forest")
 def _(t):
     rows = t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
-    return feature_importance(rows, "l_extendedprice", trees=10, max_depth=5)
+    return feature_importance(rows, "l_extendedprice")
 
 
 def _information_sql(feature: str, target: str, table: str, bins: int = 10) -> str:
@@ -558,9 +562,28 @@ def _(t):
     return rounded(rounded(out, 6, ["chi2"]), 8, ["cramers_v"])
 
 
-@query("normality_shapiro")
+def _polynomial_sql(coefficients: tuple[float, ...]) -> str:
+    return " + ".join(f"{k!r} * u ** {i}" for i, k in enumerate(coefficients))
+
+
+@query("normality_shapiro", f"""
+    WITH s AS (SELECT count(*)::DOUBLE AS n, avg(o_totalprice) AS mean FROM orders),
+         o AS (SELECT o_totalprice - mean AS v, row_number() OVER (ORDER BY o_totalprice) AS i, n FROM orders, s),
+         p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM o),
+         m AS {normal_quantile_sql('p')},
+         a AS (SELECT any_value(n) AS n, 1 / sqrt(any_value(n)) AS u, sum(m * m) AS sq, sum(v * v) AS ss,
+                      max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, sum(m * v) FILTER (i > 2 AND i < n - 1) AS inside,
+                      max(v) - min(v) AS outer1, max(v) FILTER (i = n - 1) - max(v) FILTER (i = 2) AS outer2 FROM m),
+         e AS (SELECT *, {_polynomial_sql(_LAST_WEIGHT)} + m1 / sqrt(sq) AS e1,
+                      {_polynomial_sql(_NEXT_WEIGHT)} + m2 / sqrt(sq) AS e2 FROM a),
+         t AS (SELECT ss, inside / sqrt((sq - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * e1 * e1 - 2 * e2 * e2))
+                      + e1 * outer1 + e2 * outer2 AS top FROM e)
+    SELECT 'shapiro' AS method, (SELECT count(*) FROM orders) AS n,
+           (SELECT round(skewness(o_totalprice), 5) FROM orders) AS skewness,
+           (SELECT round(kurtosis(o_totalprice), 5) FROM orders) AS kurtosis, round(top * top / ss, 8) AS statistic FROM t""")
 def _(t):
-    return normality_test(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", key=["o_orderkey"])
+    out = normality_test(t.orders, "o_totalprice").drop("p_value", "normal")
+    return rounded(rounded(out, 5, ["skewness", "kurtosis"]), 8, ["statistic"])
 
 
 def _horner_sql(coefficients: tuple[float, ...]) -> str:

@@ -10,6 +10,7 @@ from tabweave.operators.columns import (apply_mapping, clip_bounds, clip_outlier
                                         replace_values, select_dtypes, string_clean)
 from tabweave.operators.encode import frequency_encode, label_encode, one_hot_encode, target_encode
 from tabweave.operators.missing import fill_missing
+from tabweave.operators.modeling import train_test_split
 from tabweave.operators.profile import get_column_profile, get_statistics, missing_patterns, quality_report
 from tabweave.operators.relational import concat_dataframes, melt_dataframe, merge_dataframes, pivot_table
 from tabweave.operators.rows import (drop_duplicates, drop_missing, filter_rows, get_head, get_tail, sample_data,
@@ -20,7 +21,7 @@ from tabweave.sources.workbooks import load_excel
 
 
 def column(df, name, order="i"):
-    return [r[name] for r in df.orderBy(order).collect()]
+    return [r[name.strip("`")] for r in df.orderBy(order).collect()]
 
 
 # --- sources ----------------------------------------------------------------
@@ -77,10 +78,10 @@ def test_join_errors(people):
 
 
 def test_pivot_melt_concat(people, spark):
-    wide = {r.City: (r.A, r.B, r.C) for r in pivot_table(people, ["City"], "Category", "Score").collect()}
-    assert wide["Lyon"] == pytest.approx((82.4, 92.1, None)) and wide["Marseille"] == (None, None, 91.85)
-    assert wide["Paris"][:2] == pytest.approx((83.525, 68.9)) and None not in wide
-    assert melt_dataframe(people.drop("i"), ["Name", "City"]).count() == 48
+    wide = {r.Town: (r.S, r.D, r["T"]) for r in pivot_table(people, ["Town"], "Class", "Rating").collect()}
+    assert wide["Delft"] == pytest.approx((6.75, 6.0, None)) and wide["Bergen"] == (None, None, 9.25)
+    assert wide["Cork"] == pytest.approx((7.5, 4.75, 8.25)) and None not in wide
+    assert melt_dataframe(people.drop("i"), ["Guest", "Town"]).count() == 48
     a, b = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(3.5,), (4.5,)], "x double")
     assert sorted(r.x for r in concat_dataframes([a, b]).collect()) == [1.0, 2.0, 3.5, 4.5]
     side = concat_dataframes([a, b.limit(1)], 1, [["x"], ["x"]])
@@ -96,25 +97,47 @@ def test_pivot_refuses_too_many_values(spark):
 
 def test_filters(people):
     count = lambda *a, **k: filter_rows(people, *a, **k).count()
-    assert count("Revenue", ">", "2000") == 4 and count("City", "==", "Paris") == 5
-    assert count("City", "!=", "Paris") == 7 and count("Category", "isin", "A, B") == 10
-    assert count("Name", "contains", "a") == 5 and count("Name", "contains", "^[AB]") == 4
-    assert count("Name", "contains", "^A", literal=True) == 0 and count("Age", "isin", "30,22") == 4
+    assert count("Bill", ">", "500") == 4 and count("Town", "==", "Cork") == 5
+    assert count("Town", "!=", "Cork") == 7 and count("Class", "isin", "S, D") == 9
+    assert count("Guest", "contains", "a") == 6 and count("Guest", "contains", "^[OP]") == 5
+    assert count("Guest", "contains", "^O", literal=True) == 0 and count("Nights", "isin", "4,11") == 4
     with pytest.raises(ValueError, match="not a number"):
-        filter_rows(people, "Age", "==", "thirty")
+        filter_rows(people, "Nights", "==", "four")
+
+
+def test_large_integers_are_told_apart(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big - 1,), (big,), (5,), (None,)], "`k.id` long")
+    values = lambda *a: sorted(r[0] for r in filter_rows(df, "k.id", *a).collect() if r[0] is not None)
+    assert values("==", big) == values("==", str(big)) == values("isin", f"{big}, 7.5") == [big]
+    assert values(">", "5.5") == values(">=", 5.5) == [big - 1, big] and values("<", "5.5") == values("<=", 5.5) == [5]
+    assert values("==", 5.5) == [] and filter_rows(df, "k.id", "!=", 5.5).count() == 4
+    assert values("<", 10**30) == [5, big - 1, big] and values("isin", "1.5") == []
+    replaced = replace_values(df, "k.id", big, 7)
+    assert replaced.schema["k.id"].dataType.typeName() == "long" and 7 in column(replaced, "`k.id`", "`k.id`")
+    filled = fill_missing(df, ["k.id"], "value", "-1")
+    assert filled.schema["k.id"].dataType.typeName() == "long" and -1 in column(filled, "`k.id`", "`k.id`")
+    assert drop_missing(df, ["k.id"]).count() == 3
+
+
+def test_integer_filters_reach_the_scan(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for args, sign in ((("==", "7"), "EqualTo(id,7)"), (("isin", "7, 8"), "In(id, [7,8])"), ((">", 6.5), "GreaterThan(id,6)")):
+        assert sign in filter_rows(df, "id", *args)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_duplicates_and_missing(people):
     plain = people.drop("i")
-    assert drop_duplicates(plain).count() == 10 and drop_duplicates(plain, keep="none").count() == 8
-    first = drop_duplicates(people, ["City"], "first", ["i"])
-    last = drop_duplicates(people, ["City"], "last", ["i"])
-    assert {r.City: r.i for r in first.collect()} == {"Paris": 0, "Lyon": 1, "Marseille": 3, None: 6}
-    assert {r.City: r.i for r in last.collect()} == {"Paris": 10, "Lyon": 11, "Marseille": 9, None: 6}
-    assert drop_missing(plain).count() == 8 and drop_missing(plain, ["Revenue"]).count() == 10
+    assert drop_duplicates(plain).count() == 9 and drop_duplicates(plain, keep="none").count() == 7
+    first = drop_duplicates(people, ["Town"], "first", ["i"])
+    last = drop_duplicates(people, ["Town"], "last", ["i"])
+    assert {r.Town: r.i for r in first.collect()} == {"Cork": 0, "Delft": 1, "Bergen": 3, None: 6}
+    assert {r.Town: r.i for r in last.collect()} == {"Cork": 10, "Delft": 11, "Bergen": 9, None: 6}
+    assert drop_missing(plain).count() == 8 and drop_missing(plain, ["Bill"]).count() == 10
     assert drop_missing(plain, how="all").count() == 12
     with pytest.raises(ValueError, match="order_by"):
-        drop_duplicates(people, ["City"])
+        drop_duplicates(people, ["Town"])
 
 
 def test_head_tail_sample(people, hot):
@@ -126,6 +149,28 @@ def test_head_tail_sample(people, hot):
     assert {r.id for r in sample_data(hot, 1500, 1, ["id"]).collect()} != {r.id for r in a.collect()}
 
 
+def test_copies_are_sampled_and_split_like_other_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("v"))
+    copies = [sample_data(df, 300, seed).where("v = -1").count() for seed in range(4)]
+    assert all(60 < n < 140 for n in copies)
+    train, test = train_test_split(df, "v", 0.2)
+    assert test.count() == 600 and 150 < test.where("v = -1").count() < 250
+    assert train.unionAll(test).groupBy("v").count().exceptAll(df.groupBy("v").count()).isEmpty()
+    again = train_test_split(df.repartition(5), "v", 0.2)[1]
+    assert again.groupBy("v").count().exceptAll(test.groupBy("v").count()).isEmpty()
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_outer_joins_keep_hot_keys(spark, how):
+    left = spark.range(600).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 1).otherwise(F.col("id")).alias("k"),
+                                   F.col("id").alias("a"))
+    right = spark.range(30).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") * 20).alias("k"), F.col("id").alias("b"))
+    got = merge_dataframes(left, right, ["k"], how).toPandas()
+    want = left.toPandas().merge(right.toPandas(), on="k", how=how)
+    show = lambda p: sorted(tuple(-1 if v != v or v is None else v for v in r) for r in p[["k", "a", "b"]].itertuples(index=False))
+    assert show(got) == show(want)
+
+
 @pytest.mark.parametrize("n", [0, 1, 700, 1500, 2999, 3000, 4000])
 def test_split_is_exact_with_a_third_copies(hot, n):
     rows = hot.select("g", "v", "w")
@@ -137,28 +182,28 @@ def test_split_is_exact_with_a_third_copies(hot, n):
 # --- repair -----------------------------------------------------------------
 
 def test_fill_strategies(people):
-    fill = lambda *a, **k: column(fill_missing(people, *a, **k), "Revenue")
-    assert fill(["Revenue"], "value", "0")[3] == 0.0
-    assert fill(["Revenue"], "mean")[3] == pytest.approx(1875.225) and fill(["Revenue"], "median")[11] == 1500.5
-    assert column(fill_missing(people, ["City"], "mode"), "City")[6] == "Paris"
-    forward = [1500.5, 2300, 800.75, 800.75, 1500.5, 3200, 950, 1500.5, 2300, 4100, 600, 600]
-    assert fill(["Revenue"], "ffill", order_by=["i"]) == forward
-    assert fill(["Revenue"], "bfill", order_by=["i"])[3] == 1500.5
-    assert fill(["Revenue"], "bfill", order_by=["i"])[11] is None
-    grouped = fill(["Revenue"], "ffill", order_by=["i"], partition_by=["City"])
-    assert grouped[3] is None and grouped[11] == 2300
+    fill = lambda *a, **k: column(fill_missing(people, *a, **k), "Bill")
+    assert fill(["Bill"], "value", "0")[3] == 0.0
+    assert fill(["Bill"], "mean")[3] == pytest.approx(668.75) and fill(["Bill"], "median")[11] == 410.0
+    assert column(fill_missing(people, ["Town"], "mode"), "Town")[6] == "Cork"
+    forward = [410.0, 930.5, 188.25, 188.25, 410.0, 1250.0, 302.75, 930.5, 410.0, 1760.0, 95.5, 95.5]
+    assert fill(["Bill"], "ffill", order_by=["i"]) == forward
+    assert fill(["Bill"], "bfill", order_by=["i"])[3] == 410.0
+    assert fill(["Bill"], "bfill", order_by=["i"])[11] is None
+    grouped = fill(["Bill"], "ffill", order_by=["i"], partition_by=["Town"])
+    assert grouped[3] is None and grouped[11] == 930.5
     # the way for keys too large for one task gives the same
-    assert grouped == fill(["Revenue"], "ffill", order_by=["i"], partition_by=["City"], small_group=0)
+    assert grouped == fill(["Bill"], "ffill", order_by=["i"], partition_by=["Town"], small_group=0)
     with pytest.raises(ValueError, match="order_by"):
-        fill_missing(people, ["Revenue"], "ffill")
+        fill_missing(people, ["Bill"], "ffill")
     with pytest.raises(ValueError, match="strategy"):
-        fill_missing(people, ["Revenue"], "guess")
+        fill_missing(people, ["Bill"], "guess")
 
 
 def test_clip(people):
-    assert clip_bounds(people, "Revenue") == pytest.approx((-730.9375, 4118.5625))
-    low, high = clip_bounds(people, "Revenue", "quantile", 0.1, 0.9)
-    got = [v for v in column(clip_outliers(people, "Revenue", "quantile", 0.1, 0.9), "Revenue") if v is not None]
+    assert clip_bounds(people, "Bill") == pytest.approx((-571.84375, 1831.90625))
+    low, high = clip_bounds(people, "Bill", "quantile", 0.1, 0.9)
+    got = [v for v in column(clip_outliers(people, "Bill", "quantile", 0.1, 0.9), "Bill") if v is not None]
     assert min(got) == pytest.approx(low) and max(got) == pytest.approx(high) and len(got) == 10
 
 
@@ -166,37 +211,37 @@ def test_text_repair(spark, people):
     df = spark.createDataFrame([(0, "\t o'neil mc-donald x2y \n"), (1, None)], "i int, s string")
     assert column(string_clean(df, "s", ["strip", "title"]), "s") == ["O'Neil Mc-Donald X2Y", None]
     assert column(string_clean(df, "s", ["strip", "upper", "replace"], "-", "."), "s")[0] == "O'NEIL MC.DONALD X2Y"
-    assert "Bordeaux" in column(replace_values(people, "City", "Lyon", "Bordeaux"), "City")
-    assert column(replace_values(people, "Age", "30", "31"), "Age").count(31.0) == 4
+    assert "Gouda" in column(replace_values(people, "Town", "Delft", "Gouda"), "Town")
+    assert column(replace_values(people, "Nights", "4", "3"), "Nights").count(3.0) == 3
 
 
 def test_mapping_types(spark, people):
-    to_numbers = apply_mapping(people, "Category", {"A": "1", "B": "2", "C": "3"})
-    assert dict(to_numbers.dtypes)["Category"] == "bigint" and column(to_numbers, "Category")[:4] == [1, 2, 1, 3]
-    partly = apply_mapping(people, "Category", {"A": "1.5"})
-    assert column(partly, "Category")[:2] == ["1.5", "B"]
-    assert column(apply_mapping(people, "Age", {"30": "33"}), "Age")[:2] == [33.0, 25.0]
-    many = apply_mapping(people, "City", {**{f"c{k}": "x" for k in range(1500)}, "Lyon": "L"})
-    assert column(many, "City")[:2] == ["Paris", "L"]
+    to_numbers = apply_mapping(people, "Class", {"S": "1", "D": "2", "T": "3"})
+    assert dict(to_numbers.dtypes)["Class"] == "bigint" and column(to_numbers, "Class")[:4] == [1, 2, 3, 3]
+    partly = apply_mapping(people, "Class", {"S": "1.5"})
+    assert column(partly, "Class")[:2] == ["1.5", "D"]
+    assert column(apply_mapping(people, "Nights", {"4": "3"}), "Nights")[:2] == [3.0, 9.0]
+    many = apply_mapping(people, "Town", {**{f"c{k}": "x" for k in range(1500)}, "Delft": "L"})
+    assert column(many, "Town")[:2] == ["Cork", "L"]
 
 
 def test_types(spark, people):
-    assert select_dtypes(people, include=["number"]).columns == ["i", "Age", "Revenue", "Score"]
-    assert select_dtypes(people, exclude=["object"]).columns == ["i", "Age", "Revenue", "Score"]
+    assert select_dtypes(people, include=["number"]).columns == ["i", "Nights", "Bill", "Rating"]
+    assert select_dtypes(people, exclude=["object"]).columns == ["i", "Nights", "Bill", "Rating"]
     text = spark.createDataFrame([(0, "1"), (1, "x"), (2, None)], "i int, s string")
     assert column(convert_dtype(text, ["s"], "int", errors="null"), "s") == [1, None, None]
     with pytest.raises(Exception, match="(?i)cast"):
         convert_dtype(text, ["s"], "int").collect()
-    assert column(create_column(people, "y", "Revenue / (Age + 1e-5)"), "y")[0] == pytest.approx(50.0166, abs=1e-3)
+    assert column(create_column(people, "y", "Bill / (Nights + 1e-5)"), "y")[0] == pytest.approx(102.4997, abs=1e-3)
 
 
 # --- transforms -------------------------------------------------------------
 
 def test_scaling_and_logs(people, spark):
-    score = column(normalize(people, ["Score"]), "Score")
-    want = [0.6082, 0.8657, 0.3582, 0.7127, 0.6082, None, 0.0896, 0.6082, 0.8657, 1, 0, 0.5037]
+    score = column(normalize(people, ["Rating"]), "Rating")
+    want = [0.5789, 0.2632, 0.7368, 0.8947, 0.5789, None, 0.1579, 0.2632, 0.5789, 1.0, 0.0, 0.4211]
     assert [None if v is None else round(v, 4) for v in score] == want
-    z = [v for v in column(normalize(people, ["Score"], "standard"), "Score") if v is not None]
+    z = [v for v in column(normalize(people, ["Rating"], "standard"), "Rating") if v is not None]
     assert np.mean(z) == pytest.approx(0) and np.std(z) == pytest.approx(1)
     flat = spark.createDataFrame([(i, 4.0) for i in range(3)], "i int, c double")
     for method in ("minmax", "standard", "robust"):
@@ -207,14 +252,14 @@ def test_scaling_and_logs(people, spark):
 
 
 def test_polynomials(people):
-    got = polynomial_features(people, ["Age", "Score"])
-    assert got.columns[-3:] == ["Age^2", "Age_Score", "Score^2"]
-    assert column(got, "Age_Score")[5] == 0.0 and column(got, "Age^2")[0] == 900.0
-    assert polynomial_features(people, ["Age", "Score"], 2, True).columns[-1] == "Age_Score"
+    got = polynomial_features(people, ["Nights", "Rating"])
+    assert got.columns[-3:] == ["Nights^2", "Nights_Rating", "Rating^2"]
+    assert column(got, "Nights_Rating")[5] == 0.0 and column(got, "Nights^2")[0] == 16.0
+    assert polynomial_features(people, ["Nights", "Rating"], 2, True).columns[-1] == "Nights_Rating"
 
 
 def test_bins(people, spark):
-    sizes = lambda **k: sorted((r["n"] for r in bin_counts(people, "Revenue", 3, **k).collect()), reverse=True)
+    sizes = lambda **k: sorted((r["n"] for r in bin_counts(people, "Bill", 3, **k).collect()), reverse=True)
     assert sizes(method="uniform") == [6, 2, 2] and sizes() == [6, 2, 2]
     edges = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 1, 5, 10, 11])], "i int, v double")
     got = column(bin_column(edges, "v", [0, 5, 10], "custom"), "v_binned")
@@ -242,35 +287,35 @@ def test_dates(spark):
 # --- encodings, aggregates, profiles ----------------------------------------
 
 def test_encodings(people):
-    assert one_hot_encode(people, ["City"]).columns[-2:] == ["City_Marseille", "City_Paris"]
-    assert len(one_hot_encode(people, ["Category"], drop_first=False).columns) == 9
-    share = column(frequency_encode(people, ["City"]), "City")
+    assert one_hot_encode(people, ["Town"]).columns[-2:] == ["Town_Cork", "Town_Delft"]
+    assert len(one_hot_encode(people, ["Class"], drop_first=False).columns) == 9
+    share = column(frequency_encode(people, ["Town"]), "Town")
     assert share[0] == pytest.approx(5 / 11) and share[1] == pytest.approx(4 / 11) and share[6] is None
-    assert column(label_encode(people, ["City"]), "City")[:7] == [2, 0, 2, 1, 2, 0, None]
+    assert column(label_encode(people, ["Town"]), "Town")[:7] == [1, 2, 1, 0, 1, 2, None]
     train, test = people.where("i < 9"), people.where("i >= 9")
-    coded = target_encode(test, ["Name"], "Score", fit_on=train)
-    assert column(coded, "Name") == [pytest.approx(train.agg(F.avg("Score")).first()[0])] * 3
+    coded = target_encode(test, ["Guest"], "Rating", fit_on=train)
+    assert column(coded, "Guest") == [pytest.approx(train.agg(F.avg("Rating")).first()[0])] * 3
 
 
 def test_aggregates(people):
-    means = {r.City: r.Revenue_mean for r in group_aggregate(people, ["City"], "Revenue").collect()}
-    assert means == {"Marseille": 4100.0, "Lyon": 2600.0, "Paris": pytest.approx(1180.45)}
-    assert group_aggregate(people, ["City"], "Revenue", keep_null_groups=True).count() == 4
-    assert {r.City: r.Revenue_sum for r in group_aggregate(people, ["City"], "Revenue", "sum").collect()}["Lyon"] == 7800.0
-    assert {r.City: (r.A, r.B, r.C) for r in crosstab(people, "City", "Category").collect()} == {
-        "Lyon": (1, 3, 0), "Marseille": (0, 0, 2), "Paris": (4, 1, 0)}
-    row = describe_by_group(people, "City", ["Revenue"]).where("City = 'Paris'").first()
-    assert (row["count"], row["median"], row["max"]) == (5, 1500.5, 1500.5)
+    means = {r.Town: r.Bill_mean for r in group_aggregate(people, ["Town"], "Bill").collect()}
+    assert means == {"Bergen": 1760.0, "Delft": 1037.0, "Cork": pytest.approx(302.75)}
+    assert group_aggregate(people, ["Town"], "Bill", keep_null_groups=True).count() == 4
+    assert {r.Town: r.Bill_sum for r in group_aggregate(people, ["Town"], "Bill", "sum").collect()}["Delft"] == 3111.0
+    assert {r.Town: (r.S, r.D, r["T"]) for r in crosstab(people, "Town", "Class").collect()} == {
+        "Delft": (1, 3, 0), "Bergen": (0, 0, 2), "Cork": (3, 1, 1)}
+    row = describe_by_group(people, "Town", ["Bill"]).where("Town = 'Cork'").first()
+    assert (row["count"], row["median"], row["max"]) == (5, 410.0, 410.0)
 
 
 def test_profiles(people, spark):
-    p = get_column_profile(people, "Revenue").first()
-    assert (p.missing, p.unique, p.median) == (2, 8, 1500.5) and p.std == pytest.approx(1111.7310479233)
+    p = get_column_profile(people, "Bill").first()
+    assert (p.missing, p.unique, p.median) == (2, 8, 410.0) and p.std == pytest.approx(533.3344531238)
     q = {r.column: r for r in quality_report(people.drop("i")).collect()}
-    assert q["City"].missing == 1 and q["City"].unique == 3 and q["City"].duplicate_rows == 2
+    assert q["Town"].missing == 1 and q["Town"].unique == 3 and q["Town"].duplicate_rows == 3
     empty = quality_report(people.where("i < 0")).collect()
     assert {r.missing_pct for r in empty} == {0.0} and {r.duplicate_pct for r in empty} == {0.0}
-    s = {(r.column, r.stat): r.value for r in get_statistics(people.select("Revenue", "City")).collect()}
-    assert s["Revenue", "25%"] == 1087.625 and s["City", "freq"] == 5.0
-    patterns = missing_patterns(people, ["Age", "Revenue", "City"]).collect()
+    s = {(r.column, r.stat): r.value for r in get_statistics(people.select("Bill", "Town")).collect()}
+    assert s["Bill", "25%"] == 329.5625 and s["Town", "freq"] == 5.0
+    patterns = missing_patterns(people, ["Nights", "Bill", "Town"]).collect()
     assert sorted(r.n_rows for r in patterns) == [1, 1, 2, 8]
