@@ -105,13 +105,13 @@ def op10_toxicity(spark, folder):
 #: floor(1024 * x) of every component, all pairs of a query with the rows of its length
 SQL["op9_exact_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, d.vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, d.e), p -> p[1] * p[2])) as bigint) as score
+         cast(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v d on d.vec_id <> q.vec_id and len(d.e) = len(q.e)
   where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
