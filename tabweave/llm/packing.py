@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
 from tabweave.llm.text import batch, map_batches
@@ -31,6 +32,8 @@ BLOCK = 1 << 19
 SENTENCE_CUT = 1.0
 INNER_CUT = 4.0
 WINDOW = 0.25
+# shortest power of two that a window is cut to on purpose, but for the tail
+LEAST_EXACT = 64
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                   ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -80,9 +83,9 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
     n = len(places)
     exact: dict[int, list[int]] = {}
     size = window // 2
-    while size >= 1:
-        j = np.searchsorted(places, places - size)
-        for b in np.flatnonzero((places >= size) & (places[np.minimum(j, n - 1)] == places - size)).tolist() if size >= 64 else []:
+    while size >= LEAST_EXACT:
+        j = np.minimum(np.searchsorted(places, places - size), n - 1)
+        for b in np.flatnonzero((places >= size) & (places[j] == places - size)).tolist():
             exact.setdefault(b, []).append(int(j[b]))
         size //= 2
     at, price = places.tolist(), cost.tolist()
@@ -191,7 +194,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         if held:
             yield solve(True)
 
-    from pyspark.sql import functions as F
-
     return map_batches(docs.select(c(id_column).cast("long").alias("doc_id"),
                                    F.coalesce(c(text_column).cast("string"), F.lit("")).alias("text")), run, SCHEMA)
