@@ -95,16 +95,11 @@ def _(t):
     return rounded(rounded(rounded(out, 4, ["slope"]), 2, ["intercept"]), 8, ["train_r2"])
 
 
-_SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "gradient_boosting": {"n_estimators": 5},
-          "random_forest_classifier": {"n_estimators": 10, "max_depth": 5},
-          "gradient_boosting_classifier": {"n_estimators": 3}}
-
-
 for _type in ("random_forest", "gradient_boosting", "decision_tree"):
     @query(f"train_{_type}")
     def _(t, kind=_type):
         train, test = train_test_split(_lines(t), "l_extendedprice")
-        return evaluate_model(train_model(train, "l_extendedprice", kind, hyperparams=_SMALL.get(kind)), test)
+        return evaluate_model(train_model(train, "l_extendedprice", kind), test)
 
 
 for _type in ("logistic_regression", "random_forest_classifier", "gradient_boosting_classifier",
@@ -112,13 +107,12 @@ for _type in ("logistic_regression", "random_forest_classifier", "gradient_boost
     @query(f"train_{_type}")
     def _(t, kind=_type):
         train, test = train_test_split(_classes(t), "quality", stratify=True)
-        return evaluate_model(train_model(train, "quality", kind, hyperparams=_SMALL.get(kind)), test)
+        return evaluate_model(train_model(train, "quality", kind), test)
 
 
 @query("train_gradient_boosting_multiclass")
 def _(t):
-    m = train_model(_three(t), "l_returnflag", "gradient_boosting_classifier",
-                    hyperparams=_SMALL["gradient_boosting_classifier"])
+    m = train_model(_three(t), "l_returnflag", "gradient_boosting_classifier")
     return evaluate_model(m, _three(t))
 
 
@@ -142,7 +136,7 @@ def _(t):
     SELECT 'decision_tree_l_extendedprice', 'decision_tree', 4, 'l_extendedprice'""")
 def _(t):
     models = [train_model(_lines(t), "l_extendedprice", "linear_regression"),
-              train_model(_lines(t), "l_extendedprice", "decision_tree", hyperparams={"max_depth": 4})]
+              train_model(_lines(t), "l_extendedprice", "decision_tree")]
     return list_models(t.spark, models).drop("trained_at", "train_score")
 
 
@@ -158,7 +152,7 @@ def _(t):
 
 @query("compare_models")
 def _(t):
-    return compare_models(_lines(t), "l_extendedprice", n_folds=3, hyperparams=_SMALL)
+    return compare_models(_lines(t), "l_extendedprice")
 
 
 @query("grid_search")
@@ -169,7 +163,7 @@ def _(t):
 
 @query("model_feature_importance")
 def _(t):
-    m = train_model(_lines(t), "l_extendedprice", "random_forest", hyperparams=_SMALL["random_forest"])
+    m = train_model(_lines(t), "l_extendedprice", "random_forest")
     return model_feature_importance(t.spark, m)
 
 

@@ -170,3 +170,27 @@ def test_pca(numbers):
     assert [r.variance_pct for r in variance.collect()] == pytest.approx(list(100 * value[::-1][:2] / value.sum()))
     scores = z @ vector[:, -1] * np.sign(vector[np.abs(vector[:, -1]).argmax(), -1])
     assert np.allclose(rows.toPandas().PC1, scores)
+
+
+def test_model_queries_run_the_defaults(monkeypatch):
+    """Registered queries train with the operators' own settings."""
+    from types import SimpleNamespace
+
+    from tabweave.plans import models
+    from tabweave.plans.catalog import ENTRIES
+
+    seen = []
+
+    def note(*args, hyperparams=None, n_folds=None, **kwargs):
+        seen.append((hyperparams, n_folds))
+
+    for name in ("train_model", "compare_models"):
+        monkeypatch.setattr(models, name, note)
+    for name in ("evaluate_model", "model_feature_importance", "_lines", "_classes", "_three"):
+        monkeypatch.setattr(models, name, lambda *args, **kwargs: None)
+    monkeypatch.setattr(models, "list_models", lambda *args: SimpleNamespace(drop=lambda *names: None))
+    monkeypatch.setattr(models, "train_test_split", lambda *args, **kwargs: (None, None))
+    names = [n for n in ENTRIES if n.startswith("train_") and "split" not in n and n != "train_linear_regression"]
+    for name in [*names, "compare_models", "list_models", "model_feature_importance"]:
+        ENTRIES[name].build(SimpleNamespace(spark=None))
+    assert len(seen) == len(names) + 4 and all(x == (None, None) for x in seen)
