@@ -1,24 +1,19 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by backoff weights.
 
 Counts are taken over all training texts.  The model is a trigram model with
-absolute discounting whose unigrams are smoothed by adding 0.1:
-
-* tokens that make up at least 1/``COMMON`` of the corpus are common; there are
-  at most ``COMMON`` of them, so their counts go to every task;
-* n-grams of the most frequent tokens (1/``VOCABULARY``) that occur at least
-  once in ``NGRAMS`` tokens become states and arcs; there are at most
-  ``NGRAMS`` of either order, whatever the corpus;
-* a failure arc leads from each context to the next shorter one and carries
-  the backoff weight, so that the probabilities after any context sum to 1.
-
-A text runs through the automaton once, from left to right.  Its rare tokens
-leave the automaton through the failure arcs, and their unigram weights come
-from a join with the counts of all tokens, where no key is frequent.
+absolute discounting whose unigrams are smoothed by adding 0.1.  Every n-gram
+of any tokens that occurs at least ``LEAST_NGRAM`` times is kept, whatever the
+corpus; the backoff weights make the probabilities after any context sum to 1.
+
+All weights live in one table by n-gram hash.  An n-gram's weight is written as
+what it adds to that of the shorter one, so a text's score is the sum over the
+n-grams in it, and one join fetches whatever its task does not hold.  Tasks hold
+the frequent entries: tokens that make up 1/``COMMON`` of the corpus and n-grams
+that occur once in ``HELD`` tokens, so no key of the join is frequent.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,32 +21,32 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
 from tabweave.llm.text import batch, crc_mod_of, map_batches, space_words, utf8
-from tabweave.session import scratch_path
+from tabweave.session import cut_lineage, scratch_path
 
 COMMON = 500_000
 LEAST_COMMON = 50  # and common tokens occur so often at least
-VOCABULARY = 20_000
-NGRAMS = 1_000_000
-LEAST_NGRAM = 5  # and kept n-grams occur so often at least
+HELD = 1_000_000
+LEAST_NGRAM = 5  # kept n-grams occur so often at least
 DISCOUNT = 0.75
 ADD = 0.1
 HELD_OUT_OF = 10
 END = b""  # no word is empty
+START = b" "  # no word is a space
 # entries that a task gathers before it hands them on
 GATHERED = 400_000
 
 _COUNT = pa.schema([("token", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
-_NGRAM = pa.schema([("order", pa.int32()), ("ngram", pa.int64()), ("n", pa.int64())])
+_NGRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 _PART = pa.schema([("doc_id", pa.int64()), ("text_crc", pa.int64()), ("token", pa.int64()), ("times", pa.int64()),
-                   ("heads", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                   ("base", pa.float64()), ("model", pa.float64())])
-_PART_SQL = ("doc_id long, text_crc long, token long, times long, heads long, n_tokens long, n_known long, "
-             "base double, model double")
+                   ("arcs", pa.int64()), ("backs", pa.int64()), ("heads", pa.int64()), ("n_tokens", pa.int64()),
+                   ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+_PART_SQL = ("doc_id long, text_crc long, token long, times long, arcs long, backs long, heads long, n_tokens long, "
+             "n_known long, base double, model double")
 
 
 def token_hashes(words) -> np.ndarray:
@@ -61,13 +56,24 @@ def token_hashes(words) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def ngram_keys(*tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each n-gram, from the numbers of its tokens."""
+    key = np.full(len(tokens[0]), len(tokens), np.uint64)
+    for t in tokens:
+        key = (key ^ t.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 @dataclass
 class Unigrams:
     """The common tokens, by ascending hash, with their training counts."""
 
     tokens: np.ndarray
     counts: np.ndarray
-    frequent: np.ndarray  # which of them take part in n-grams
+    frequent: np.ndarray | None  # which of them take part in n-grams; None: these and all rare ones
     total: int  # training tokens
     distinct: int  # distinct training tokens
     ids: dict = field(default_factory=dict)  # of words met so far
@@ -78,6 +84,14 @@ class Unigrams:
     def log_weight(self, count) -> np.ndarray:
         return np.log10((count + ADD) / (self.total + ADD * (self.distinct + 1)))
 
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """The 64-bit number of each token."""
+        at = np.array(self.look_up(words), np.int64)
+        out = self.tokens[at] if len(self.tokens) else np.zeros(len(at), np.int64)
+        rare = np.flatnonzero(at < 0)
+        out[rare] = token_hashes([words[k] for k in rare.tolist()])
+        return out
+
     def look_up(self, words: list[bytes]) -> list[int]:
         """The number of each token, -1 for a rare one."""
         out = list(map(self.ids.get, words))
@@ -92,89 +106,21 @@ class Unigrams:
         return out
 
 
-class BackoffAutomaton:
-    """States are contexts; 0 is the empty one."""
-
-    REMEMBERED = 1_000_000
-
-    def __init__(self, unigrams: Unigrams, bigrams: dict, trigrams: dict, texts: int, discount: float = DISCOUNT):
-        """``bigrams`` by (a, b), ``trigrams`` by (a, b, c); the number of common
-        tokens stands for the start of a text."""
-        self.size = len(unigrams.tokens) + 2
-        start = len(unigrams.tokens)
-        weights = unigrams.log_weight(unigrams.counts)
-        followers: dict[tuple, dict[int, int]] = {}
-        for (a, b), n in bigrams.items():
-            followers.setdefault((a,), {})[b] = n
-        for (a, b, w), n in trigrams.items():
-            followers.setdefault((a, b), {})[w] = n
-        contexts = sorted(followers, key=lambda h: (len(h), h))
-        state = {h: i + 1 for i, h in enumerate(contexts)}
-        self.fail = [0] * (len(contexts) + 1)
-        self.back = [0.0] * (len(contexts) + 1)
-        self.weights: dict[int, float] = {}
-        self.next: dict[int, int] = {}
-        unigram = {i: float(x) for i, x in enumerate(weights)}
-        own: dict[tuple, dict[int, float]] = {}
-        for h in contexts:
-            total = texts if h == (start,) else unigrams.counts[h[0]] if len(h) == 1 else bigrams[h]
-            s, mass, left = state[h], 0.0, 0.0
-            own[h] = {}
-            for w, n in followers[h].items():
-                p = max(n - discount, 1e-9) / float(total)
-                own[h][w] = self.weights[s * self.size + w] = math.log10(p)
-                self.next[s * self.size + w] = state.get((h[-1], w)) or state.get((w,), 0)
-                mass += p
-                left += 10 ** self._lower(h[1:], w, own, state, unigram)
-            # what the kept followers leave over, spread as after the shorter context
-            self.back[s] = math.log10(max(1 - mass, 1e-9) / max(1 - left, 1e-9))
-            self.fail[s] = state.get(h[1:], 0)
-        for w, x in unigram.items():
-            self.weights[w] = x
-            self.next[w] = state.get((w,), 0)
-        self.start = state.get((start,), 0)
-        self.memory: dict[int, tuple[float, int]] = {}
-
-    def _lower(self, h: tuple, w: int, own: dict, state: dict, unigram: dict) -> float:
-        """The weight of ``w`` after a context, with backoff."""
-        weight = 0.0
-        while h:
-            if h in own:
-                if w in own[h]:
-                    return weight + own[h][w]
-                weight += self.back[state[h]]
-            h = h[1:]
-        return weight + unigram[w]
+@dataclass
+class Weights:
+    """The frequent n-grams, by ascending key: what each adds as the end of a
+    text's n-gram and as a context."""
 
-    def __getstate__(self):
-        return {**self.__dict__, "memory": {}}
-
-    def step(self, state: int, token: int) -> tuple[float, int]:
-        """Weight and next state; a rare token (-1) falls to the empty context,
-        its own weight not counted."""
-        weight = 0.0
-        if token < 0:
-            while state:
-                weight += self.back[state]
-                state = self.fail[state]
-            return weight, 0
-        while (arc := state * self.size + token) not in self.weights:
-            weight += self.back[state]
-            state = self.fail[state]
-        return weight + self.weights[arc], self.next[arc]
-
-    def score(self, tokens: list[int]) -> float:
-        """The weight of a text's tokens, rare ones' own weights left out."""
-        memory, size, state, total = self.memory, self.size, self.start, 0.0
-        if len(memory) > self.REMEMBERED:
-            memory.clear()
-        for t in tokens:
-            key = state * size + t + 1
-            if (found := memory.get(key)) is None:
-                found = memory[key] = self.step(state, t)
-            total += found[0]
-            state = found[1]
-        return total
+    keys: np.ndarray
+    arcs: np.ndarray
+    backs: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, and which of them are held."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -206,89 +152,134 @@ def token_counts(rows: DataFrame, held_out_of: int) -> DataFrame:
 
 
 def ngram_counts(rows: DataFrame, unigrams: Unigrams, held_out_of: int) -> DataFrame:
-    """``order, ngram, n``: bigrams and trigrams of frequent tokens in the
-    training texts; an n-gram is the number of its tokens in base ``2**21``."""
+    """``a, b, c, n``: bigrams (``c`` is null) and trigrams of the training texts."""
     held = rows.sparkSession.sparkContext.broadcast(unigrams)
+    start = token_hashes([START])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
-        start = len(known.tokens)
-        # a rare or infrequent token ends every n-gram; the start of a text does not
-        frequent = np.append(known.frequent, [True, False])
-        gathered: dict[int, list[np.ndarray]] = {2: [], 3: []}
+        allowed = None if known.frequent is None else np.append(known.tokens[known.frequent], start)
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
 
         def hand_on():
-            for order, arrays in gathered.items():
-                if arrays:
-                    grams, n = np.unique(np.concatenate(arrays), return_counts=True)
-                    for at in range(0, len(grams), GATHERED):
-                        part = grams[at:at + GATHERED]
-                        yield batch(_NGRAM, np.full(len(part), order), part, n[at:at + GATHERED])
-                arrays.clear()
-
+            x, text = (np.concatenate(arrays) for arrays in zip(*gathered))
+            gathered.clear()
+            ok = np.ones(len(x), bool) if allowed is None else np.isin(x, allowed)
+            two = (text[:-1] == text[1:]) & ok[:-1] & ok[1:]
+            three = two[:-1] & two[1:]
+            for places, order in ((np.flatnonzero(two), 2), (np.flatnonzero(three), 3)):
+                _, first, n = np.unique(ngram_keys(*[x[places + k] for k in range(order)]), return_index=True,
+                                        return_counts=True)
+                for at in range(0, len(first), GATHERED):
+                    part = places[first[at:at + GATHERED]]
+                    last = x[part + 2] if order == 3 else pa.nulls(len(part), pa.int64())
+                    yield batch(_NGRAM, x[part], x[part + 1], last, n[at:at + GATHERED])
+
+        size, number = 0, 0
         for b in batches:
-            tokens: list[int] = []
+            words, lengths = [], []
             for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 if crc_mod_of(doc, held_out_of):
-                    tokens.append(start)
-                    tokens += known.look_up([*space_words(data), END])
-                    tokens.append(-1)
-            ids = np.array(tokens, np.int64)
-            good = frequent[ids] if len(ids) else np.zeros(0, bool)
-            # nothing goes on to the start of a text
-            first = good & (ids != start)
-            two = good[:-1] & first[1:]
-            gathered[2].append((ids[:-1][two] << 21) | ids[1:][two])
-            three = two[:-1] & first[2:]
-            gathered[3].append((ids[:-2][three] << 42) | (ids[1:-1][three] << 21) | ids[2:][three])
-            if sum(len(a) for arrays in gathered.values() for a in arrays) > 4 * GATHERED:
+                    text = [START, *space_words(data), END]
+                    words += text
+                    lengths.append(len(text))
+            if words:
+                gathered.append((known.hashes(words), np.repeat(np.arange(number, number + len(lengths)), lengths)))
+                size, number = size + len(words), number + len(lengths)
+            if size > 4 * GATHERED:
                 yield from hand_on()
-        yield from hand_on()
+                size = 0
+        if gathered:
+            yield from hand_on()
+
+    return map_batches(rows, run, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, with the key of the n-gram in these columns."""
+    names = df.columns
 
-    counted = map_batches(rows, run, "order int, ngram long, n long")
-    return counted.groupBy("order", "ngram").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = ngram_keys(*[b.column(names.index(k)).to_numpy(zero_copy_only=False) for k in columns])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*names, "key"])
+
+    kinds = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    return map_batches(df, run, f"{kinds}, key long")
+
+
+def ngram_weights(kept: DataFrame, counts: DataFrame, unigrams: Unigrams, texts: int) -> DataFrame:
+    """``key, n, arc, back`` of each kept n-gram and of each token that is a context."""
+    start = int(token_hashes([START])[0])
+    seen = counts.where("n_train > 0")
+    totals = seen.select(F.col("token").alias("a"), F.col("n_train").alias("total")).union(
+        kept.sparkSession.createDataFrame([(start, texts)], "a long, total long"))
+    below = seen.select(F.col("token").alias("b"), ((F.col("n_train") + F.lit(ADD)) / F.lit(
+        unigrams.total + ADD * (unigrams.distinct + 1))).alias("q"))
+
+    def back(p: str, q: str) -> Column:
+        # what the kept followers leave over, spread as after the shorter context
+        least = F.lit(1e-9)
+        return F.log10(F.greatest(1 - F.sum(p), least) / F.greatest(1 - F.sum(q), least))
+
+    share = F.greatest(F.col("n") - DISCOUNT, F.lit(1e-9)) / F.col("total")
+    two = cut_lineage(kept.where("c is null").join(totals, "a").join(below, "b").select("a", "b", "n", share.alias("p"), "q"))
+    three = kept.where("c is not null").join(two.select("a", "b", F.col("n").alias("total")), ["a", "b"]).join(
+        two.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("p").alias("q")), ["b", "c"])
+    three = cut_lineage(three.select("a", "b", "c", "n", share.alias("p"), "q"))
+    one = two.groupBy("a").agg(back("p", "q").alias("back"), F.sum("n").alias("n"))
+    pair = three.groupBy("a", "b").agg(back("p", "q").alias("back"))
+    added = F.log10("p") - F.log10("q") - F.col("back")
+    backs = F.coalesce("after", F.lit(0.0)).alias("back")
+    arcs2 = two.join(one.select("a", "back"), "a").select("a", "b", "n", added.alias("arc")).join(
+        pair.withColumnRenamed("back", "after"), ["a", "b"], "left").select("a", "b", "n", "arc", backs)
+    arcs3 = three.join(pair, ["a", "b"]).select("a", "b", "c", "n", added.alias("arc"), F.lit(0.0).alias("back"))
+    single = one.select("a", "n", F.lit(0.0).alias("arc"), "back")
+    parts = [_keyed(x, k).select("key", "n", "arc", "back") for x, k in ((single, ["a"]), (arcs2, ["a", "b"]),
+                                                                         (arcs3, ["a", "b", "c"]))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @dataclass
 class LanguageModel:
     unigrams: Unigrams
-    automaton: BackoffAutomaton
+    weights: Weights
     counts_path: str  # the counts of all tokens
+    weights_path: str  # the weights of all n-grams
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_of: int = HELD_OUT_OF,
-        common: int = COMMON, least_common: int = LEAST_COMMON, vocabulary: int = VOCABULARY, ngrams: int = NGRAMS,
-        least_ngram: int = LEAST_NGRAM) -> LanguageModel:
+        common: int = COMMON, least_common: int = LEAST_COMMON, vocabulary: int | None = None, ngrams: int | None = None,
+        least_ngram: int = LEAST_NGRAM, held: int = HELD) -> LanguageModel:
     """Learn from the rows whose ``crc32(doc_id) mod held_out_of`` is not 0.
-    Null and empty texts are an end alone; repeated rows count each time."""
+    Null and empty texts are an end alone; repeated rows count each time.
+
+    ``vocabulary`` and ``ngrams``, if given, keep only n-grams of common tokens
+    with a share of at least 1/``vocabulary``, or that occur once in ``ngrams`` tokens.
+    """
     spark = docs.sparkSession
     rows = _rows(docs, id_column, text_column)
     path = scratch_path(spark, "token-counts")
     token_counts(rows, held_out_of).write.parquet(path)
     counts = spark.read.schema("token long, n_all long, n_train long").parquet(path)
-    everything, total, distinct = counts.agg(
+    end = int(token_hashes([END])[0])
+    everything, total, distinct, texts = counts.agg(
         F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)),
-        F.count(F.when(F.col("n_train") > 0, 1))).first()
+        F.count(F.when(F.col("n_train") > 0, 1)),
+        F.coalesce(F.sum(F.when(F.col("token") == end, F.col("n_train"))), F.lit(0))).first()
     # at most ``common`` tokens have that share
     top = counts.where(F.col("n_all") >= max(least_common, everything / common)).toArrow().sort_by("token")
-    unigrams = Unigrams(top.column("token").to_numpy(), top.column("n_train").to_numpy(),
-                        top.column("n_all").to_numpy() >= everything / vocabulary, total, distinct)
-    if len(unigrams.tokens) >= 1 << 21:
-        raise ValueError("common must be below 2**21")
-    # at most ``ngrams`` of each order are that frequent
-    kept = ngram_counts(rows, unigrams, held_out_of).where(F.col("n") >= max(least_ngram, total / ngrams)).toArrow()
-    order, grams, n = (kept.column(x).to_numpy() for x in ("order", "ngram", "n"))
-    mask = (1 << 21) - 1
-    pairs = {(g >> 21, g & mask): k for g, k in zip(grams[order == 2].tolist(), n[order == 2].tolist())}
-    triples = {(g >> 42, (g >> 21) & mask, g & mask): k
-               for g, k in zip(grams[order == 3].tolist(), n[order == 3].tolist())}
-    end = token_hashes([END])[0]
-    at = int(np.searchsorted(unigrams.tokens, end))
-    texts = int(unigrams.counts[at]) if at < len(unigrams.tokens) and unigrams.tokens[at] == end else 0
-    if not texts:  # too few texts for the end to be common: none is a start either
-        pairs = {k: v for k, v in pairs.items() if k[0] != len(unigrams.tokens)}
-        triples = {k: v for k, v in triples.items() if k[0] != len(unigrams.tokens)}
-    return LanguageModel(unigrams, BackoffAutomaton(unigrams, pairs, triples, texts), path)
+    frequent = None if vocabulary is None else top.column("n_all").to_numpy() >= everything / vocabulary
+    unigrams = Unigrams(top.column("token").to_numpy(), top.column("n_train").to_numpy(), frequent, total, distinct)
+    least = least_ngram if ngrams is None else max(least_ngram, total / ngrams)
+    kept = cut_lineage(ngram_counts(rows, unigrams, held_out_of).where(F.col("n") >= least))
+    weights_path = scratch_path(spark, "ngram-weights")
+    ngram_weights(kept, counts, unigrams, texts).write.parquet(weights_path)
+    # at most ``held`` n-grams of each order are that frequent
+    often = spark.read.schema("key long, n long, arc double, back double").parquet(weights_path).where(
+        F.col("n") >= total / held).drop("n").toArrow().sort_by("key")
+    weights = Weights(*[often.column(x).to_numpy() for x in ("key", "arc", "back")])
+    return LanguageModel(unigrams, weights, path, weights_path)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text",
@@ -302,16 +293,17 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
     null id is held out; repeated rows repeat; other columns are not read; an
     empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.unigrams, model.automaton))
+    held = docs.sparkSession.sparkContext.broadcast((model.unigrams, model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, automaton = held.value
+        known, held_weights = held.value
         weights = known.log_weight(known.counts)
         in_training = known.counts > 0
         for b in batches:
             heads: list[tuple] = []
             parts: list[tuple] = []
             rare_words: list[bytes] = []
+            asked: list[tuple] = []
             for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 crc = zlib.crc32(data)
                 words = space_words(data)
@@ -321,30 +313,57 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
                 a = a[a >= 0]
                 # a key of its own for the join: it meets no token
                 own = ((doc or 0) * 0x9E3779B97F4A7C15 + crc) % (1 << 63)
-                heads.append((doc, crc, own, 0, 1, len(ids), int(in_training[a].sum()), float(weights[a].sum()),
-                              automaton.score(ids)))
+                base = float(weights[a].sum())
+                x = known.hashes([START, *words])
+                # n-grams end at every token, and are contexts of all but the last
+                one, two, three = ngram_keys(x[:-1]), ngram_keys(x[:-1], x[1:]), ngram_keys(x[:-2], x[1:-1], x[2:])
+                keys = np.concatenate([one, two, three])
+                arcs = np.repeat([0, 1, 1], [len(one), len(two), len(three)])
+                backs = np.repeat([1, 1, 0], [len(one), len(two), len(three)])
+                backs[len(one) + len(two) - 1] = 0
+                at, found = held_weights.find(keys)
+                more = 0.0
+                if found.any():
+                    at = at[found]
+                    more = float((held_weights.arcs[at] * arcs[found] + held_weights.backs[at] * backs[found]).sum())
+                heads.append((doc, crc, own, 0, 0, 0, 1, len(ids), int(in_training[a].sum()), base, base + more))
+                if not found.all():
+                    keys, place = np.unique(keys[~found], return_inverse=True)
+                    asked.append((doc, crc, keys, np.bincount(place, arcs[~found]), np.bincount(place, backs[~found])))
                 if len(a) < len(ids):
                     rare = Counter(w for w, i in zip(words, ids) if i < 0)
                     rare_words += rare
                     parts += [(doc, crc, n) for n in rare.values()]
             yield batch(_PART, *zip(*heads))
+            if asked:
+                sizes = [len(x[2]) for x in asked]
+                doc, crc = (np.repeat(np.array([x[k] for x in asked], object), sizes) for k in (0, 1))
+                keys, ends, contexts = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
+                zero = np.zeros(len(keys), np.int64)
+                yield batch(_PART, doc, crc, keys, zero, ends.astype(np.int64), contexts.astype(np.int64), zero, zero, zero,
+                            np.zeros(len(keys)), np.zeros(len(keys)))
             if parts:
                 doc, crc, n = zip(*parts)
-                zero = np.zeros(len(parts))
-                yield batch(_PART, doc, crc, token_hashes(rare_words), n, zero.astype(int), zero.astype(int),
-                            zero.astype(int), zero, zero)
+                zero = np.zeros(len(parts), np.int64)
+                yield batch(_PART, doc, crc, token_hashes(rare_words), n, zero, zero, zero, zero, zero,
+                            np.zeros(len(parts)), np.zeros(len(parts)))
 
     parts = map_batches(_rows(docs, id_column, text_column), run, _PART_SQL)
-    counts = docs.sparkSession.read.schema("token long, n_all long, n_train long").parquet(model.counts_path)
+    read = docs.sparkSession.read
+    counts = read.schema("token long, n_all long, n_train long").parquet(model.counts_path).where("n_train > 0")
+    grams = read.schema("key long, n long, arc double, back double").parquet(model.weights_path)
     u = model.unigrams
-    # keys of the join are rare tokens and heads, so none is frequent
-    joined = parts.join(counts.where("n_train > 0").select("token", "n_train"), "token", "left")
+    table = counts.select("token", "n_train", F.lit(0.0).alias("arc"), F.lit(0.0).alias("back")).union(
+        grams.select("key", F.lit(0).cast("long"), "arc", "back"))
+    # keys of the join are heads, rare tokens and n-grams that tasks do not hold, so none is frequent
+    joined = parts.join(table, "token", "left")
     n = F.coalesce("n_train", F.lit(0))
     weight = F.log10((n + F.lit(ADD)) / F.lit(u.total + ADD * (u.distinct + 1)))
+    fetched = F.coalesce(F.col("arc") * F.col("arcs") + F.col("back") * F.col("backs"), F.lit(0.0))
     summed = joined.groupBy("doc_id", "text_crc").agg(
         F.sum("heads").alias("heads"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum("base").alias("base"), F.sum("model").alias("model"),
+        F.sum("base").alias("base"), F.sum(F.col("model") + fetched).alias("model"),
         F.sum(F.when(F.col("times") > 0, weight * F.col("times")).otherwise(0.0)).alias("rare"))
     heads = F.col("heads")
     copies = summed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), heads.cast("int"))))

@@ -107,3 +107,16 @@ def test_tokens_beat_unigrams_on_unseen_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score(docs, lm.fit(docs)).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got.s > got.b
+
+
+def test_every_frequent_enough_ngram_counts(spark, rows):
+    """N-grams of rare tokens, and those that tasks do not hold, count like others."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = Plain(rows, 10**9, 1, 10**9, 10**9, 2)
+    assert any(w and w.startswith("r") for g in plain.grams for w in g)
+    for held in (1, 20):
+        model = lm.fit(docs, common=20, least_common=3, least_ngram=2, held=held)
+        got = sorted((r.doc_id or 0, r.n_tokens, r.score) for r in lm.score(docs, model).collect())
+        want = sorted((d or 0, len(tokens(t)), plain.score(t)) for d, t in rows)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
