@@ -18,8 +18,8 @@ from tabweave.plans.catalog import query, rounded
 from tabweave.plans.workbook_writer import workbook_bytes
 from tabweave.sources.workbooks import read_workbooks
 
-# rows of one derived workbook, far below a sheet's limit
-WORKBOOK_ROWS = 50_000
+# rows of one derived workbook: few, so that books spread over tasks with the table
+WORKBOOK_ROWS = 500
 
 
 @query("load_excel", """

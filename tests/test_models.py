@@ -194,3 +194,15 @@ def test_model_queries_run_the_defaults(monkeypatch):
     for name in [*names, "compare_models", "list_models", "model_feature_importance"]:
         ENTRIES[name].build(SimpleNamespace(spark=None))
     assert len(seen) == len(names) + 4 and all(x == (None, None) for x in seen)
+
+
+def test_workbooks_spread_over_tasks(spark, monkeypatch):
+    """Books of a few hundred rows, so that no task builds the whole table."""
+    from tabweave.plans import models
+    from tabweave.plans.catalog import ENTRIES, Tables
+
+    books = []
+    monkeypatch.setattr(models, "read_workbooks", lambda files: books.append(files.count()))
+    customers = Tables(spark, "/root/testdata/sf0.01")
+    ENTRIES["load_excel"].build(customers)
+    assert books[0] >= customers.customer.count() / 500
