@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import decontaminate, jaccard, knn, lines, lm, packing, planes, quality, token_counts, toxicity
+from tabweave.llm import (decontaminate, jaccard, knn, lines, lm, merkle, packing, planes, quality, token_counts,
+                          toxicity)
 from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
@@ -102,6 +103,16 @@ def op10_toxicity(spark, folder):
         F.col("p_toxic").alias("score"), (F.col("p_toxic") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op12_merkle_manifest(spark, folder):
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) == 0
+    made = merkle.documents_manifest(table(spark, folder, "documents"), tampered)
+    siblings = F.flatten(F.transform("proof", lambda step: step["others"]))
+    return merkle.row_proofs(made).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.array_join(siblings, "").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 #: floor(1024 * x) of every component, all pairs of a query with the rows of its length
 SQL["op9_exact_top_k"] = """
 with v as (
@@ -116,3 +127,53 @@ s as (
   where q.vec_id % 100 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
+
+
+#: levels by recursion; a sibling is kept behind its side's digit, and the fold runs along the list of them
+SQL["op12_merkle_manifest"] = """
+with recursive docs as (
+  select doc_id, lang, row_number() over () as row_no, n_chars,
+         coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') as before_n,
+         coalesce(strlen(text) || ':' || text, '-') as after_n,
+         list_reduce(
+           list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint))),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as crc
+  from documents),
+hashed as (
+  select *, sha256(before_n || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || after_n) as leaf,
+         case when xor(crc, 4294967295) % 7 = 0
+              then sha256(before_n || coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') || after_n)
+              end as claimed
+  from docs),
+langs as (select lang, row_number() over (order by lang nulls first) - 1 as tree from (select distinct lang from docs)),
+leaves as (
+  select h.*, l.tree, row_number() over (partition by l.tree order by doc_id nulls first, leaf, row_no) - 1 as rank
+  from hashed h join langs l on h.lang is not distinct from l.lang),
+nodes as (
+  select tree, 0 as level, rank, leaf as digest, count(*) over (partition by tree) as n from leaves
+  union all
+  select tree, level + 1, rank // 2, sha256(string_agg(digest, '' order by rank)), (n + 1) // 2
+  from nodes where n > 1 group by tree, level, rank // 2, n),
+tops as (
+  select 0 as level, tree as rank, digest, count(*) over () as n from nodes where n = 1
+  union all
+  select level + 1, rank // 2, sha256(string_agg(digest, '' order by rank)), (n + 1) // 2
+  from tops where n > 1 group by level, rank // 2, n),
+steps as (
+  select l.row_no, a.level, ((l.rank >> a.level) % 2) || coalesce(b.digest, '') as step
+  from leaves l join nodes a on a.tree = l.tree and a.rank = l.rank >> a.level and a.n > 1
+  left join nodes b on b.tree = a.tree and b.level = a.level and b.rank = xor(a.rank, 1)
+  union all
+  select l.row_no, 1000 + a.level, ((l.tree >> a.level) % 2) || coalesce(b.digest, '')
+  from leaves l join tops a on a.rank = l.tree >> a.level and a.n > 1
+  left join tops b on b.level = a.level and b.rank = xor(a.rank, 1)),
+ways as (select row_no, list(step order by level) as way from steps group by row_no),
+proved as (
+  select l.doc_id, l.leaf, s.digest as subroot, t.digest as root,
+         sha256(array_to_string(list_transform(coalesce(w.way, []), lambda x: x[2:]), '')) as proof_sha256,
+         list_reduce(list_prepend(coalesce(l.claimed, l.leaf), coalesce(w.way, [])),
+           lambda d, x: sha256(case when x[1] = '0' then d || x[2:] else x[2:] || d end)) as folded_root
+  from leaves l left join ways w using (row_no) join nodes s on s.tree = l.tree and s.n = 1 join tops t on t.n = 1)
+select *, folded_root = root as verified from proved"""
