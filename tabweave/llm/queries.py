@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import (decontaminate, jaccard, knn, lines, lm, merkle, packing, planes, quality, token_counts,
-                          toxicity)
+from tabweave.llm import (decontaminate, jaccard, knn, lines, lm, merkle, packing, phrases, planes, quality,
+                          token_counts, toxicity)
 from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
@@ -113,6 +113,11 @@ def op12_merkle_manifest(spark, folder):
         F.sha2(F.array_join(siblings, "").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+@query
+def op13_phrase_collocations(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 #: floor(1024 * x) of every component, all pairs of a query with the rows of its length
 SQL["op9_exact_top_k"] = """
 with v as (
@@ -177,3 +182,44 @@ proved as (
            lambda d, x: sha256(case when x[1] = '0' then d || x[2:] else x[2:] || d end)) as folded_root
   from leaves l left join ways w using (row_no) join nodes s on s.tree = l.tree and s.n = 1 join tops t on t.n = 1)
 select *, folded_root = root as verified from proved"""
+
+
+#: words with their piece's number, so that neighbours in a piece follow each other
+SQL["op13_phrase_collocations"] = r"""
+with pieces as (
+  select lang, row_number() over () as piece_no, piece from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+listed as (select lang, piece_no, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+words as (select lang, piece_no, unnest(words) as w1, unnest(range(len(words))) as place from listed),
+grams as (
+  select lang, w1, lead(w1) over near as w2, lead(w1, 2) over near as w3 from words
+  window near as (partition by lang, piece_no order by place)),
+one as (select lang, w1 as p, count(*) as f from grams group by all),
+two as (select lang, w1, w2, w1 || ' ' || w2 as p, count(*) as f from grams where w2 is not null group by all),
+three as (select lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 as p, count(*) as f from grams where w3 is not null group by all),
+cuts as (
+  select t.lang, t.p, t.f as a, 1 as k, x.f as l, y.f as r
+  from two t join one x on x.lang = t.lang and x.p = t.w1 join one y on y.lang = t.lang and y.p = t.w2 where t.f >= 10
+  union all
+  select t.lang, t.p, t.f, 1, x.f, y.f
+  from three t join one x on x.lang = t.lang and x.p = t.w1 join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+  where t.f >= 10
+  union all
+  select t.lang, t.p, t.f, 2, x.f, y.f
+  from three t join two x on x.lang = t.lang and x.w1 = t.w1 and x.w2 = t.w2 join one y on y.lang = t.lang and y.p = t.w3
+  where t.f >= 10),
+scored as (
+  select *, cast(1000000 * cast(a as hugeint) * a // (cast(l as hugeint) * r) as bigint) as score from cuts),
+lowest as (select * from scored qualify row_number() over (partition by lang, p order by score, k) = 1),
+around as (
+  select lang, w1 || ' ' || w2 as p, f from three where f >= 10
+  union all select lang, w2 || ' ' || w3, f from three where f >= 10),
+widest as (select lang, p, max(f) as most from around group by all),
+kept as (
+  select s.* from lowest s left join widest w on w.lang = s.lang and w.p = s.p where w.most is null or 100 * w.most < 50 * s.a),
+totals as (select lang, count(*) as n from words group by lang)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, p) as rank, p as phrase, a, l, r, n, score
+from kept k join totals t on t.lang = k.lang
+qualify rank <= 2000"""
