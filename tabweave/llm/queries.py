@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import (decontaminate, jaccard, knn, lines, lm, merkle, packing, phrases, planes, quality,
-                          token_counts, toxicity)
+from tabweave.llm import (decontaminate, jaccard, knn, language, lines, lm, merkle, packing, phrases, planes,
+                          quality, token_counts, toxicity)
 from tabweave.llm.text import crc_mod
 from tabweave.session import scratch_path
 
@@ -103,6 +103,14 @@ def op10_toxicity(spark, folder):
         F.col("p_toxic").alias("score"), (F.col("p_toxic") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op11_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.fit(docs, language.learned(F.col("doc_id"))))
+    held = crc_mod(F.col("doc_id"), language.HELD_OUT_OF) == language.HELD_OUT
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op12_merkle_manifest(spark, folder):
     tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) == 0
