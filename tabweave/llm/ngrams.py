@@ -6,8 +6,9 @@ rules out; the sieve is a Bloom filter of bounded size and may let some through,
 but what is let through is counted exactly.
 
 Tasks hand on stripes: a prefix once, with a counter of the words after it.
-Merging adds stripes word by word.  The stripe of a prefix that makes up more
-than 1/``HEAD`` of the corpus travels in ``SEGMENTS`` parts, by the next word.
+Stripes travel as the text of a whole bucket of prefixes, and merging adds them
+word by word.  The stripe of a prefix that makes up more than 1/``HEAD`` of the
+corpus is dealt to all buckets, by the next word.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.text import map_batches
+from tabweave.llm.text import batch, map_batches
 from tabweave.session import cut_lineage
 
 HEAD = 4096
-SEGMENTS = 64
+# buckets that stripes are dealt to, at least
+BUCKETS = 1024
 # tokens that a task gathers before it hands stripes on
 GATHERED = 2_000_000
 # texts are split into tokens in pieces of about so many bytes
@@ -42,9 +44,11 @@ BREAK = b" "
 #: all groups of a batch, with the tokens of their texts, ``BREAK`` between texts
 Tokens = Callable[[pa.RecordBatch, int], Iterator[tuple[str, list[bytes]]]]
 
-_STRIPE = pa.schema([("grp", pa.string()), ("prefix", pa.string()), ("segment", pa.int32()), ("nexts", pa.string()),
-                     ("counts", pa.list_(pa.int64()))])
-_STRIPE_SQL = "grp string, prefix string, segment int, nexts string, counts array<long>"
+# a word never holds a space, tab or line end: those part the entries, prefixes and stripes of
+# a bucket, and this one a word from its count
+COUNT = b"\x0b"
+_STRIPES = pa.schema([("grp", pa.string()), ("bucket", pa.int32()), ("stripes", pa.string())])
+_STRIPES_SQL = "grp string, bucket int, stripes string"
 _PLACE = pa.schema([("place", pa.int64())])
 
 
@@ -119,8 +123,8 @@ def make_sieve(kept: DataFrame, words: int, n: int) -> np.ndarray:
 
 
 def _stripes(group: str, tokens: pa.DictionaryArray, words: int, sieve: np.ndarray | None,
-             heads: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """The stripes of one group's tokens: counters of n-grams of ``words`` words by prefix."""
+             heads: set[tuple[str, str]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The stripes of one group's tokens, by bucket: counters of n-grams of ``words`` words by prefix."""
     names = tokens.dictionary
     ids = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     size = len(names)
@@ -147,30 +151,31 @@ def _stripes(group: str, tokens: pa.DictionaryArray, words: int, sieve: np.ndarr
         found, counts = np.unique((inverse[:-1] * size + ids[2:])[here[:-1] & here[1:]], return_counts=True)
         prefix, last = found // size, found % size
         prefixes = lambda k: (listed[first[k]] + b" " + listed[second[k]]).decode()
+    if not len(last):
+        return
+    # one stripe a prefix; a head's entries go to stripes of their own in many buckets
     edges = np.flatnonzero(np.diff(prefix, prepend=-1, append=-1))
-    rows = []
-    part_of = None
-    for start, end in zip(edges[:-1], edges[1:]):
-        name = prefixes(prefix[start])
-        if (group, name) in heads:
-            if part_of is None:
-                part_of = (word_hashes("", listed) % np.uint64(SEGMENTS)).astype(np.int64)
-            parts = part_of[last[start:end]]
-            for s in np.unique(parts):
-                at = start + np.flatnonzero(parts == s)
-                rows.append((group, name, int(s), last[at], counts[at]))
-        else:
-            rows.append((group, name, 0, last[start:end], counts[start:end]))
-        if len(rows) >= 20_000 or end == len(prefix):
-            offsets = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-            nexts = pa.ListArray.from_arrays(pa.array(offsets), names.cast(pa.string()).take(
-                pa.array(np.concatenate([r[3] for r in rows]))))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.int32()), pc.binary_join(nexts, " "),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[4] for r in rows]).astype(np.int64)))],
-                schema=_STRIPE)
-            rows = []
+    spelled = [prefixes(k) for k in prefix[edges[:-1]]]
+    bucket = (word_hashes(group, [x.encode() for x in spelled]) % np.uint64(buckets)).astype(np.int64).repeat(np.diff(edges))
+    split = np.array([(group, x) in heads for x in spelled]).repeat(np.diff(edges))
+    if split.any():
+        next_hash = (word_hashes("", listed) % np.uint64(buckets)).astype(np.int64)
+        bucket[split] = (bucket[split] + next_hash[last[split]]) % buckets
+    number = np.arange(len(spelled)).repeat(np.diff(edges))
+    order = np.argsort(bucket, kind="stable")
+    bucket, number, last, counts = bucket[order], number[order], last[order], counts[order]
+    edges = np.flatnonzero(np.diff(number, prepend=-1, append=-1) | np.diff(bucket, prepend=-1, append=-1))
+    entries = pc.binary_join_element_wise(names.cast(pa.string()).take(pa.array(last)), pa.array(counts).cast(pa.string()),
+                                          COUNT.decode())
+    lines = pc.binary_join_element_wise(
+        pa.array(spelled, pa.string()).take(pa.array(number[edges[:-1]])),
+        pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), entries), " "), "\t")
+    bucket = bucket[edges[:-1]]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), lines), "\n")
+    for at in range(0, len(rows), 64):
+        part = rows.slice(at, 64)
+        yield batch(_STRIPES, [group] * len(part), bucket[edges[at:at + len(part)]], part)
 
 
 def merged_stripes(docs: DataFrame, tokens: Tokens, words: int, sieve: np.ndarray | None = None,
@@ -179,9 +184,10 @@ def merged_stripes(docs: DataFrame, tokens: Tokens, words: int, sieve: np.ndarra
 
     ``docs`` has the columns that ``tokens`` reads.  ``sieve`` is that of the
     n-grams of one word less; n-grams that it rules out are missing.  ``heads``
-    are the prefixes (group, prefix) whose stripes travel in parts.
+    are the prefixes (group, prefix) whose stripes are dealt to all buckets.
     """
     held: Broadcast = docs.sparkSession.sparkContext.broadcast((sieve, set(heads)))
+    buckets = max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, heads = held.value
@@ -192,7 +198,7 @@ def merged_stripes(docs: DataFrame, tokens: Tokens, words: int, sieve: np.ndarra
                 whole = pa.chunked_array(parts).unify_dictionaries()
                 ids = pa.concat_arrays([x.indices for x in whole.chunks])
                 yield from _stripes(group, pa.DictionaryArray.from_arrays(ids, whole.chunk(0).dictionary), words, sieve,
-                                    heads if words > 1 else {(group, "")})
+                                    heads if words > 1 else {(group, "")}, buckets)
             gathered.clear()
 
         for b in batches:
@@ -205,10 +211,12 @@ def merged_stripes(docs: DataFrame, tokens: Tokens, words: int, sieve: np.ndarra
                     size = 0
         yield from flush()
 
-    keys = ["grp", "prefix", "segment"]
-    pairs = F.explode(F.arrays_zip(F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))).alias("pair")
-    return map_batches(docs, run, _STRIPE_SQL).repartition(*keys).select(*keys, pairs).groupBy(
-        *keys, F.col("pair.next").alias("next")).agg(F.sum("pair.n").alias("n")).drop("segment")
+    lines = map_batches(docs, run, _STRIPES_SQL).repartition("grp", "bucket").select(
+        "grp", "bucket", F.explode(F.split("stripes", "\n")).alias("line"))
+    entries = lines.select("grp", "bucket", F.substring_index("line", "\t", 1).alias("prefix"),
+                           F.explode(F.split(F.substring_index("line", "\t", -1), " ")).alias("entry"))
+    return entries.groupBy("grp", "bucket", "prefix", F.substring_index("entry", COUNT.decode(), 1).alias("next")).agg(
+        F.sum(F.substring_index("entry", COUNT.decode(), -1).cast("long")).alias("n")).drop("bucket")
 
 
 def frequent_ngrams(docs: DataFrame, tokens: Tokens, longest: int, least: int) -> tuple[list[DataFrame], DataFrame]:
