@@ -34,10 +34,12 @@ def tau_b(a, b):
 
 # --- correlation ------------------------------------------------------------
 
-def test_correlations_of_the_sample(people):
-    assert correlation(people, "Nights", "Bill") == pytest.approx(0.4818968187)
-    assert correlation(people, "Nights", "Bill", "spearman") == pytest.approx(0.5826086957)
-    row = get_correlation(people, "Nights", "Bill").first()
+def test_correlations_of_the_sample(trips, trips_pd):
+    both = trips_pd[["Hours", "Load"]].astype(float).dropna()
+    assert correlation(trips, "Hours", "Load") == pytest.approx(both.Hours.corr(both.Load))
+    ranks = both.rank()
+    assert correlation(trips, "Hours", "Load", "spearman") == pytest.approx(ranks.Hours.corr(ranks.Load))
+    row = get_correlation(trips, "Hours", "Load").first()
     assert (row.strength, row.direction) == ("moderate", "positive")
 
 
@@ -194,21 +196,24 @@ def test_selection(numbers):
     assert feature_importance(rows, "target", "mutual_info_regression", bins=5).first().feature == "x1"
 
 
-def test_outliers(people, spark):
-    row = detect_outliers(people, "Bill", threshold=1.0).first()
-    assert row.n_outliers == 1 and row.outlier_max == 1760.0 and row.pct == pytest.approx(10.0)
+def test_outliers(trips, trips_pd, spark):
+    row = detect_outliers(trips, "Load", threshold=1.0).first()
+    load = trips_pd.Load.astype(float).dropna()
+    q1, q3 = load.quantile([0.25, 0.75])
+    far = load[(load < 2 * q1 - q3) | (load > 2 * q3 - q1)]
+    assert row.n_outliers == len(far) > 0 and row.outlier_max == 655.75 and row.pct == pytest.approx(len(far) / 14 * 100)
     flat = detect_outliers(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", "zscore").first()
     assert flat.n_outliers == 0
 
 
 # --- chart tables -----------------------------------------------------------
 
-def test_histogram_and_bins(hot, people):
+def test_histogram_and_bins(hot, trips):
     pdf = hot.toPandas()
     got = histogram(hot, "w", 7).orderBy("bin").collect()
     assert [r["count"] for r in got] == list(np.histogram(pdf.w.dropna(), 7)[0])
     assert sum(r["count"] for r in scatter_bins(hot, "v", "w", "g").collect()) == pdf.w.notna().sum()
-    assert histogram(people.where("i < 0"), "Bill").isEmpty()
+    assert histogram(trips.where("i < 0"), "Load").isEmpty()
 
 
 @pytest.mark.parametrize("by", ["", "g"])
@@ -223,20 +228,24 @@ def test_density_against_all_points(spark, by):
         assert row.density == pytest.approx(want, abs=1e-6)
 
 
-def test_boxes_lines_bars(people, hot):
-    box = box_stats(people, "Bill").first()
-    assert (box.q1, box.median, box.q3, box.whisker_high, box.n_outliers) == (329.5625, 410.0, 930.5, 1760.0, 0)
-    assert {r.Town: r.n for r in box_stats(people, "Bill", "Town").collect()} == {"Cork": 5, "Delft": 3, "Bergen": 1}
-    line = {r.Town: r.mean for r in line_series(people, "Town", "Bill").collect()}
-    assert line["Delft"] == 1037.0 and len(line) == 3
-    assert line_series(people, "Town", ["Bill", "Rating"]).count() == 6
-    shares = {r.Town: (r.S, r.D, r["T"]) for r in stacked_bar(people, "Town", "Class", top_n=2).collect()}
-    assert shares == {"Cork": (60.0, 20.0, 20.0), "Delft": (25.0, 75.0, 0.0)}
+def test_boxes_lines_bars(trips, trips_pd, hot):
+    load = trips_pd.Load.astype(float)
+    box = box_stats(trips, "Load").first()
+    q1, q2, q3 = load.quantile([0.25, 0.5, 0.75])
+    inside = load[load <= q3 + 1.5 * (q3 - q1)]
+    assert (box.q1, box.median, box.q3) == pytest.approx((q1, q2, q3))
+    assert (box.whisker_high, box.n_outliers) == (inside.max(), 14 - len(inside))
+    assert {r.Depot: r.n for r in box_stats(trips, "Load", "Depot").collect()} == {"north": 5, "mill": 2, "quay": 4, "hill": 2}
+    line = {r.Depot: r.mean for r in line_series(trips, "Depot", "Load").collect()}
+    assert line["north"] == 87.0 and len(line) == 4
+    assert line_series(trips, "Depot", ["Load", "Hours"]).count() == 8
+    shares = {r.Depot: (r.bus, r.ferry, r.tram) for r in stacked_bar(trips, "Depot", "Line", top_n=2).collect()}
+    assert shares == {"north": (40.0, 0.0, 60.0), "quay": (25.0, 50.0, 25.0)}
     assert heatmap(hot, "v", "g", "w", "sum").count() == hot.dropna(subset=["g"]).select("v").distinct().count()
     assert heatmap(hot, "v", "g", "w", "sum", top_n=20).count() == 20
     wide = hot.select(*[(F.col("w") + k).alias(f"c{k}") for k in range(8)])
     assert pair_bins(wide, wide.columns).select("x").distinct().count() == 8
-    assert distribution_comparison(people, "Bill", "Town", 2).select("Town").distinct().count() == 2
+    assert distribution_comparison(trips, "Load", "Depot", 2).select("Depot").distinct().count() == 2
 
 
 def test_cumulative_and_qq(hot, spark):
