@@ -4,6 +4,8 @@ after the data have been reduced to a handful of sums."""
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import cache
 from statistics import NormalDist
 
 _NORMAL = NormalDist()
@@ -91,3 +93,46 @@ def kolmogorov_upper(d: float, n: int) -> float:
         return 1.0
     total = sum((-1) ** (k - 1) * math.exp(-2.0 * (k * x) ** 2) for k in range(1, 101))
     return min(1.0, max(0.0, 2.0 * total))
+
+
+# groups of at most this size have exact rank-sum counts in constant space
+SMALL_GROUP = 8
+
+
+@cache
+def _bounded_partitions(parts: int) -> tuple[int, list[int]]:
+    """The period L and the numerator N of 1 / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^parts)) = N / (1 - q^L)^(parts + 1)."""
+    period = math.lcm(*range(1, parts + 1))
+    out = [0] * ((parts + 1) * period)
+    out[0] = 1
+    for step in (1, *range(1, parts + 1)):
+        for j in range(step, len(out)):
+            out[j] += out[j - step]
+        for j in range(len(out) - 1, period - 1, -1):
+            out[j] -= out[j - period]
+    return period, out
+
+
+def _partitions_up_to(t: int, parts: int) -> int:
+    """How many partitions into at most ``parts`` parts the numbers 0 to ``t`` have together."""
+    period, numerator = _bounded_partitions(parts)
+    return sum(numerator[j] * math.comb((t - j) // period + parts, parts)
+               for j in range(t % period, min(t, len(numerator) - 1) + 1, period))
+
+
+def rank_sum_tail(t: int, n1: int, n2: int) -> int:
+    """How many of the C(n1 + n2, n1) ways to rank two groups give Mann and Whitney's U of at most ``t``.
+
+    Their counts are the coefficients of the product over i of
+    (1 - q^(n + i)) / (1 - q^i), i up to the smaller size m.  The numerator has
+    2^m terms; behind it stand partitions into at most m parts, a quasi-polynomial.
+    """
+    m, n = sorted((n1, n2))
+    if m > SMALL_GROUP:
+        raise ValueError(f"one group must have at most {SMALL_GROUP} values")
+    terms = Counter({0: 1})
+    for i in range(1, m + 1):
+        further = Counter({at + n + i: -k for at, k in terms.items() if at + n + i <= t})
+        for at, k in further.items():
+            terms[at] += k
+    return sum(k * _partitions_up_to(t - at, m) for at, k in terms.items() if at <= t) if t >= 0 else 0

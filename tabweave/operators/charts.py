@@ -126,9 +126,11 @@ def line_series(df: DataFrame, x: str, y: str | Sequence[str], hue: str = "") ->
     if use_hue:
         require_columns(df, [hue])
     keys = [x, *([hue] if use_hue else [])]
-    rows = df.where(c(x).isNotNull())
+    # NaN is no value, neither as a place nor in a mean
+    rows = df.where(present(df, x))
     wide = rows.groupBy(*map(c, keys)).agg(*[e for i, n in enumerate(ys) for e in (
-        F.count(c(n)).alias(f"n{i}"), F.avg(c(n)).alias(f"m{i}"), F.stddev_samp(c(n).cast("double")).alias(f"s{i}"))])
+        F.count(without_nan(c(n))).alias(f"n{i}"), F.avg(without_nan(c(n))).alias(f"m{i}"),
+        F.stddev_samp(without_nan(c(n))).alias(f"s{i}"))])
     half = [F.lit(1.96) * F.col(f"s{i}") / F.sqrt(F.col(f"n{i}")) for i in range(len(ys))]
     lines = F.array(*[F.struct(F.lit(n).alias("y"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
                                (F.col(f"m{i}") - half[i]).alias("low"), (F.col(f"m{i}") + half[i]).alias("high"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core import special
-from tabweave.core.checks import c, require_choice, require_columns, require_numeric
+from tabweave.core.checks import c, present, require_choice, require_columns, require_numeric
 from tabweave.core.numeric import div, normal_cdf, normal_quantile, sample_kurtosis, sample_skewness
 from tabweave.core.quantile import grouped_stats
 from tabweave.core.scan import BROADCAST_ROWS, attach, row_numbers, running_totals
@@ -127,10 +127,10 @@ NORMALITY = ("shapiro", "ks", "dagostino")
 
 def normality_test(df: DataFrame, column: str, method: str = "shapiro") -> DataFrame:
     """Shapiro-Wilk, Kolmogorov-Smirnov against the fitted normal, or
-    D'Agostino-Pearson, each over all values."""
+    D'Agostino-Pearson, each over all values that are neither null nor NaN."""
     require_numeric(df, [column])
     require_choice(method, NORMALITY, "method")
-    rows = df.where(c(column).isNotNull())
+    rows = df.where(present(df, column))
     x = c(column).cast("double")
     n, mean, std, g1, g2, skew, kurt = rows.agg(
         F.count(x), F.avg(x), F.stddev_samp(x), F.skewness(x), F.kurtosis(x), sample_skewness(x),
@@ -258,16 +258,27 @@ def _median_by_group(df: DataFrame, column: str, group_column: str) -> DataFrame
         "g", F.col("q_v")[0].alias("median"))
 
 
-def _exact_u(u: float, n1: int, n2: int) -> float:
+# beyond groups of SMALL_GROUP, exact counts fill a list of n1 * n2 + 1 whole numbers on the driver
+MOST_EXACT_CELLS = 1_000_000
+
+
+def _exact_u(u: int, n1: int, n2: int) -> float:
     """Two-sided exact p of Mann and Whitney's U without ties."""
-    counts = [1] + [0] * (n1 * n2)
-    for i in range(1, n1 + 1):  # multiply by (1 - q^(n2+i)) and divide by (1 - q^i)
-        for j in range(len(counts) - 1, n2 + i - 1, -1):
-            counts[j] -= counts[j - n2 - i]
-        for j in range(i, len(counts)):
-            counts[j] += counts[j - i]
-    upper = sum(counts[int(max(u, n1 * n2 - u)):])
-    return min(1.0, 2 * upper / math.comb(n1 + n2, n1))
+    least = min(u, n1 * n2 - u)
+    if min(n1, n2) <= special.SMALL_GROUP:
+        tail = special.rank_sum_tail(least, n1, n2)
+    elif n1 * n2 > MOST_EXACT_CELLS:
+        raise ValueError(f"the exact p takes groups whose sizes multiply to at most {MOST_EXACT_CELLS}, or one of at "
+                         f"most {special.SMALL_GROUP} values; use method='asymptotic'")
+    else:
+        counts = [1] + [0] * (n1 * n2)
+        for i in range(1, n1 + 1):  # multiply by (1 - q^(n2+i)) and divide by (1 - q^i)
+            for j in range(len(counts) - 1, n2 + i - 1, -1):
+                counts[j] -= counts[j - n2 - i]
+            for j in range(i, len(counts)):
+                counts[j] += counts[j - i]
+        tail = sum(counts[:least + 1])
+    return min(1.0, 2 * tail / math.comb(n1 + n2, n1))
 
 
 RANK_METHODS = ("auto", "exact", "asymptotic")
@@ -277,7 +288,8 @@ def mann_whitney_test(df: DataFrame, column: str, group_column: str, method: str
     """U of the first group, two-sided p, rank-biserial correlation.
 
     'auto' takes the exact p where no values are tied and one group has at
-    most 8; its cost on the driver grows with the product of the group sizes.
+    most 8, at a cost that does not depend on the other's size.  'exact' asks
+    for it between larger groups, too, within ``MOST_EXACT_CELLS``.
     """
     require_choice(method, RANK_METHODS, "method")
     rows = _grouped(df, column, group_column)
@@ -289,16 +301,18 @@ def mann_whitney_test(df: DataFrame, column: str, group_column: str, method: str
                                    F.count(F.lit(1)).alias("m"))
     placed = running_totals(counts, ["v"], {"before": "m"})
     m = F.col("m").cast("double")
-    rank = F.col("before") + (m + 1) / 2
-    n1, total, rank_sum, ties = placed.agg(F.sum("n1"), F.sum("m"), F.sum(F.col("n1") * rank),
-                                           F.sum(m * m * m - m)).first()
+    # whole numbers: sums of doubles lose ranks beyond 2^53
+    twice_rank = (2 * F.col("before") + F.col("m") + 1).cast("decimal(19,0)")
+    n1, total, twice_sum, ties = placed.agg(F.sum("n1"), F.sum("m"), F.sum(F.col("n1").cast("decimal(19,0)") * twice_rank),
+                                            F.sum(m * m * m - m)).first()
     n2 = total - n1
     medians = {r.g: r["median"] for r in _median_by_group(df, column, group_column).collect()}
-    u = rank_sum - n1 * (n1 + 1) / 2
+    twice_u = int(twice_sum) - n1 * (n1 + 1)
+    u = twice_u / 2
     if method == "exact" and ties:
         raise ValueError("the exact p needs values without ties")
-    if method == "exact" or (method == "auto" and ties == 0 and min(n1, n2) <= 8):
-        p = _exact_u(u, n1, n2)
+    if method == "exact" or (method == "auto" and ties == 0 and min(n1, n2) <= special.SMALL_GROUP):
+        p = _exact_u(twice_u // 2, n1, n2)
     else:
         variance = n1 * n2 / 12 * ((total + 1) - ties / (total * (total - 1.0)))
         p = None

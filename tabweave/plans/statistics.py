@@ -648,6 +648,31 @@ def _(t):
     return rounded(rounded(rounded(out, 3, ["median_a", "median_b"]), 1, ["u"]), 7, ["rank_biserial"])
 
 
+@query("mann_whitney_exact", """
+    WITH RECURSIVE v AS (
+           SELECT n_regionkey = 0 AS inside, avg(c_acctbal) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey
+           GROUP BY n_nationkey, n_regionkey),
+         r AS (SELECT inside, row_number() OVER (ORDER BY v) AS r FROM v),
+         s AS (SELECT count(*) AS n, count_if(inside) AS n1, (sum(r) FILTER (WHERE inside))::BIGINT AS rank_sum FROM r),
+         sets AS (  -- how many sets of k of the first i ranks have a sum
+           SELECT 0 AS i, 0 AS k, 0 AS total, 1::HUGEINT AS ways
+           UNION ALL
+           SELECT i + 1, k + d, total + d * (i + 1), sum(ways)::HUGEINT FROM sets, (VALUES (0), (1)) AS x(d), s
+           WHERE i < s.n AND k + d <= s.n1 GROUP BY i, k + d, total + d * (i + 1)),
+         u AS (SELECT *, rank_sum - n1 * (n1 + 1) // 2 AS u FROM s),
+         t AS (SELECT sum(ways) AS everything, sum(ways) FILTER (
+                 WHERE total - n1 * (n1 + 1) // 2 <= least(u, n1 * (n - n1) - u)) AS tail
+               FROM sets, u WHERE i = n AND k = n1)
+    SELECT (n - n1)::BIGINT AS n_a, n1::BIGINT AS n_b, (n1 * (n - n1) - u)::DOUBLE AS u,
+           round(least(1, 2 * tail::DOUBLE / everything), 9) AS p_value FROM u, t""")
+def _(t):
+    # mean balances of the nations of one region against all others: few values and no ties
+    nations = t.customer.join(t.nation, F.expr("n_nationkey = c_nationkey")).groupBy("n_nationkey", "n_regionkey").agg(
+        F.avg("c_acctbal").alias("balance")).withColumn("inside", F.col("n_regionkey") == 0)
+    out = mann_whitney_test(nations, "balance", "inside").select("n_a", "n_b", "u", "p_value")
+    return rounded(out, 9, ["p_value"])
+
+
 @query("kruskal_wallis_test", f"""
     WITH r AS {_RANKED.format(g='event_type', v='value', t='events')},
          s AS (SELECT g, count(*)::DOUBLE AS n, sum(r)::DOUBLE AS r FROM r GROUP BY g),

@@ -1,4 +1,6 @@
 import math
+import time
+from collections import Counter
 from itertools import combinations
 from statistics import NormalDist
 
@@ -8,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabweave.core.numeric import normal_quantile
+from tabweave.core.special import rank_sum_tail
 from tabweave.operators.charts import (box_stats, cumulative, density_curve, distribution_comparison, heatmap,
                                        histogram, line_series, pair_bins, qq_line, qq_points, scatter_bins, stacked_bar)
 from tabweave.operators.correlation import correlation, correlation_matrix, get_correlation
-from tabweave.operators.hypothesis import (anova_test, chi_square_test, kruskal_wallis_test, mann_whitney_test,
+from tabweave.operators.hypothesis import (_exact_u, anova_test, chi_square_test, kruskal_wallis_test, mann_whitney_test,
                                            normality_test, ttest_independent)
 from tabweave.operators.metrics import (average_precision, classification_metrics, confusion_matrix,
                                         precision_recall_curve, regression_metrics, roc_auc, roc_curve)
@@ -169,6 +172,58 @@ def test_mann_whitney_exact_and_approximate(spark):
     assert (row.u, row.p_value, row.rank_biserial) == pytest.approx((u, p, 1 - 2 * u / 3000))
 
 
+def test_exact_rank_sums_against_all_counts():
+    """The counts by polynomial multiplication, for every size up to 8 and every tail."""
+    for n1 in range(1, 9):
+        for n2 in (1, 2, 3, 5, 8, 13, 29, 60):
+            counts = [1] + [0] * (n1 * n2)
+            for i in range(1, n1 + 1):
+                for j in range(len(counts) - 1, n2 + i - 1, -1):
+                    counts[j] -= counts[j - n2 - i]
+                for j in range(i, len(counts)):
+                    counts[j] += counts[j - i]
+            sums = np.cumsum(np.array(counts, object))
+            places = {0, 1, 2, n1 * n2 // 3, n1 * n2 // 2, n1 * n2 - 1, n1 * n2} | set(range(0, n1 * n2, 17))
+            for t in (t for t in places if t <= n1 * n2):
+                assert rank_sum_tail(t, n1, n2) == rank_sum_tail(t, n2, n1) == sums[t]
+    assert rank_sum_tail(-1, 3, 4) == 0
+    with pytest.raises(ValueError, match="at most 8"):
+        rank_sum_tail(3, 9, 9)
+
+
+def test_exact_rank_sums_of_a_billion_rows():
+    start = time.perf_counter()
+    n = 10**9
+    everything = math.comb(n + 8, 8)
+    assert rank_sum_tail(8 * n, 8, n) == everything
+    assert rank_sum_tail(4 * n - 1, 8, n) + rank_sum_tail(4 * n, 8, n) == everything  # symmetric
+    assert time.perf_counter() - start < 1
+
+
+def test_exact_p_between_larger_groups_has_a_bound(spark):
+    r = np.random.RandomState(4).permutation(24) + 0.5
+    a, b = r[:11].tolist(), r[11:].tolist()
+    row = mann_whitney_test(groups_frame(spark, a=a, b=b), "v", "g", "exact").first()
+    ranks = np.array(sorted(a + b)).searchsorted(a).sum() + 11
+    ways = Counter({(0, 0): 1})  # sets of ranks by size and sum
+    for i in range(1, 25):
+        ways.update({(k + 1, t + i): w for (k, t), w in ways.items() if k < 11})
+    least = min(row.u, 143 - row.u)
+    tail = sum(w for (k, t), w in ways.items() if k == 11 and t - 66 <= least)
+    assert row.u == ranks - 66 and row.p_value == pytest.approx(2 * tail / math.comb(24, 11))
+    with pytest.raises(ValueError, match="multiply to at most"):
+        _exact_u(5, 2000, 2000)
+
+
+def test_nan_is_no_value_in_normality_and_lines(spark):
+    df = spark.createDataFrame([(float(k % 7), float(v)) for k, v in enumerate(SAMPLE_1)] + [(1.0, math.nan), (math.nan, 3.0)],
+                               "x double, v double")
+    plain = df.where("not isnan(v) and not isnan(x)")
+    for method in ("shapiro", "ks", "dagostino"):
+        assert normality_test(df.where("not isnan(x)"), "v", method).collect() == normality_test(plain, "v", method).collect()
+    assert sorted(line_series(df, "x", "v").collect()) == sorted(line_series(plain, "x", "v").collect())
+
+
 def test_kruskal(spark):
     r = np.random.RandomState(4)
     groups = {k: r.randint(0, 12, 30) + i for i, k in enumerate("abc")}
