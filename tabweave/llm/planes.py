@@ -51,7 +51,9 @@ def to_planes(ids: np.ndarray, level: int = LEVEL) -> list[bytes]:
 
     pack = zstandard.ZstdCompressor(level=level).compress
     width = int(ids.max()).bit_length() if len(ids) else 0
-    return [pack(np.packbits((ids >> k) & 1 if k else ids & 1).tobytes()) for k in range(width)]
+    # byte by byte: a bit of a whole array of bytes is packed fastest
+    places = np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return [pack(np.packbits(places[k // 8] & np.uint8(1 << k % 8)).tobytes()) for k in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
