@@ -56,14 +56,27 @@ def to_planes(ids: np.ndarray, level: int = LEVEL) -> list[bytes]:
     return [pack(np.packbits(places[k // 8] & np.uint8(1 << k % 8)).tobytes()) for k in range(width)]
 
 
-def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    import zstandard
+class Planes:
+    """A block whose planes are decompressed once; any range of its ids can then be read."""
+
+    def __init__(self, planes: list[bytes]):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.planes = [np.frombuffer(unpack(plane), np.uint8) for plane in planes]
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    ids = np.zeros(n, "<u4")
-    for k, plane in enumerate(planes):
-        ids |= np.unpackbits(np.frombuffer(unpack(plane), np.uint8), count=n).astype("<u4") << np.uint32(k)
-    return ids
+    def ids(self, start: int, n: int) -> np.ndarray:
+        first = start // 8
+        skip = start - first * 8
+        ids = np.zeros(n, "<u4")
+        for k, plane in enumerate(self.planes):
+            bits = np.unpackbits(plane[first:-(-(start + n) // 8)], count=skip + n)[skip:]
+            ids |= bits.astype("<u4") << np.uint32(k)
+        return ids
+
+
+def from_planes(planes: list[bytes], n: int) -> np.ndarray:
+    return Planes(planes).ids(0, n)
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS,
@@ -128,7 +141,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     before it), ``n_tokens, ids`` (little-endian unsigned 32-bit).
 
     A document in one block comes straight from it.  Only the documents that
-    cross a block's end, two a block at most, have parts to bring together.
+    cross a block's end, two a block at most, have parts to bring together; of
+    the blocks nothing but those parts is put together a second time.
     """
     def parts(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +150,14 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 for r in b.to_pylist():
                     docs = [d for d in r["docs"] if (d["n"] == d["doc_tokens"]) == whole]
                     if docs:
-                        data = from_planes(r["planes"], r["n_ids"]).tobytes()
+                        block = Planes(r["planes"])
+                        # whole documents lie side by side; of the others a block holds its two ends at most
+                        first, end = (docs[0]["at"], docs[-1]["at"] + docs[-1]["n"]) if whole else (0, 0)
+                        data = block.ids(first, end - first).tobytes()
                         yield batch(_PARTS, [r["shard"]] * len(docs), [r["block"]] * len(docs), *(
                             [d[k] for d in docs] for k in ("doc_id", "row", "doc_tokens", "doc_start", "at")),
-                            [data[d["at"] * 4:(d["at"] + d["n"]) * 4] for d in docs])
+                            [data[(d["at"] - first) * 4:(d["at"] - first + d["n"]) * 4] if whole
+                             else block.ids(d["at"], d["n"]).tobytes() for d in docs])
         return run
 
     blocks = spark.read.schema(_BLOCKS_SQL).parquet(f"{folder}/blocks")
