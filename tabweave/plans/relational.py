@@ -28,6 +28,18 @@ def _(t):
     return load_csv(t.spark, path)
 
 
+@query("load_csv_line_breaks", """
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || '"' || c_mktsegment || '", ' || chr(10) || chr(10) || 'x'
+                           WHEN c_custkey % 3 = 1 THEN c_name || ' "' || c_mktsegment ELSE c_name END AS note,
+           CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer""")
+def _(t):
+    path = scratch_path(t.spark, "notes-csv")
+    note = F.expr("""case c_custkey % 3 when 0 then c_name || '\n"' || c_mktsegment || '", \n\nx'
+                     when 1 then c_name || ' "' || c_mktsegment else c_name end""")
+    save_csv(t.customer.select("c_custkey", note.alias("note"), F.expr("if(c_custkey % 4 = 0, null, c_acctbal)").alias("c_acctbal")), path)
+    return load_csv(t.spark, path)
+
+
 @query("save_csv", """
     SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal,
            CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.core.checks import c
+from tabweave.sources.records import read_records
 
 # The text tokens a CSV reader takes for a missing value.
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -32,13 +33,13 @@ def load_csv(spark: SparkSession, path: str, separator: str = ",", infer: bool =
     """Read CSV files with a header; missing tokens become null, types are
     inferred over all rows (boolean, long, double, else string).
 
-    Files whose quoted values contain line breaks cannot be split; whether
-    that is the case is checked unless ``multiline`` says so.
+    Quoted values may contain line breaks; whether they do is checked unless
+    ``multiline`` says so.  Files are read in parts either way.
     """
     if multiline is None:
         multiline = _records_span_lines(spark, path)
-    raw = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"',
-                         multiLine=multiline, inferSchema=False)
+    raw = (read_records(spark, path, separator) if multiline else
+           spark.read.csv(path, header=True, sep=separator, quote='"', escape='"', inferSchema=False))
     text = raw.select(*[F.when(~c(n).isin(*MISSING_TOKENS), c(n)).alias(n) for n in raw.columns])
     return _with_inferred_types(text) if infer else text
 

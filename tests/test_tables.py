@@ -17,6 +17,7 @@ from tabweave.operators.rows import (drop_duplicates, drop_missing, filter_rows,
                                      split_by_hash)
 from tabweave.plans.workbook_writer import workbook_bytes
 from tabweave.sources.files import load_csv, save_csv
+from tabweave.sources.records import column_names, ends_inside, records
 from tabweave.sources.workbooks import load_excel
 
 
@@ -43,6 +44,44 @@ def test_csv_tokens_quotes_and_line_breaks(spark, tmp_path):
     assert [r.e for r in rows] == [1.5, None, -2000.0, 0.5] and {r.d for r in rows} == {None}
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_with_line_breaks_are_read_in_parts(spark, tmp_path, end):
+    r = np.random.RandomState(8)
+    words = ['plain', 'two\nlines', '"quoted"', 'a,b', '\n\n', ',"\n', '5" pipe', "", 'é\n"\n', "x" * 900, ('long "\n' * 700)]
+    rows = [(k, *(words[i] for i in r.randint(0, len(words), 2))) for k in range(400)]
+    frame = pd.DataFrame(rows, columns=["k", "a", 'b\n"c'])
+    folder = tmp_path / "in"
+    folder.mkdir()
+    frame[:250].to_csv(folder / "1.csv", index=False, lineterminator=end)
+    # a quote that opens nothing, blank lines, and no line end at the end
+    text = frame[250:].to_csv(index=False, lineterminator=end) + f'900,5" x,y{end}{end}   {end}901,"p","q"'
+    (folder / "2.csv").write_text(text, newline="")
+    want = pd.concat([pd.read_csv(folder / n, keep_default_na=False, dtype=str) for n in ("1.csv", "2.csv")])
+    want = want[want.k.str.strip() != ""]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = records(spark, str(folder))
+        assert found.where("not first").select(F.spark_partition_id()).distinct().count() > 10
+        got = load_csv(spark, str(folder), infer=False).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    key = lambda x: int(x[0])
+    assert sorted((tuple(x or "" for x in r) for r in got), key=key) == sorted(map(tuple, want.values.tolist()), key=key)
+    assert got[0].__fields__ == list(want.columns)
+
+
+def test_line_states():
+    for line, out in [("a,b", False), ('"a', True), ('a"', False), ('""', False), ('x,"y', True), ('"a""', True),
+                      ('5" x,"', True), ('"a"b,"c"', False)]:
+        assert ends_inside(line, ",", False) is out, line
+    assert ends_inside('end"', ",", True) is False and ends_inside('end",', ",", True) is False
+    assert ends_inside('end","next', ",", True) is True and ends_inside('a""b', ",", True) is True
+    assert ends_inside('a"b;"c', ";", True) is True and column_names("a,,a,\"b\nc\"", ",") == ["a0", "_c1", "a2", "b\nc"]
+
+
 def test_workbooks(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.xlsx").write_bytes(workbook_bytes(
