@@ -4,84 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, numeric_columns, require_columns, require_numeric
 from tabweave.core.numeric import div
 from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats
 from tabweave.functions.transforms import Scaling, fit_scaling
-from tabweave.operators.features import VECTOR
+from tabweave.operators.lloyd import Problem, solve
 
 STARTS = 10
 NOISE = -1
 
 
-def _scaled(df: DataFrame, names: Sequence[str]) -> tuple[Scaling, DataFrame]:
-    scaling = fit_scaling(df, names, "standard", fill=0.0)
-    vector = array_to_vector(F.array(*[scaling.column(n, fill=0.0) for n in names]))
-    return scaling, df.withColumn(VECTOR, vector)
-
-
-# rows for a partition of points: the starts of k-means, and so its labels,
-# must depend on the data, not on the machine
-POINT_ROWS = 100_000
-PARALLEL_STARTS = 4
-WEIGHT = "_weight"
-
-
 @contextmanager
 def _points(data: DataFrame, scaling: Scaling, names: Sequence[str]):
-    """The distinct scaled points with the number of their rows, kept for all fits."""
-    parts = max(1, -(-data.count() // POINT_ROWS))
+    """The distinct scaled points with the number of their rows, kept for all scans."""
     values = data.select(F.array(*[scaling.column(n, fill=0.0) for n in names]).alias("x"))
-    counted = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
-    points = counted.repartition(parts, "x").sortWithinPartitions("x").select(
-        array_to_vector("x").alias(VECTOR), WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    points = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn(
+        "h", F.xxhash64("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
     finally:
         points.unpersist()
 
 
-def _best_kmeans(points: DataFrame, k: int, seed: int, starts: int):
-    def fit(start: int):
-        return KMeans(featuresCol=VECTOR, predictionCol="_p", weightCol=WEIGHT, k=k, seed=seed + start, maxIter=50).fit(points)
-
-    with ThreadPool(min(starts, PARALLEL_STARTS)) as pool:
-        fits = pool.map(inheritable_thread_target(fit), range(starts))
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def _distance(x: Sequence[Column], centre: Sequence[float]) -> Column:
+    return reduce(lambda a, b: a + b, [(v - F.lit(float(m))) * (v - F.lit(float(m))) for v, m in zip(x, centre)])
 
 
 def kmeans_cluster(df: DataFrame, columns: Sequence[str], n_clusters: int = 3, cluster_column: str = "cluster",
                    random_state: int = 42, starts: int = STARTS) -> tuple[DataFrame, float]:
     """(rows with cluster number, inertia) on standardised columns; the best
-    of several starts, clusters numbered by the order of their centres."""
+    of several starts, clusters numbered by the order of their centres.
+
+    All starts share each scan of the points.  Missing values count as the mean.
+    """
     names = as_list(columns)
-    scaling, data = _scaled(df, names)
+    scaling = fit_scaling(df, names, "standard", fill=0.0)
     with _points(df, scaling, names) as points:
-        model = _best_kmeans(points, n_clusters, random_state, starts)
-    centres = [tuple(v) for v in model.clusterCenters()]
-    place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
-    numbers = F.array(*[F.lit(place[i]) for i in range(len(centres))])
-    labelled = model.transform(data).withColumn(cluster_column, numbers[F.col("_p")])
+        cost, centres = min(solve(points, [Problem(n_clusters, random_state * 1000 + s) for s in range(starts)]),
+                            key=lambda found: found[0])
+    x = [scaling.column(n, fill=0.0) for n in names]
+    centres = sorted(map(tuple, centres.tolist()))
+    nearest = F.array_min(F.array(*[F.struct(_distance(x, m).alias("d"), F.lit(i).alias("i")) for i, m in enumerate(centres)]))["i"]
     kept = [n for n in df.columns if n != cluster_column]
-    return labelled.select(*map(c, kept), c(cluster_column)), model.summary.trainingCost
+    return df.select(*map(c, kept), (nearest if centres else F.lit(None).cast("int")).alias(cluster_column)), cost
 
 
 def elbow_curve(df: DataFrame, columns: Sequence[str], max_k: int = 10, random_state: int = 42,
                 starts: int = STARTS) -> DataFrame:
-    """(k, inertia) for k = 2..max_k."""
+    """(k, inertia) for k = 2..max_k; all starts of all k share each scan."""
     names = as_list(columns)
-    scaling, _ = _scaled(df, names)
+    scaling = fit_scaling(df, names, "standard", fill=0.0)
+    problems = [Problem(k, random_state * 1000 + s) for k in range(2, max_k + 1) for s in range(starts)]
     with _points(df, scaling, names) as points:
-        rows = [(k, _best_kmeans(points, k, random_state, starts).summary.trainingCost) for k in range(2, max_k + 1)]
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+        found = solve(points, problems)
+    best = {k: min(cost for p, (cost, _) in zip(problems, found) if p.k == k) for k in range(2, max_k + 1)}
+    return df.sparkSession.createDataFrame(list(best.items()), "k int, inertia double")
 
 
 def cluster_sizes(df: DataFrame, cluster_column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tabweave.functions.transforms import fit_scaling
 from tabweave.operators.clustering import (cluster_profile, cluster_sizes, elbow_curve, kmeans_cluster,
                                            silhouette_score)
 from tabweave.operators.density import dbscan_cluster
@@ -192,6 +193,29 @@ def _(t):
     return cluster_sizes(rows, "cluster")
 
 
+@query("kmeans_settled", """
+    SELECT count(*) AS n_rows, 5::BIGINT AS n_clusters, true AS at_nearest_mean, true AS inertia_adds_up,
+           true AS below_one_cluster FROM orders WHERE o_totalprice IS NOT NULL""")
+def _(t):
+    # what holds for any settled clustering: every row lies by the nearest of the clusters' means
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double")
+    data = t.orders.select("o_totalprice", day.alias("day"))
+    scaling = fit_scaling(data, ["o_totalprice", "day"], "standard", fill=0.0)
+    rows, inertia = kmeans_cluster(data, ["o_totalprice", "day"], 5)
+    points = rows.select("cluster", *[scaling.column(n, fill=0.0).alias(n) for n in ("o_totalprice", "day")])
+    means = points.groupBy("cluster").agg(F.avg("o_totalprice").alias("a"), F.avg("day").alias("b"))
+    held = points.crossJoin(F.broadcast(means.agg(F.collect_list(F.struct("cluster", "a", "b")).alias("means"))))
+    distances = held.select("cluster", F.expr("""transform(means, k -> struct((o_totalprice - k.a) * (o_totalprice - k.a)
+                                                 + (day - k.b) * (day - k.b) as d, k.cluster as cluster))""").alias("ds"))
+    own = F.expr("filter(ds, k -> k.cluster = cluster_)[0].d")
+    checked = distances.withColumnRenamed("cluster", "cluster_").select("cluster_", own.alias("own"),
+                                                                        F.array_min("ds")["d"].alias("least"))
+    return checked.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster_").alias("n_clusters"),
+                       (F.max(F.sqrt("own") - F.sqrt("least")) < 1e-2).alias("at_nearest_mean"),
+                       (F.abs(F.sum("own") / inertia - 1) < 1e-3).alias("inertia_adds_up"),
+                       (F.lit(inertia) < F.lit(2.0) * F.count(F.lit(1))).alias("below_one_cluster"))
+
+
 @query("elbow_curve")
 def _(t):
     return elbow_curve(t.part, ["p_size", "p_retailprice"])

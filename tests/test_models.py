@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabweave.functions.transforms import fit_scaling
+from tabweave.operators import lloyd
 from tabweave.operators.clustering import cluster_profile, elbow_curve, kmeans_cluster, silhouette_score
 from tabweave.operators.density import connected_components, dbscan_cluster
 from tabweave.operators.interpret import model_feature_importance, permutation_importance
@@ -115,6 +117,32 @@ def test_kmeans_and_quality(blobs):
     assert costs == sorted(costs, reverse=True)
 
 
+def test_kmeans_of_all_starts_is_no_worse_than_the_library(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity", "l_extendedprice")
+    scans = []
+    monkeypatch.setattr(lloyd, "_sums", lambda *a, own=lloyd._sums: scans.append(1) or own(*a))
+    rows, inertia = kmeans_cluster(lines, ["l_quantity", "l_extendedprice"], 4)
+    assert len(scans) <= lloyd.MOST_STEPS + lloyd.ROUNDS + 2  # for ten starts
+    scaling = fit_scaling(lines, lines.columns, "standard", fill=0.0)
+    data = lines.select(array_to_vector(F.array(*[scaling.column(n, fill=0.0) for n in lines.columns])).alias("v")).cache()
+    best = min(KMeans(featuresCol="v", k=4, seed=s, maxIter=50).fit(data).summary.trainingCost for s in range(5))
+    assert inertia <= best * 1.001
+    assert rows.count() == lines.count() and rows.select("cluster").distinct().count() == 4
+
+
+def test_kmeans_odd_tables(spark):
+    few = spark.createDataFrame([(1.0, None), (1.0, None), (2.0, 3.0)], "x double, cluster double")
+    rows, inertia = kmeans_cluster(few, ["x", "cluster"], 3, "label", starts=2)
+    assert inertia == pytest.approx(0) and rows.select("label").distinct().count() == 2
+    rows, inertia = kmeans_cluster(few.limit(0), ["x"], 3)
+    assert inertia == 0 and rows.count() == 0
+    same = spark.range(900).selectExpr("case when id % 3 = 0 then 5.0D else id * 1.0D end x")
+    sizes = kmeans_cluster(same, ["x"], 2, starts=3)[0].groupBy("cluster").count().collect()
+    assert sum(r["count"] for r in sizes) == 900 and len(sizes) == 2
+
+
 def brute_dbscan(z, eps, m):
     near = ((z[:, None] - z[None]) ** 2).sum(-1) <= eps * eps
     core = near.sum(1) >= m
