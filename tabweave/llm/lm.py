@@ -1,6 +1,7 @@
 """Language-model scores by backoff weights.
 
-Counts are taken over all training texts.  The model is a trigram model with
+Counts are taken over all training texts, those of n-grams by length behind
+sieves of the shorter ones.  The model is a trigram model with
 absolute discounting whose unigrams are smoothed by adding 0.1.  Every n-gram
 of any tokens that occurs at least ``LEAST_NGRAM`` times is kept, whatever the
 corpus; the backoff weights make the probabilities after any context sum to 1.
@@ -14,7 +15,8 @@ that occur once in ``HELD`` tokens, so no key of the join is frequent.
 
 from __future__ import annotations
 
-import zlib
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
+from tabweave.llm.ngrams import BREAK, PIECE_BYTES, frequent_ngrams, pieces
 from tabweave.llm.text import batch, crc_mod_of, map_batches, space_words, utf8
 from tabweave.session import cut_lineage, scratch_path
 
@@ -151,48 +154,56 @@ def token_counts(rows: DataFrame, held_out_of: int) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
-def ngram_counts(rows: DataFrame, unigrams: Unigrams, held_out_of: int) -> DataFrame:
-    """``a, b, c, n``: bigrams (``c`` is null) and trigrams of the training texts."""
-    held = rows.sparkSession.sparkContext.broadcast(unigrams)
-    start = token_hashes([START])[0]
+_STOP = re.compile(rb"[\x20\x09-\x0D]")
+# the ends of a text inside n-grams that are still text: characters that no word holds
+_START, _END = b"\x0c", b"\r"
+
+
+def _text_tokens(held_out_of: int):
+    def tokens(b: pa.RecordBatch, overlap: int) -> Iterator[tuple[str, list[bytes]]]:
+        """The training texts of a batch (``doc_id, text``), all in one group."""
+        found: list[bytes] = []
+        for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            if not crc_mod_of(doc, held_out_of):
+                continue
+            found.append(_START)
+            for part in pieces(data, _STOP, space_words, 0):
+                # what a piece holds goes on after the piece before it, so n-grams reach across
+                found += part
+                if len(found) > PIECE_BYTES:
+                    tail = found[len(found) - overlap:] if overlap else []
+                    yield "", found
+                    found = tail
+            found += (_END, BREAK)
+        if found:
+            yield "", found
+    return tokens
+
+
+def ngram_counts(rows: DataFrame, unigrams: Unigrams, held_out_of: int, least: int) -> DataFrame:
+    """``a, b, c, n``: the bigrams (``c`` is null) and trigrams that occur ``least`` times in the training texts."""
+    counted, _ = frequent_ngrams(rows, _text_tokens(held_out_of), 3, least)
+    start, end = token_hashes([START])[0], token_hashes([END])[0]
+    allowed = None if unigrams.frequent is None else np.append(unigrams.tokens[unigrams.frequent], start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        allowed = None if known.frequent is None else np.append(known.tokens[known.frequent], start)
-        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        def numbers(words: list[str]) -> np.ndarray:
+            raw = [w.encode() for w in words]
+            out = token_hashes(raw)
+            out[[w == _START for w in raw]] = start
+            out[[w == _END for w in raw]] = end
+            return out
 
-        def hand_on():
-            x, text = (np.concatenate(arrays) for arrays in zip(*gathered))
-            gathered.clear()
-            ok = np.ones(len(x), bool) if allowed is None else np.isin(x, allowed)
-            two = (text[:-1] == text[1:]) & ok[:-1] & ok[1:]
-            three = two[:-1] & two[1:]
-            for places, order in ((np.flatnonzero(two), 2), (np.flatnonzero(three), 3)):
-                _, first, n = np.unique(ngram_keys(*[x[places + k] for k in range(order)]), return_index=True,
-                                        return_counts=True)
-                for at in range(0, len(first), GATHERED):
-                    part = places[first[at:at + GATHERED]]
-                    last = x[part + 2] if order == 3 else pa.nulls(len(part), pa.int64())
-                    yield batch(_NGRAM, x[part], x[part + 1], last, n[at:at + GATHERED])
-
-        size, number = 0, 0
         for b in batches:
-            words, lengths = [], []
-            for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                if crc_mod_of(doc, held_out_of):
-                    text = [START, *space_words(data), END]
-                    words += text
-                    lengths.append(len(text))
-            if words:
-                gathered.append((known.hashes(words), np.repeat(np.arange(number, number + len(lengths)), lengths)))
-                size, number = size + len(words), number + len(lengths)
-            if size > 4 * GATHERED:
-                yield from hand_on()
-                size = 0
-        if gathered:
-            yield from hand_on()
+            prefixes = [p.split(" ") for p in b.column(0).to_pylist()]
+            x = [numbers([p[k] for p in prefixes]) for k in range(len(prefixes[0]))] if prefixes else []
+            x.append(numbers(b.column(1).to_pylist()))
+            ok = np.ones(b.num_rows, bool) if allowed is None else np.all([np.isin(v, allowed) for v in x], axis=0)
+            x = [pa.array(v) for v in x] + [pa.nulls(b.num_rows, pa.int64())] * (3 - len(x))
+            yield pa.RecordBatch.from_arrays([*x, b.column(2)], schema=_NGRAM).filter(pa.array(ok))
 
-    return map_batches(rows, run, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    two, three = (map_batches(x.select("prefix", "next", "n"), run, "a long, b long, c long, n long") for x in counted[1:])
+    return two.union(three)
 
 
 def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -271,8 +282,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", h
     top = counts.where(F.col("n_all") >= max(least_common, everything / common)).toArrow().sort_by("token")
     frequent = None if vocabulary is None else top.column("n_all").to_numpy() >= everything / vocabulary
     unigrams = Unigrams(top.column("token").to_numpy(), top.column("n_train").to_numpy(), frequent, total, distinct)
-    least = least_ngram if ngrams is None else max(least_ngram, total / ngrams)
-    kept = cut_lineage(ngram_counts(rows, unigrams, held_out_of).where(F.col("n") >= least))
+    least = least_ngram if ngrams is None else max(least_ngram, math.ceil(total / ngrams))
+    kept = cut_lineage(ngram_counts(rows, unigrams, held_out_of, least))
     weights_path = scratch_path(spark, "ngram-weights")
     ngram_weights(kept, counts, unigrams, texts).write.parquet(weights_path)
     # at most ``held`` n-grams of each order are that frequent
@@ -305,14 +316,14 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
             rare_words: list[bytes] = []
             asked: list[tuple] = []
             for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                crc = zlib.crc32(data)
+                crc = int(token_hashes([data])[0])  # rows of one id are told apart by 64 bits of their text
                 words = space_words(data)
                 words.append(END)
                 ids = known.look_up(words)
                 a = np.array(ids)
                 a = a[a >= 0]
                 # a key of its own for the join: it meets no token
-                own = ((doc or 0) * 0x9E3779B97F4A7C15 + crc) % (1 << 63)
+                own = ((doc or 0) * 0x9E3779B97F4A7C15 ^ crc) % (1 << 63)
                 base = float(weights[a].sum())
                 x = known.hashes([START, *words])
                 # n-grams end at every token, and are contexts of all but the last
