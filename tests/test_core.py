@@ -1,4 +1,6 @@
 import math
+import re
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -77,6 +79,52 @@ def test_carry_forward_keeps_leading_nulls_and_null_keys(spark):
     assert got == {1: None, 2: 5.0, 3: None, 4: 5.0}
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_scans_carry_values_over_batches(spark, batch):
+    """Types, null and NaN keys, pieces that end and begin anywhere; sums of whole numbers stay exact."""
+    r = np.random.RandomState(9)
+    n = 700
+    rows = [(i, [None, "a", "b"][r.randint(3)], [math.nan, 1.5, None][r.randint(3)], int(r.randint(-3, 9)) + 2**60 * (i % 97 == 0),
+             None if r.rand() < 0.4 else float(r.randint(50)), None if r.rand() < 0.5 else f"s{i}",
+             None if r.rand() < 0.5 else [i, None], None if r.rand() < 0.5 else Decimal(i) / 4) for i in range(n)]
+    df = spark.createDataFrame(rows, "i int, k string, f double, m long, v double, s string, l array<int>, d decimal(10,2)").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        filled = carry_forward(df, ["v", "s", "l", "d"], [F.col("i").asc()], ["k", "f"]).collect()
+        sums = running_totals(df, ["i"], {"sm": "m", "sv": "v", "sd": "d"}, ["k", "f"]).collect()
+        plain = running_totals(df, ["i"], {"sm": "m", "sv": "v"}, ["k", "f"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last, total = {}, {}
+    want_fill, want_sum = {}, {}
+    for row in rows:
+        key = (row[1], str(row[2]))
+        last[key] = tuple(new if new is not None else old for new, old in zip(row[4:], last.get(key, (None,) * 4)))
+        want_fill[row[0]] = last[key]
+        want_sum[row[0]] = total.get(key, (0, 0.0, Decimal(0)))
+        total[key] = tuple(a + (b or 0) for a, b in zip(want_sum[row[0]], (row[3], row[4], row[7])))
+    assert {x.i: (x.v, x.s, x.l, x.d) for x in filled} == want_fill
+    assert {x.i: (x.sm, x.sv, x.sd) for x in sums} == want_sum
+    assert {x.i: (x.sm, x.sv) for x in plain} == {i: v[:2] for i, v in want_sum.items()}
+
+
+@pytest.mark.parametrize("scan", ["sum", "fill", "number"])
+def test_rows_move_once_in_a_scan(hot, scan):
+    """Behind the sorted slots only summaries are exchanged."""
+    rows = hot.withColumn("payload", F.col("id").cast("string"))
+    if scan == "sum":
+        out = running_totals(rows, ["id"], {"t": "id"}, ["g"])
+    elif scan == "fill":
+        out = carry_forward(rows, ["w"], [F.col("id").asc()], ["g"])
+    else:
+        out = row_numbers(rows, [F.col("v").asc()], "n")
+    plan = out._jdf.queryExecution().explainString(out.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = plan.split("\n\n")
+    assert not [x for x in nodes if re.match(r"\(\d+\) Exchange", x.strip()) and "payload" in x]
+    assert [x for x in nodes if "payload" in x]
+
+
 PROBS = [0.0, 0.01, 1 / 3, 0.5, 0.75, 0.999, 1.0]
 
 
