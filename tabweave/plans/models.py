@@ -39,6 +39,28 @@ def _(t):
     return read_workbooks(files)
 
 
+@query("load_excel_headers", """
+    SELECT o_orderkey AS key, date_trunc('second', o_orderdate) AS "when", o_orderstatus AS "Unnamed: 2",
+           CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS price, o_totalprice > 1000 AS "price.1",
+           o_orderkey::VARCHAR AS price_text FROM orders""")
+def _(t):
+    # a date, a column without a header, a header twice, booleans, and numbers that are text
+    rows = t.orders.select("o_orderkey", F.date_trunc("second", "o_orderdate").alias("o_orderdate"), "o_orderstatus",
+                           F.expr("if(o_orderkey % 4 = 0, null, o_totalprice)").alias("price"),
+                           (F.col("o_totalprice") > 1000).alias("large"), F.col("o_orderkey").cast("string").alias("text"))
+    names = rows.columns
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        value = lambda v: v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v
+        lines = [[value(v) for v in line] for line in pdf[names].itertuples(index=False)]
+        header = ["key", "when", None, "price", "price", "price_text"]
+        return pd.DataFrame({"path": [f"orders-{key[0]}.xlsx"], "content": [workbook_bytes(header, lines, share_strings=True)]})
+
+    files = rows.withColumn("book", F.expr(f"o_orderkey div {4 * WORKBOOK_ROWS}")).groupBy("book").applyInPandas(
+        build, "path string, content binary")
+    return read_workbooks(files)
+
+
 # --- splits -----------------------------------------------------------------
 
 @query("train_test_split", """

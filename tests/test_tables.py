@@ -1,3 +1,6 @@
+import re
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -18,7 +21,7 @@ from tabweave.operators.rows import (drop_duplicates, drop_missing, filter_rows,
 from tabweave.plans.workbook_writer import workbook_bytes
 from tabweave.sources.files import load_csv, save_csv
 from tabweave.sources.records import column_names, ends_inside, records
-from tabweave.sources.workbooks import load_excel
+from tabweave.sources.workbooks import load_excel, part_cells, read_workbooks, sheet_parts, workbook_cells
 
 
 def column(df, name, order="i"):
@@ -94,6 +97,41 @@ def test_workbooks(spark, tmp_path):
         load_excel(spark, str(tmp_path), "Other")
 
 
+def test_workbook_types_and_headers(spark, tmp_path):
+    when = datetime(2021, 3, 4, 5, 6, 7)
+    lines = [[1, when, "x", 1.0, True, "1", None, "NA"], [2, None, "y", 2.5, False, "2", None, 7],
+             [3, datetime(1999, 12, 31), "", None, None, "n/a", None, None]]
+    header = ["k", "at", None, "v", "v", "v", None, "mixed"]
+    for share in (False, True):
+        (tmp_path / f"{share}.xlsx").write_bytes(workbook_bytes(header, lines, share_strings=share))
+    df = load_excel(spark, str(tmp_path)).orderBy("k")
+    rows = [tuple(r) for r in df.collect()]
+    assert df.columns == ["k", "at", "Unnamed: 2", "v", "v.1", "v.2", "Unnamed: 6", "mixed"]
+    assert rows[::2] == rows[1::2] == [
+        (1, when, "x", 1.0, True, "1", None, None), (2, None, "y", 2.5, False, "2", None, 7),
+        (3, datetime(1999, 12, 31), None, None, None, None, None, None)]
+    assert [t for _, t in df.dtypes] == ["bigint", "timestamp_ntz", "string", "double", "boolean", "string", "double", "bigint"]
+    (tmp_path / "other.xlsx").write_bytes(workbook_bytes(["k", "at", "named", "v", "v", "v", None, "mixed"], lines))
+    with pytest.raises(ValueError, match="disagree"):
+        load_excel(spark, str(tmp_path))
+
+
+def test_one_large_workbook_in_many_tasks(spark):
+    lines = [[k, f"name {k % 50} <&>", k / 8] for k in range(60_000)]
+    content = workbook_bytes(["k", "name", "v"], lines, share_strings=True)
+    parts = list(sheet_parts(content, size=100_000))
+    assert len(parts) > 10 and sum(len(list(part_cells(*p[1:]))) for p in parts) == 3 + 180_000
+    # the same without numbers at rows and cells
+    bare = [(p[0], p[1], p[2], re.sub(rb' r="[A-Z]*[0-9]+"', b"", p[3]), *p[4:]) for p in parts]
+    assert [list(part_cells(*p[1:])) for p in bare[:3]] == [list(part_cells(*p[1:])) for p in parts[:3]]
+    files = spark.createDataFrame([("one.xlsx", content)], "path string, content binary")
+    cells = workbook_cells(files)
+    assert cells.select(F.spark_partition_id()).distinct().count() > 1
+    got = read_workbooks(files)
+    assert got.dtypes == [("k", "bigint"), ("name", "string"), ("v", "double")]
+    assert got.agg(F.count("name"), F.sum("k"), F.sum("v")).first() == (60_000, 1799970000, 1799970000 / 8)
+
+
 # --- joins and reshaping ----------------------------------------------------
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
