@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.core.checks import as_list, c, numeric_columns, require_choice, require_numeric
+from tabweave.core.checks import as_list, c, numeric_columns, require_choice, require_numeric, without_nan
 from tabweave.core.numeric import pearson
 from tabweave.core.scan import BROADCAST_ROWS, attach, running_totals
 from tabweave.session import cut_lineage
@@ -24,24 +24,40 @@ def _pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return cut_lineage(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> list[float | None]:
+    """Pearson on the average ranks of each pair's complete rows.
+
+    All pairs go through one chain of jobs: rows become counted (pair, a, b),
+    the values of all sides are ranked in one ordered scan by (pair, side), and
+    one aggregate gives all sums.  Ranks are taken around their mean so that
+    large tables lose no digits.
+    """
+    names = sorted({n for p in pairs for n in p})
+    places = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(names.index(x)).alias("x"), F.lit(names.index(y)).alias("y"))
+                       for i, (x, y) in enumerate(pairs)])
+    rows = df.select(F.array(*[without_nan(c(n)) for n in names]).alias("v")).select(F.inline(F.transform(
+        places, lambda p: F.struct(p["pair"].alias("pair"), F.get("v", p["x"]).alias("a"), F.get("v", p["y"]).alias("b"))))).dropna()
+    counted = cut_lineage(rows.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("v"))))
+    values = cut_lineage(counted.select("pair", "n", sides).groupBy("pair", "side", "v").agg(F.sum("n").alias("m")))
+    distinct = values.count()
+    placed = running_totals(values, ["v"], {"before": "m"}, keys=["pair", "side"], rows_bound=distinct)
+    # one row a pair
+    totals = counted.groupBy("pair").agg(F.sum("n").alias("total"))
+    around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - (F.col("total") + 1) / F.lit(2.0)
+    ranks = placed.join(F.broadcast(totals), "pair").select("pair", "side", "v", around.alias("r"))
+    ranks = F.broadcast(ranks) if distinct <= BROADCAST_ROWS else cut_lineage(ranks)
+    ranked = counted
+    for k, side in enumerate(("a", "b")):
+        ranked = attach(ranked, ranks.where(F.col("side") == k).select("pair", F.col("v").alias(side), F.col("r").alias(f"r{side}")),
+                        ["pair", side])
+    sums = ranked.groupBy("pair").agg(*[F.sum(F.col("n") * F.col(x) * F.col(y)) for x, y in (("ra", "rb"), ("ra", "ra"), ("rb", "rb"))])
+    found = {r[0]: r[1] / math.sqrt(r[2] * r[3]) for r in sums.collect() if r[2] and r[3]}
+    return [found.get(i) for i in range(len(pairs))]
+
+
 def _spearman(df: DataFrame, a: str, b: str) -> float | None:
-    """Pearson on average ranks.  Ranks belong to distinct values, and are
-    taken around their mean so that large tables lose no digits."""
-    pairs = _pair_counts(df, a, b)
-    total, *distinct = pairs.agg(F.sum("n"), F.countDistinct("a"), F.countDistinct("b")).first()
-    if not total:
-        return None
-    ranked = pairs
-    for side, bound in zip(("a", "b"), distinct):
-        values = pairs.groupBy(side).agg(F.sum("n").alias("m"))
-        placed = running_totals(values, [side], {"before": "m"}, rows_bound=bound)
-        around = F.col("before") + (F.col("m") + 1) / F.lit(2.0) - F.lit((total + 1) / 2.0)
-        ranks = placed.select(side, around.alias(f"r{side}"))
-        ranked = attach(ranked, F.broadcast(ranks) if bound <= BROADCAST_ROWS else ranks, [side])
-    sab, saa, sbb = ranked.agg(F.sum(F.col("n") * F.col("ra") * F.col("rb")),
-                               F.sum(F.col("n") * F.col("ra") * F.col("ra")),
-                               F.sum(F.col("n") * F.col("rb") * F.col("rb"))).first()
-    return sab / math.sqrt(saa * sbb) if saa and sbb else None
+    return _spearman_pairs(df, [(a, b)])[0]
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> float | None:
@@ -120,7 +136,8 @@ def correlation_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], method: s
         return wide.select(F.inline(F.array(*[
             F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"p{i}").alias("corr"))
             for i, (x, y) in enumerate(pairs)])))
-    rows = [(x, y, correlation(df, x, y, method)) for x, y in pairs]
+    values = _spearman_pairs(df, pairs) if method == "spearman" else [correlation(df, x, y, method) for x, y in pairs]
+    rows = [(x, y, v) for (x, y), v in zip(pairs, values)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, corr double")
 
 

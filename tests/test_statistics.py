@@ -69,6 +69,32 @@ def test_ranks_over_slots(spark, monkeypatch):
     assert correlation(df, "a", "b", "spearman") == pytest.approx(ranks.a.corr(ranks.b))
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_rank_matrix_is_one_chain_of_jobs(spark, monkeypatch, small):
+    import tabweave.core.scan as scan
+    import tabweave.operators.correlation as corr
+    monkeypatch.setattr(scan, "SMALL_TABLE", small)
+    monkeypatch.setattr(corr, "BROADCAST_ROWS", small)
+    r = np.random.RandomState(12)
+    pdf = pd.DataFrame({f"x.{k}": r.randint(0, 4 + 30 * k, 250).astype(float) for k in range(6)})
+    pdf["x.1"] += pdf["x.0"]
+    pdf = pdf.mask(r.rand(*pdf.shape) < 0.1)
+    pdf.loc[pdf.index % 3 == 0, ["x.2", "x.3"]] = 7.0
+    df = spark.createDataFrame(pdf)
+    cuts = []
+    monkeypatch.setattr(corr, "cut_lineage", lambda d, own=corr.cut_lineage: cuts.append(1) or own(d))
+    used = []
+    for k in (2, 6):
+        cuts.clear()
+        got = {(r.x, r.y): r["corr"] for r in correlation_matrix(df, list(pdf.columns[:k]), "spearman").collect()}
+        used.append(len(cuts))
+        assert len(got) == k * (k - 1) // 2
+        for (x, y), v in got.items():
+            both = pdf[[x, y]].dropna().rank()
+            assert v == pytest.approx(both[x].corr(both[y]))
+    assert used[0] == used[1]
+
+
 def test_constant_column_has_no_correlation(spark):
     df = pairs_frame(spark, [1, 1, 1], [1, 2, 3])
     assert [correlation(df, "a", "b", m) for m in ("pearson", "spearman", "kendall")] == [None] * 3
