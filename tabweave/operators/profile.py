@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,39 +52,57 @@ def get_statistics(df: DataFrame) -> DataFrame:
             cells += [F.struct(F.lit(n).alias("column"), F.lit(s).alias("stat"), v.alias("value"),
                                F.lit(None).cast("string").alias("text")) for s, v in stats]
         out = wide.select(F.inline(F.array(*cells)))
-    for n in others:
-        counts = df.where(c(n).isNotNull()).groupBy(c(n).cast("string").alias("v")).agg(
-            F.count(F.lit(1)).alias("n"))
-        best = F.min(F.struct((-F.col("n")).alias("n"), "v"))
-        one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("count"),
-                         F.count(F.lit(1)).cast("double").alias("unique"), best.alias("best"))
-        text = F.lit(None).cast("string")
-        cells = [F.struct(F.lit(n).alias("column"), F.lit(s).alias("stat"), v.alias("value"), t.alias("text"))
-                 for s, v, t in (("count", F.col("count"), text), ("unique", F.col("unique"), text),
+    if others:
+        # the values of all columns are counted in one scan
+        cells = F.array(*[F.struct(F.lit(i).alias("place"), c(n).cast("string").alias("v")) for i, n in enumerate(others)])
+        counts = df.select(F.inline(cells)).groupBy("place", "v").agg(F.count(F.lit(1)).alias("n"))
+        known = F.col("v").isNotNull()
+        best = F.min(F.when(known, F.struct((-F.col("n")).alias("n"), "v")))
+        one = counts.groupBy("place").agg(F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).cast("double").alias("count"),
+                                          F.count("v").cast("double").alias("unique"), best.alias("best"))
+        # a line for every column, also of a table without rows
+        lines = df.sparkSession.createDataFrame(list(enumerate(others)), "place int, column string")
+        text, zero = F.lit(None).cast("string"), F.lit(0.0)
+        cells = [F.struct("column", F.lit(s).alias("stat"), v.alias("value"), t.alias("text"))
+                 for s, v, t in (("count", F.coalesce("count", zero), text), ("unique", F.coalesce("unique", zero), text),
                                  ("top", F.lit(None).cast("double"), F.col("best.v")),
                                  ("freq", (-F.col("best.n")).cast("double"), text))]
-        part = one.select(F.inline(F.array(*cells)))
+        part = lines.join(F.broadcast(one), "place", "left").select(F.inline(F.array(*cells)))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def quality_report(df: DataFrame, approx: bool = False) -> DataFrame:
     """Per column: type, missing count and %, distinct values; the table's
-    rows, duplicate rows and their % on every line."""
-    unique = F.approx_count_distinct if approx else F.countDistinct
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    for i, n in enumerate(df.columns):
-        exprs += [F.count_if(c(n).isNull()).alias(f"m{i}"), unique(c(n)).alias(f"u{i}")]
-    distinct_rows = df.distinct().agg(F.count(F.lit(1))).first()[0]
-    wide = df.agg(*exprs)
-    lines = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(df.schema[n].dataType.simpleString()).alias("dtype"),
-                               F.col(f"m{i}").alias("missing"), F.col(f"u{i}").alias("unique"))
-                      for i, n in enumerate(df.columns)])
-    rows = F.col("_rows")
-    return wide.select("_rows", F.inline(lines)).select(
-        "column", "dtype", "missing", F.coalesce(div(F.col("missing") * 100.0, rows), F.lit(0.0)).alias("missing_pct"),
-        "unique", rows.alias("n_rows"), (rows - F.lit(distinct_rows)).alias("duplicate_rows"),
-        F.coalesce(div((rows - F.lit(distinct_rows)) * 100.0, rows), F.lit(0.0)).alias("duplicate_pct"))
+    rows, duplicate rows and their % on every line.
+
+    One scan: every value becomes (column, 128-bit hash), the whole row is one
+    column more, and equal pairs combine before they are shuffled.  ``approx``
+    estimates the distinct values of columns by sketches instead.
+    """
+    def cell(place: int, *values) -> Column:
+        known = values[0].isNotNull() if place >= 0 else F.lit(True)
+        hashes = [F.when(known, F.xxhash64(F.lit(seed), *values)) for seed in (1, 2)]
+        return F.struct(F.lit(place).alias("place"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+
+    each = [c(n) for n in df.columns]
+    cells = [cell(-1, *each), *([] if approx else [cell(i, x) for i, x in enumerate(each)])]
+    counts = df.select(F.inline(F.array(*cells))).groupBy("place", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.place: r for r in counts.groupBy("place").agg(  # one row a column
+        F.sum("n").alias("n"), F.count("h1").alias("unique"),
+        F.coalesce(F.sum(F.when(F.col("h1").isNull(), F.col("n"))), F.lit(0)).alias("missing")).collect()}
+    n_rows, duplicates = (found[-1].n, found[-1].n - found[-1].unique) if found else (0, 0)
+    if approx:
+        row = df.agg(*[e for i, x in enumerate(each) for e in (
+            F.approx_count_distinct(x).alias(f"u{i}"), F.count_if(x.isNull()).alias(f"m{i}"))]).first()
+        facts = [(row[f"m{i}"], row[f"u{i}"]) for i in range(len(each))]
+    else:
+        facts = [(found[i].missing, found[i].unique) if found else (0, 0) for i in range(len(each))]
+    share = lambda k: k * 100.0 / n_rows if n_rows else 0.0
+    lines = [(n, df.schema[n].dataType.simpleString(), m, share(m), u, n_rows, duplicates, share(duplicates))
+             for n, (m, u) in zip(df.columns, facts)]
+    return df.sparkSession.createDataFrame(lines, "column string, dtype string, missing long, missing_pct double, unique long, "
+                                                  "n_rows long, duplicate_rows long, duplicate_pct double")
 
 
 def get_unique_values(df: DataFrame, column: str, top_n: int = 50) -> DataFrame:

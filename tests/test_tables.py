@@ -1,3 +1,4 @@
+import math
 import re
 from datetime import datetime
 
@@ -403,3 +404,19 @@ def test_profiles(trips, trips_pd, spark):
     assert s["Load", "25%"] == pytest.approx(load.quantile(0.25)) and s["Depot", "freq"] == 5.0
     patterns = missing_patterns(trips, ["Hours", "Load", "Depot"]).collect()
     assert sorted(r.n_rows for r in patterns) == [1, 1, 1, 2, 12]
+
+
+def test_profiles_of_odd_columns(spark):
+    rows = [(0.0, "a", b"x", [1, None], None), (-0.0, "b", b"y", [1, None], None), (math.nan, None, b"x", None, None),
+            (math.nan, "a", None, [2], None), (None, "a", b"x", [1, None], None), (math.nan, "a", None, [2], None)]
+    df = spark.createDataFrame(rows, "`f.x` double, s string, b binary, l array<int>, n string")
+    got = {r.column: (r.missing, r.unique) for r in quality_report(df).collect()}
+    assert got == {"f.x": (1, 2), "s": (1, 2), "b": (2, 2), "l": (1, 2), "n": (6, 0)}
+    one = quality_report(df).first()
+    assert (one.n_rows, one.duplicate_rows, one.missing_pct) == (6, 1, pytest.approx(100 / 6))
+    rough = {r.column: (r.missing, r.unique) for r in quality_report(df.select("s", "b"), approx=True).collect()}
+    assert rough == {"s": (1, 2), "b": (2, 2)}
+    stats = {(r.column, r.stat): r.value if r.text is None else r.text for r in get_statistics(df.select("s", "n")).collect()}
+    assert stats == {("s", "count"): 5, ("s", "unique"): 2, ("s", "top"): "a", ("s", "freq"): 4, ("n", "count"): 0,
+                     ("n", "unique"): 0, ("n", "top"): None, ("n", "freq"): None}
+    assert get_statistics(df.select("s").limit(0)).where("stat = 'count'").first().value == 0
