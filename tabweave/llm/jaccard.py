@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
 from tabweave.llm.components import components
-from tabweave.llm.text import batch, map_batches, space_words, utf8
+from tabweave.llm.text import batch, map_batches, space_words, text_hashes, utf8
 from tabweave.session import cut_lineage
 
 WORDS = 5
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, n: int, bands:
                 for i, row in zip(held, signer.sign([lists[i] for i in held])):
                     signed[i] = row
             nodes = np.array([xxh3_64_intdigest(b" ".join(w)) for w in texts], np.uint64).view(np.int64)
-            yield batch(_SIGNED, b.column(0), [zlib.crc32(d) for d in data], nodes, signed)
+            yield batch(_SIGNED, b.column(0), text_hashes(data), nodes, signed)
 
     return map_batches(docs.select(c(id_column).cast("long").alias("doc_id"), c(text_column).cast("string").alias("text")),
                        run, "doc_id long, crc long, node long, bands array<long>")
@@ -238,7 +238,7 @@ def similar_texts(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARIT
     placed = cut_lineage(placed.join(classes.select("node", "class_id", "crc"), "node"))
     copies = placed.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     texts = docs.select(c(id_column).cast("long").alias("doc_id"), F.coalesce(c(text_column).cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("text_crc", F.crc32(F.col("text").cast("binary")))
+    texts = texts.withColumn("text_crc", F.xxhash64("text"))
     chosen = placed.join(texts, placed.class_id.eqNullSafe(texts.doc_id) & (placed.crc == texts.text_crc))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = chosen.select("node", "component", "block", "text", other).select(
@@ -275,7 +275,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, id
     of = {k: F.col(names[docs.columns.index(k)]) for k in (id_column, text_column)}
     plain = docs.toDF(*names).withColumns({
         "_row_id": of[id_column].cast("long"),
-        "_row_crc": F.crc32(F.coalesce(of[text_column].cast("string"), F.lit("")).cast("binary"))})
+        "_row_crc": F.xxhash64(F.coalesce(of[text_column].cast("string"), F.lit("")))})
     same = F.col("_row_id").eqNullSafe(F.col("_doc_id")) & (F.col("_row_crc") == F.col("_crc"))
     out = plain.join(kept.union(wordless), same, "left_semi")
     # seldom: rows that repeat id and text

@@ -51,17 +51,17 @@ def sentence_ends(tokenizer: str) -> np.ndarray:
     return out
 
 
-def cut_places(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places where a cut may lie, with its penalty.  ``ends`` are the
-    document ends; the first place is 0."""
+def cut_places(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a cut may lie, ``grid`` ids apart at most, with its penalty.
+    ``ends`` are the document ends; the first place is 0."""
     marks = np.flatnonzero(sentence[np.minimum(ids, len(sentence) - 1)]) + 1
     natural = np.union1d(marks, np.concatenate(([0], ends)))
     gaps = np.diff(natural)
-    inside = np.maximum((gaps - 1) // GRID, 0)
+    inside = np.maximum((gaps - 1) // grid, 0)
     if inside.sum():
         starts = np.repeat(natural[:-1], inside)
         step = np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside) + 1
-        places = np.concatenate((natural, starts + step * GRID))
+        places = np.concatenate((natural, starts + step * grid))
         cost = np.concatenate((np.full(len(natural), SENTENCE_CUT), np.full(inside.sum(), INNER_CUT)))
         order = np.argsort(places, kind="stable")
         places, cost = places[order], cost[order]
@@ -155,7 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
             parts = [np.frombuffer(d, "<u4")[s:] for _, d, s in held]
             tape = np.concatenate(parts)
             ends = np.cumsum([len(p) for p in parts])
-            cuts = best_cuts(*cut_places(tape, ends, sentence), window)
+            cuts = best_cuts(*cut_places(tape, ends, sentence, min(GRID, window)), window)
             if len(cuts) > 1 or last:
                 final = cuts.pop()
                 begin = cuts[-1] if cuts else 0

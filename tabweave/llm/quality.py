@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Fit on documents whose ``crc32(doc_id) mod held_out_of`` is not 0.
 
     About ``sample`` trusted positives and ``sample`` unlabelled documents are
-    drawn by a hash of their id.  Without a given prior it is the share of
+    drawn by a hash of their id, and 4 * ``sample`` rows at most where ids repeat.  Without a given prior it is the share of
     label 1 among the labelled training rows.  A document labelled both ways is not
     trusted; null labels and ids are left out.  Without positives or documents
     every score is the prior (one half without labels).
@@ -110,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rows = train.join(F.broadcast(trusted), F.col("doc_id") == F.col("label_id"), "left").select(
         "text", F.coalesce("positive", F.lit(False)).alias("positive"),
         sampled("doc_id", sample / max(n, 1)).alias("unlabelled")).where("positive or unlabelled")
-    found = map_batches(rows, _measured, "positive boolean, unlabelled boolean, measures array<double>").toArrow()
+    # a draw by id takes all rows of an id: what one id may add is bounded, in the order of a hash of the row
+    measured = map_batches(rows, _measured, "positive boolean, unlabelled boolean, measures array<double>")
+    found = measured.orderBy(F.xxhash64("measures", "positive")).limit(4 * sample).toArrow()
     values = np.array(found.column("measures").to_pylist(), np.float64).reshape(found.num_rows, N_FEATURES)
     pick = lambda name: values[np.array(found.column(name).to_pylist(), bool)]
     # rows in an order of their own, so that sums do not depend on the tasks' order

@@ -57,3 +57,10 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def crc_mod_of(value, m: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % m
+
+
+def text_hashes(data: list[bytes]) -> list[int]:
+    """Spark's ``xxhash64`` of each text: 64 bits that tell rows of one id apart."""
+    import xxhash
+
+    return [h - (1 << 64) if (h := xxhash.xxh64_intdigest(d, 42)) >> 63 else h for d in data]

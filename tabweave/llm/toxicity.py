@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     """Fit on labelled documents whose ``crc32(doc_id) mod held_out_of`` is not 0.
 
     ``labels`` has a 0/1 column for each category.  About ``sample`` rows are
-    drawn by a hash of the id; rows with a null label or id are left out; a document labelled
+    drawn by a hash of the id, and 2 * ``sample`` at most where ids repeat; rows with a null label or id are left out; a document labelled
     twice counts as marked if any of its rows is.  Without labelled documents
     every probability is one half.
     """
@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
             found = pa.array([text_buckets(t) for t in utf8(b.column(0))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([found, *b.columns[1:]], names=["buckets", *b.schema.names[1:]])
 
-    got = map_batches(rows, hashed, "buckets array<int>, doc_id long, " + ", ".join(f"{n} int" for n in names)).toArrow()
+    found = map_batches(rows, hashed, "buckets array<int>, doc_id long, " + ", ".join(f"{n} int" for n in names))
+    # a draw by id takes all rows of an id: what one id may add is bounded, in the order of a hash of the row
+    got = found.orderBy(F.xxhash64("doc_id", "buckets")).limit(2 * sample).toArrow()
     got = got.sort_by([("doc_id", "ascending")])
     buckets = [np.sort(x.values.to_numpy()).astype(np.int64) for x in got.column("buckets")]
     y = np.array([got.column(n).to_pylist() for n in names], np.float64).reshape(len(names), got.num_rows).T

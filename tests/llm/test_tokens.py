@@ -71,6 +71,16 @@ def test_packing(spark, docs):
     assert packing.pack_documents(docs.limit(0), "byte_bpe_50k.json").count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 16, 31])
+def test_small_windows(spark, docs, window):
+    pieces = packing.pack_documents(docs, "byte_bpe_50k.json", window).collect()
+    lengths = {}
+    for r in pieces:
+        lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+    assert max(lengths.values()) <= window
+    assert sum(lengths.values()) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
 def test_cuts_are_optimal():
     """The monotone queue against all choices."""
     r = np.random.default_rng(3)
