@@ -73,7 +73,12 @@ def cluster_sizes(df: DataFrame, cluster_column: str) -> DataFrame:
     return counts.withColumn("pct", F.col("size") * 100.0 / F.lit(float(total or 1)))
 
 
-def silhouette_score(df: DataFrame, cluster_column: str, feature_columns: Sequence[str]) -> DataFrame:
+# clusters that every row is compared with, unless the caller allows more
+MAX_CLUSTERS = 1000
+
+
+def silhouette_score(df: DataFrame, cluster_column: str, feature_columns: Sequence[str],
+                     max_clusters: int = MAX_CLUSTERS) -> DataFrame:
     """Mean silhouette in squared Euclidean distance on standardised columns,
     noise (-1) left out.
 
@@ -92,19 +97,22 @@ def silhouette_score(df: DataFrame, cluster_column: str, feature_columns: Sequen
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     facts = points.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"), F.avg(square).alias("sq"),
-        *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))]).limit(1001).collect()
+        *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))]).limit(max_clusters + 1).collect()
     if len(facts) < 2:
         raise ValueError("at least 2 clusters are needed")
-    if len(facts) > 1000:
-        raise ValueError("more than 1000 clusters")
-    clusters = F.array(*[F.struct(F.lit(r.g).alias("g"), F.lit(r.n).cast("double").alias("n"), F.lit(r.sq).alias("sq"),
-                                  F.array(*[F.lit(r[f"m{i}"]) for i in range(len(names))]).alias("m")) for r in facts])
+    if len(facts) > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters; raise max_clusters")
+    # a lookup of one row, with at most max_clusters summaries
+    held = df.sparkSession.createDataFrame(
+        [([(r.g, float(r.n), r.sq, [r[f"m{i}"] for i in range(len(names))]) for r in facts],)],
+        "clusters array<struct<g:string, n:double, sq:double, m:array<double>>>")
+    clusters = F.col("clusters")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     # the mean over a row's own cluster leaves the row itself out
     distance = F.transform(clusters, lambda k: F.struct(
         (k["g"] == F.col("g")).alias("own"), k["n"].alias("n"),
         F.greatest(square + k["sq"] - F.lit(2.0) * dot(F.col("x"), k["m"]), F.lit(0.0)).alias("d")))
-    measured = points.select(distance.alias("k")).select(
+    measured = points.crossJoin(F.broadcast(held)).select(distance.alias("k")).select(
         F.filter("k", lambda k: k["own"])[0].alias("own"),
         F.array_min(F.transform(F.filter("k", lambda k: ~k["own"]), lambda k: k["d"])).alias("b"))
     n, b = F.col("own.n"), F.col("b")

@@ -131,8 +131,8 @@ def _params(model_type: str, hyperparams: Mapping | None, rows: int) -> dict:
     return out
 
 
-def _classes(df: DataFrame, target: str) -> list:
-    return distinct_values(df, target, MAX_CLASSES)
+def _classes(df: DataFrame, target: str, most: int) -> list:
+    return distinct_values(df, target, most)
 
 
 def _prepare(df: DataFrame, target: str, features: Sequence[str], classes: list | None) -> DataFrame:
@@ -172,12 +172,12 @@ def _kept(data: DataFrame):
 
 
 def train_model(df: DataFrame, target_column: str, model_type: str = "random_forest", model_name: str = "",
-                hyperparams: Mapping | None = None) -> TrainedModel:
-    """Fit on all numeric columns besides the target."""
+                hyperparams: Mapping | None = None, max_classes: int = MAX_CLASSES) -> TrainedModel:
+    """Fit on all numeric columns besides the target; more than ``max_classes`` classes are an error."""
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
     classifier = MODEL_TYPES[model_type][1]
-    classes = _classes(df, target_column) if classifier else None
+    classes = _classes(df, target_column, max_classes) if classifier else None
     with _kept(_prepare(df, target_column, features, classes).select(VECTOR, LABEL)) as data:
         model = _fit(data, model_type, hyperparams, len(classes or []), max(1, data.count()))
         score = _score(model, data, classifier)
@@ -248,12 +248,12 @@ def _fold_scores(data: DataFrame, model_type: str, hyperparams: Mapping | None,
 
 def cross_validate(df: DataFrame, target_column: str, model_type: str = "random_forest", n_folds: int = 5,
                    hyperparams: Mapping | None = None, key: Sequence[str] | None = None, seed: int = 42,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, max_classes: int = MAX_CLASSES) -> DataFrame:
     """(fold, score): R squared or accuracy of each held-out fold; folds of a
     classifier are stratified."""
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
-    classes = _classes(df, target_column) if MODEL_TYPES[model_type][1] else None
+    classes = _classes(df, target_column, max_classes) if MODEL_TYPES[model_type][1] else None
     with _kept(_with_folds(df, target_column, features, classes, n_folds, key, seed)) as data:
         scores = _fold_scores(data, model_type, hyperparams, n_folds, len(classes or []), parallelism)
     return df.sparkSession.createDataFrame(list(enumerate(scores, start=1)), "fold int, score double")
@@ -267,7 +267,8 @@ def score_summary(folds: DataFrame) -> DataFrame:
 
 def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str] | None = None, n_folds: int = 5,
                    hyperparams: Mapping[str, Mapping] | None = None, key: Sequence[str] | None = None,
-                   seed: int = 42, parallelism: int = 4, auto_classes: int = AUTO_CLASSES) -> DataFrame:
+                   seed: int = 42, parallelism: int = 4, auto_classes: int = AUTO_CLASSES,
+                   max_classes: int = MAX_CLASSES) -> DataFrame:
     """Model types ranked by their mean score over the same folds.
 
     Without ``model_types`` a numeric target of at most ``auto_classes``
@@ -286,7 +287,7 @@ def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str]
         chosen = [t for t in types if MODEL_TYPES[t][1] == wants_classes]
         if not chosen:
             continue
-        classes = _classes(df, target_column) if wants_classes else None
+        classes = _classes(df, target_column, max_classes) if wants_classes else None
         with _kept(_with_folds(df, target_column, features, classes, n_folds, key, seed)) as data:
             for t in chosen:
                 s = _fold_scores(data, t, (hyperparams or {}).get(t), n_folds, len(classes or []), parallelism)
@@ -299,11 +300,11 @@ def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str]
 
 def grid_search(df: DataFrame, target_column: str, model_type: str, param_grid: Mapping[str, Sequence],
                 n_folds: int = 5, model_name: str = "", key: Sequence[str] | None = None, seed: int = 42,
-                parallelism: int = 4) -> tuple[TrainedModel, DataFrame]:
+                parallelism: int = 4, max_classes: int = MAX_CLASSES) -> tuple[TrainedModel, DataFrame]:
     """(best model refitted on all rows, table of all combinations by rank)."""
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
-    classes = _classes(df, target_column) if MODEL_TYPES[model_type][1] else None
+    classes = _classes(df, target_column, max_classes) if MODEL_TYPES[model_type][1] else None
     combos = [dict(zip(param_grid, values)) for values in product(*param_grid.values())]
     for combo in combos:
         _params(model_type, combo, 1)
@@ -322,12 +323,12 @@ def grid_search(df: DataFrame, target_column: str, model_type: str, param_grid:
 
 def learning_curve(df: DataFrame, target_column: str, model_type: str = "random_forest", n_splits: int = 5,
                    hyperparams: Mapping | None = None, steps: int = 10, key: Sequence[str] | None = None,
-                   seed: int = 42, parallelism: int = 4) -> DataFrame:
+                   seed: int = 42, parallelism: int = 4, max_classes: int = MAX_CLASSES) -> DataFrame:
     """Train and validation scores for growing, nested shares of the training rows."""
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
     classifier = MODEL_TYPES[model_type][1]
-    classes = _classes(df, target_column) if classifier else None
+    classes = _classes(df, target_column, max_classes) if classifier else None
     with _kept(_with_folds(df, target_column, features, classes, n_splits, key, seed)) as data:
         # a second hash, so that the share does not depend on the fold
         share = F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(100 * steps)) < F.col("_part") * 100

@@ -132,6 +132,17 @@ def test_kmeans_of_all_starts_is_no_worse_than_the_library(spark, monkeypatch):
     assert rows.count() == lines.count() and rows.select("cluster").distinct().count() == 4
 
 
+def test_limits_are_arguments(spark, numbers):
+    many = numbers.withColumn("label", F.concat(F.lit("c"), F.floor(F.col("x3") * 7)))
+    with pytest.raises(ValueError, match="more than 3"):
+        train_model(many.drop("target"), "label", "decision_tree_classifier", max_classes=3)
+    spread = spark.range(2400).selectExpr("id div 2 as cluster", "id div 2 * 10.0D + id % 2 as x")
+    with pytest.raises(ValueError, match="more than 1000"):
+        silhouette_score(spread, "cluster", ["x"])
+    q = silhouette_score(spread, "cluster", ["x"], max_clusters=1200).first()
+    assert q.n_clusters == 1200 and q.n_used == 2400 and q.silhouette_sq > 0.98
+
+
 def test_kmeans_odd_tables(spark):
     few = spark.createDataFrame([(1.0, None), (1.0, None), (2.0, 3.0)], "x double, cluster double")
     rows, inertia = kmeans_cluster(few, ["x", "cluster"], 3, "label", starts=2)
