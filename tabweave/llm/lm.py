@@ -1,4 +1,4 @@
-"""Language-model scores by backoff weights.
+"""Language-model scores by a weighted backoff automaton.
 
 Counts are taken over all training texts, those of n-grams by length behind
 sieves of the shorter ones.  The model is a trigram model with
@@ -6,11 +6,14 @@ absolute discounting whose unigrams are smoothed by adding 0.1.  Every n-gram
 of any tokens that occurs at least ``LEAST_NGRAM`` times is kept, whatever the
 corpus; the backoff weights make the probabilities after any context sum to 1.
 
-All weights live in one table by n-gram hash.  An n-gram's weight is written as
-what it adds to that of the shorter one, so a text's score is the sum over the
-n-grams in it, and one join fetches whatever its task does not hold.  Tasks hold
-the frequent entries: tokens that make up 1/``COMMON`` of the corpus and n-grams
-that occur once in ``HELD`` tokens, so no key of the join is frequent.
+Kept contexts are the states of an automaton and kept n-grams its arcs; a failure
+arc costs the state's backoff weight and leads to the context without its first
+token.  All arcs live in one table by n-gram hash.  Texts are dealt to blocks; a
+block fetches the arcs that its texts can meet by one join, builds that part of the
+automaton, and every text is read on it once, from left to right.  Tasks hold the
+frequent entries: tokens that make up 1/``COMMON`` of the corpus and n-grams that
+occur once in ``HELD`` tokens, so no key of the join is frequent; a sieve of the
+kept n-grams keeps most others from being asked for.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
-from tabweave.llm.ngrams import BREAK, PIECE_BYTES, frequent_ngrams, pieces
+from tabweave.llm.ngrams import BREAK, PIECE_BYTES, frequent_ngrams, in_sieve, key_sieve, pieces
 from tabweave.llm.text import batch, crc_mod_of, map_batches, space_words, utf8
 from tabweave.session import cut_lineage, scratch_path
 
@@ -42,14 +45,15 @@ END = b""  # no word is empty
 START = b" "  # no word is a space
 # entries that a task gathers before it hands them on
 GATHERED = 400_000
+# texts of one block, about
+BLOCK_BYTES = 4 << 20
 
 _COUNT = pa.schema([("token", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
 _NGRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
-_PART = pa.schema([("doc_id", pa.int64()), ("text_crc", pa.int64()), ("token", pa.int64()), ("times", pa.int64()),
-                   ("arcs", pa.int64()), ("backs", pa.int64()), ("heads", pa.int64()), ("n_tokens", pa.int64()),
-                   ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-_PART_SQL = ("doc_id long, text_crc long, token long, times long, arcs long, backs long, heads long, n_tokens long, "
-             "n_known long, base double, model double")
+_ASKED = pa.schema([("block", pa.int32()), ("key", pa.int64())])
+_SCORED = pa.schema([("text_a", pa.int64()), ("text_b", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_SQL = "text_a long, text_b long, n_tokens long, n_known long, base_score double, score double"
 
 
 def token_hashes(words) -> np.ndarray:
@@ -87,14 +91,6 @@ class Unigrams:
     def log_weight(self, count) -> np.ndarray:
         return np.log10((count + ADD) / (self.total + ADD * (self.distinct + 1)))
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """The 64-bit number of each token."""
-        at = np.array(self.look_up(words), np.int64)
-        out = self.tokens[at] if len(self.tokens) else np.zeros(len(at), np.int64)
-        rare = np.flatnonzero(at < 0)
-        out[rare] = token_hashes([words[k] for k in rare.tolist()])
-        return out
-
     def look_up(self, words: list[bytes]) -> list[int]:
         """The number of each token, -1 for a rare one."""
         out = list(map(self.ids.get, words))
@@ -111,8 +107,8 @@ class Unigrams:
 
 @dataclass
 class Weights:
-    """The frequent n-grams, by ascending key: what each adds as the end of a
-    text's n-gram and as a context."""
+    """N-grams by ascending key: the log10 probability of each as an arc, and
+    its backoff weight as a context."""
 
     keys: np.ndarray
     arcs: np.ndarray
@@ -220,7 +216,8 @@ def _keyed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ngram_weights(kept: DataFrame, counts: DataFrame, unigrams: Unigrams, texts: int) -> DataFrame:
-    """``key, n, arc, back`` of each kept n-gram and of each token that is a context."""
+    """``key, n, arc, back`` of each kept n-gram and of each token that is a context:
+    its log10 probability and its log10 backoff weight."""
     start = int(token_hashes([START])[0])
     seen = counts.where("n_train > 0")
     totals = seen.select(F.col("token").alias("a"), F.col("n_train").alias("total")).union(
@@ -240,11 +237,11 @@ def ngram_weights(kept: DataFrame, counts: DataFrame, unigrams: Unigrams, texts:
     three = cut_lineage(three.select("a", "b", "c", "n", share.alias("p"), "q"))
     one = two.groupBy("a").agg(back("p", "q").alias("back"), F.sum("n").alias("n"))
     pair = three.groupBy("a", "b").agg(back("p", "q").alias("back"))
-    added = F.log10("p") - F.log10("q") - F.col("back")
+    log = F.log10("p").alias("arc")
     backs = F.coalesce("after", F.lit(0.0)).alias("back")
-    arcs2 = two.join(one.select("a", "back"), "a").select("a", "b", "n", added.alias("arc")).join(
+    arcs2 = two.select("a", "b", "n", log).join(
         pair.withColumnRenamed("back", "after"), ["a", "b"], "left").select("a", "b", "n", "arc", backs)
-    arcs3 = three.join(pair, ["a", "b"]).select("a", "b", "c", "n", added.alias("arc"), F.lit(0.0).alias("back"))
+    arcs3 = three.select("a", "b", "c", "n", log, F.lit(0.0).alias("back"))
     single = one.select("a", "n", F.lit(0.0).alias("arc"), "back")
     parts = [_keyed(x, k).select("key", "n", "arc", "back") for x, k in ((single, ["a"]), (arcs2, ["a", "b"]),
                                                                          (arcs3, ["a", "b", "c"]))]
@@ -257,6 +254,7 @@ class LanguageModel:
     weights: Weights
     counts_path: str  # the counts of all tokens
     weights_path: str  # the weights of all n-grams
+    sieve: np.ndarray  # of the keys of all n-grams
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_of: int = HELD_OUT_OF,
@@ -287,10 +285,153 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", h
     weights_path = scratch_path(spark, "ngram-weights")
     ngram_weights(kept, counts, unigrams, texts).write.parquet(weights_path)
     # at most ``held`` n-grams of each order are that frequent
-    often = spark.read.schema("key long, n long, arc double, back double").parquet(weights_path).where(
-        F.col("n") >= total / held).drop("n").toArrow().sort_by("key")
+    grams = spark.read.schema("key long, n long, arc double, back double").parquet(weights_path)
+    often = grams.where(F.col("n") >= total / held).drop("n").toArrow().sort_by("key")
     weights = Weights(*[often.column(x).to_numpy() for x in ("key", "arc", "back")])
-    return LanguageModel(unigrams, weights, path, weights_path)
+    return LanguageModel(unigrams, weights, path, weights_path, key_sieve(grams.select("key"), grams.count()))
+
+
+@dataclass
+class Block:
+    """Texts as numbers of their words: each text is a start, its words and an end."""
+
+    words: list[bytes]  # by number; the start is 0, the end 1
+    ids: np.ndarray
+    lengths: np.ndarray  # numbers of each text, with both ends
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Block:
+        numbers = {START: 0, END: 1}
+        found = [[0, *[numbers.setdefault(w, len(numbers)) for w in space_words(data)], 1] for data in texts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((i for x in found for i in x), np.int64, int(lengths.sum()))
+        return cls(list(numbers), ids, lengths)
+
+    def ngrams(self):
+        """Distinct bigrams as ``first * words + second``, ascending, and trigrams as
+        ``bigram's place * words + third``; and which of them ends at each number.
+        Those across two texts are among them, as they are no n-grams of the model."""
+        size = len(self.words)
+        two, at_two = np.unique(self.ids[:-1] * size + self.ids[1:], return_inverse=True)
+        three, at_three = np.unique(at_two[:-1] * size + self.ids[2:], return_inverse=True)
+        return two, at_two, three, at_three
+
+
+def ngram_keys_of(block: Block, hashes: np.ndarray, two: np.ndarray, three: np.ndarray) -> list[np.ndarray]:
+    """The keys of a block's words as contexts, of its bigrams and of its trigrams."""
+    size = len(block.words)
+    first, second = hashes[two // size], hashes[two % size]
+    pair = three // size
+    return [ngram_keys(hashes), ngram_keys(first, second), ngram_keys(first[pair], second[pair], hashes[three % size])]
+
+
+def asked_keys(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """``block, key`` of the rare tokens of a block's texts and of the n-grams
+    that the sieve lets through and tasks do not hold."""
+    held = rows.sparkSession.sparkContext.broadcast((model.unigrams, model.weights, model.sieve))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights, sieve = held.value
+        for b in batches:
+            block = Block.of(utf8(b.column(1)))
+            if not len(block.ids):
+                continue
+            of = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), block.lengths)
+            hashes = token_hashes(block.words)
+            two, at_two, three, at_three = block.ngrams()
+            rare = np.array(known.look_up(block.words)) < 0
+            rare[0] = False  # the start is no token
+            groups = [(hashes, rare, block.ids, of)]
+            for keys, at, end in zip(ngram_keys_of(block, hashes, two, three), (block.ids, at_two, at_three), (0, 1, 2)):
+                groups.append((keys, ~weights.find(keys)[1] & in_sieve(sieve, keys.view(np.uint64)), at, of[end:]))
+            for keys, wanted, at, place in groups:
+                here = wanted[at]
+                found = np.unique(place[here] * len(keys) + at[here])
+                if len(found):
+                    yield batch(_ASKED, found // len(keys), keys[found % len(keys)])
+
+    return map_batches(rows.select("block", "text"), run, "block int, key long").distinct()
+
+
+@dataclass
+class Automaton:
+    """What a block's texts can meet: state 0 is the empty context; an arc's
+    code is ``state * words + word``."""
+
+    words: int
+    arcs: dict[int, int]  # the arc of a code
+    logs: list[float]  # log10 probability of each arc
+    targets: list[int]  # the state that each arc leads to
+    failures: list[int]  # each state's context without its first token
+    backs: list[float]  # what the failure arc adds
+    start: int
+
+    def read(self, text: list[int]) -> float:
+        """The log10 probability of the words and the end of a text."""
+        words, arcs, logs, targets, failures, backs = (self.words, self.arcs, self.logs, self.targets, self.failures,
+                                                       self.backs)
+        state, total = self.start, 0.0
+        for word in text:
+            arc = arcs.get(state * words + word)
+            while arc is None:
+                # the empty context has an arc for every word
+                total += backs[state]
+                state = failures[state]
+                arc = arcs.get(state * words + word)
+            total += logs[arc]
+            state = targets[arc]
+        return total
+
+
+def build_automaton(block: Block, hashes: np.ndarray, unigram_logs: np.ndarray, tables: list[Weights]) -> Automaton:
+    """The states and arcs of the n-grams in a block that one of the tables holds."""
+    size = len(block.words)
+    two, _, three, _ = block.ngrams()
+
+    def find(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kept, log, back = np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys))
+        for t in tables:
+            at, ok = t.find(keys)
+            if ok.any():
+                kept |= ok
+                log[ok], back[ok] = t.arcs[at[ok]], t.backs[at[ok]]
+        return kept, log, back
+
+    (is_state, _, back1), (kept2, log2, back2), (kept3, log3, _) = map(find, ngram_keys_of(block, hashes, two, three))
+    token_state = np.where(is_state, np.cumsum(is_state), 0)
+    pair_state = np.where(kept2, int(is_state.sum()) + np.cumsum(kept2), 0)
+    second = two % size
+    # a kept trigram's last two tokens are a kept bigram
+    pair, third = three[kept3] // size, three[kept3] % size
+    after = np.searchsorted(two, second[pair] * size + third)
+    codes = np.concatenate([np.arange(size), token_state[two[kept2] // size] * size + second[kept2],
+                            pair_state[pair] * size + third])
+    targets = np.concatenate([token_state, pair_state[kept2], pair_state[after]])
+    return Automaton(size, dict(zip(codes.tolist(), range(len(codes)))),
+                     np.concatenate([unigram_logs, log2[kept2], log3[kept3]]).tolist(), targets.tolist(),
+                     [0] * (1 + int(is_state.sum())) + token_state[second[kept2]].tolist(),
+                     [0.0, *back1[is_state].tolist(), *back2[kept2].tolist()], int(token_state[0]))
+
+
+def score_block(texts: list[bytes], known: Unigrams, held: Weights, fetched: Weights, counts: Weights):
+    """Per text: tokens, known tokens, log10 probability by unigrams and by the
+    automaton; ``counts`` holds the counts of rare tokens as its ``arcs``."""
+    block = Block.of(texts)
+    hashes = token_hashes(block.words)
+    n = np.zeros(len(hashes), np.int64)
+    common = np.array(known.look_up(block.words))
+    n[common >= 0] = known.counts[common[common >= 0]]
+    at, ok = counts.find(hashes)
+    rare = ok & (common < 0)
+    n[rare] = counts.arcs[at[rare]]
+    logs = known.log_weight(n)
+    automaton = build_automaton(block, hashes, logs, [held, fetched])
+    edges = np.cumsum(block.lengths) - block.lengths
+    is_known, weight = n > 0, logs.copy()
+    is_known[0], weight[0] = False, 0.0  # the start is no token
+    scores = [automaton.read(block.ids[a + 1:a + k].tolist()) for a, k in zip(edges.tolist(), block.lengths.tolist())]
+    return (block.lengths - 1, np.add.reduceat(is_known[block.ids].astype(np.int64), edges),
+            np.add.reduceat(weight[block.ids], edges), scores)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text",
@@ -300,88 +441,41 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
 
     Tokens are runs of other than white space, A-Z in lower case, and one end.
     ``score`` is the model's log10 probability of the text, ``base_score`` that
-    of the smoothed unigrams alone.  Null and empty texts are an end alone; a
+    of the smoothed unigrams alone.  Equal texts are read once, so a text that
+    fills a third of the table is one row of its block.  Null and empty texts are an end alone; a
     null id is held out; repeated rows repeat; other columns are not read; an
     empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.unigrams, model.weights))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held_weights = held.value
-        weights = known.log_weight(known.counts)
-        in_training = known.counts > 0
-        for b in batches:
-            heads: list[tuple] = []
-            parts: list[tuple] = []
-            rare_words: list[bytes] = []
-            asked: list[tuple] = []
-            for doc, data in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                crc = int(token_hashes([data])[0])  # rows of one id are told apart by 64 bits of their text
-                words = space_words(data)
-                words.append(END)
-                ids = known.look_up(words)
-                a = np.array(ids)
-                a = a[a >= 0]
-                # a key of its own for the join: it meets no token
-                own = ((doc or 0) * 0x9E3779B97F4A7C15 ^ crc) % (1 << 63)
-                base = float(weights[a].sum())
-                x = known.hashes([START, *words])
-                # n-grams end at every token, and are contexts of all but the last
-                one, two, three = ngram_keys(x[:-1]), ngram_keys(x[:-1], x[1:]), ngram_keys(x[:-2], x[1:-1], x[2:])
-                keys = np.concatenate([one, two, three])
-                arcs = np.repeat([0, 1, 1], [len(one), len(two), len(three)])
-                backs = np.repeat([1, 1, 0], [len(one), len(two), len(three)])
-                backs[len(one) + len(two) - 1] = 0
-                at, found = held_weights.find(keys)
-                more = 0.0
-                if found.any():
-                    at = at[found]
-                    more = float((held_weights.arcs[at] * arcs[found] + held_weights.backs[at] * backs[found]).sum())
-                heads.append((doc, crc, own, 0, 0, 0, 1, len(ids), int(in_training[a].sum()), base, base + more))
-                if not found.all():
-                    keys, place = np.unique(keys[~found], return_inverse=True)
-                    asked.append((doc, crc, keys, np.bincount(place, arcs[~found]), np.bincount(place, backs[~found])))
-                if len(a) < len(ids):
-                    rare = Counter(w for w, i in zip(words, ids) if i < 0)
-                    rare_words += rare
-                    parts += [(doc, crc, n) for n in rare.values()]
-            yield batch(_PART, *zip(*heads))
-            if asked:
-                sizes = [len(x[2]) for x in asked]
-                doc, crc = (np.repeat(np.array([x[k] for x in asked], object), sizes) for k in (0, 1))
-                keys, ends, contexts = (np.concatenate([x[k] for x in asked]) for k in (2, 3, 4))
-                zero = np.zeros(len(keys), np.int64)
-                yield batch(_PART, doc, crc, keys, zero, ends.astype(np.int64), contexts.astype(np.int64), zero, zero, zero,
-                            np.zeros(len(keys)), np.zeros(len(keys)))
-            if parts:
-                doc, crc, n = zip(*parts)
-                zero = np.zeros(len(parts), np.int64)
-                yield batch(_PART, doc, crc, token_hashes(rare_words), n, zero, zero, zero, zero, zero,
-                            np.zeros(len(parts)), np.zeros(len(parts)))
-
-    parts = map_batches(_rows(docs, id_column, text_column), run, _PART_SQL)
-    read = docs.sparkSession.read
-    counts = read.schema("token long, n_all long, n_train long").parquet(model.counts_path).where("n_train > 0")
-    grams = read.schema("key long, n long, arc double, back double").parquet(model.weights_path)
-    u = model.unigrams
-    table = counts.select("token", "n_train", F.lit(0.0).alias("arc"), F.lit(0.0).alias("back")).union(
+    spark = docs.sparkSession
+    named = _rows(docs, id_column, text_column).withColumn("text", F.coalesce("text", F.lit("")))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = size // BLOCK_BYTES + 1
+    # texts are told apart by two 64-bit hashes
+    named = named.withColumns({"text_a": F.xxhash64("text"), "text_b": F.xxhash64(F.lit(1), "text")})
+    rows = named.withColumn("block", F.pmod("text_a", F.lit(blocks)).cast("int"))
+    counts = spark.read.schema("token long, n_all long, n_train long").parquet(model.counts_path).where("n_train > 0")
+    grams = spark.read.schema("key long, n long, arc double, back double").parquet(model.weights_path)
+    table = counts.select(F.col("token").alias("key"), "n_train", F.lit(0.0).alias("arc"), F.lit(0.0).alias("back")).union(
         grams.select("key", F.lit(0).cast("long"), "arc", "back"))
-    # keys of the join are heads, rare tokens and n-grams that tasks do not hold, so none is frequent
-    joined = parts.join(table, "token", "left")
-    n = F.coalesce("n_train", F.lit(0))
-    weight = F.log10((n + F.lit(ADD)) / F.lit(u.total + ADD * (u.distinct + 1)))
-    fetched = F.coalesce(F.col("arc") * F.col("arcs") + F.col("back") * F.col("backs"), F.lit(0.0))
-    summed = joined.groupBy("doc_id", "text_crc").agg(
-        F.sum("heads").alias("heads"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum("base").alias("base"), F.sum(F.col("model") + fetched).alias("model"),
-        F.sum(F.when(F.col("times") > 0, weight * F.col("times")).otherwise(0.0)).alias("rare"))
-    heads = F.col("heads")
-    copies = summed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), heads.cast("int"))))
+    fetched = asked_keys(rows, model).join(table, "key").select("block", "key", "n_train", "arc", "back")
+    once = rows.groupBy("block", "text_a", "text_b").agg(F.first("text").alias("text"))
+    held = spark.sparkContext.broadcast((model.unigrams, model.weights))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _SCORED.empty_table()
+        known, weights = held.value
+        found = found.sort_by("key")
+        key, n, arc, back = (found.column(k).to_numpy() for k in ("key", "n_train", "arc", "back"))
+        gram = n == 0
+        scored = score_block(utf8(texts.column("text").combine_chunks()), known, weights,
+                             Weights(key[gram], arc[gram], back[gram]), Weights(key[~gram], n[~gram], back[~gram]))
+        columns = [texts.column("text_a"), texts.column("text_b"), *scored]
+        return pa.table([pa.array(x, t.type) if not isinstance(x, pa.ChunkedArray) else x
+                         for x, t in zip(columns, _SCORED)], schema=_SCORED)
+
+    scored = once.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(run, _SCORED_SQL)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    share = lambda x: (x / heads).cast("long")
-    return copies.select("doc_id", (F.crc32(key) % held_out_of == 0).alias("held_out"),
-                         share(F.col("n_tokens")).alias("n_tokens"), share(F.col("n_known")).alias("n_known"),
-                         F.lit(u.total).cast("long").alias("train_tokens"),
-                         ((F.col("base") + F.col("rare")) / heads).alias("base_score"),
-                         ((F.col("model") + F.col("rare")) / heads).alias("score"))
+    return named.select("doc_id", "text_a", "text_b").join(scored, ["text_a", "text_b"]).select(
+        "doc_id", (F.crc32(key) % held_out_of == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.unigrams.total).cast("long").alias("train_tokens"), "base_score", "score")

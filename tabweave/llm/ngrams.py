@@ -96,7 +96,7 @@ def in_sieve(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
 def make_sieve(kept: DataFrame, words: int, n: int) -> np.ndarray:
     """The sieve of the ``n`` n-grams ``grp, prefix, next`` of 1 or 2 words: a bitmap
     of at most ``MOST_SIEVE_BITS``, put together by tasks."""
-    bits = 1 << max(15, min(MOST_SIEVE_BITS.bit_length() - 1, (n * SIEVE_BITS).bit_length()))
+    bits = _sieve_bits(n)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,9 +109,29 @@ def make_sieve(kept: DataFrame, words: int, n: int) -> np.ndarray:
                     h = pair_hashes(word_hashes(grp, [w for w, _ in grams]), h)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(h, bits)).astype(np.int64))], schema=_PLACE)
 
+    return _sieve(map_batches(kept.select("grp", "prefix", "next"), places, "place long"), bits)
+
+
+def key_sieve(keys: DataFrame, n: int) -> np.ndarray:
+    """The sieve of a column of ``n`` 64-bit numbers."""
+    bits = _sieve_bits(n)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch(_PLACE, np.concatenate(_places(h, bits)).astype(np.int64))
+
+    return _sieve(map_batches(keys, places, "place long"), bits)
+
+
+def _sieve_bits(n: int) -> int:
+    return 1 << max(15, min(MOST_SIEVE_BITS.bit_length() - 1, (n * SIEVE_BITS).bit_length()))
+
+
+def _sieve(places: DataFrame, bits: int) -> np.ndarray:
     # Spark counts places from 1, and so its pages
     place = F.col("place") + 1
-    pages = map_batches(kept.select("grp", "prefix", "next"), places, "place long").groupBy(
+    pages = places.groupBy(
         F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     size = 4096  # bytes of a bitmap of Spark's

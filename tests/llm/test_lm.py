@@ -120,3 +120,39 @@ def test_every_frequent_enough_ngram_counts(spark, rows):
         want = sorted((d or 0, len(tokens(t)), plain.score(t)) for d, t in rows)
         assert [x[:2] for x in got] == [x[:2] for x in want]
         assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_hot_text_long_text_and_clashing_columns(spark, rows):
+    """One row repeated on a third of the table, a long text, and columns named like the model's own."""
+    many = rows + [(9, "a b c a b")] * 70 + [(300, "a b c d " * 20_000)]
+    docs = spark.createDataFrame([(*x, 1, "k") for x in many], "doc_id long, text string, block int, key string")
+    plain = Plain(many, 10**9, 1, 10**9, 10**9, 2)
+    model = lm.fit(docs, common=20, least_common=3, least_ngram=2, held=30)
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.score) for r in lm.score(docs, model).collect())
+    seen = {text: plain.score(text) for text in {t for _, t in rows} | {"a b c a b"}}
+    want = sorted((d or 0, len(tokens(t)), sum(plain.c[w] > 0 for w in tokens(t)), seen[t]) for d, t in many if d != 300)
+    assert [x[:3] for x in got if x[0] != 300] == [x[:3] for x in want]
+    assert [x[3] for x in got if x[0] != 300] == pytest.approx([x[3] for x in want])
+    # the long text is one cycle
+    cycle = [math.log10(plain.p(h, w)) for h, w in ((("c", "d"), "a"), (("d", "a"), "b"), (("a", "b"), "c"), (("b", "c"), "d"))]
+    long = next(x for x in got if x[0] == 300)
+    assert long[1] == 80_001 and long[3] == pytest.approx(20_000 * sum(cycle), abs=20)
+
+
+def test_automaton_states_and_failure_arcs():
+    """Of ``x y`` and ``x y z`` kept: the states are x and x y; a miss fails to the shorter context."""
+    block = lm.Block.of([b"x y z", b"x y y"])
+    hashes = lm.token_hashes(block.words)
+    x, y, z = (hashes[[block.words.index(w)]] for w in (b"x", b"y", b"z"))
+    keys = [int(k[0]) for k in (lm.ngram_keys(x), lm.ngram_keys(x, y), lm.ngram_keys(x, y, z))]
+    order = sorted(range(3), key=keys.__getitem__)
+    arcs, backs = (0.0, -0.2, -0.1), (-0.5, -0.7, 0.0)
+    weights = lm.Weights(*[lm.np.array([v[i] for i in order]) for v in (keys, arcs, backs)])
+    a = lm.build_automaton(block, hashes, lm.np.full(len(hashes), -2.0), [weights])
+    assert a.failures == [0, 0, 0] and a.backs == [0.0, -0.5, -0.7]
+    read = lambda text: a.read([block.words.index(w) for w in text])
+    # x, x y and x y z by arcs; the end after no context
+    assert read([b"x", b"y", b"z", b""]) == pytest.approx(-2 - 0.2 - 0.1 - 2)
+    # x y fails over its own weight
+    assert read([b"x", b"y", b"y", b""]) == pytest.approx(-2 - 0.2 - 0.7 - 2 - 2)
+    assert read([b"x", b"x", b""]) == pytest.approx(-2 - 0.5 - 2 - 0.5 - 2)
