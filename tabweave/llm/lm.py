@@ -46,7 +46,9 @@ START = b" "  # no word is a space
 # entries that a task gathers before it hands them on
 GATHERED = 400_000
 # texts of one block, about
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
+# keys that a task gathers before it asks for them
+ASKED = 4_000_000
 
 _COUNT = pa.schema([("token", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
 _NGRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
@@ -327,11 +329,25 @@ def ngram_keys_of(block: Block, hashes: np.ndarray, two: np.ndarray, three: np.n
 
 def asked_keys(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """``block, key`` of the rare tokens of a block's texts and of the n-grams
-    that the sieve lets through and tasks do not hold."""
+    that the sieve lets through and tasks do not hold, once a task or more often."""
     held = rows.sparkSession.sparkContext.broadcast((model.unigrams, model.weights, model.sieve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights, sieve = held.value
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            if not gathered:
+                return
+            place, key = map(np.concatenate, zip(*gathered))
+            gathered.clear()
+            order = np.lexsort((place, key))
+            place, key = place[order], key[order]
+            new = np.append(True, (place[1:] != place[:-1]) | (key[1:] != key[:-1]))
+            place, key = place[new], key[new]
+            for i in range(0, len(key), 1 << 20):
+                yield batch(_ASKED, place[i:i + (1 << 20)], key[i:i + (1 << 20)])
+
         for b in batches:
             block = Block.of(utf8(b.column(1)))
             if not len(block.ids):
@@ -348,9 +364,12 @@ def asked_keys(rows: DataFrame, model: LanguageModel) -> DataFrame:
                 here = wanted[at]
                 found = np.unique(place[here] * len(keys) + at[here])
                 if len(found):
-                    yield batch(_ASKED, found // len(keys), keys[found % len(keys)])
+                    gathered.append(((found // len(keys)).astype(np.int32), keys[found % len(keys)]))
+            if sum(len(x[0]) for x in gathered) > ASKED:
+                yield from hand_on()
+        yield from hand_on()
 
-    return map_batches(rows.select("block", "text"), run, "block int, key long").distinct()
+    return map_batches(rows.select("block", "text"), run, "block int, key long")
 
 
 @dataclass
