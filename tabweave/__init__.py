@@ -32,6 +32,7 @@ from tabweave.operators.reduction import pca_transform
 from tabweave.operators.relational import concat_dataframes, melt_dataframe, merge_dataframes, pivot_table
 from tabweave.operators.rows import (add_row_index, drop_duplicates, drop_missing, filter_rows, get_head, get_tail,
                                      sample_data, sort_values)
+from tabweave.operators.neighbours import neighbour_information
 from tabweave.operators.selection import (correlation_filter, drop_low_importance, feature_importance,
                                           mutual_information, variance_filter)
 from tabweave.session import local_session

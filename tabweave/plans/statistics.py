@@ -19,6 +19,7 @@ from tabweave.operators.profile import (detect_outliers, get_column_profile, get
                                         get_unique_values, get_value_counts, missing_patterns, quality_report)
 from tabweave.operators.relational import merge_dataframes
 from tabweave.operators.rows import sort_values
+from tabweave.operators.neighbours import neighbour_information
 from tabweave.operators.selection import (correlation_filter, drop_low_importance, feature_importance,
                                           mutual_information, variance_filter)
 from tabweave.plans.catalog import normal_quantile_sql, query, rounded
@@ -502,6 +503,30 @@ def _(t):
     return rounded(feature_importance(rows, "l_returnflag", "mutual_info_classif"), 5)
 
 
+def _psi_sql(n: str) -> str:
+    z = f"({n} + 8.0)"
+    tail = "".join(f" - 1.0 / ({n} + {j})" for j in range(8))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z}^2) + 1 / (120 * {z}^4) - 1 / (252 * {z}^6) + 1 / (240 * {z}^8){tail})"
+
+
+@query("neighbour_information", f"""
+    WITH raw AS (SELECT 'c_nationkey' AS feature, c_custkey AS id, c_nationkey::DOUBLE AS x, c_acctbal AS y FROM customer
+                 UNION ALL SELECT 'c_custkey', c_custkey, c_custkey::DOUBLE, c_acctbal FROM customer),
+    p AS (SELECT feature, id, x / stddev_pop(x) OVER (PARTITION BY feature) AS x,
+                 y / stddev_pop(y) OVER (PARTITION BY feature) AS y FROM raw),
+    reach AS (SELECT a.feature, a.id, a.x, a.y, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS e
+              FROM p a JOIN p b ON a.feature = b.feature AND a.id <> b.id GROUP BY ALL),
+    counted AS (SELECT a.feature, a.id,
+                       sum((abs(a.x - b.x) < a.e * (1 - 1e-12) - 1e-14 * abs(a.x) OR (a.e = 0 AND a.x = b.x))::INT) AS nx,
+                       sum((abs(a.y - b.y) < a.e * (1 - 1e-12) - 1e-14 * abs(a.y) OR (a.e = 0 AND a.y = b.y))::INT) AS ny
+                FROM reach a JOIN p b ON a.feature = b.feature GROUP BY ALL)
+    SELECT feature, round(greatest(0, {_psi_sql("count(*)")} + {_psi_sql("3")}
+                                      - avg({_psi_sql("nx")} + {_psi_sql("ny")})), 5) AS importance
+    FROM counted GROUP BY feature""")
+def _(t):
+    return rounded(neighbour_information(t.customer, "c_acctbal", ["c_nationkey", "c_custkey"]), 5)
+
+
 # --- statistical tests ------------------------------------------------------
 
 @query("ttest_independent", """
