@@ -35,6 +35,7 @@ from tabweave.operators.rows import (add_row_index, drop_duplicates, drop_missin
 from tabweave.operators.neighbours import neighbour_information
 from tabweave.operators.selection import (correlation_filter, drop_low_importance, feature_importance,
                                           mutual_information, variance_filter)
+from tabweave.operators.silhouette import silhouette_euclidean
 from tabweave.session import local_session
 from tabweave.sources.files import load_csv, load_parquet, save_csv, table_shapes
 from tabweave.sources.workbooks import load_excel

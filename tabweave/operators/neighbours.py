@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c, require_columns, require_numeric, without_nan
-from tabweave.core.scan import attach, carry_forward, running_totals
+from tabweave.core.scan import attach, attach_measured, carry_forward, row_numbers, running_totals
 from tabweave.operators.features import feature_columns
 from tabweave.session import cut_lineage
 
@@ -31,9 +31,9 @@ ROUNDING = 2.0**-50
 
 
 def neighbour_information(df: DataFrame, target_column: str, features: Sequence[str] | None = None, k: int = 3,
-                          cell: int = CELL) -> DataFrame:
-    """(feature, importance): mutual information with a continuous target, in
-    nats, by the distances to the k-th nearest neighbours.
+                          cell: int = CELL, continuous_target: bool = True) -> DataFrame:
+    """(feature, importance): mutual information with the target, in nats, by
+    the distances to the k-th nearest neighbours.
 
     Both columns are divided by their standard deviation.  With e the largest
     of the differences on the two axes to a row's k-th neighbour, nx and ny
@@ -41,14 +41,21 @@ def neighbour_information(df: DataFrame, target_column: str, features: Sequence[
     is 0, the equal ones; what differs by e within rounding does not count.  The estimate is psi(n) + psi(k) - mean(psi(nx) +
     psi(ny)), at least 0.  No noise is added, so it is the same every time.
 
+    With classes as target e is the difference to the k-th nearest row of the
+    same class (the farthest, where a class has at most k rows), and the estimate
+    psi(n) + mean(psi(k)) - mean(psi(rows of the class) + psi(nx)); rows that
+    are alone in their class do not count.
+
     A missing feature value counts as 0; rows without target are left out; a
     table of at most k rows has a null estimate.
     """
     names = list(features or feature_columns(df, target_column))
     require_columns(df, [target_column])
-    require_numeric(df, [*names, target_column])
+    require_numeric(df, [*names, target_column] if continuous_target else names)
     if k < 1 or cell <= k:
         raise ValueError("k must be positive and below the size of a cell")
+    if not continuous_target:
+        return _class_information(df, target_column, names, k, cell)
     y = without_nan(c(target_column).cast("double"))
     used = df.select(y.alias("_y"), *[F.coalesce(without_nan(c(n).cast("double")), F.lit(0.0)).alias(f"_x{i}")
                                       for i, n in enumerate(names)]).where("_y is not null")
@@ -64,6 +71,34 @@ def neighbour_information(df: DataFrame, target_column: str, features: Sequence[
     return df.sparkSession.createDataFrame(found, "feature string, importance double")
 
 
+def _class_information(df: DataFrame, target_column: str, names: list[str], k: int, cell: int) -> DataFrame:
+    used = df.select(c(target_column).cast("string").alias("_g"), *[
+        F.coalesce(without_nan(c(n).cast("double")), F.lit(0.0)).alias(f"_x{i}") for i, n in enumerate(names)]).where(
+            "_g is not null")
+    classes = used.groupBy("_g").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    used = cut_lineage(attach_measured(used, row_numbers(classes, [F.col("_g").asc()], "code"), ["_g"], "inner"))
+    spread = used.agg(F.count(F.lit(1)), *[f(f"_x{i}") for i in range(len(names)) for f in (F.stddev_pop, F.min, F.max)]).first()
+    found = []
+    for i, name in enumerate(names):
+        value = None
+        if spread[0]:
+            deviation, low, high = spread[1 + 3 * i:4 + 3 * i]
+            # classes lie so far apart that the nearest rows are of the same one
+            apart = (high - low) / (deviation or 1.0) + 1.0
+            points = cut_lineage(used.select((F.col(f"_x{i}") / F.lit(deviation or 1.0) + F.lit(0.0)).alias("x"),
+                                             (F.col("code") * F.lit(apart)).alias("y"), "rows").groupBy("x", "y").agg(
+                                                 F.count(F.lit(1)).alias("w"), F.first("rows").alias("rows")))
+            least = F.least(F.col("rows") - 1, F.lit(k)).cast("int")
+            near = _neighbours(points.select("x", "y", "w"), k, cell)
+            reach = cut_lineage(attach(near, points.select("x", "y", "rows"), ["x", "y"]).select(
+                "x", "y", "w", F.get("near", least - 1).alias("e"), least.alias("least"), "rows"))
+            own = F.sum(F.col("w") * (psi(F.col("least")) - psi(F.col("rows")))) / spread[0]
+            around = _axis_counts(reach.select("x", "y", "w", "e"), ["x"]).agg(F.sum(F.col("w") * psi(F.col("n"))) / spread[0])
+            value = max(0.0, _harmonic(spread[0]) + reach.agg(own).first()[0] - around.first()[0])
+        found.append((name, value))
+    return df.sparkSession.createDataFrame(found, "feature string, importance double")
+
+
 def psi(n: Column) -> Column:
     """The digamma function of whole numbers from 1."""
     z = n + F.lit(8.0)
@@ -90,6 +125,11 @@ def _information(pairs: DataFrame, n: int, k: int, cell: int) -> float:
 def neighbour_distances(points: DataFrame, k: int, cell: int = CELL) -> DataFrame:
     """``x, y, w, e`` of distinct points with weights: the larger of both
     differences to the k-th nearest, where a point's own copies are its neighbours."""
+    return _neighbours(points, k, cell).select("x", "y", "w", F.col("near")[k - 1].alias("e"))
+
+
+def _neighbours(points: DataFrame, k: int, cell: int) -> DataFrame:
+    """``x, y, w, near`` of distinct points: the distances in ascending order, right up to the k-th."""
     cells, strips = _cells(points, cell)
     near = cut_lineage(_own_cell(cells, strips, k))
     asked = _asked_cells(near, cells)
@@ -105,7 +145,7 @@ def neighbour_distances(points: DataFrame, k: int, cell: int = CELL) -> DataFram
     more = asked.groupBy("strip", "cell").cogroup(cells.groupBy("strip", "cell")).applyInArrow(meet, _FOUND_SQL)
     more = more.groupBy("x", "y").agg(F.flatten(F.collect_list("near")).alias("more"))
     both = F.concat("near", F.coalesce("more", F.array().cast("array<double>")))
-    return attach(near, more, ["x", "y"]).select("x", "y", "w", F.sort_array(both)[k - 1].alias("e"))
+    return attach(near, more, ["x", "y"]).select("x", "y", "w", F.sort_array(both).alias("near"))
 
 
 def _cells(points: DataFrame, cell: int) -> tuple[DataFrame, list[tuple[int, float, float]]]:
@@ -207,20 +247,20 @@ def _asked_cells(near: DataFrame, cells: DataFrame) -> DataFrame:
     return every.where("own is null or own <> cell").select("strip", "cell", "x", "y", "u")
 
 
-def _axis_counts(reach: DataFrame) -> DataFrame:
+def _axis_counts(reach: DataFrame, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """``w, n`` per point and axis: the rows that differ by less than its distance."""
     data = [reach.groupBy(F.col(a).alias("v")).agg(F.sum("w").alias("held")).select(F.lit(a).alias("axis"), "v", F.lit(1).alias("kind"),
             "held", *[F.lit(None).cast(t).alias(n) for n, t in (("x", "double"), ("y", "double"), ("w", "long"), ("sign", "int"))])
-            for a in ("x", "y")]
+            for a in axes]
     # what differs by e within rounding does not differ by less
-    tight = {a: F.greatest(F.col("e") - F.lit(ROUNDING) * (F.abs(a) + F.col("e")), F.lit(0.0)) for a in ("x", "y")}
+    tight = {a: F.greatest(F.col("e") - F.lit(ROUNDING) * (F.abs(a) + F.col("e")), F.lit(0.0)) for a in axes}
     # an end counts what comes before it: equal values belong inside where nothing else does
     asked = [reach.select(F.lit(a).alias("axis"), (F.col(a) + F.lit(s) * tight[a]).alias("v"),
                           F.when(tight[a] == 0, 1 + s).otherwise(1 - s).alias("kind"), F.lit(0).cast("long").alias("held"),
                           "x", "y", "w", F.lit(s).alias("sign"))
-             for a in ("x", "y") for s in (-1, 1)]
+             for a in axes for s in (-1, 1)]
     rows = data[0]
-    for other in (data[1], *asked):
+    for other in (*data[1:], *asked):
         rows = rows.unionByName(other)
     counted = running_totals(rows, ["v", "kind", "x", "y"], {"before": "held"}, keys=["axis"]).where("sign is not null")
     return counted.groupBy("axis", "x", "y").agg(F.max("w").alias("w"), F.sum(F.col("sign") * F.col("before")).alias("n"))

@@ -15,6 +15,7 @@ from tabweave.operators.interpret import model_feature_importance, permutation_i
 from tabweave.operators.modeling import (compare_models, cross_validate, evaluate_model, grid_search, learning_curve,
                                          list_models, predict, score_summary, train_model, train_test_split)
 from tabweave.operators.reduction import pca_transform
+from tabweave.operators.silhouette import silhouette_euclidean
 from tabweave.plans.catalog import query, rounded
 from tabweave.plans.workbook_writer import workbook_bytes
 from tabweave.sources.workbooks import read_workbooks
@@ -286,6 +287,24 @@ def _(t):
     return rounded(silhouette_score(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"]), 7)
 
 
+@query("silhouette_euclidean", """
+    WITH s AS (SELECT c_custkey AS id, c_mktsegment AS g,
+                      (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+                      (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
+         d AS (SELECT a.id, a.g, b.g AS k, sum(sqrt((a.x - b.x)^2 + (a.y - b.y)^2)) AS d, count(*) AS n
+               FROM s a, s b GROUP BY ALL),
+         m AS (SELECT id, max(CASE WHEN g = k AND n > 1 THEN d / (n - 1) END) AS a,
+                      min(CASE WHEN g <> k THEN d / n END) AS b FROM d GROUP BY id),
+         v AS (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) AS v, count(*) AS n FROM m)
+    SELECT TRUE AS close, (SELECT count(DISTINCT g) FROM s) AS n_clusters, n AS n_used,
+           CASE WHEN v >= 0.7 THEN 'Excellent' WHEN v >= 0.5 THEN 'Good' WHEN v >= 0.25 THEN 'Fair' ELSE 'Poor' END AS quality
+    FROM v""")
+def _(t):
+    # the score has a stated error, so no fixed number of digits
+    found = silhouette_euclidean(t.customer, "c_mktsegment", ["c_acctbal", "c_nationkey"])
+    return found.select((F.col("error") <= 0.02).alias("close"), "n_clusters", "n_used", "quality")
+
+
 @query("pca_transform")
 def _(t):
     rows, _ = pca_transform(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"),

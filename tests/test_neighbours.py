@@ -47,6 +47,37 @@ def test_equal_to_brute_force(spark, frame):
     assert got["strong"] > got["weak"] and got["none"] < 0.1
 
 
+def brute_classes(x, g, k):
+    x, g = np.asarray(x, float), np.asarray(g)
+    rows = np.array([(g == v).sum() for v in g])
+    x, g, rows = x[rows > 1], g[rows > 1], rows[rows > 1]
+    x = x / (x.std() or 1.0) + 0.0
+    d = np.abs(x[:, None] - x)
+    np.fill_diagonal(d, np.inf)
+    least = np.minimum(rows - 1, k)
+    e = np.array([np.sort(d[i, g == g[i]])[least[i] - 1] for i in range(len(x))])
+    near = np.abs(x[:, None] - x) < (e * (1 - 1e-12) - 1e-14 * np.abs(x))[:, None]
+    around = np.where(e == 0, (x == x[:, None]).sum(1), near.sum(1))
+    t = harmonic(len(x))
+    return max(0.0, t[len(x)] + (t[least] - t[rows] - t[around]).mean())
+
+
+def test_classes_equal_to_brute_force(spark, frame):
+    r = np.random.default_rng(2)
+    kind = np.where(frame.strong > 0.5, "up", np.where(frame.strong < -1, "down", "mid")).astype(object)
+    kind[:4] = ["pair", "pair", "alone", None]
+    kind[10:1000:3] = r.permutation(kind[10:1000:3])
+    rows = frame[["strong", "none", "hot"]].assign(kind=kind)
+    got = {x.feature: x.importance for x in neighbour_information(
+        spark.createDataFrame(rows), "kind", cell=32, continuous_target=False).collect()}
+    known = rows[rows.kind.notna()]
+    for n in ("strong", "none", "hot"):
+        assert got[n] == pytest.approx(brute_classes(known[n], known.kind, 3), abs=1e-9)
+    assert got["strong"] > 0.2 > got["none"]
+    alone = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, g string")
+    assert neighbour_information(alone, "g", continuous_target=False).first().importance is None
+
+
 def test_distances_of_weighted_points(spark):
     r = np.random.default_rng(3)
     p = pd.DataFrame({"x": r.integers(0, 40, 900) / 7.0, "y": r.integers(0, 3, 900) * 10.0})
