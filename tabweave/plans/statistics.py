@@ -527,6 +527,25 @@ def _(t):
     return rounded(neighbour_information(t.customer, "c_acctbal", ["c_nationkey", "c_custkey"]), 5)
 
 
+@query("neighbour_information_classes", f"""
+    WITH raw AS (SELECT 'c_nationkey' AS feature, c_custkey AS id, c_nationkey::DOUBLE AS x, c_mktsegment AS g FROM customer
+                 UNION ALL SELECT 'c_acctbal', c_custkey, c_acctbal, c_mktsegment FROM customer),
+    p AS (SELECT feature, id, g, x / stddev_pop(x) OVER (PARTITION BY feature) AS x,
+                 count(*) OVER (PARTITION BY feature, g) AS n FROM raw),
+    lists AS (SELECT a.feature, a.id, a.x, a.n, min(abs(a.x - b.x), 3) AS near
+              FROM p a JOIN p b ON a.feature = b.feature AND a.g = b.g AND a.id <> b.id GROUP BY ALL),
+    reach AS (SELECT feature, id, x, n, least(n - 1, 3) AS k, near[least(n - 1, 3)] AS e FROM lists),
+    counted AS (SELECT a.feature, a.id, a.k, a.n,
+                       sum((abs(a.x - b.x) < a.e * (1 - 1e-12) - 1e-14 * abs(a.x) OR (a.e = 0 AND a.x = b.x))::INT) AS nx
+                FROM reach a JOIN p b ON a.feature = b.feature GROUP BY ALL)
+    SELECT feature, round(greatest(0, {_psi_sql("count(*)")}
+                                      + avg({_psi_sql("k")} - {_psi_sql("n")} - {_psi_sql("nx")})), 5) AS importance
+    FROM counted GROUP BY feature""")
+def _(t):
+    return rounded(neighbour_information(t.customer, "c_mktsegment", ["c_nationkey", "c_acctbal"],
+                                         continuous_target=False), 5)
+
+
 # --- statistical tests ------------------------------------------------------
 
 @query("ttest_independent", """
