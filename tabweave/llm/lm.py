@@ -46,9 +46,9 @@ START = b" "  # no word is a space
 # entries that a task gathers before it hands them on
 GATHERED = 400_000
 # texts of one block, about
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 # keys that a task gathers before it asks for them
-ASKED = 4_000_000
+ASKED = 2_000_000
 
 _COUNT = pa.schema([("token", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
 _NGRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
