@@ -148,7 +148,8 @@ def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 
 def workbook_cells(files: DataFrame, sheet_name: str = "") -> DataFrame:
-    """(path, sheet, row, col, kind, value) of every filled cell of (path, content) rows."""
+    """(path, sheet, row, col, kind, value) of every filled cell of (path, content) rows,
+    which have to be the same each time they are read."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
@@ -209,8 +210,15 @@ def read_workbooks(files: DataFrame, sheet_name: str = "", infer: bool = True) -
     that ``header_names`` gives.  A column of dates is a timestamp, of numbers a
     long or a double, of booleans a boolean; any other is text, and text that
     stands for a missing value is null.  ``infer=False`` leaves all as text.
-    The parsed cells are kept once for header, types and rows.
+    The files are kept once, because sheets and shared strings are read apart
+    and have to come from the same bytes, and a plan that writes workbooks may
+    order rows anew each time it runs.  The parsed cells are kept once for
+    header, types and rows.
     """
+    return _read(cut_lineage(files.select("path", "content")), sheet_name, infer)
+
+
+def _read(files: DataFrame, sheet_name: str, infer: bool) -> DataFrame:
     cells = cut_lineage(workbook_cells(files, sheet_name))
     books, width = cells.agg(F.countDistinct("path"), F.max("col")).first()
     # one row a column
@@ -248,4 +256,5 @@ def read_workbooks(files: DataFrame, sheet_name: str = "", infer: bool = True) -
 
 def load_excel(spark: SparkSession, path: str, sheet_name: str = "", infer: bool = True) -> DataFrame:
     """The first or the named sheet of a workbook, a folder or a pattern."""
-    return read_workbooks(spark.read.format("binaryFile").load(path), sheet_name, infer)
+    # stored files stay as they are, so they are read twice and not copied
+    return _read(spark.read.format("binaryFile").load(path), sheet_name, infer)

@@ -133,6 +133,18 @@ def test_one_large_workbook_in_many_tasks(spark):
     assert got.agg(F.count("name"), F.sum("k"), F.sum("v")).first() == (60_000, 1799970000, 1799970000 / 8)
 
 
+def test_workbooks_written_anew_each_time_they_are_read(spark):
+    def build(batches):
+        for _ in batches:
+            # another order of rows in every run
+            rows = [[k, f"text {k}"] for k in np.random.default_rng().permutation(300).tolist()]
+            yield pd.DataFrame({"path": ["one.xlsx"], "content": [workbook_bytes(["k", "text"], rows, share_strings=True)]})
+
+    files = spark.range(1, numPartitions=1).mapInPandas(build, "path string, content binary")
+    got = read_workbooks(files)
+    assert got.count() == 300 and got.where("text = 'text ' || k").count() == 300
+
+
 # --- joins and reshaping ----------------------------------------------------
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
