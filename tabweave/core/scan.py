@@ -36,8 +36,9 @@ SLOT = "_slot"
 SEQ = "_seq"
 
 
-def range_slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Sort globally; add the slot and the position inside the slot.
+def range_slots(df: DataFrame, order: Sequence[Column], keep: Sequence[str] | None = None) -> DataFrame:
+    """Sort globally; add the slot and the position inside the slot.  ``keep`` names
+    the columns that are still needed then, all without it.
 
     ``monotonically_increasing_id`` numbers the rows of a task in their order:
     the task's index above bit 33, the position below it.
@@ -48,7 +49,7 @@ def range_slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return cut_lineage(
         ordered.withColumn(SLOT, F.shiftright("_mark", 33))
         .withColumn(SEQ, F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mark"))
+        .select(*map(c, df.columns if keep is None else keep), SLOT, SEQ))
 
 
 def _passes_arrow(df: DataFrame, keys: Sequence[str]) -> bool:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import c
 from tabweave.core.numeric import div
-from tabweave.core.scan import row_numbers
+from tabweave.core.scan import SEQ, SLOT, range_slots, tie_break
 from tabweave.operators.features import LABEL, VECTOR
 from tabweave.operators.modeling import TrainedModel, _prepare, _score
 from tabweave.operators.rows import hash_order
-from tabweave.session import cut_lineage
 
 
 def model_feature_importance(spark: SparkSession, trained: TrainedModel, top_n: int = 20) -> DataFrame:
@@ -33,36 +34,83 @@ def model_feature_importance(spark: SparkSession, trained: TrainedModel, top_n:
     return spark.createDataFrame(rows[:top_n], "feature string, importance double")
 
 
+def _next_values(slots: DataFrame, distances: Sequence[int]) -> DataFrame:
+    """``_label, repeat, feature, x``: for each row in slots, each distance (by its number) and each
+    feature (by its number), the row's values with that feature's one taken from the row so many
+    places further on, the first row following the last one."""
+    ahead = max(distances)
+    # a few rows a slot
+    heads: dict[int, list] = {}
+    for r in slots.where(F.col(SEQ) < ahead).select(SLOT, SEQ, "_values").orderBy(SLOT, SEQ).collect():
+        heads.setdefault(r[SLOT], []).append(r["_values"])
+    order = list(heads)
+
+    def following(slot: int) -> list:
+        out, at = [], order.index(slot)
+        while len(out) < ahead:
+            at = (at + 1) % len(order)
+            out += heads[order[at]]
+        return out[:ahead]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, values, slot = np.zeros(0), None, None
+
+        def shifted(n: int) -> Iterator[pa.RecordBatch]:
+            width = values.shape[1]
+            offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
+            for repeat, d in enumerate(distances):
+                for k in range(width):
+                    x = values[:n].copy()
+                    x[:, k] = values[d:d + n, k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(label[:n]), pa.array(np.full(n, repeat, np.int32)), pa.array(np.full(n, k, np.int32)),
+                         pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[LABEL, "repeat", "feature", "x"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            slot = b.column(2)[0].as_py()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            label = np.concatenate([label, b.column(0).to_numpy(zero_copy_only=False)])
+            values = x if values is None else np.concatenate([values, x])
+            n = len(values) - ahead
+            if n > 0:
+                yield from shifted(n)
+                label, values = label[n:], values[n:]
+        if values is not None:
+            values = np.concatenate([values, np.array(following(slot))])
+            yield from shifted(len(label))
+
+    return slots.select(LABEL, "_values", SLOT).mapInArrow(
+        run, f"{LABEL} double, repeat int, feature int, x array<double>")
+
+
 def permutation_importance(trained: TrainedModel, df: DataFrame, n_repeats: int = 10, top_n: int = 20,
                            key: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """Mean and deviation of the score lost when one feature is shuffled.
 
-    A shuffle gives each row the values of the next row in a random order.
-    One join per repeat serves all features: a row is scored once per feature,
-    with that feature's value exchanged, and the losses are aggregated.
+    Rows are put into one random order.  A shuffle gives each row the value of
+    the row some places further on in it, another distance for each repeat, so
+    rows move once however many repeats there are.  A row is scored once per
+    repeat and feature, with that feature's value exchanged, and the losses are
+    aggregated.
     """
     names = trained.features
     rows = _prepare(df.withColumn("_h", hash_order(df, key, seed)), trained.target, names, trained.classes)
     values = F.transform(F.array(*[c(n).cast("double") for n in names]),
                          lambda x: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
-    data = cut_lineage(rows.select(VECTOR, LABEL, values.alias("_values"), "_h"))
-    base = _score(trained.model, data, trained.is_classifier)
-    n = data.count()
-    drops = None
-    for repeat in range(n_repeats):
-        placed = row_numbers(data, [F.xxhash64("_h", F.lit(seed + repeat)).asc()], "_i")
-        other = placed.select(F.pmod(F.col("_i") - 1, F.lit(n)).alias("_i"), F.col("_values").alias("_other"))
-        pairs = placed.select("_i", LABEL, "_values").join(other, "_i")
-        swapped = lambda k: F.transform("_values", lambda v, j: F.when(j == k, F.get("_other", j)).otherwise(v))
-        variants = F.array(*[F.struct(F.lit(name).alias("feature"), swapped(k).alias("x"))
-                             for k, name in enumerate(names)])
-        spread = pairs.select(LABEL, F.inline(variants)).select(LABEL, "feature", array_to_vector("x").alias(VECTOR))
-        scored = trained.model.transform(spread)
-        error = F.col(LABEL) - F.col("prediction")
-        score = (F.avg((error == 0).cast("double")) if trained.is_classifier
-                 else 1 - div(F.avg(error * error), F.var_pop(LABEL)))
-        one = scored.groupBy("feature").agg((F.lit(base) - score).alias("drop"))
-        drops = one if drops is None else drops.unionByName(one)
-    return drops.groupBy("feature").agg(
+    tied, order = tie_break(rows.select(LABEL, values.alias("_values"), "_h"), [F.xxhash64("_h", F.lit(seed)).asc()])
+    slots = range_slots(tied, order, [LABEL, "_values"])
+    base = _score(trained.model, slots.select(LABEL, array_to_vector("_values").alias(VECTOR)), trained.is_classifier)
+    n = slots.count()
+    # fewer rows than repeats have fewer shuffles, and one row has none
+    distances = [1 + r % max(1, n - 1) for r in range(n_repeats)]
+    spread = _next_values(slots, distances).select(LABEL, "repeat", "feature", array_to_vector("x").alias(VECTOR))
+    scored = trained.model.transform(spread)
+    error = F.col(LABEL) - F.col("prediction")
+    score = (F.avg((error == 0).cast("double")) if trained.is_classifier
+             else 1 - div(F.avg(error * error), F.var_pop(LABEL)))
+    drops = scored.groupBy("feature", "repeat").agg((F.lit(base) - score).alias("drop"))
+    return drops.groupBy(F.get(F.array(*map(F.lit, names)), F.col("feature")).alias("feature")).agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")).orderBy(
             F.desc("importance_mean"), "feature").limit(top_n)

@@ -2,11 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabweave.core.scan import range_slots
 from tabweave.functions.transforms import fit_scaling
 from tabweave.operators import lloyd
 from tabweave.operators.clustering import cluster_profile, elbow_curve, kmeans_cluster, silhouette_score
 from tabweave.operators.density import connected_components, dbscan_cluster
-from tabweave.operators.interpret import model_feature_importance, permutation_importance
+from tabweave.operators.interpret import _next_values, model_feature_importance, permutation_importance
 from tabweave.operators.modeling import (MODEL_TYPES, TrainedModel, compare_models, cross_validate, evaluate_model,
                                          grid_search, learning_curve, list_models, predict, train_model,
                                          train_test_split)
@@ -88,6 +89,26 @@ def test_interpretation(spark, numbers):
     assert drops["x1"] > drops["x2"] > 0.1 > abs(drops["x3"])
 
 
+def test_permutation_moves_rows_once(spark, numbers, capsys):
+    linear = train_model(numbers, "target", "linear_regression")
+    shuffles = []
+    for repeats in (2, 6):
+        permutation_importance(linear, numbers, repeats).explain()
+        shuffles.append(capsys.readouterr().out.count("Exchange"))
+    assert shuffles[0] == shuffles[1]
+
+
+@pytest.mark.parametrize("rows, distances", [(40, [1, 2, 3]), (4, [1, 2, 3]), (1, [1, 1])])
+def test_permuted_values_are_a_cyclic_shift(spark, rows, distances):
+    data = spark.range(rows).select(F.col("id").cast("double").alias("_label"), F.array("id", -F.col("id")).cast(
+        "array<double>").alias("_values"))
+    slots = range_slots(data, [F.col("_label").asc()])
+    got = sorted(map(tuple, _next_values(slots, distances).collect()))
+    value = lambda k: k % rows
+    assert got == sorted((k, i, j, [value(k + d), -k] if j == 0 else [k, -value(k + d)])
+                         for k in range(rows) for i, d in enumerate(distances) for j in range(2))
+
+
 # --- clusters ---------------------------------------------------------------
 
 @pytest.fixture(scope="module")
