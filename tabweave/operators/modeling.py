@@ -16,13 +16,14 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.core.checks import as_list, c, is_numeric, require_choice, require_columns, require_numeric
+from tabweave.core.numeric import div
 from tabweave.core.scan import row_numbers
 from tabweave.operators.features import LABEL, VECTOR, feature_columns, with_features
 from tabweave.operators.metrics import classification_metrics, regression_metrics
@@ -56,6 +57,11 @@ COMMON_NAMES = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNod
                 "subsample": "subsamplingRate"}
 MAX_CLASSES = 100
 AUTO_CLASSES = 20
+WEIGHT = "_weight"
+SPREAD = "_spread"
+# rows of a cell, on average, from which a fit takes cells
+ROWS_IN_CELL = 4
+FORESTS = ("random_forest", "random_forest_classifier")
 
 
 def train_test_split(df: DataFrame, target_column: str, test_size: float = 0.2, random_state: int = 42,
@@ -146,19 +152,69 @@ def _prepare(df: DataFrame, target: str, features: Sequence[str], classes: list
     return with_features(df, features).withColumn(LABEL, label).where(F.col(LABEL).isNotNull())
 
 
+def _takes_cells(model_type: str, hyperparams: Mapping | None) -> bool:
+    """Whether rows with equal features can stand for each other with a weight: a forest draws single
+    rows, and limits on the rows of a node, or drawn shares of them, count rows."""
+    params = _params(model_type, hyperparams, 1)
+    return (model_type not in FORESTS and params.get("minInstancesPerNode", 1) <= 1
+            and params.get("subsamplingRate", 1.0) >= 1)
+
+
+def _cells(data: DataFrame, classifier: bool, wanted: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with equal features (and keys, and class) as one row with their number as ``_weight``, the mean
+    label, and the sum of squared differences from it as ``_spread``.
+
+    Squared error and log-likelihood depend on these alone, so a fit and its score stay as they are.  Where
+    most rows differ, and where cells are not wanted, each row is a cell.
+    """
+    alone = data.select(VECTOR, LABEL, *keys, F.lit(1.0).alias(WEIGHT), F.lit(0.0).alias(SPREAD))
+    if not wanted:
+        return alone
+    by = [*keys, *([LABEL] if classifier else [])]
+    rows = data.select(vector_to_array(VECTOR).alias("_x"), LABEL, *keys)
+    n, different = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("_x", *by))).first()
+    if different * ROWS_IN_CELL > n:
+        return alone
+    number = F.count(F.lit(1)).cast("double")
+    spread = F.lit(0.0) if classifier else F.var_pop(LABEL) * number
+    cells = rows.groupBy("_x", *by).agg(number.alias(WEIGHT), spread.alias(SPREAD),
+                                        *([] if classifier else [F.avg(LABEL).alias("_mean")]))
+    label = F.col(LABEL) if classifier else F.col("_mean").alias(LABEL)
+    return cells.select(array_to_vector("_x").alias(VECTOR), label, *keys, WEIGHT, SPREAD)
+
+
+def _number(data: DataFrame) -> int:
+    """Rows that the cells stand for."""
+    return int(data.agg(F.coalesce(F.sum(WEIGHT), F.lit(0.0))).first()[0])
+
+
 def _fit(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_classes: int, rows: int) -> Model:
-    estimator = MODEL_TYPES[model_type][0](featuresCol=VECTOR, labelCol=LABEL, **_params(model_type, hyperparams, rows))
+    estimator = MODEL_TYPES[model_type][0](featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
+                                           **_params(model_type, hyperparams, rows))
     if model_type == "gradient_boosting_classifier" and n_classes > 2:
-        estimator = OneVsRest(classifier=estimator, featuresCol=VECTOR, labelCol=LABEL)
+        estimator = OneVsRest(classifier=estimator, featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT)
     return estimator.fit(data)
 
 
-def _score(model: Model, data: DataFrame, classifier: bool) -> float | None:
-    """Accuracy or R squared, as one aggregate."""
-    scored = model.transform(data).select(LABEL, "prediction")
+def _middle(data: DataFrame) -> float:
+    """Some middle label, from which squares are taken, so that they stay small."""
+    return data.agg(F.coalesce(F.avg(LABEL), F.lit(0.0))).first()[0]
+
+
+def _score(model: Model, data: DataFrame, classifier: bool, middle: float | None = None) -> float | None:
+    """Accuracy or R squared of cells (or of rows without a weight), as one aggregate."""
+    known = data if WEIGHT in data.columns else data.withColumns({WEIGHT: F.lit(1.0), SPREAD: F.lit(0.0)})
+    scored = model.transform(known).select(LABEL, "prediction", WEIGHT, SPREAD)
+    w = F.col(WEIGHT)
     if classifier:
-        return scored.agg(F.avg((F.col(LABEL) == F.col("prediction")).cast("double"))).first()[0]
-    return regression_metrics(scored, LABEL, "prediction").first()["r2"]
+        return scored.agg(div(F.sum(w * (F.col(LABEL) == F.col("prediction")).cast("double")), F.sum(w))).first()[0]
+    middle = _middle(known) if middle is None else middle
+    away, error = F.col(LABEL) - F.lit(middle), F.col(LABEL) - F.col("prediction")
+    n, total, square, missed = scored.agg(
+        F.sum(w), F.sum(w * away), F.sum(w * away * away + F.col(SPREAD)), F.sum(w * error * error + F.col(SPREAD))).first()
+    if not n or square - total * total / n <= 0:
+        return None
+    return 1 - missed / (square - total * total / n)
 
 
 @contextmanager
@@ -178,8 +234,9 @@ def train_model(df: DataFrame, target_column: str, model_type: str = "random_for
     features = feature_columns(df, target_column)
     classifier = MODEL_TYPES[model_type][1]
     classes = _classes(df, target_column, max_classes) if classifier else None
-    with _kept(_prepare(df, target_column, features, classes).select(VECTOR, LABEL)) as data:
-        model = _fit(data, model_type, hyperparams, len(classes or []), max(1, data.count()))
+    rows = _prepare(df, target_column, features, classes)
+    with _kept(_cells(rows, classifier, _takes_cells(model_type, hyperparams))) as data:
+        model = _fit(data, model_type, hyperparams, len(classes or []), max(1, _number(data)))
         score = _score(model, data, classifier)
     return TrainedModel(model_name or f"{model_type}_{target_column}", model_type, features, target_column, model,
                         classes, score, datetime.now(timezone.utc).isoformat())
@@ -229,18 +286,19 @@ def _with_folds(df: DataFrame, target: str, features: Sequence[str], classes: li
     rows = df.where(c(target).isNotNull())
     order = [*([c(target).asc()] if classes is not None else []), hash_order(df, key, seed).asc()]
     numbered = row_numbers(rows, order, "_i")
-    return _prepare(numbered, target, features, classes).select(
+    return _prepare(numbered.select(*map(c, features), c(target), "_i"), target, features, classes).select(
         VECTOR, LABEL, F.pmod("_i", F.lit(n_folds)).cast("int").alias("_fold"), "_i")
 
 
 def _fold_scores(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_folds: int, n_classes: int,
                  parallelism: int) -> list[float]:
     classifier = MODEL_TYPES[model_type][1]
+    middle = None if classifier else _middle(data)
 
     def one(fold: int) -> float:
         train = data.where(F.col("_fold") != fold)
-        model = _fit(train, model_type, hyperparams, n_classes, max(1, train.count()))
-        return _score(model, data.where(F.col("_fold") == fold), classifier)
+        model = _fit(train, model_type, hyperparams, n_classes, max(1, _number(train)))
+        return _score(model, data.where(F.col("_fold") == fold), classifier, middle)
 
     with ThreadPool(min(parallelism, n_folds)) as pool:
         return pool.map(inheritable_thread_target(one), range(n_folds))
@@ -254,7 +312,8 @@ def cross_validate(df: DataFrame, target_column: str, model_type: str = "random_
     require_choice(model_type, MODEL_TYPES, "model type")
     features = feature_columns(df, target_column)
     classes = _classes(df, target_column, max_classes) if MODEL_TYPES[model_type][1] else None
-    with _kept(_with_folds(df, target_column, features, classes, n_folds, key, seed)) as data:
+    folds = _with_folds(df, target_column, features, classes, n_folds, key, seed)
+    with _kept(_cells(folds, classes is not None, _takes_cells(model_type, hyperparams), ["_fold"])) as data:
         scores = _fold_scores(data, model_type, hyperparams, n_folds, len(classes or []), parallelism)
     return df.sparkSession.createDataFrame(list(enumerate(scores, start=1)), "fold int, score double")
 
@@ -288,10 +347,15 @@ def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str]
         if not chosen:
             continue
         classes = _classes(df, target_column, max_classes) if wants_classes else None
-        with _kept(_with_folds(df, target_column, features, classes, n_folds, key, seed)) as data:
-            for t in chosen:
-                s = _fold_scores(data, t, (hyperparams or {}).get(t), n_folds, len(classes or []), parallelism)
-                rows.append((t, fmean(s), pstdev(s), min(s), max(s)))
+        folds = _with_folds(df, target_column, features, classes, n_folds, key, seed)
+        for wanted in (True, False):
+            alike = [t for t in chosen if _takes_cells(t, (hyperparams or {}).get(t)) == wanted]
+            if not alike:
+                continue
+            with _kept(_cells(folds, wants_classes, wanted, ["_fold"])) as data:
+                for t in alike:
+                    s = _fold_scores(data, t, (hyperparams or {}).get(t), n_folds, len(classes or []), parallelism)
+                    rows.append((t, fmean(s), pstdev(s), min(s), max(s)))
     rows.sort(key=lambda r: -r[1])
     ranked = [(i, *r) for i, r in enumerate(rows, start=1)]
     return df.sparkSession.createDataFrame(
@@ -308,13 +372,15 @@ def grid_search(df: DataFrame, target_column: str, model_type: str, param_grid:
     combos = [dict(zip(param_grid, values)) for values in product(*param_grid.values())]
     for combo in combos:
         _params(model_type, combo, 1)
-    with _kept(_with_folds(df, target_column, features, classes, n_folds, key, seed)) as data:
+    folds = _with_folds(df, target_column, features, classes, n_folds, key, seed)
+    wanted = all(_takes_cells(model_type, combo) for combo in combos)
+    with _kept(_cells(folds, classes is not None, wanted, ["_fold"])) as data:
         tried = []
         for combo in combos:
             s = _fold_scores(data, model_type, combo, n_folds, len(classes or []), parallelism)
             tried.append((combo, fmean(s), pstdev(s)))
         tried.sort(key=lambda t: -t[1])
-        model = _fit(data, model_type, tried[0][0], len(classes or []), max(1, data.count()))
+        model = _fit(data, model_type, tried[0][0], len(classes or []), max(1, _number(data)))
     best = TrainedModel(model_name or f"grid_{model_type}_{target_column}", model_type, features, target_column, model,
                         classes, tried[0][1], datetime.now(timezone.utc).isoformat())
     table = [(i, json.dumps(p, sort_keys=True), m, s) for i, (p, m, s) in enumerate(tried, start=1)]
@@ -329,19 +395,21 @@ def learning_curve(df: DataFrame, target_column: str, model_type: str = "random_
     features = feature_columns(df, target_column)
     classifier = MODEL_TYPES[model_type][1]
     classes = _classes(df, target_column, max_classes) if classifier else None
-    with _kept(_with_folds(df, target_column, features, classes, n_splits, key, seed)) as data:
-        # a second hash, so that the share does not depend on the fold
-        share = F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(100 * steps)) < F.col("_part") * 100
+    # a second hash, so that the share does not depend on the fold
+    part = F.floor(F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(100 * steps)) / 100).cast("int")
+    folds = _with_folds(df, target_column, features, classes, n_splits, key, seed).withColumn("_part", part)
+    with _kept(_cells(folds, classifier, _takes_cells(model_type, hyperparams), ["_fold", "_part"])) as data:
+        middle = None if classifier else _middle(data)
 
         def one(job: tuple[int, int]) -> tuple[int, float, float, int]:
             step, fold = job
-            train = data.withColumn("_part", F.lit(step)).where((F.col("_fold") != fold) & share)
-            n = train.count()
+            train = data.where((F.col("_fold") != fold) & (F.col("_part") < step))
+            n = _number(train)
             if n < 2 or (classifier and train.select(LABEL).distinct().count() < 2):
                 return step, None, None, n
             model = _fit(train, model_type, hyperparams, len(classes or []), n)
-            return step, _score(model, train, classifier), _score(
-                model, data.where(F.col("_fold") == fold), classifier), n
+            return step, _score(model, train, classifier, middle), _score(
+                model, data.where(F.col("_fold") == fold), classifier, middle), n
 
         jobs = [(s, f) for s in range(1, steps + 1) for f in range(n_splits)]
         with ThreadPool(parallelism) as pool:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabweave.core.scan import range_slots
 from tabweave.functions.transforms import fit_scaling
-from tabweave.operators import lloyd
+from tabweave.operators import lloyd, modeling
 from tabweave.operators.clustering import cluster_profile, elbow_curve, kmeans_cluster, silhouette_score
 from tabweave.operators.density import connected_components, dbscan_cluster
 from tabweave.operators.interpret import _next_values, model_feature_importance, permutation_importance
@@ -81,6 +81,34 @@ def test_validation(numbers, two_classes):
     assert curve[-1].validation_mean > 0.9
 
 
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Three thousand rows over sixty different features."""
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 10, 3000), r.integers(0, 6, 3000)
+    y = 3.0 * a - 2 * b * b + r.normal(0, 2, 3000)
+    return spark.createDataFrame([(*map(float, t), int(t[2] > 4)) for t in zip(a, b, y)],
+                                 "a double, b double, y double, k int").cache()
+
+
+@pytest.mark.parametrize("kind", [k for k in MODEL_TYPES if "forest" not in k])
+def test_equal_features_are_fitted_as_one_row(spark, repeated, kind, monkeypatch):
+    target, features = ("k", ["a", "b", "k"]) if MODEL_TYPES[kind][1] else ("y", ["a", "b", "y"])
+    df, fitted = repeated.select(*features), []
+    fit = modeling._fit
+    monkeypatch.setattr(modeling, "_fit", lambda data, *rest: fitted.append(data.count()) or fit(data, *rest))
+    few = train_model(df, target, kind, hyperparams=FEW.get(kind))
+    folds = [r.score for r in cross_validate(df, target, kind, 3, FEW.get(kind)).collect()]
+    assert max(fitted) <= 2 * 60 * 3
+    monkeypatch.setattr(modeling, "ROWS_IN_CELL", 10 ** 9)
+    every = train_model(df, target, kind, hyperparams=FEW.get(kind))
+    assert fitted[-1] == 3000 and few.train_score == pytest.approx(every.train_score, rel=1e-6)
+    assert folds == pytest.approx([r.score for r in cross_validate(df, target, kind, 3, FEW.get(kind)).collect()], rel=1e-6)
+    prediction = lambda m: [r.p for r in predict(m, df.distinct(), "p").orderBy(*features).collect()]
+    assert prediction(few) == pytest.approx(prediction(every), rel=1e-6)
+    assert few.train_score == pytest.approx(evaluate_model(few, df).first()["accuracy" if few.is_classifier else "r2"])
+
+
 def test_interpretation(spark, numbers):
     forest = train_model(numbers, "target", "random_forest", hyperparams={"n_estimators": 10})
     assert model_feature_importance(spark, forest).first().feature == "x1"
