@@ -14,7 +14,7 @@ from tabweave.core.checks import c
 from tabweave.core.numeric import div
 from tabweave.core.scan import SEQ, SLOT, range_slots, tie_break
 from tabweave.operators.features import LABEL, VECTOR
-from tabweave.operators.modeling import TrainedModel, _prepare, _score
+from tabweave.operators.modeling import TrainedModel, _prepare, _score, importances
 from tabweave.operators.rows import hash_order
 
 
@@ -22,8 +22,8 @@ def model_feature_importance(spark: SparkSession, trained: TrainedModel, top_n:
     """(feature, importance): tree importances, or sizes of coefficients (of
     the first class where there are several)."""
     model = trained.model
-    if hasattr(model, "featureImportances"):
-        values = model.featureImportances.toArray()
+    if (stated := importances(model)) is not None:
+        values = stated
     elif hasattr(model, "coefficientMatrix") and model.numClasses > 2:
         values = [abs(v) for v in model.coefficientMatrix.toArray()[0]]
     elif hasattr(model, "coefficients"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -12,10 +12,13 @@ from math import ceil
 from multiprocessing.pool import ThreadPool
 from statistics import fmean, pstdev
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Model
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext, inheritable_thread_target
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
@@ -61,6 +64,12 @@ WEIGHT = "_weight"
 SPREAD = "_spread"
 # rows of a cell, on average, from which a fit takes cells
 ROWS_IN_CELL = 4
+# most draws for the trees of a forest that are kept for each row
+DRAWS_PER_ROW = 8
+# rows whose draws a task holds at once
+HELD_DRAWS = 10_000
+TREES_AT_ONCE = 8
+CELLS_IN_TASK = 50_000
 FORESTS = ("random_forest", "random_forest_classifier")
 
 
@@ -183,12 +192,113 @@ def _cells(data: DataFrame, classifier: bool, wanted: bool, keys: Sequence[str]
     return cells.select(array_to_vector("_x").alias(VECTOR), label, *keys, WEIGHT, SPREAD)
 
 
+def _drawn_cells(data: DataFrame, trees: int, seed: int, keys: Sequence[str] = ()) -> DataFrame | None:
+    """Cells of a regression with the rows drawn for each tree of a forest: ``_drawn`` holds their number and
+    ``_total`` the sum of their labels.  None where the draws would take more room than the rows.
+
+    Every row is drawn on its own for each tree, with Poisson's numbers around 1, as Spark's forest does.
+    """
+    rows = data.select(vector_to_array(VECTOR).alias("_x"), F.col(LABEL).cast("double").alias(LABEL), *[
+        F.col(k).cast("double").alias(k) for k in keys])
+    n, different = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("_x", *keys))).first()
+    if different * trees > DRAWS_PER_ROW * n:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        r = np.random.default_rng([seed, task.partitionId()])
+        # rows, mean and spread of each cell, and per tree its drawn rows and the sum of their labels
+        places: dict[bytes, int] = {}
+        facts, drawn, total = np.zeros((64, 3)), np.zeros((64, trees)), np.zeros((64, trees))
+        width = 0
+        for b in batches:
+            for at in range(0, b.num_rows, HELD_DRAWS):
+                part = b.slice(at, HELD_DRAWS)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                width = x.shape[1]
+                y = part.column(1).to_numpy(zero_copy_only=False)
+                whole = np.column_stack([x, *[part.column(2 + j).to_numpy(zero_copy_only=False) for j in range(len(keys))]]) + 0.0
+                cells, cell = np.unique(whole, axis=0, return_inverse=True)
+                order = cell.ravel().argsort(kind="stable")
+                starts = np.searchsorted(cell.ravel()[order], np.arange(len(cells)))
+                y = y[order]
+                k = r.poisson(1.0, (len(y), trees)).astype(float)
+                place = np.array([places.setdefault(c_.tobytes(), len(places)) for c_ in cells])
+                while len(places) > len(facts):
+                    facts, drawn, total = (np.concatenate([a, np.zeros_like(a)]) for a in (facts, drawn, total))
+                size = np.diff(np.append(starts, len(y)))
+                mean = np.add.reduceat(y, starts) / size
+                spread = np.add.reduceat((y - np.repeat(mean, size)) ** 2, starts)
+                before, had, spread_had = facts[place].T
+                both = before + size
+                facts[place] = np.column_stack([both, had + (mean - had) * size / both,
+                                                spread_had + spread + (mean - had) ** 2 * before * size / both])
+                drawn[place] += np.add.reduceat(k, starts, axis=0)
+                total[place] += np.add.reduceat(k * y[:, None], starts, axis=0)
+        every = list(places)
+        for at in range(0, len(every), HELD_DRAWS):
+            to = min(at + HELD_DRAWS, len(every))
+            found = np.array([np.frombuffer(v) for v in every[at:to]])
+            lists = lambda a: pa.ListArray.from_arrays(
+                pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [lists(found[:, :width]), *[pa.array(np.ascontiguousarray(found[:, width + j])) for j in range(len(keys))],
+                 *[pa.array(np.ascontiguousarray(facts[at:to, j])) for j in range(3)], lists(drawn[at:to]), lists(total[at:to])],
+                names=["_x", *keys, WEIGHT, LABEL, SPREAD, "_drawn", "_total"])
+
+    cells = rows.repartition("_x", *keys).mapInArrow(run, ", ".join([
+        "_x array<double>", *[f"{k} double" for k in keys], f"{WEIGHT} double", f"{LABEL} double", f"{SPREAD} double",
+        "_drawn array<double>", "_total array<double>"]))
+    return cells.select(array_to_vector("_x").alias(VECTOR), LABEL, *keys, WEIGHT, SPREAD, "_drawn", "_total")
+
+
+def fit_forest(data: DataFrame, params: Mapping) -> PipelineModel:
+    """A regression forest from drawn cells: each tree is Spark's, on the rows drawn for it."""
+    shared = {k: v for k, v in params.items() if k not in ("numTrees", "seed")}
+    # trees are grown side by side, so each takes few tasks
+    tasks = ceil(max(1, data.count()) / CELLS_IN_TASK)
+
+    def one(t: int) -> Model:
+        drawn = F.get("_drawn", F.lit(t))
+        rows = data.select(VECTOR, drawn.alias(WEIGHT), (F.get("_total", F.lit(t)) / drawn).alias(LABEL)).where(
+            F.col(WEIGHT) > 0).coalesce(tasks)
+        return RandomForestRegressor(featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT, numTrees=1, bootstrap=False,
+                                     predictionCol=f"_tree{t}", seed=params["seed"] + t, **shared).fit(rows)
+
+    with ThreadPool(TREES_AT_ONCE) as pool:
+        trees = pool.map(inheritable_thread_target(one), range(params["numTrees"]))
+    total = " + ".join(f"_tree{t}" for t in range(len(trees)))
+    return PipelineModel([*trees, SQLTransformer(statement=f"SELECT *, ({total}) / {len(trees)} AS prediction FROM __THIS__")])
+
+
+def importances(model: Model) -> list[float] | None:
+    """Of the features, as a tree or forest states them; a forest's are the mean of its trees' ones."""
+    if isinstance(model, PipelineModel):
+        found = np.sum([t.featureImportances.toArray() for t in model.stages[:-1]], axis=0)
+        return (found / (found.sum() or 1.0)).tolist()
+    return model.featureImportances.toArray().tolist() if hasattr(model, "featureImportances") else None
+
+
+def _fit_cells(data: DataFrame, model_type: str, hyperparams: Mapping | None, classifier: bool,
+               keys: Sequence[str] = ()) -> DataFrame:
+    """What a fit of the model type takes: cells, drawn cells of a forest, or rows."""
+    params = _params(model_type, hyperparams, 1)
+    plain = params.get("minInstancesPerNode", 1) <= 1 and params.get("subsamplingRate", 1.0) >= 1
+    if model_type == "random_forest" and plain and params.get("bootstrap", True):
+        drawn = _drawn_cells(data, params["numTrees"], params["seed"], keys)
+        if drawn is not None:
+            return drawn
+    return _cells(data, classifier, _takes_cells(model_type, hyperparams), keys)
+
+
 def _number(data: DataFrame) -> int:
     """Rows that the cells stand for."""
     return int(data.agg(F.coalesce(F.sum(WEIGHT), F.lit(0.0))).first()[0])
 
 
 def _fit(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_classes: int, rows: int) -> Model:
+    if "_drawn" in data.columns:
+        return fit_forest(data, _params(model_type, hyperparams, rows))
     estimator = MODEL_TYPES[model_type][0](featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
                                            **_params(model_type, hyperparams, rows))
     if model_type == "gradient_boosting_classifier" and n_classes > 2:
@@ -235,7 +345,7 @@ def train_model(df: DataFrame, target_column: str, model_type: str = "random_for
     classifier = MODEL_TYPES[model_type][1]
     classes = _classes(df, target_column, max_classes) if classifier else None
     rows = _prepare(df, target_column, features, classes)
-    with _kept(_cells(rows, classifier, _takes_cells(model_type, hyperparams))) as data:
+    with _kept(_fit_cells(rows, model_type, hyperparams, classifier)) as data:
         model = _fit(data, model_type, hyperparams, len(classes or []), max(1, _number(data)))
         score = _score(model, data, classifier)
     return TrainedModel(model_name or f"{model_type}_{target_column}", model_type, features, target_column, model,
@@ -313,7 +423,7 @@ def cross_validate(df: DataFrame, target_column: str, model_type: str = "random_
     features = feature_columns(df, target_column)
     classes = _classes(df, target_column, max_classes) if MODEL_TYPES[model_type][1] else None
     folds = _with_folds(df, target_column, features, classes, n_folds, key, seed)
-    with _kept(_cells(folds, classes is not None, _takes_cells(model_type, hyperparams), ["_fold"])) as data:
+    with _kept(_fit_cells(folds, model_type, hyperparams, classes is not None, ["_fold"])) as data:
         scores = _fold_scores(data, model_type, hyperparams, n_folds, len(classes or []), parallelism)
     return df.sparkSession.createDataFrame(list(enumerate(scores, start=1)), "fold int, score double")
 
@@ -348,11 +458,14 @@ def compare_models(df: DataFrame, target_column: str, model_types: Sequence[str]
             continue
         classes = _classes(df, target_column, max_classes) if wants_classes else None
         folds = _with_folds(df, target_column, features, classes, n_folds, key, seed)
-        for wanted in (True, False):
-            alike = [t for t in chosen if _takes_cells(t, (hyperparams or {}).get(t)) == wanted]
+        taking = [t for t in chosen if _takes_cells(t, (hyperparams or {}).get(t))]
+        # types that take cells share them
+        for wanted, alike in [(True, taking), *[(False, [t]) for t in chosen if t not in taking]]:
             if not alike:
                 continue
-            with _kept(_cells(folds, wants_classes, wanted, ["_fold"])) as data:
+            kept = (_cells(folds, wants_classes, True, ["_fold"]) if wanted
+                    else _fit_cells(folds, alike[0], (hyperparams or {}).get(alike[0]), wants_classes, ["_fold"]))
+            with _kept(kept) as data:
                 for t in alike:
                     s = _fold_scores(data, t, (hyperparams or {}).get(t), n_folds, len(classes or []), parallelism)
                     rows.append((t, fmean(s), pstdev(s), min(s), max(s)))
@@ -398,7 +511,7 @@ def learning_curve(df: DataFrame, target_column: str, model_type: str = "random_
     # a second hash, so that the share does not depend on the fold
     part = F.floor(F.pmod(F.xxhash64("_i", F.lit(seed)), F.lit(100 * steps)) / 100).cast("int")
     folds = _with_folds(df, target_column, features, classes, n_splits, key, seed).withColumn("_part", part)
-    with _kept(_cells(folds, classifier, _takes_cells(model_type, hyperparams), ["_fold", "_part"])) as data:
+    with _kept(_fit_cells(folds, model_type, hyperparams, classifier, ["_fold", "_part"])) as data:
         middle = None if classifier else _middle(data)
 
         def one(job: tuple[int, int]) -> tuple[int, float, float, int]:

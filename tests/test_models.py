@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabweave.core.scan import range_slots
@@ -109,6 +110,32 @@ def test_equal_features_are_fitted_as_one_row(spark, repeated, kind, monkeypatch
     assert few.train_score == pytest.approx(evaluate_model(few, df).first()["accuracy" if few.is_classifier else "r2"])
 
 
+def test_forest_of_drawn_cells(spark, repeated, tmp_path, monkeypatch):
+    df, params = repeated.select("a", "b", "y"), {"n_estimators": 20, "max_depth": 6}
+    few = train_model(df, "y", "random_forest", hyperparams=params)
+    assert len(few.model.stages) == 21
+    found = {r.feature: r.importance for r in model_feature_importance(spark, few).collect()}
+    monkeypatch.setattr(modeling, "DRAWS_PER_ROW", 0)
+    every = train_model(df, "y", "random_forest", hyperparams=params)
+    assert few.train_score == pytest.approx(every.train_score, abs=2e-3)
+    assert few.train_score == pytest.approx(evaluate_model(few, df).first()["r2"])
+    assert found == pytest.approx({r.feature: r.importance for r in model_feature_importance(spark, every).collect()}, abs=0.02)
+    few.save(str(tmp_path / "m"))
+    back = TrainedModel.load(spark, str(tmp_path / "m"))
+    assert predict(back, df, "p").agg(F.avg("p")).first()[0] == pytest.approx(df.agg(F.avg("y")).first()[0], abs=0.5)
+
+
+def test_rows_are_drawn_one_by_one(spark):
+    data = spark.range(8000).selectExpr("id % 2 as x", "double(id % 16) as _label").select(
+        array_to_vector(F.array(F.col("x").cast("double"))).alias("_features"), "_label")
+    cells = modeling._drawn_cells(data, 50, 3).orderBy("_label").collect()
+    assert [(r["_weight"], r["_label"], r["_spread"]) for r in cells] == [(4000, 7, 84000), (4000, 8, 84000)]
+    for r in cells:
+        # numbers of drawn rows vary as those of 4000 rows do, not of one row of weight 4000
+        assert np.mean(r["_drawn"]) == pytest.approx(4000, abs=60) and 35 < np.std(r["_drawn"]) < 100
+        assert np.sum(r["_total"]) / np.sum(r["_drawn"]) == pytest.approx(r["_label"], abs=0.1)
+
+
 def test_interpretation(spark, numbers):
     forest = train_model(numbers, "target", "random_forest", hyperparams={"n_estimators": 10})
     assert model_feature_importance(spark, forest).first().feature == "x1"
