@@ -17,6 +17,7 @@ from tabweave.core.quantile import quantile_values
 from tabweave.core.scan import attach
 from tabweave.operators.correlation import correlation_pairs
 from tabweave.operators.features import LABEL, VECTOR, feature_columns, with_features
+from tabweave.operators.modeling import _drawn_cells, _kept, fit_forest, importances
 
 
 def correlation_filter(df: DataFrame, target_column: str, threshold: float = 0.05,
@@ -81,9 +82,17 @@ def _forest_importance(df, target_column, trees, max_depth, seed):
     else:
         kind = RandomForestClassifier
         data = StringIndexer(inputCol=target_column, outputCol=LABEL).fit(data).transform(data)
-    forest = kind(featuresCol=VECTOR, labelCol=LABEL, numTrees=trees, maxDepth=max_depth, seed=seed)
-    model = forest.fit(data.select(VECTOR, LABEL).where(F.col(LABEL).isNotNull()))
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    data = data.select(VECTOR, LABEL).where(F.col(LABEL).isNotNull())
+    cells = _drawn_cells(data, trees, seed) if kind is RandomForestRegressor else None
+    if cells is None:
+        model = kind(featuresCol=VECTOR, labelCol=LABEL, numTrees=trees, maxDepth=max_depth, seed=seed).fit(data)
+    else:
+        # the share of features that "auto" means for a regression forest
+        params = {"numTrees": trees, "maxDepth": max_depth, "seed": seed,
+                  "featureSubsetStrategy": "onethird" if trees > 1 else "all"}
+        with _kept(cells) as kept:
+            model = fit_forest(kept, params)
+    rows = [(n, float(v)) for n, v in zip(names, importances(model))]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabweave.core.scan import range_slots
 from tabweave.functions.transforms import fit_scaling
-from tabweave.operators import lloyd, modeling
+from tabweave.operators import lloyd, modeling, selection
 from tabweave.operators.clustering import cluster_profile, elbow_curve, kmeans_cluster, silhouette_score
 from tabweave.operators.density import connected_components, dbscan_cluster
 from tabweave.operators.interpret import _next_values, model_feature_importance, permutation_importance
@@ -125,6 +125,14 @@ def test_forest_of_drawn_cells(spark, repeated, tmp_path, monkeypatch):
     assert predict(back, df, "p").agg(F.avg("p")).first()[0] == pytest.approx(df.agg(F.avg("y")).first()[0], abs=0.5)
 
 
+def test_feature_importance_takes_drawn_cells(spark, monkeypatch):
+    grown = []
+    monkeypatch.setattr(selection, "fit_forest", lambda data, params: grown.append(data.count()) or modeling.fit_forest(data, params))
+    df = spark.range(5000).selectExpr("double(id % 7) as a", "double(id % 5) as b", "3.0 * (id % 7) + rand(1) as y")
+    first = selection.feature_importance(df, "y", trees=6, max_depth=4).first()
+    assert grown == [35] and first.feature == "a" and first.importance > 0.99
+
+
 def test_rows_are_drawn_one_by_one(spark):
     data = spark.range(8000).selectExpr("id % 2 as x", "double(id % 16) as _label").select(
         array_to_vector(F.array(F.col("x").cast("double"))).alias("_features"), "_label")
