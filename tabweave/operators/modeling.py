@@ -69,6 +69,7 @@ DRAWS_PER_ROW = 8
 # rows whose draws a task holds at once
 HELD_DRAWS = 10_000
 TREES_AT_ONCE = 8
+CLASSES_AT_ONCE = 8
 CELLS_IN_TASK = 50_000
 FORESTS = ("random_forest", "random_forest_classifier")
 
@@ -302,7 +303,9 @@ def _fit(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_classe
     estimator = MODEL_TYPES[model_type][0](featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
                                            **_params(model_type, hyperparams, rows))
     if model_type == "gradient_boosting_classifier" and n_classes > 2:
-        estimator = OneVsRest(classifier=estimator, featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT)
+        # the rounds of one class are many short jobs, which leave room for those of the others
+        estimator = OneVsRest(classifier=estimator, featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
+                              parallelism=min(n_classes, CLASSES_AT_ONCE))
     return estimator.fit(data)
 
 

@@ -329,3 +329,12 @@ def test_workbooks_spread_over_tasks(spark, monkeypatch):
     customers = Tables(spark, "/root/testdata/sf0.01")
     ENTRIES["load_excel"].build(customers)
     assert books[0] >= customers.customer.count() / 500
+
+
+def test_classes_of_boosting_are_fitted_side_by_side(spark, monkeypatch):
+    from tabweave.operators import modeling
+    made, real = [], modeling.OneVsRest
+    monkeypatch.setattr(modeling, "OneVsRest", lambda **k: made.append(real(**k)) or made[-1])
+    rows = spark.createDataFrame([(float(i), "abc"[i % 9 // 3]) for i in range(90)], "x double, y string")
+    modeling.train_model(rows, "y", "gradient_boosting_classifier", hyperparams={"n_estimators": 1})
+    assert made[0].getParallelism() == 3
