@@ -14,7 +14,7 @@ from tabweave.core.checks import as_list, c, numeric_columns, require_columns, r
 from tabweave.core.numeric import div
 from tabweave.core.quantile import SMALL_DISTINCT, grouped_stats
 from tabweave.functions.transforms import Scaling, fit_scaling
-from tabweave.operators.lloyd import Problem, solve
+from tabweave.operators.lloyd import Problem, packed, solve
 
 STARTS = 10
 NOISE = -1
@@ -22,10 +22,10 @@ NOISE = -1
 
 @contextmanager
 def _points(data: DataFrame, scaling: Scaling, names: Sequence[str]):
-    """The distinct scaled points with the number of their rows, kept for all scans."""
+    """The distinct scaled points with the number of their rows, in blocks, kept for all scans."""
     values = data.select(F.array(*[scaling.column(n, fill=0.0) for n in names]).alias("x"))
-    points = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn(
-        "h", F.xxhash64("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("h", F.xxhash64("x"))
+    points = packed(distinct, len(names)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield points
     finally:

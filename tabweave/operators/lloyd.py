@@ -4,6 +4,10 @@ A problem is a start with its number of clusters.  All problems share every
 scan of the points: a task holds all centres, adds up its points' clusters, and
 hands on one row per centre; Spark adds those rows.  So a scan costs one job,
 however many starts there are, and a problem that has settled takes no part.
+
+Points lie in blocks of near points with their box and sums.  A block whose box
+is on one centre's side of all others is added whole; only blocks on a border
+between clusters are opened, so a step does not compare most of the points.
 """
 
 from __future__ import annotations
@@ -22,6 +26,11 @@ MOST_STEPS = 50
 MOVED = 1e-4  # a problem has settled once no centre moves further
 # distances that a task holds at once
 HELD_DISTANCES = 4_000_000
+# cells a unit, of the first columns that points are put together by
+CELLS, CELL_COLUMNS = 16, 3
+# a block ends at the end of a cell once it has so many points, and anywhere at the most
+LEAST_BLOCK, MOST_BLOCK = 64, 512
+BLOCK_SCHEMA = "n int, w double, scatter double, mean array<double>, low array<double>, high array<double>, data binary"
 
 
 @dataclass(frozen=True)
@@ -40,15 +49,81 @@ def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
 
 
+def _ends(x: np.ndarray) -> list[int]:
+    """Where the blocks of sorted points end."""
+    cells = np.floor(x[:, :CELL_COLUMNS] * CELLS)
+    ends, start = [], 0
+    for end in [*(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(x)]:
+        while end - start > MOST_BLOCK:
+            start += MOST_BLOCK
+            ends.append(start)
+        if end - start >= LEAST_BLOCK or end == len(x):
+            start = end
+            ends.append(end)
+    return ends
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        w, h = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        rows, start = [], 0
+        for end in _ends(x):
+            v, u = x[start:end], w[start:end]
+            mean = (v * u[:, None]).sum(0) / u.sum()
+            scatter = (u * ((v - mean) ** 2).sum(1)).sum()
+            data = np.ascontiguousarray(v).tobytes() + u.tobytes() + h[start:end].tobytes()
+            rows.append((end - start, u.sum(), scatter, mean.tolist(), v.min(0).tolist(), v.max(0).tolist(), data))
+            start = end
+        kinds = [pa.int32(), pa.float64(), pa.float64(), *[pa.list_(pa.float64())] * 3, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                         names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+
+
+def packed(points: DataFrame, dims: int) -> DataFrame:
+    """Blocks of near points from ``x array<double>, w double, h long``: distinct points, their
+    weights, and a hash that random draws go by."""
+    near = [F.floor(F.col("x")[i] * CELLS) for i in range(min(dims, CELL_COLUMNS))]
+    # the points themselves too, so that a crowded cell is dealt to several tasks
+    order = [*near, F.col("x")]
+    return points.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack, BLOCK_SCHEMA)
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, weights and hashes (``x, w, h``) of a batch of blocks."""
+    xs, ws, hs = [], [], []
+    for n, data in zip(b.column("n").to_pylist(), b.column("data")):
+        held = np.frombuffer(data.as_buffer(), np.float64)
+        at = len(held) - 2 * n
+        xs.append(held[:at].reshape(n, -1))
+        ws.append(held[at:at + n])
+        hs.append(held[at + n:].view(np.int64))
+    return np.concatenate(xs), np.concatenate(ws), np.concatenate(hs)
+
+
 def _blocks(b: pa.RecordBatch, centres: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Points, weights and hashes of a batch (``x, w, h``) in blocks whose distances fit."""
-    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-    w, h = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+    """All points of a batch in parts whose distances fit."""
+    x, w, h = _unpacked(b)
     rows = max(1, HELD_DISTANCES // max(1, centres))
     for at in range(0, len(x), rows):
         yield x[at:at + rows], w[at:at + rows], h[at:at + rows]
 
 
+def _owners(mean: np.ndarray, low: np.ndarray, high: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre next to each block's mean, and whether it is the nearest one of the whole box."""
+    own = ((mean[:, None] - c) ** 2).sum(2).argmin(1)
+    square = (c * c).sum(1)
+    apart = c - c[own][:, None]
+    # how much nearer another centre is than the block's own, at the corner where it is nearest
+    parts = 2 * np.maximum(low[:, None] * apart, high[:, None] * apart).sum(2)
+    lead = parts + square[own][:, None] - square
+    size = np.abs(parts) + square[own][:, None] + square
+    lead[np.arange(len(own)), own] = -np.inf
+    return own, (lead < -1e-12 * size).all(1)
+
+
 def _nearest(x: np.ndarray, centres: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per problem the nearest centre of each point and the squared distance to it."""
     every = np.concatenate(centres)
@@ -80,16 +155,28 @@ def _sums(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.nda
     numbers = list(centres)
     held = [centres[p] for p in numbers]
     dims = held[0].shape[1]
-    sizes = sum(map(len, held))
 
     def work(batches) -> list[tuple]:
         total = [np.zeros((len(c), dims + 2)) for c in held]
         seen = False
         for b in batches:
             seen = True
-            for x, w, _ in _blocks(b, sizes):
-                for t, (label, cost) in zip(total, _nearest(x, held)):
-                    for j, v in enumerate((w, w * cost, *(x * w[:, None]).T)):
+            x, w, _ = _unpacked(b)
+            n, weight, scatter = (b.column(k).to_numpy(zero_copy_only=False) for k in ("n", "w", "scatter"))
+            mean, low, high = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) for k in ("mean", "low", "high"))
+            for t, c in zip(total, held):
+                own, whole = _owners(mean, low, high, c)
+                o, m = own[whole], mean[whole]
+                cost = scatter[whole] + weight[whole] * ((m - c[o]) ** 2).sum(1)
+                for j, v in enumerate((weight[whole], cost, *(m * weight[whole][:, None]).T)):
+                    t[:, j] += np.bincount(o, v, len(t))
+                opened = np.repeat(~whole, n)
+                y, u = x[opened], w[opened]
+                rows = max(1, HELD_DISTANCES // len(c))
+                for at in range(0, len(y), rows):
+                    z, s = y[at:at + rows], u[at:at + rows]
+                    label, cost = next(_nearest(z, [c]))
+                    for j, v in enumerate((s, s * cost, *(z * s[:, None]).T)):
                         t[:, j] += np.bincount(label, v, len(t))
         return [(p, i, row.tolist()) for p, t in zip(numbers, total) for i, row in enumerate(t)] if seen else []
 
@@ -166,8 +253,7 @@ def _chosen(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> n
 
 
 def solve(points: DataFrame, problems: list[Problem]) -> list[tuple[float, np.ndarray]]:
-    """Cost and centres of each problem over ``x array<double>, w double, h long``:
-    distinct points, their weights, and a hash that random draws go by.  No points, no centres."""
+    """Cost and centres of each problem over ``packed`` points.  No points, no centres."""
     centres = _first_points(points, problems)
     if not centres:
         return [(0.0, np.zeros((0, 0))) for _ in problems]

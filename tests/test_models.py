@@ -216,6 +216,25 @@ def test_kmeans_of_all_starts_is_no_worse_than_the_library(spark, monkeypatch):
     assert rows.count() == lines.count() and rows.select("cluster").distinct().count() == 4
 
 
+def test_kmeans_adds_most_blocks_whole(spark):
+    """Sums over blocks are those over points, and most points lie in blocks that are not opened."""
+    x = np.random.default_rng(5).normal(size=(20_000, 2)).round(4)
+    x[:3000] = x[0] + np.arange(3000)[:, None] * 1e-6  # a crowded cell
+    points = spark.createDataFrame([(v.tolist(), float(1 + k % 3), k) for k, v in enumerate(x)], "x array<double>, w double, h long")
+    blocks = lloyd.packed(points.repartition(2), 2).cache()
+    centres = {0: np.array([[-1.0, 0.2], [0.9, 1.0], [0.5, -1.0]]), 3: np.array([[0.0, 0.0]])}
+    w = 1.0 + np.arange(len(x)) % 3
+    for p, got in lloyd._sums(blocks, centres).items():
+        d = ((x[:, None] - centres[p]) ** 2).sum(2)
+        for i, row in enumerate(got):
+            own = d.argmin(1) == i
+            assert row == pytest.approx([w[own].sum(), (w * d[:, i])[own].sum(), *(w[own, None] * x[own]).sum(0)])
+    held = blocks.collect()
+    assert sum(r.n for r in held) == len(x) and max(r.n for r in held) <= lloyd.MOST_BLOCK
+    whole = lloyd._owners(*[np.array([r[k] for r in held]) for k in ("mean", "low", "high")], centres[0])[1]
+    assert sum(r.n for r, inside in zip(held, whole) if inside) > 0.5 * len(x)
+
+
 def test_limits_are_arguments(spark, numbers):
     many = numbers.withColumn("label", F.concat(F.lit("c"), F.floor(F.col("x3") * 7)))
     with pytest.raises(ValueError, match="more than 3"):
