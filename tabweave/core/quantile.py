@@ -167,6 +167,34 @@ def grouped_stats(df: DataFrame, by: Sequence[str], exprs: Sequence[Column],
     return out.drop("_rows")
 
 
+def _in_brackets(df: DataFrame, cells: Sequence[tuple[str, str]]) -> DataFrame:
+    """``b, x``: the bracket and the value of each row and cell; rows outside have nulls.
+
+    A filter on ``b`` would be pushed below the columns that its cases read, and
+    repeat their expressions in every case; so there is none without an explode.
+    """
+    if len(cells) > 1:
+        return df.select(F.explode(F.array(*[F.expr(f"named_struct('b', {b}, 'x', {x})") for b, x in cells])).alias("s")).select(
+            "s.*").where("b is not null")
+    [(b, x)] = cells
+    rows = df.select(F.expr(b).alias("b"), F.col(x).alias("x"))
+    return rows.select("b", F.when(F.col("b").isNotNull(), F.col("x")).alias("x"))
+
+
+def _part(limits: Sequence[tuple[float, float]], parts: int) -> Column:
+    """Which of its bracket's equal parts holds a value."""
+    # halves where the width would overflow
+    halves = [1.0 if math.isfinite(high - low) else 0.5 for low, high in limits]
+
+    def of(values: Sequence[float]) -> Column:
+        # rows outside have no part, as their value is null
+        return F.get(F.array(*map(F.lit, values)), F.coalesce("b", F.lit(0)))
+
+    low = of([low * h for (low, _), h in zip(limits, halves)])
+    width = of([high * h - low * h for (low, high), h in zip(limits, halves)])
+    return F.least(F.floor((F.col("x") * of(halves) - low) / width * F.lit(float(parts))), F.lit(parts - 1).cast("long"))
+
+
 def order_statistics(df: DataFrame, families: Sequence[Sequence[tuple]], wanted: Mapping, sizes: Mapping,
                      parts: int = PARTS, fetched: int = FETCHED) -> dict[tuple, float]:
     """The k-th smallest values, counted from 0, as {(key, k): value}.
@@ -200,26 +228,19 @@ def order_statistics(df: DataFrame, families: Sequence[Sequence[tuple]], wanted:
         last = sum(state[3] for _, state in brackets) <= fetched
         cells = []
         for family in families:
-            cases = []
-            for key, x, condition in family:
-                # the brackets of one key do not overlap
-                for state in (s for k, s in brackets if k == key):
-                    low, high = state[:2]
-                    # halves where the width would overflow
-                    h = 1.0 if math.isfinite(high - low) else 0.5
-                    share = f"({x} * {h}D - {low * h!r}D) / {high * h - low * h!r}D * {parts}D"
-                    part = "0L" if last else f"least(floor({share}), {parts - 1}L)"
-                    cases.append(f"WHEN {condition}{x} BETWEEN {low!r}D AND {high!r}D THEN "
-                                 f"named_struct('b', {number[key, state]}, 'part', {part}, 'x', {x})")
+            # the brackets of one key do not overlap
+            cases = [f"WHEN {condition}{x} BETWEEN {state[0]!r}D AND {state[1]!r}D THEN {number[key, state]}"
+                     for key, x, condition in family for state in (s for k, s in brackets if k == key)]
             if cases:
-                cells.append(F.expr(f"CASE {' '.join(cases)} END"))
-        one = cells[0] if len(cells) == 1 else F.explode(F.array(*cells))
-        rows = df.select(one.alias("s")).where("s is not null").select("s.*")
+                cells.append((f"CASE {' '.join(cases)} END", family[0][1]))
+        rows = _in_brackets(df, cells)
         if last:
             found = [(r.b, r.x, r.x, r.n) for r in rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).collect()]
         else:
-            found = [(r.b, r.low, r.high, r.n) for r in rows.groupBy("b", "part").agg(
+            part = _part([state[:2] for _, state in brackets], parts)
+            found = [(r.b, r.low, r.high, r.n) for r in rows.groupBy("b", part.alias("part")).agg(
                 F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()]
+        found = [r for r in found if r[0] is not None]
         by_bracket: dict[int, list] = {}
         for b, low, high, n in sorted(found):
             by_bracket.setdefault(b, []).append((low, high, n))

@@ -156,3 +156,17 @@ def test_grouped_quantiles_on_every_path(hot, monkeypatch, small, tiny, targets)
     assert np.allclose(np.array(got.q_v.tolist())[:, 1], want.v.median())
     assert np.allclose(np.array(got.q_v.tolist())[:, 0], want.v.quantile(0.25))
     assert np.allclose([x[0] for x in got.q_w], want.w.quantile(0.9))
+
+
+def test_brackets_read_the_group_once(spark):
+    """A filter pushed below the group's number would repeat its cases in every bracket."""
+    from tabweave.core import quantile
+
+    df = spark.range(100).selectExpr("CASE WHEN id % 3 <=> 0 THEN 0 WHEN id % 3 <=> 1 THEN 1 END AS _g", "cast(id as double) AS _c0")
+    cells = [("CASE WHEN _g = 0 AND _c0 BETWEEN 0D AND 50D THEN 0 WHEN _g = 1 AND _c0 BETWEEN 0D AND 99D THEN 1 END", "_c0")]
+    rows = quantile._in_brackets(df, cells)
+    counted = rows.groupBy("b", quantile._part([(0.0, 50.0), (0.0, 99.0)], 4).alias("part")).agg({"x": "count"})
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("<=> 0)") == 1
+    assert rows.where("b is not null").count() == 17 + 33 and rows.where("b is null and x is not null").count() == 0
+    got = {(r.b, r.part): r["count(x)"] for r in counted.collect() if r.b is not None}
+    assert got == {(0, 0): 5, (0, 1): 4, (0, 2): 4, (0, 3): 4, (1, 0): 8, (1, 1): 9, (1, 2): 8, (1, 3): 8}
