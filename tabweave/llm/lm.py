@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tabweave.core.checks import c
 from tabweave.llm.ngrams import BREAK, PIECE_BYTES, frequent_ngrams, in_sieve, key_sieve, pieces
 from tabweave.llm.text import batch, crc_mod_of, map_batches, space_words, utf8
-from tabweave.session import cut_lineage, scratch_path
+from tabweave.session import cut_lineage, scratch_path, short_shuffles
 
 COMMON = 500_000
 LEAST_COMMON = 50  # and common tokens occur so often at least
@@ -49,6 +49,8 @@ GATHERED = 400_000
 BLOCK_BYTES = 4 << 20
 # keys that a task gathers before it asks for them
 ASKED = 2_000_000
+# shares of the blocks that are scored one after the other, so that what they ask for and fetch is not on disk at once
+WAVES = 4
 
 _COUNT = pa.schema([("token", pa.int64()), ("n_all", pa.int64()), ("n_train", pa.int64())])
 _NGRAM = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
@@ -76,6 +78,18 @@ def ngram_keys(*tokens: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def find_sorted(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys among ascending ones, and which of them are there; keys are looked up in
+    ascending order, as steps to and fro cost more than sorting."""
+    if not len(held):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    order = np.argsort(keys)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(held, keys[order])
+    at = np.minimum(at, len(held) - 1)
+    return at, held[at] == keys
+
+
 @dataclass
 class Unigrams:
     """The common tokens, by ascending hash, with their training counts."""
@@ -118,10 +132,7 @@ class Weights:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the keys, and which of them are held."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        return find_sorted(self.keys, keys)
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -268,8 +279,13 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", h
     ``vocabulary`` and ``ngrams``, if given, keep only n-grams of common tokens
     with a share of at least 1/``vocabulary``, or that occur once in ``ngrams`` tokens.
     """
-    spark = docs.sparkSession
-    rows = _rows(docs, id_column, text_column)
+    with short_shuffles(docs.sparkSession):
+        return _fit(_rows(docs, id_column, text_column), held_out_of, common, least_common, vocabulary, ngrams, least_ngram, held)
+
+
+def _fit(rows: DataFrame, held_out_of: int, common: int, least_common: int, vocabulary: int | None, ngrams: int | None,
+         least_ngram: int, held: int) -> LanguageModel:
+    spark = rows.sparkSession
     path = scratch_path(spark, "token-counts")
     token_counts(rows, held_out_of).write.parquet(path)
     counts = spark.read.schema("token long, n_all long, n_train long").parquet(path)
@@ -375,31 +391,49 @@ def asked_keys(rows: DataFrame, model: LanguageModel) -> DataFrame:
 @dataclass
 class Automaton:
     """What a block's texts can meet: state 0 is the empty context; an arc's
-    code is ``state * words + word``."""
+    code is ``state * words + word``, and arcs lie by ascending code."""
 
     words: int
-    arcs: dict[int, int]  # the arc of a code
-    logs: list[float]  # log10 probability of each arc
-    targets: list[int]  # the state that each arc leads to
-    failures: list[int]  # each state's context without its first token
-    backs: list[float]  # what the failure arc adds
+    codes: np.ndarray
+    logs: np.ndarray  # log10 probability of each arc
+    targets: np.ndarray  # the state that each arc leads to
+    failure: np.ndarray  # each state's context without its first token
+    back: np.ndarray  # what the failure arc adds
     start: int
 
+    @property
+    def failures(self) -> list[int]:
+        return self.failure.tolist()
+
+    @property
+    def backs(self) -> list[float]:
+        return self.back.tolist()
+
+    def _arcs(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arcs of these words from these states, and which of them exist."""
+        return find_sorted(self.codes, states * self.words + words)
+
+    def steps(self, ids: np.ndarray) -> np.ndarray:
+        """The log10 probability of each word but the first after those before it, all words at once.
+
+        A state holds two tokens at most, so the state after a word follows from the word and the one before:
+        the target of its arc from the state of that one alone, else its own state."""
+        last, word = ids[:-1], ids[1:]
+        alone = self.targets[:self.words]  # the empty context has an arc for every word, before all others
+        short, found = self._arcs(alone[last], word)
+        after = np.concatenate([alone[ids[:1]], np.where(found, self.targets[short], alone[word])])
+        state, total, left = after[:-1].copy(), np.zeros(len(word)), np.arange(len(word))
+        while len(left):
+            arc, found = self._arcs(state[left], word[left])
+            total[left[found]] += self.logs[arc[found]]
+            left = left[~found]
+            total[left] += self.back[state[left]]
+            state[left] = self.failure[state[left]]
+        return total
+
     def read(self, text: list[int]) -> float:
         """The log10 probability of the words and the end of a text."""
-        words, arcs, logs, targets, failures, backs = (self.words, self.arcs, self.logs, self.targets, self.failures,
-                                                       self.backs)
-        state, total = self.start, 0.0
-        for word in text:
-            arc = arcs.get(state * words + word)
-            while arc is None:
-                # the empty context has an arc for every word
-                total += backs[state]
-                state = failures[state]
-                arc = arcs.get(state * words + word)
-            total += logs[arc]
-            state = targets[arc]
-        return total
+        return float(self.steps(np.array([0, *text], np.int64)).sum())
 
 
 def build_automaton(block: Block, hashes: np.ndarray, unigram_logs: np.ndarray, tables: list[Weights]) -> Automaton:
@@ -422,14 +456,14 @@ def build_automaton(block: Block, hashes: np.ndarray, unigram_logs: np.ndarray,
     second = two % size
     # a kept trigram's last two tokens are a kept bigram
     pair, third = three[kept3] // size, three[kept3] % size
-    after = np.searchsorted(two, second[pair] * size + third)
+    after, _ = find_sorted(two, second[pair] * size + third)
     codes = np.concatenate([np.arange(size), token_state[two[kept2] // size] * size + second[kept2],
                             pair_state[pair] * size + third])
-    targets = np.concatenate([token_state, pair_state[kept2], pair_state[after]])
-    return Automaton(size, dict(zip(codes.tolist(), range(len(codes)))),
-                     np.concatenate([unigram_logs, log2[kept2], log3[kept3]]).tolist(), targets.tolist(),
-                     [0] * (1 + int(is_state.sum())) + token_state[second[kept2]].tolist(),
-                     [0.0, *back1[is_state].tolist(), *back2[kept2].tolist()], int(token_state[0]))
+    order = np.argsort(codes, kind="stable")
+    return Automaton(size, codes[order], np.concatenate([unigram_logs, log2[kept2], log3[kept3]])[order],
+                     np.concatenate([token_state, pair_state[kept2], pair_state[after]])[order],
+                     np.concatenate([np.zeros(1 + int(is_state.sum()), np.int64), token_state[second[kept2]]]),
+                     np.concatenate([[0.0], back1[is_state], back2[kept2]]), int(token_state[0]))
 
 
 def score_block(texts: list[bytes], known: Unigrams, held: Weights, fetched: Weights, counts: Weights):
@@ -448,7 +482,9 @@ def score_block(texts: list[bytes], known: Unigrams, held: Weights, fetched: Wei
     edges = np.cumsum(block.lengths) - block.lengths
     is_known, weight = n > 0, logs.copy()
     is_known[0], weight[0] = False, 0.0  # the start is no token
-    scores = [automaton.read(block.ids[a + 1:a + k].tolist()) for a, k in zip(edges.tolist(), block.lengths.tolist())]
+    steps = np.append(0.0, automaton.steps(block.ids))
+    steps[edges] = 0.0  # the start of a text is no token
+    scores = np.add.reduceat(steps, edges)
     return (block.lengths - 1, np.add.reduceat(is_known[block.ids].astype(np.int64), edges),
             np.add.reduceat(weight[block.ids], edges), scores)
 
@@ -476,16 +512,15 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
     grams = spark.read.schema("key long, n long, arc double, back double").parquet(model.weights_path)
     table = counts.select(F.col("token").alias("key"), "n_train", F.lit(0.0).alias("arc"), F.lit(0.0).alias("back")).union(
         grams.select("key", F.lit(0).cast("long"), "arc", "back"))
-    fetched = asked_keys(rows, model).join(table, "key").select("block", "key", "n_train", "arc", "back")
-    once = rows.groupBy("block", "text_a", "text_b").agg(F.first("text").alias("text"))
     held = spark.sparkContext.broadcast((model.unigrams, model.weights))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _SCORED.empty_table()
         known, weights = held.value
-        found = found.sort_by("key")
         key, n, arc, back = (found.column(k).to_numpy() for k in ("key", "n_train", "arc", "back"))
+        order = np.argsort(key)
+        key, n, arc, back = key[order], n[order], arc[order], back[order]
         gram = n == 0
         scored = score_block(utf8(texts.column("text").combine_chunks()), known, weights,
                              Weights(key[gram], arc[gram], back[gram]), Weights(key[~gram], n[~gram], back[~gram]))
@@ -493,7 +528,14 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
         return pa.table([pa.array(x, t.type) if not isinstance(x, pa.ChunkedArray) else x
                          for x, t in zip(columns, _SCORED)], schema=_SCORED)
 
-    scored = once.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(run, _SCORED_SQL)
+    path = scratch_path(spark, "scored-texts")
+    with short_shuffles(spark):
+        for wave in range(WAVES):
+            mine = rows.where(F.col("block") % WAVES == wave)
+            fetched = asked_keys(mine, model).join(table, "key").select("block", "key", "n_train", "arc", "back")
+            once = mine.groupBy("block", "text_a", "text_b").agg(F.first("text").alias("text"))
+            once.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(run, _SCORED_SQL).write.mode("append").parquet(path)
+    scored = spark.read.schema(_SCORED_SQL).parquet(path)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     return named.select("doc_id", "text_a", "text_b").join(scored, ["text_a", "text_b"]).select(
         "doc_id", (F.crc32(key) % held_out_of == 0).alias("held_out"), "n_tokens", "n_known",

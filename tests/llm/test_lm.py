@@ -156,3 +156,53 @@ def test_automaton_states_and_failure_arcs():
     # x y fails over its own weight
     assert read([b"x", b"y", b"y", b""]) == pytest.approx(-2 - 0.2 - 0.7 - 2 - 2)
     assert read([b"x", b"x", b""]) == pytest.approx(-2 - 0.5 - 2 - 0.5 - 2)
+
+
+def test_all_words_of_a_block_step_at_once(spark, rows):
+    """The traversal agrees with one that follows arcs word by word, also across the texts of a block."""
+    texts = [(t or "").encode() for _, t in rows]
+    block = lm.Block.of(texts)
+    hashes = lm.token_hashes(block.words)
+    two, _, three, _ = block.ngrams()
+    keys = lm.ngram_keys_of(block, hashes, two, three)
+    r = lm.np.random.default_rng(3)
+    pair = [k for k, p in zip(keys[1].tolist(), two.tolist()) if p % len(block.words) and r.random() < 0.5]
+    kept = {*pair, *keys[0].tolist()}  # the first token of a kept pair is a state
+    size, place = len(block.words), {p: k for p, k in enumerate(keys[1].tolist())}
+    kept |= {k for k, t in zip(keys[2].tolist(), three.tolist()) if r.random() < 0.5 and place[t // size] in kept
+             and dict(zip(two.tolist(), keys[1].tolist())).get(two[t // size] % size * size + t % size) in kept}
+    held = lm.np.sort(lm.np.array(list(kept)))
+    weights = lm.Weights(held, -r.random(len(held)), -r.random(len(held)))
+    a = lm.build_automaton(block, hashes, -1 - r.random(size), [weights])
+    arcs = dict(zip(a.codes.tolist(), range(len(a.codes))))
+
+    def walk(text):
+        state, total = a.start, 0.0
+        for w in text:
+            while (arc := arcs.get(state * size + w)) is None:
+                total, state = total + a.back[state], a.failure[state]
+            total, state = total + a.logs[arc], a.targets[arc]
+        return total
+
+    steps, at = lm.np.append(0.0, a.steps(block.ids)), 0
+    for k in block.lengths.tolist():
+        text = block.ids[at + 1:at + k].tolist()
+        assert steps[at + 1:at + k].sum() == pytest.approx(walk(text)) == a.read(text)
+        at += k
+
+
+def test_texts_are_scored_in_waves(spark, rows, monkeypatch):
+    """What is asked for is on disk for one share of the texts at a time, and shuffle files go with their job."""
+    key, seen, asked = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], lm.asked_keys
+    before = spark.conf.get(key)
+
+    def noted(rows, model):
+        seen.append((spark.conf.get(key), rows.count()))
+        return asked(rows, model)
+
+    monkeypatch.setattr(lm, "asked_keys", noted)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lm.score(docs, lm.fit(docs, **SMALL)).count() == len(rows)
+    assert len(seen) == lm.WAVES and all(on == "true" and n < len(rows) / 2 for on, n in seen)
+    assert sum(n for _, n in seen) == len(rows) and spark.conf.get(key) == before
