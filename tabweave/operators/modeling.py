@@ -20,7 +20,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,7 +276,7 @@ def fit_forest(data: DataFrame, params: Mapping) -> PipelineModel:
 def importances(model: Model) -> list[float] | None:
     """Of the features, as a tree or forest states them; a forest's are the mean of its trees' ones."""
     if isinstance(model, PipelineModel):
-        if not isinstance(model.stages[0], RandomForestRegressionModel):
+        if isinstance(model.stages[0], GBTRegressionModel):
             return None  # one ensemble for each of several classes
         found = np.sum([t.featureImportances.toArray() for t in model.stages[:-1]], axis=0)
         return (found / (found.sum() or 1.0)).tolist()
@@ -300,7 +300,11 @@ def _number(data: DataFrame) -> int:
     return int(data.agg(F.coalesce(F.sum(WEIGHT), F.lit(0.0))).first()[0])
 
 
-def _fit(data: DataFrame, model_type: str, hyperparams: Mapping | None, n_classes: int, rows: int) -> Model:
+def _fit(data: DataFrame | trees.Binned, model_type: str, hyperparams: Mapping | None, n_classes: int,
+         rows: int | DataFrame) -> Model | list[list[trees.Tree]]:
+    """The model of rows or cells with the number of rows, or the ensembles on binned cells of the rows."""
+    if isinstance(data, trees.Binned):
+        return trees.fit(rows.sparkSession, data, rows, model_type, _params(model_type, hyperparams, 1), [None], None, n_classes)[0]
     if "_drawn" in data.columns:
         return fit_forest(data, _params(model_type, hyperparams, rows))
     estimator = MODEL_TYPES[model_type][0](featuresCol=VECTOR, labelCol=LABEL, weightCol=WEIGHT,
@@ -348,7 +352,7 @@ def _binned(rows: DataFrame, features: Sequence[str], model_type: str, hyperpara
     """The cells of binned features on which trees are grown; None where a fit takes other cells or rows."""
     if not trees.supports(model_type, _params(model_type, hyperparams, 1)) or (classes is not None and len(classes) < 2):
         return None
-    return trees.binned(rows, len(features), classes is not None, key)
+    return trees.binned(rows, len(features), classes is not None, ROWS_IN_CELL, key)
 
 
 def _binned_scores(cells: trees.Binned, folds: DataFrame, model_type: str, hyperparams: Mapping | None, n_folds: int,
@@ -374,7 +378,7 @@ def train_model(df: DataFrame, target_column: str, model_type: str = "random_for
     name = model_name or f"{model_type}_{target_column}"
     params, cells = _params(model_type, hyperparams, 1), _binned(rows, features, model_type, hyperparams, classes)
     if cells is not None:
-        (grown,) = trees.fit(df.sparkSession, cells, rows, model_type, params, [None], None, len(classes or []))
+        grown = _fit(cells, model_type, hyperparams, len(classes or []), rows)
         whole = np.ones(len(cells.weight), bool)
         score = trees.score(cells, whole, trees.predict(grown, cells.bins, model_type, params.get("stepSize", 1.0)), classifier)
         model = trees.to_model(df.sparkSession, grown, cells.cuts, model_type, params)

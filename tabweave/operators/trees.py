@@ -33,7 +33,6 @@ from tabweave.session import scratch_path
 MAX_BINS = 32
 # cells that a task holds; with more, and with few rows a cell, fits take rows
 MOST_CELLS = 200_000
-ROWS_IN_CELL = 4
 # bins of all features together, so that a cell has a number
 MOST_CODES = 1 << 40
 # draws are added up for so many trees and rows at once
@@ -157,13 +156,13 @@ class Binned:
     weight: np.ndarray
     spread: np.ndarray
 
+    def count(self) -> int:
+        return len(self.weight)
+
     @property
     def sizes(self) -> list[int]:
         return [len(x) + 1 for x in self.cuts]
 
-    def rows(self) -> int:
-        return int(self.weight.sum())
-
     def merged(self, use: np.ndarray, classes: bool):
         """Bins, weights, labels and spreads of the cells in use, whatever their key."""
         bins, weight, label, spread = self.bins[use], self.weight[use], self.label[use], self.spread[use]
@@ -196,7 +195,7 @@ def _plain(data: DataFrame, key: str | None) -> DataFrame:
                        (F.col(key).cast("int") if key else F.lit(0)).alias("_key"))
 
 
-def binned(data: DataFrame, width: int, classes: bool, key: str | None = None) -> Binned | None:
+def binned(data: DataFrame, width: int, classes: bool, rows_in_cell: int, key: str | None = None) -> Binned | None:
     """The cells of rows with so many features, a label and an integer key; None if there are too many of them."""
     rows = _plain(data, key)
     cuts, middle = _cuts(rows, width)
@@ -220,7 +219,7 @@ def binned(data: DataFrame, width: int, classes: bool, key: str | None = None) -
     cells = rows.mapInArrow(run, "code long, class long, n double, total double, square double").groupBy("code", "class").agg(
         *[F.sum(x).alias(x) for x in ("n", "total", "square")]).limit(MOST_CELLS + 1).toArrow().sort_by([("code", "ascending"), ("class", "ascending")])
     code, of, weight, total, square = (x.to_numpy() for x in cells.columns)
-    if not len(weight) or len(weight) > MOST_CELLS or len(weight) * ROWS_IN_CELL > weight.sum():
+    if not len(weight) or len(weight) > MOST_CELLS or len(weight) * rows_in_cell > weight.sum():
         return None
     bins = np.zeros((len(code), width), np.int64)
     for j in reversed(range(width)):
@@ -357,6 +356,11 @@ _KINDS = {"random_forest": ("regression.RandomForestRegressionModel", RandomFore
 
 def to_model(spark: SparkSession, ensembles: list[list[Tree]], cuts: list[np.ndarray], model_type: str, params: Mapping) -> Model:
     """The MLlib model with these trees: written in MLlib's format and loaded."""
+    if model_type == "random_forest":
+        grown = _load(spark, ensembles[0], cuts, model_type, params).trees
+        total = " + ".join(f"_tree{t}" for t in range(len(grown)))
+        return PipelineModel([*[t.setPredictionCol(f"_tree{k}") for k, t in enumerate(grown)], SQLTransformer(
+            statement=f"SELECT *, ({total}) / {len(grown)} AS prediction FROM __THIS__")])
     if len(ensembles) == 1:
         return _load(spark, ensembles[0], cuts, model_type, params)
     # the sums of each class's trees, of which the largest wins: MLlib's one-against-the-rest scores a row many times
@@ -370,9 +374,9 @@ def _load(spark: SparkSession, trees: list[Tree], cuts: list[np.ndarray], model_
     path, (kind, loader) = scratch_path(spark, "trees"), _KINDS[model_type]
     step = params.get("stepSize", 1.0)
 
-    def facts(name: str, own: Mapping, **more) -> str:
+    def facts(name: str, number: int, own: Mapping, **more) -> str:
         return json.dumps({"class": f"org.apache.spark.ml.{name}", "timestamp": int(time.time() * 1000), "sparkVersion": spark.version,
-                           "uid": f"{name.split('.')[1]}_{path[-12:]}", "paramMap": {"featuresCol": VECTOR, "labelCol": LABEL, **own},
+                           "uid": f"{name.split('.')[1]}_{path[-12:]}_{number}", "paramMap": {"featuresCol": VECTOR, "labelCol": LABEL, **own},
                            "defaultParamMap": {"predictionCol": "prediction", "impurity": "variance"}, **more})
 
     def nodes(k: int, t: Tree) -> pa.Table:
@@ -393,9 +397,9 @@ def _load(spark: SparkSession, trees: list[Tree], cuts: list[np.ndarray], model_
 
     spark.createDataFrame(pa.concat_tables([nodes(k, t) for k, t in enumerate(trees)])).write.parquet(f"{path}/data")
     own = {"maxDepth": params["maxDepth"], "seed": params["seed"]}
-    tree = facts("regression.DecisionTreeRegressionModel", own)
-    spark.createDataFrame([(k, tree, step if k and model_type != "random_forest" else 1.0) for k in range(len(trees))],
+    tree = lambda k: facts("regression.DecisionTreeRegressionModel", k, own)
+    spark.createDataFrame([(k, tree(k), step if k and model_type != "random_forest" else 1.0) for k in range(len(trees))],
                           "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
-    whole = facts(kind, {k: v for k, v in params.items()}, numFeatures=len(cuts), numTrees=len(trees))
+    whole = facts(kind, len(trees), {k: v for k, v in params.items()}, numFeatures=len(cuts), numTrees=len(trees))
     spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{path}/metadata")
     return loader.load(path)
